@@ -55,3 +55,224 @@ def _timeseries_day(r):
 @query("timeseries_month")
 def _timeseries_month(r):
     return pnl.timeseries(r["sales"], r["sale_items"], r["expenses"], PERIOD, "month")
+
+
+# ---- sales (sales.py) --------------------------------------------------------------------------
+from .operators import cash, credit, expenses, inventory, purchases, sales, suppliers  # noqa: E402
+from .registry import Q_EXPENSES, Q_PRODUCTS, Q_SALES, Q_SUPPLIERS, TOP_N  # noqa: E402
+
+
+@query("sales_in_period")
+def _sales_in_period(r):
+    return sales.sales_in_period(r["sales"], PERIOD)
+
+
+@query("sale_list")
+def _sale_list(r):
+    return sales.sale_list(r["sales"], r["sale_items"])
+
+
+@query("search_sales")
+def _search_sales(r):
+    # the reference's list: matches newest first, default page of 100 (a top-k feature)
+    return sales.sale_list(r["sales"], r["sale_items"], q=Q_SALES, limit=100)
+
+
+@query("top_products")
+def _top_products(r):
+    return sales.top_products(r["sales"], r["sale_items"], PERIOD, TOP_N)
+
+
+@query("top_earner")
+def _top_earner(r):
+    return sales.top_earner(r["sales"], r["sale_items"], PERIOD)
+
+
+@query("invoice_numbers")
+def _invoice_numbers(r):
+    return sales.invoice_numbers(r["sales"], r["purchases"])
+
+
+# ---- inventory (inventory.py) -----------------------------------------------------------------
+@query("product_list")
+def _product_list(r):
+    return inventory.product_list(r["products"], r["categories"])
+
+
+@query("search_products")
+def _search_products(r):
+    return inventory.product_list(r["products"], r["categories"], q=Q_PRODUCTS)
+
+
+@query("pos_product_search")
+def _pos_product_search(r):
+    return inventory.pos_product_search(r["products"], r["categories"], Q_PRODUCTS)
+
+
+@query("lookup_codes")
+def _lookup_codes(r):
+    return inventory.lookup_codes(r["code_scans"], r["products"], r["categories"])
+
+
+@query("low_stock")
+def _low_stock(r):
+    return inventory.low_stock(r["products"])
+
+
+@query("inventory_totals")
+def _inventory_totals(r):
+    return inventory.inventory_totals(r["products"])
+
+
+@query("inventory_by_category")
+def _inventory_by_category(r):
+    return inventory.inventory_by_category(r["products"], r["categories"])
+
+
+@query("category_list")
+def _category_list(r):
+    return inventory.category_list(r["products"], r["categories"])
+
+
+@query("inventory_kpis")
+def _inventory_kpis(r):
+    return inventory.inventory_kpis(r["products"])
+
+
+@query("stock_ledger")
+def _stock_ledger(r):
+    return inventory.stock_ledger(r["products"], r["purchase_items"], r["sale_items"], r["sales"], r["stock_adjustments"])
+
+
+@query("latest_cost")
+def _latest_cost(r):
+    return inventory.latest_cost(r["purchase_items"])
+
+
+@query("product_snapshot")
+def _product_snapshot(r):
+    return inventory.product_snapshot(r["products"], r["purchase_items"], r["sale_items"], r["stock_adjustments"])
+
+
+# ---- purchases and suppliers (purchases.py, suppliers.py) ----------------------------------------
+@query("purchase_list")
+def _purchase_list(r):
+    return purchases.purchase_list(r["purchases"], r["suppliers"], r["purchase_items"])
+
+
+@query("search_purchases")
+def _search_purchases(r):
+    # the reference's list: matches newest first, page of 200 (a top-k feature)
+    return purchases.purchase_list(r["purchases"], r["suppliers"], r["purchase_items"], q=Q_SUPPLIERS, limit=200)
+
+
+@query("payables_total")
+def _payables_total(r):
+    return purchases.payables_total(r["purchases"])
+
+
+@query("payables_by_supplier")
+def _payables_by_supplier(r):
+    return purchases.payables_by_supplier(r["suppliers"], r["purchases"])
+
+
+@query("supplier_list")
+def _supplier_list(r):
+    return purchases.supplier_list(r["suppliers"], r["purchases"])
+
+
+@query("search_suppliers")
+def _search_suppliers(r):
+    return purchases.supplier_list(r["suppliers"], r["purchases"], q=Q_SUPPLIERS)
+
+
+@query("supplier_ledger")
+def _supplier_ledger(r):
+    return suppliers.supplier_ledger(r["purchases"], r["supplier_payments"])
+
+
+@query("supplier_closing")
+def _supplier_closing(r):
+    return suppliers.supplier_closing(r["purchases"], r["supplier_payments"])
+
+
+@query("fifo_allocation")
+def _fifo_allocation(r):
+    return suppliers.fifo_allocation(r["purchases"], r["supplier_payments"])
+
+
+@query("fifo_payments")
+def _fifo_payments(r):
+    return suppliers.fifo_payments(r["purchases"], r["supplier_payments"])
+
+
+@query("fifo_links")
+def _fifo_links(r):
+    return suppliers.fifo_links(r["purchases"], r["supplier_payments"])
+
+
+# ---- customer credit (credit.py) ----------------------------------------------------------------
+@query("repayments_applied")
+def _repayments_applied(r):
+    return credit.repayments_applied(r["sales"], r["repayment_requests"])
+
+
+@query("receivables_total")
+def _receivables_total(r):
+    return credit.receivables_total(r["sales"])
+
+
+@query("receivables_list")
+def _receivables_list(r):
+    return credit.receivables_list(r["sales"])
+
+
+@query("receivables_by_customer")
+def _receivables_by_customer(r):
+    return credit.receivables_by_customer(r["sales"])
+
+
+@query("receivables_after")
+def _receivables_after(r):
+    return credit.receivables_after(r["sales"], r["repayment_requests"])
+
+
+# ---- cash (cash.py) ------------------------------------------------------------------------------
+def _cash_tables(r):
+    return (r["sales"], r["payments"], r["purchases"], r["supplier_payments"], r["expenses"], r["cash_adjustments"])
+
+
+@query("cash_breakdown")
+def _cash_breakdown(r):
+    return cash.cash_breakdown(*_cash_tables(r))
+
+
+@query("cash_on_hand")
+def _cash_on_hand(r):
+    return cash.cash_on_hand(*_cash_tables(r))
+
+
+@query("cash_ledger")
+def _cash_ledger(r):
+    return cash.cash_ledger(*_cash_tables(r), r["suppliers"])
+
+
+@query("clean_adjustments")
+def _clean_adjustments(r):
+    return cash.clean_adjustments(r["cash_requests"])
+
+
+# ---- expenses (expenses.py) ---------------------------------------------------------------------
+@query("search_expenses")
+def _search_expenses(r):
+    return expenses.search_expenses(r["expenses"], PERIOD, Q_EXPENSES)
+
+
+@query("clean_expenses")
+def _clean_expenses(r):
+    return expenses.clean_expenses(r["expense_requests"], AS_OF)
+
+
+@query("merge_expenses")
+def _merge_expenses(r):
+    return expenses.merge_expenses(r["expenses"], r["expense_edits"])

@@ -23,7 +23,7 @@ def like_any(cols: list[str | Column], q: str | None) -> Column:
     """``c1 ILIKE '%q%' OR c2 ILIKE …``; an empty query matches everything."""
     if q is None or not q.strip():
         return F.lit(True)
-    pat = F.lit(like_pattern(q))
+    pat = like_pattern(q)
     preds = [(F.col(c) if isinstance(c, str) else c).ilike(pat) for c in cols]
     # NULL columns do not match (LIKE on NULL is NULL → row not kept)
     return F.coalesce(reduce(lambda a, b: a | b, preds), F.lit(False))

@@ -68,28 +68,35 @@ def running_sum_and_min(
     sum_out: str,
     min_out: str,
     block: Column | None = None,
+    min_before_out: str | None = None,
 ) -> DataFrame:
-    """Add ``sum_out`` = inclusive running sum S and ``min_out`` = min(S_j, j ≤ current)."""
+    """Add ``sum_out`` = inclusive running sum S and ``min_out`` = min(S_j, j ≤ current).
+
+    ``min_before_out`` (optional) = min(S_j, j < current), NULL on a key's first row.
+    """
     block = block if block is not None else day_block()
     val = F.col(value) if isinstance(value, str) else value
     by = list(by)
     w_in = Window.partitionBy(*by, _BLK).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
+    w_ex = Window.partitionBy(*by, _BLK).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, -1)
     loc = (
         df.withColumn(_BLK, block)
         .withColumn("_v", val)
         .withColumn("_s", F.sum("_v").over(w_in))
         .withColumn("_m", F.min("_s").over(w_in))
+        .withColumn("_mx", F.min("_s").over(w_ex))
     )
     blocks = loc.groupBy(*by, _BLK).agg(F.sum("_v").alias("_bt"), F.min("_s").alias("_bm"))
     w_b = Window.partitionBy(*by).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_bt").over(w_b), F.lit(0)))
     blocks = blocks.withColumn("_pm", F.min(F.col("_off") + F.col("_bm")).over(w_b)).select(*by, _BLK, "_off", "_pm")
     out = loc.join(blocks, [*by, _BLK], "inner")
-    return (
-        out.withColumn(sum_out, F.col("_off") + F.col("_s"))
-        .withColumn(min_out, F.least(F.col("_pm"), F.col("_off") + F.col("_m")))
-        .drop(_BLK, "_v", "_s", "_m", "_off", "_pm")
+    out = out.withColumn(sum_out, F.col("_off") + F.col("_s")).withColumn(
+        min_out, F.least(F.col("_pm"), F.col("_off") + F.col("_m"))
     )
+    if min_before_out:
+        out = out.withColumn(min_before_out, F.least(F.col("_pm"), F.col("_off") + F.col("_mx")))
+    return out.drop(_BLK, "_v", "_s", "_m", "_mx", "_off", "_pm")
 
 
 def carry_forward(

@@ -153,6 +153,278 @@ SQL["timeseries_day"] = _timeseries("%Y-%m-%d")
 SQL["timeseries_month"] = _timeseries("%Y-%m")
 
 
+# ---- sales -----------------------------------------------------------------------------------------
+SALE_COLS = ("s.id, s.invoice_no, " + ts("s.date") + ", s.payment_type, s.customer_name, " + d("s.subtotal") + ", "
+             + d("s.discount") + ", " + d("s.total") + ", " + d("s.amount_paid") + ", " + d("s.amount_due") + ", "
+             + ts("s.created_at"))
+_SALE_AGG = "(SELECT sale_id, SUM(quantity) AS n, SUM(unit_cost * quantity) AS cogs FROM sale_items GROUP BY sale_id)"
+_SALE_LIST = f"""
+SELECT {SALE_COLS}, {d('ROUND(COALESCE(a.n, 0), 2)', 'item_count')}, {d('ROUND(COALESCE(a.cogs, 0), 2)', 'cogs')},
+       {d('s.total - ROUND(COALESCE(a.cogs, 0), 2)', 'profit')}
+FROM sales s LEFT JOIN {_SALE_AGG} a ON a.sale_id = s.id"""
+
+SQL["sales_in_period"] = f"SELECT id, invoice_no, {ts('date')}, payment_type, {d('total')} FROM sales WHERE {per()}"
+SQL["sale_list"] = _SALE_LIST
+SQL["search_sales"] = (_SALE_LIST + f"\nWHERE s.invoice_no ILIKE {like(Q_SALES)} OR s.customer_name ILIKE {like(Q_SALES)}"
+                       "\nORDER BY s.date DESC, s.id DESC LIMIT 100")
+SQL["top_products"] = f"""
+SELECT si.product_name, {d('ROUND(SUM(si.quantity), 2)', 'units_sold')}, {d('ROUND(SUM(si.line_total), 2)', 'revenue')},
+       {d('ROUND(SUM((si.unit_price - si.unit_cost) * si.quantity), 2)', 'profit')}
+FROM sale_items si JOIN sales s ON s.id = si.sale_id WHERE {per('s.date')}
+GROUP BY si.product_name ORDER BY SUM(si.line_total) DESC, si.product_name LIMIT {TOP_N}"""
+SQL["top_earner"] = f"""
+SELECT si.product_name AS name,
+       {d('ROUND(SUM((si.unit_price - si.unit_cost) * si.quantity - si.line_discount), 2)', 'profit')}
+FROM sale_items si JOIN sales s ON s.id = si.sale_id WHERE {per('s.date')}
+GROUP BY si.product_name ORDER BY SUM((si.unit_price - si.unit_cost) * si.quantity - si.line_discount) DESC, si.product_name
+LIMIT 1"""
+SQL["invoice_numbers"] = f"""
+SELECT prefix, id, {ts('date')}, prefix || '-' || strftime(date, '%Y%m%d') || '-' || printf('%04d', seq) AS number, seq
+FROM (SELECT prefix, id, date, ROW_NUMBER() OVER (PARTITION BY prefix, CAST(date AS DATE) ORDER BY id) AS seq
+      FROM (SELECT 'INV' AS prefix, id, date FROM sales UNION ALL SELECT 'PUR', id, date FROM purchases) u) n"""
+
+# ---- inventory --------------------------------------------------------------------------------------
+_PROD = f"""
+SELECT p.id, p.name, p.sku, p.barcode, p.category_id, {d('p.cost_price')}, {d('p.selling_price')}, {d('p.quantity')},
+       {d('p.reorder_level')}, {ts('p.created_at')}, c.name AS category_name,
+       {d('p.selling_price - p.cost_price', 'margin_per_unit')},
+       {d('ROUND(p.quantity * p.cost_price, 2)', 'stock_cost_value')},
+       {d('ROUND(p.quantity * p.selling_price, 2)', 'stock_retail_value')},
+       p.quantity <= p.reorder_level AS low_stock, p.quantity > 0 AS in_stock, p.quantity >= 1 AS can_add
+FROM products p LEFT JOIN categories c ON c.id = p.category_id"""
+SQL["product_list"] = _PROD
+SQL["search_products"] = _PROD + "\nWHERE " + " OR ".join(
+    f"{c} ILIKE {like(Q_PRODUCTS)}" for c in ("p.name", "p.sku", "p.barcode", "c.name"))
+SQL["pos_product_search"] = f"""
+SELECT p.id, p.name, p.sku, p.barcode, c.name AS category_name, {d('p.selling_price')}, {d('p.quantity')},
+       p.quantity <= 0 AS disabled
+FROM products p LEFT JOIN categories c ON c.id = p.category_id
+WHERE """ + " OR ".join(f"contains(lower(COALESCE({c}, '')), '{Q_PRODUCTS.lower()}')"
+                        for c in ("p.name", "p.sku", "p.barcode", "c.name"))
+SQL["lookup_codes"] = f"""
+WITH idx AS (SELECT code, MIN(id) AS product_id
+             FROM (SELECT id, barcode AS code FROM products UNION ALL SELECT id, sku FROM products) x
+             WHERE code IS NOT NULL GROUP BY code)
+SELECT s.scan_id, trim(s.code) AS code, i.product_id, p.name, c.name AS category_name, {d('p.selling_price')},
+       {d('p.quantity')}
+FROM code_scans s LEFT JOIN idx i ON i.code = trim(s.code) LEFT JOIN products p ON p.id = i.product_id
+LEFT JOIN categories c ON c.id = p.category_id"""
+SQL["low_stock"] = f"SELECT id, name, sku, {d('quantity')}, {d('reorder_level')} FROM products WHERE quantity <= reorder_level"
+SQL["inventory_totals"] = f"""
+SELECT product_count, {d('total_units')}, {d('cv', 'total_cost_value')}, {d('rv', 'total_retail_value')},
+       {d('rv - cv', 'potential_profit')}
+FROM (SELECT COUNT(*) AS product_count, ROUND(COALESCE(SUM(quantity), 0), 2) AS total_units,
+             ROUND(COALESCE(SUM(quantity * cost_price), 0), 2) AS cv, ROUND(COALESCE(SUM(quantity * selling_price), 0), 2) AS rv
+      FROM products) t"""
+SQL["inventory_by_category"] = f"""
+SELECT c.id AS category_id, COALESCE(c.name, 'Uncategorized') AS category, COUNT(p.id) AS product_count,
+       {d('ROUND(COALESCE(SUM(p.quantity), 0), 2)', 'units')},
+       {d('ROUND(COALESCE(SUM(p.quantity * p.cost_price), 0), 2)', 'cost_value')},
+       {d('ROUND(COALESCE(SUM(p.quantity * p.selling_price), 0), 2)', 'retail_value')}
+FROM products p LEFT JOIN categories c ON c.id = p.category_id GROUP BY c.id, c.name"""
+SQL["category_list"] = f"""
+SELECT c.id, c.name, COUNT(p.id) AS product_count, {d('ROUND(COALESCE(SUM(p.quantity), 0), 2)', 'total_units')},
+       {d('ROUND(COALESCE(SUM(p.quantity * p.cost_price), 0), 2)', 'stock_cost_value')},
+       {d('ROUND(COALESCE(SUM(p.quantity * p.selling_price), 0), 2)', 'stock_retail_value')}
+FROM categories c LEFT JOIN products p ON p.category_id = c.id GROUP BY c.id, c.name"""
+SQL["inventory_kpis"] = f"""
+SELECT {d('ROUND(COALESCE(SUM(quantity * cost_price), 0), 2)', 'cost_value')},
+       {d('ROUND(COALESCE(SUM(quantity * selling_price), 0), 2)', 'retail_value')}, COUNT(*) AS products,
+       CAST(SUM(CASE WHEN quantity <= reorder_level THEN 1 ELSE 0 END) AS BIGINT) AS low_stock_count
+FROM products"""
+_MOVES = """
+  SELECT product_id, date, 0 AS rank, purchase_id AS ref, CAST(line_no AS BIGINT) AS line_no, quantity AS delta,
+         'purchase' AS source FROM purchase_items
+  UNION ALL
+  SELECT si.product_id, s.date, 2, si.sale_id, CAST(si.line_no AS BIGINT), -si.quantity, 'sale'
+  FROM sale_items si JOIN sales s ON s.id = si.sale_id
+  UNION ALL
+  SELECT product_id, date, 1, ref, CAST(0 AS BIGINT), quantity, 'restock' FROM stock_adjustments"""
+SQL["stock_ledger"] = f"""
+WITH mv AS ({_MOVES})
+SELECT mv.product_id, {ts('mv.date')}, mv.source, mv.ref, mv.line_no, {d('mv.delta')},
+       {d('ROUND(COALESCE(p.quantity, 0) + SUM(mv.delta) OVER (PARTITION BY mv.product_id ORDER BY mv.date, mv.rank, mv.ref, mv.line_no, mv.delta ROWS UNBOUNDED PRECEDING), 2)', 'position')}
+FROM mv LEFT JOIN products p ON p.id = mv.product_id WHERE mv.product_id IS NOT NULL"""
+_LATEST = """(SELECT product_id, unit_cost, last_purchase FROM (
+    SELECT product_id, unit_cost, MAX(date) OVER (PARTITION BY product_id) AS last_purchase,
+           ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY date DESC, purchase_id DESC, line_no DESC, ref DESC,
+                              unit_cost DESC) AS rn
+    FROM purchase_items) x WHERE rn = 1)"""
+SQL["latest_cost"] = f"SELECT product_id, {d('unit_cost', 'cost_price')}, {ts('last_purchase')} FROM {_LATEST} lc"
+SQL["product_snapshot"] = f"""
+SELECT p.id, p.name, {d('ROUND(p.quantity + COALESCE(m.moved, 0), 2)', 'quantity')},
+       {d('COALESCE(lc.unit_cost, p.cost_price)', 'cost_price')}, {d('p.selling_price')}
+FROM products p
+LEFT JOIN (SELECT product_id, SUM(dq) AS moved FROM (
+             SELECT product_id, quantity AS dq FROM purchase_items UNION ALL
+             SELECT product_id, -quantity FROM sale_items UNION ALL
+             SELECT product_id, quantity FROM stock_adjustments) u GROUP BY product_id) m ON m.product_id = p.id
+LEFT JOIN {_LATEST} lc ON lc.product_id = p.id"""
+
+# ---- purchases and suppliers ------------------------------------------------------------------------
+_PUR_LIST = f"""
+SELECT p.id, p.invoice_no, p.supplier_id, {ts('p.date')}, p.payment_type, {d('p.subtotal')}, {d('p.discount')},
+       {d('p.total')}, {d('p.amount_paid')}, {d('p.amount_due')}, p.note, {ts('p.created_at')},
+       s.name AS supplier_name, {d('ROUND(COALESCE(i.n, 0), 2)', 'item_count')}
+FROM purchases p LEFT JOIN suppliers s ON s.id = p.supplier_id
+LEFT JOIN (SELECT purchase_id, SUM(quantity) AS n FROM purchase_items GROUP BY purchase_id) i ON i.purchase_id = p.id"""
+SQL["purchase_list"] = _PUR_LIST
+SQL["search_purchases"] = (_PUR_LIST + f"\nWHERE p.invoice_no ILIKE {like(Q_SUPPLIERS)} OR s.name ILIKE {like(Q_SUPPLIERS)}"
+                           "\nORDER BY p.date DESC, p.id DESC LIMIT 200")
+SQL["payables_total"] = f"SELECT {d('COALESCE(SUM(amount_due), 0)', 'total_payable')}, COUNT(*) AS count FROM purchases WHERE amount_due > 0"
+SQL["payables_by_supplier"] = f"""
+SELECT s.id, s.name, s.phone, {d('SUM(p.amount_due)', 'payable')}, COUNT(*) AS open_purchases
+FROM suppliers s JOIN purchases p ON p.supplier_id = s.id WHERE p.amount_due > 0 GROUP BY s.id, s.name, s.phone"""
+_SUP_LIST = f"""
+SELECT s.id, s.name, s.phone, s.notes, {ts('s.created_at')}, {d('COALESCE(x.due, 0)', 'payable')},
+       {d('COALESCE(x.tot, 0)', 'total_purchased')}
+FROM suppliers s LEFT JOIN (SELECT supplier_id, SUM(amount_due) AS due, SUM(total) AS tot FROM purchases GROUP BY supplier_id) x
+  ON x.supplier_id = s.id"""
+SQL["supplier_list"] = _SUP_LIST
+SQL["search_suppliers"] = _SUP_LIST + f"\nWHERE s.name ILIKE {like(Q_SUPPLIERS)} OR s.phone ILIKE {like(Q_SUPPLIERS)}"
+_ENTRIES = """
+  SELECT supplier_id, date, 0 AS grp, id, 0 AS sub, 'purchase' AS type, invoice_no AS ref, CAST(NULL AS VARCHAR) AS method,
+         CAST(NULL AS VARCHAR) AS note, total AS debit, CAST(0 AS DECIMAL(18,2)) AS credit
+  FROM purchases WHERE supplier_id IS NOT NULL
+  UNION ALL
+  SELECT supplier_id, date, 0, id, 1, 'payment', invoice_no, NULL, 'Paid at purchase', CAST(0 AS DECIMAL(18,2)), amount_paid
+  FROM purchases WHERE supplier_id IS NOT NULL AND amount_paid > 0
+  UNION ALL
+  SELECT supplier_id, date, 1, id, 0, 'payment', COALESCE(note, 'Payment'), method, NULL, CAST(0 AS DECIMAL(18,2)), amount
+  FROM supplier_payments"""
+SQL["supplier_ledger"] = f"""
+WITH e AS ({_ENTRIES})
+SELECT supplier_id, {ts('date')}, type, ref, method, note, {d('debit')}, {d('credit')},
+       {d('SUM(debit - credit) OVER (PARTITION BY supplier_id ORDER BY date, grp, id, sub ROWS UNBOUNDED PRECEDING)', 'balance')}
+FROM e"""
+SQL["supplier_closing"] = f"""
+WITH e AS ({_ENTRIES})
+SELECT supplier_id, {d('SUM(debit)', 'debits')}, {d('SUM(credit)', 'credits')}, {d('SUM(debit - credit)', 'closing')},
+       COUNT(*) AS entries
+FROM e GROUP BY supplier_id"""
+_FIFO = """
+ev AS (
+  SELECT supplier_id, date, 0 AS kind, id, CAST(amount_due AS DECIMAL(38,2)) AS v
+  FROM purchases WHERE amount_due > 0 AND supplier_id IS NOT NULL
+  UNION ALL
+  SELECT supplier_id, date, 1, id, -CAST(amount AS DECIMAL(38,2)) FROM supplier_payments),
+w AS (
+  SELECT *, SUM(v) OVER o AS S, SUM(CASE WHEN kind = 0 THEN v ELSE 0 END) OVER o AS D,
+         GREATEST(0, -LEAST(0, MIN(s_) OVER o)) AS L
+  FROM (SELECT *, SUM(v) OVER o AS s_ FROM ev WINDOW o AS (PARTITION BY supplier_id ORDER BY date, kind, id ROWS UNBOUNDED PRECEDING)) z
+  WINDOW o AS (PARTITION BY supplier_id ORDER BY date, kind, id ROWS UNBOUNDED PRECEDING)),
+wl AS (
+  SELECT *, COALESCE(LAG(L) OVER (PARTITION BY supplier_id ORDER BY date, kind, id), 0) AS L_prev FROM w),
+tot AS (
+  SELECT supplier_id, SUM(CASE WHEN kind = 1 THEN -v ELSE 0 END) - GREATEST(0, -LEAST(0, MIN(S))) AS A FROM w
+  GROUP BY supplier_id)"""
+_SETTLED = "LEAST(w.v, GREATEST(0, t.A - (w.D - w.v)))"
+SQL["fifo_allocation"] = f"""
+WITH {_FIFO}
+SELECT w.supplier_id, w.id AS purchase_id, {ts('w.date')}, {d('w.v', 'due_before')}, {d(_SETTLED, 'settled')},
+       {d('w.v - ' + _SETTLED, 'amount_due')}, w.v - {_SETTLED} = 0 AS settled_in_full
+FROM w JOIN tot t ON t.supplier_id = w.supplier_id WHERE w.kind = 0"""
+SQL["fifo_payments"] = f"""
+WITH {_FIFO}
+SELECT supplier_id, id AS payment_id, {ts('date')}, {d('-v', 'amount')}, {d('-v - (L - L_prev)', 'applied')},
+       {d('L - L_prev', 'lost')}
+FROM wl WHERE kind = 1"""
+SQL["fifo_links"] = f"""
+WITH {_FIFO},
+dues AS (SELECT supplier_id, id AS purchase_id, D - v AS lo, D AS hi FROM wl WHERE kind = 0),
+pays AS (SELECT supplier_id, id AS payment_id, (D - S - L) - (-v - (L - L_prev)) AS lo, D - S - L AS hi FROM wl WHERE kind = 1)
+SELECT d.supplier_id, d.purchase_id, p.payment_id, {d('LEAST(d.hi, p.hi) - GREATEST(d.lo, p.lo)', 'amount')}
+FROM dues d JOIN pays p ON p.supplier_id = d.supplier_id AND p.lo < d.hi AND p.hi > d.lo
+WHERE LEAST(d.hi, p.hi) - GREATEST(d.lo, p.lo) > 0"""
+
+# ---- customer credit --------------------------------------------------------------------------------
+_BEFORE = "COALESCE(SUM(r.amount) OVER (PARTITION BY r.sale_id ORDER BY r.date, r.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+_LEFT = f"GREATEST(0, s.amount_due - {_BEFORE})"
+SQL["repayments_applied"] = f"""
+SELECT r.id, r.sale_id, r.seq, {ts('r.date')}, r.method, {d('r.amount', 'requested')},
+       {d(f'LEAST(r.amount, {_LEFT})', 'applied')}, {d(_LEFT, 'due_before')}
+FROM repayment_requests r JOIN sales s ON s.id = r.sale_id"""
+SQL["receivables_total"] = f"SELECT {d('COALESCE(SUM(amount_due), 0)', 'due')}, COUNT(*) AS count FROM sales WHERE amount_due > 0"
+SQL["receivables_list"] = f"""
+SELECT id, invoice_no, {ts('date')}, customer_name, {d('total')}, {d('amount_paid')}, {d('amount_due')}
+FROM sales WHERE amount_due > 0"""
+SQL["receivables_by_customer"] = f"""
+SELECT customer_name, {d('SUM(amount_due)', 'due')}, COUNT(*) AS invoices, {ts('MIN(date)', 'oldest')}
+FROM sales WHERE amount_due > 0 GROUP BY customer_name"""
+SQL["receivables_after"] = f"""
+WITH ap AS (
+  SELECT r.sale_id, LEAST(r.amount, {_LEFT}) AS applied FROM repayment_requests r JOIN sales s ON s.id = r.sale_id),
+rep AS (SELECT sale_id, SUM(applied) AS rep FROM ap GROUP BY sale_id)
+SELECT s.id, s.invoice_no, s.customer_name, {d('s.total')}, {d('s.amount_paid + COALESCE(rep.rep, 0)', 'amount_paid')},
+       {d('s.amount_due - COALESCE(rep.rep, 0)', 'amount_due')}, {d('COALESCE(rep.rep, 0)', 'repaid')}
+FROM sales s LEFT JOIN rep ON rep.sale_id = s.id"""
+
+# ---- cash ---------------------------------------------------------------------------------------------
+_CASH = {
+    "cash_sales_in": "SELECT COALESCE(SUM(amount_paid), 0) FROM sales WHERE payment_type = 'cash'",
+    "cash_repayments_in": "SELECT COALESCE(SUM(amount), 0) FROM payments WHERE method = 'cash'",
+    "cash_added_in": "SELECT COALESCE(SUM(amount), 0) FROM cash_adjustments WHERE amount > 0",
+    "cash_purchases_out": "SELECT COALESCE(SUM(amount_paid), 0) FROM purchases WHERE payment_type IN ('cash', 'credit')",
+    "supplier_payments_out": "SELECT COALESCE(SUM(amount), 0) FROM supplier_payments WHERE method = 'cash'",
+    "cash_expenses_out": "SELECT COALESCE(SUM(amount), 0) FROM expenses WHERE payment_method = 'cash'",
+    "cash_removed_out": "SELECT COALESCE(-SUM(amount), 0) FROM cash_adjustments WHERE amount < 0",
+}
+_CASH_ROW = "(SELECT " + ", ".join(f"({q}) AS {k}" for k, q in _CASH.items()) + ") c"
+_TIN = "cash_sales_in + cash_repayments_in + cash_added_in"
+_TOUT = "cash_purchases_out + supplier_payments_out + cash_expenses_out + cash_removed_out"
+SQL["cash_breakdown"] = ("SELECT " + ", ".join(d(k) for k in _CASH) + f", {d(_TIN, 'total_in')}, {d(_TOUT, 'total_out')}, "
+                         f"{d(f'({_TIN}) - ({_TOUT})', 'cash_on_hand')} FROM {_CASH_ROW}")
+SQL["cash_on_hand"] = f"SELECT {d(f'({_TIN}) - ({_TOUT})', 'cash_on_hand')} FROM {_CASH_ROW}"
+SQL["cash_ledger"] = f"""
+WITH e AS (
+  SELECT date, 0 AS rank, id, trim('Cash sale ' || COALESCE(invoice_no, '')) AS label, amount_paid AS "in",
+         CAST(0 AS DECIMAL(18,2)) AS "out"
+  FROM sales WHERE payment_type = 'cash' AND amount_paid > 0
+  UNION ALL
+  SELECT p.date, 1, p.id, trim('Cash received ' || COALESCE(s.invoice_no, '')), p.amount, 0
+  FROM payments p JOIN sales s ON s.id = p.sale_id WHERE p.method = 'cash'
+  UNION ALL
+  SELECT date, 2, id, trim('Cash paid on purchase ' || COALESCE(invoice_no, '')), 0, amount_paid
+  FROM purchases WHERE payment_type IN ('cash', 'credit') AND amount_paid > 0
+  UNION ALL
+  SELECT sp.date, 3, sp.id, trim('Paid supplier ' || COALESCE(s.name, '')), 0, sp.amount
+  FROM supplier_payments sp LEFT JOIN suppliers s ON s.id = sp.supplier_id WHERE sp.method = 'cash'
+  UNION ALL
+  SELECT date, 4, id, 'Expense: ' || COALESCE(category, 'null')
+         || CASE WHEN COALESCE(description, '') <> '' THEN ' — ' || description ELSE '' END, 0, amount
+  FROM expenses WHERE payment_method = 'cash'
+  UNION ALL
+  SELECT date, 5, id, COALESCE(NULLIF(reason, ''), 'Cash adjustment'), GREATEST(amount, 0), GREATEST(-amount, 0)
+  FROM cash_adjustments)
+SELECT {ts('date')}, rank, id, label, {d('"in"', '"in"')}, {d('"out"', '"out"')},
+       {d('SUM("in" - "out") OVER (ORDER BY date, rank, id ROWS UNBOUNDED PRECEDING)', 'balance')}
+FROM e"""
+_NUM = "CASE WHEN amount IS NULL OR trim(amount) = '' THEN 0.0 ELSE TRY_CAST(trim(amount) AS DOUBLE) END"
+SQL["clean_adjustments"] = f"""
+SELECT id, {ts('date')}, {d('CAST(a AS DECIMAL(18,2))', 'amount')},
+       COALESCE(NULLIF(reason, ''), CASE WHEN a > 0 THEN 'Cash added' ELSE 'Cash removed' END) AS reason
+FROM (SELECT *, {_NUM} AS a FROM cash_requests) x WHERE a IS NOT NULL AND a <> 0"""
+
+# ---- expenses -----------------------------------------------------------------------------------------
+SQL["search_expenses"] = f"""
+SELECT id, {ts('date')}, category, {d('amount')}, description, {ts('created_at')}, payment_method
+FROM expenses WHERE {per()} AND (category ILIKE {like(Q_EXPENSES)} OR description ILIKE {like(Q_EXPENSES)})"""
+SQL["clean_expenses"] = f"""
+SELECT id, {ts(f"COALESCE(date, TIMESTAMP '{AS_OF} 00:00:00')", 'date')}, COALESCE(category, 'General') AS category,
+       {d('CAST(a AS DECIMAL(18,2))', 'amount')}, NULLIF(description, '') AS description,
+       COALESCE(NULLIF(payment_method, ''), 'cash') AS payment_method
+FROM (SELECT *, {_NUM} AS a FROM expense_requests) x WHERE a IS NOT NULL AND a > 0"""
+SQL["merge_expenses"] = f"""
+SELECT e.id, {ts('CASE WHEN x.id IS NOT NULL THEN x.date ELSE e.date END', 'date')},
+       CASE WHEN x.id IS NOT NULL THEN x.category ELSE e.category END AS category,
+       {d('CASE WHEN x.id IS NOT NULL THEN CAST(x.a AS DECIMAL(18,2)) ELSE e.amount END', 'amount')},
+       CASE WHEN x.id IS NOT NULL THEN NULLIF(x.description, '') ELSE e.description END AS description,
+       CASE WHEN x.id IS NOT NULL THEN COALESCE(NULLIF(x.payment_method, ''), e.payment_method) ELSE e.payment_method END
+         AS payment_method,
+       x.id IS NOT NULL AS edited
+FROM expenses e LEFT JOIN (SELECT *, {_NUM} AS a FROM expense_edits) x ON x.id = e.id"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, sql in SQL.items():

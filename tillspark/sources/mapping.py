@@ -222,6 +222,53 @@ SELECT l_partkey AS product_id, l_shipdate AS date,
 FROM {d.t('lineitem')} WHERE l_returnflag = 'A' AND l_linestatus = 'O'"""
 
 
+def _amount_text(d: Dialect, expr: str) -> str:
+    return f"CAST(CAST({expr} AS {M}) AS STRING)"
+
+
+def _code_scans(d: Dialect) -> str:
+    """Scanned codes (B9): a SKU, a barcode or an unknown code per sold line."""
+    return f"""
+SELECT l_orderkey * 10 + l_linenumber AS scan_id,
+       CASE l_linenumber % 3 WHEN 0 THEN 'SKU-' || CAST(l_partkey AS STRING)
+                             WHEN 1 THEN '89' || CAST(l_partkey AS STRING)
+                             ELSE 'X' || CAST(l_partkey AS STRING) END AS code
+FROM {d.t('lineitem')}"""
+
+
+def _cash_requests(d: Dialect) -> str:
+    """Raw manual cash movements (K10): amounts as typed text, some blank, junk or zero."""
+    return f"""
+SELECT event_id AS id, {_shifted(d)} AS date,
+       CASE event_type WHEN 'signup' THEN {_amount_text(d, 'value')}
+                       WHEN 'purchase' THEN '-' || {_amount_text(d, 'value')}
+                       WHEN 'error' THEN '' WHEN 'click' THEN 'abc' ELSE '0' END AS amount,
+       CASE WHEN user_id % 4 = 0 THEN NULL ELSE event_type END AS reason
+FROM {d.t('events')}"""
+
+
+def _expense_requests(d: Dialect) -> str:
+    """Raw expense entries (K11) with missing dates, categories and methods."""
+    return f"""
+SELECT event_id AS id, CASE WHEN user_id % 9 = 0 THEN NULL ELSE {_shifted(d)} END AS date,
+       CASE WHEN user_id % 7 = 0 THEN NULL ELSE event_type END AS category,
+       CASE event_type WHEN 'purchase' THEN '-' || {_amount_text(d, 'value')} WHEN 'signup' THEN ''
+                       ELSE {_amount_text(d, 'value')} END AS amount,
+       CASE WHEN user_id % 5 = 0 THEN '' ELSE props END AS description,
+       CASE user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'card' ELSE 'bank' END AS payment_method
+FROM {d.t('events')}"""
+
+
+def _expense_edits(d: Dialect) -> str:
+    """Edits of existing expenses (K9): every fifth user's views are re-keyed."""
+    return f"""
+SELECT event_id AS id, upper(event_type) AS category, {_amount_text(d, 'value * 2')} AS amount,
+       CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'edited' END AS description,
+       {_shifted(d)} + {d.days('1')} AS date,
+       CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'bank' END AS payment_method
+FROM {d.t('events')} WHERE event_type = 'view' AND user_id % 5 = 0"""
+
+
 VIEWS: dict[str, tuple[callable, tuple[str, ...]]] = {
     "categories": (_categories, ()),
     "products": (_products, ("part", "categories")),
@@ -236,6 +283,10 @@ VIEWS: dict[str, tuple[callable, tuple[str, ...]]] = {
     "expenses": (_expenses, ("events",)),
     "cash_adjustments": (_cash_adjustments, ("events",)),
     "stock_adjustments": (_stock_adjustments, ("lineitem",)),
+    "code_scans": (_code_scans, ("lineitem",)),
+    "cash_requests": (_cash_requests, ("events",)),
+    "expense_requests": (_expense_requests, ("events",)),
+    "expense_edits": (_expense_edits, ("events",)),
 }
 
 
