@@ -276,3 +276,51 @@ def _clean_expenses(r):
 @query("merge_expenses")
 def _merge_expenses(r):
     return expenses.merge_expenses(r["expenses"], r["expense_edits"])
+
+
+# ---- posting and as-of (posting.py, asof.py) ------------------------------------------------------
+from .operators import asof, posting  # noqa: E402
+from .sources.intake import SALE_DOC, parse_docs, sale_lines  # noqa: E402
+
+
+@query("line_pricing")
+def _line_pricing(r):
+    lines = posting.line_pricing(sale_lines(parse_docs(r["sale_docs"], SALE_DOC)), r["products"])
+    return lines.filter("NOT no_item").select(
+        "ref", "pos", "product_id", "unit_price", "line_discount", "gross", "line_total", "page_discount"
+    )
+
+
+@query("intake_sales")
+def _intake_sales(r):
+    return posting.intake_sales(r["sale_docs"], r["products"])
+
+
+@query("intake_rejects")
+def _intake_rejects(r):
+    return posting.intake_rejects(r["sale_docs"], r["products"])
+
+
+@query("basket_merge")
+def _basket_merge(r):
+    return posting.basket_merge(r["sale_docs"], r["products"])
+
+
+@query("shortage_flags")
+def _shortage_flags(r):
+    return posting.shortage_flags(r["sale_docs"], r["products"])
+
+
+@query("intake_purchases")
+def _intake_purchases(r):
+    return posting.intake_purchases(r["purchase_docs"], r["products"])
+
+
+@query("purchase_rejects")
+def _purchase_rejects(r):
+    return posting.purchase_rejects(r["purchase_docs"], r["products"])
+
+
+@query("asof_cost")
+def _asof_cost(r):
+    return asof.asof_cost(r["sale_items"], r["sales"], r["purchase_items"])

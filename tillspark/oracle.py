@@ -425,6 +425,107 @@ SELECT e.id, {ts('CASE WHEN x.id IS NOT NULL THEN x.date ELSE e.date END', 'date
 FROM expenses e LEFT JOIN (SELECT *, {_NUM} AS a FROM expense_edits) x ON x.id = e.id"""
 
 
+# ---- posting (documents rebuilt from lineitem, not parsed) ------------------------------------------
+_DOC_LINES = r"""
+ln AS (
+  SELECT l.l_orderkey AS ref,
+         CAST(ROW_NUMBER() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity,
+              l.l_extendedprice, l.l_discount, l.l_tax, l.l_returnflag, l.l_linestatus, l.l_shipdate) - 1 AS INTEGER) AS pos,
+         l.l_partkey AS product_id, l.l_quantity AS qty,
+         CASE WHEN l.l_linenumber % 2 = 0 THEN FLOOR(l.l_extendedprice / l.l_quantity) END AS price_in,
+         CASE WHEN l.l_returnflag = 'A' THEN CAST(l.l_linenumber AS DOUBLE) END AS ldisc_in
+  FROM lineitem l),
+lp AS (
+  SELECT ln.*, p.name AS product_name, p.quantity AS stock, p.selling_price,
+         COALESCE(CAST(price_in AS DECIMAL(18,2)), p.selling_price) AS unit_price,
+         CAST(GREATEST(0.0, COALESCE(ldisc_in, 0.0)) AS DECIMAL(18,2)) AS line_discount,
+         CAST(ROUND(CAST(qty AS DECIMAL(18,2)) * COALESCE(CAST(price_in AS DECIMAL(18,2)), p.selling_price), 2) AS DECIMAL(18,2)) AS gross,
+         SUM(CAST(qty AS DECIMAL(18,2))) OVER (PARTITION BY ln.ref, ln.product_id) AS demand
+  FROM ln LEFT JOIN products p ON p.id = ln.product_id),
+rej AS (
+  SELECT o.o_orderkey AS ref, 'empty' AS reason, 'At least one item is required' AS message
+  FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)
+  UNION ALL
+  SELECT ref, reason, message FROM (
+    SELECT ref, reason, message, ROW_NUMBER() OVER (PARTITION BY ref ORDER BY pos) AS rn FROM (
+      SELECT ref, pos,
+             CASE WHEN product_name IS NULL THEN 'not_found' WHEN qty <= 0 THEN 'bad_quantity'
+                  WHEN demand > stock THEN 'no_stock' END AS reason,
+             CASE WHEN product_name IS NULL THEN 'Product ' || CAST(product_id AS VARCHAR) || ' not found'
+                  WHEN qty <= 0 THEN 'Invalid quantity for ' || product_name
+                  ELSE 'Not enough stock for ' || product_name || ' (have '
+                       || regexp_replace(CAST(CAST(stock AS DOUBLE) AS VARCHAR), '\.0$', '') || ', need '
+                       || regexp_replace(CAST(qty AS VARCHAR), '\.0$', '') || ')' END AS message
+      FROM lp) x WHERE reason IS NOT NULL) y WHERE rn = 1)"""
+_PT = "CASE o.o_orderpriority WHEN '1-URGENT' THEN 'credit' WHEN '2-HIGH' THEN 'card' ELSE 'cash' END"
+SQL["line_pricing"] = f"""
+WITH {_DOC_LINES}
+SELECT ref, pos, product_id, {d('unit_price')}, {d('line_discount')}, {d('gross')},
+       {d('CAST(GREATEST(0, gross - line_discount) AS DECIMAL(18,2))', 'line_total')},
+       {d('LEAST(line_discount, GREATEST(gross, 0))', 'page_discount')}
+FROM lp"""
+SQL["intake_rejects"] = f"WITH {_DOC_LINES}\nSELECT ref, reason, message FROM rej"
+SQL["intake_sales"] = f"""
+WITH {_DOC_LINES},
+acc AS (
+  SELECT o.o_orderkey AS ref, c.c_name AS customer_name, {_PT} AS payment_type, o.o_orderdate AS date, COUNT(*) AS lines,
+         SUM(lp.gross) AS subtotal,
+         SUM(lp.line_discount) + CASE WHEN o.o_orderkey % 20 = 0 THEN 50 ELSE 0 END AS disc,
+         o.o_orderkey % 3 AS m3
+  FROM orders o JOIN lp ON lp.ref = o.o_orderkey LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+  WHERE o.o_orderkey NOT IN (SELECT ref FROM rej)
+  GROUP BY o.o_orderkey, c.c_name, o.o_orderpriority, o.o_orderdate),
+tt AS (SELECT *, GREATEST(0, subtotal - disc) AS tot,
+              CASE WHEN payment_type = 'credit' THEN (CASE WHEN m3 = 0 THEN 0 ELSE 500 END)
+                   ELSE GREATEST(0, subtotal - disc) END AS paid FROM acc)
+SELECT ref, customer_name, payment_type, {ts('date')}, lines, {d('subtotal')}, {d('disc', 'discount')}, {d('tot', 'total')},
+       {d('paid', 'amount_paid')}, {d('GREATEST(0, tot - paid)', 'amount_due')}
+FROM tt"""
+SQL["basket_merge"] = f"""
+WITH {_DOC_LINES}
+SELECT ref, product_id, COUNT(*) AS line_count, {d('ROUND(SUM(qty), 2)', 'quantity')},
+       {d('ROUND(SUM(CAST(qty AS DECIMAL(18,2))) * MIN(selling_price), 2)', 'gross')}
+FROM lp GROUP BY ref, product_id"""
+SQL["shortage_flags"] = f"""
+WITH {_DOC_LINES}
+SELECT lp.ref, lp.pos, lp.product_id, {ts('o.o_orderdate', 'date')}, {d('CAST(lp.qty AS DECIMAL(18,2))', 'quantity')},
+       {d('SUM(CAST(lp.qty AS DECIMAL(18,2))) OVER (PARTITION BY lp.product_id ORDER BY o.o_orderdate, lp.ref, lp.pos ROWS UNBOUNDED PRECEDING)', 'cum_demand')},
+       {d('lp.stock', 'stock')},
+       SUM(CAST(lp.qty AS DECIMAL(18,2))) OVER (PARTITION BY lp.product_id ORDER BY o.o_orderdate, lp.ref, lp.pos ROWS UNBOUNDED PRECEDING) > COALESCE(lp.stock, 0) AS short
+FROM lp JOIN orders o ON o.o_orderkey = lp.ref"""
+_PDOC = """
+pl AS (
+  SELECT purchase_id AS ref, supplier_id, date, product_id, product_name, quantity,
+         CASE WHEN line_no = 7 THEN -unit_cost ELSE unit_cost END AS cost,
+         ROW_NUMBER() OVER (PARTITION BY purchase_id ORDER BY line_no, ref, product_id, quantity, unit_cost) - 1 AS pos
+  FROM purchase_items)"""
+SQL["intake_purchases"] = f"""
+WITH {_PDOC},
+acc AS (
+  SELECT ref, supplier_id, date, COUNT(*) AS lines, SUM(ROUND(quantity * cost, 2)) AS subtotal,
+         CASE ref % 3 WHEN 0 THEN 'cash' WHEN 1 THEN 'card' ELSE 'credit' END AS payment_type
+  FROM pl WHERE ref NOT IN (SELECT ref FROM pl WHERE cost < 0) GROUP BY ref, supplier_id, date),
+tt AS (SELECT *, GREATEST(0, subtotal) AS tot,
+              CASE WHEN payment_type = 'credit' THEN 100 ELSE GREATEST(0, subtotal) END AS paid FROM acc)
+SELECT ref, supplier_id, payment_type, {ts('date')}, lines, {d('subtotal')}, {d('tot', 'total')}, {d('paid', 'amount_paid')},
+       {d('GREATEST(0, tot - paid)', 'amount_due')}
+FROM tt"""
+SQL["purchase_rejects"] = f"""
+WITH {_PDOC}
+SELECT ref, 'bad_cost' AS reason, 'Invalid cost for ' || product_name AS message
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ref ORDER BY pos) AS rn FROM pl WHERE cost < 0) x WHERE rn = 1"""
+SQL["asof_cost"] = f"""
+WITH pc AS (
+  SELECT product_id, date, unit_cost FROM (
+    SELECT product_id, date, unit_cost,
+           ROW_NUMBER() OVER (PARTITION BY product_id, date ORDER BY purchase_id DESC, line_no DESC, ref DESC, unit_cost DESC) AS rn
+    FROM purchase_items) x WHERE rn = 1),
+sl AS (SELECT si.sale_id, si.line_no, si.product_id, s.date, si.quantity FROM sale_items si JOIN sales s ON s.id = si.sale_id)
+SELECT sl.sale_id, sl.line_no, sl.product_id, {ts('sl.date', 'date')}, {d('sl.quantity', 'quantity')},
+       {d('pc.unit_cost', 'cost_asof')}, {d('ROUND(sl.quantity * pc.unit_cost, 2)', 'line_cost')}
+FROM sl ASOF LEFT JOIN pc ON pc.product_id = sl.product_id AND sl.date >= pc.date"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, sql in SQL.items():

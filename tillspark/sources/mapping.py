@@ -339,6 +339,10 @@ class Retail:
         return self._frames[name]
 
     def _build(self, name: str) -> DataFrame:
+        if name in ("sale_docs", "purchase_docs"):
+            from . import docs
+
+            return getattr(docs, name)(self)
         if name == "payments":
             from ..operators.credit import payments_from_requests
 
