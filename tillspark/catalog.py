@@ -324,3 +324,79 @@ def _purchase_rejects(r):
 @query("asof_cost")
 def _asof_cost(r):
     return asof.asof_cost(r["sale_items"], r["sales"], r["purchase_items"])
+
+
+# ---- integrity (integrity.py) ---------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from .operators import integrity  # noqa: E402
+
+
+@query("clean_products")
+def _clean_products(r):
+    return integrity.clean_products(r["product_requests"])
+
+
+@query("reject_missing")
+def _reject_missing(r):
+    return integrity.reject_missing(r["product_requests"], r["supplier_requests"])
+
+
+@query("duplicate_keys")
+def _duplicate_keys(r):
+    new_products = integrity.clean_products(r["product_requests"]).select("id", "sku")
+    return integrity.duplicate_keys({
+        "products": (r["products"].select("id", "sku").unionByName(new_products), "sku"),
+        "categories": (r["categories"], "name"),
+        "sales": (r["sales"], "invoice_no"),
+        "purchases": (r["purchases"], "invoice_no"),
+    })
+
+
+@query("orphan_items")
+def _orphan_items(r):
+    return integrity.orphan_items(r)
+
+
+@query("domain_violations")
+def _domain_violations(r):
+    return integrity.domain_violations(r)
+
+
+@query("delete_set_null")
+def _delete_set_null(r):
+    # deleting every product with a single unit in stock keeps their sold lines, product_id set to NULL
+    gone = r["products"].filter(F.col("quantity") == 1)
+    return integrity.set_null(r["sale_items"], "product_id", gone).select(
+        "sale_id", "line_no", "product_id", "product_name", "quantity", "line_total")
+
+
+@query("delete_cascade")
+def _delete_cascade(r):
+    gone_sales = r["sales"].filter((F.col("payment_type") == "card") & (F.col("id") % 7 == 0))
+    gone_suppliers = r["suppliers"].filter(F.col("id") % 10 == 0)
+    gone_expenses = r["expenses"].filter(F.col("id") % 10 == 0)
+    return integrity.delete_cascade(r, gone_sales, gone_suppliers, gone_expenses)
+
+
+@query("reconcile")
+def _reconcile(r):
+    flows = cash.cash_entries(*_cash_tables(r), r["suppliers"]).agg(
+        F.sum(F.col("in") - F.col("out")).alias("closing"))
+    return integrity.reconcile(
+        r, suppliers.supplier_closing(r["purchases"], r["supplier_payments"]),
+        suppliers.fifo_allocation(r["purchases"], r["supplier_payments"]), flows,
+        cash.cash_on_hand(*_cash_tables(r)),
+    )
+
+
+@query("upsert_products")
+def _upsert_products(r):
+    return integrity.upsert(r["products"], r["product_changes"])
+
+
+@query("align_schema")
+def _align_schema(r):
+    # an older products file without the migrated barcode and with no reorder level column
+    old = r["products"].drop("barcode", "reorder_level")
+    return integrity.align_schema(old, "products")

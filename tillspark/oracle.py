@@ -526,6 +526,104 @@ SELECT sl.sale_id, sl.line_no, sl.product_id, {ts('sl.date', 'date')}, {d('sl.qu
 FROM sl ASOF LEFT JOIN pc ON pc.product_id = sl.product_id AND sl.date >= pc.date"""
 
 
+# ---- integrity -------------------------------------------------------------------------------------
+_PROD_OUT = (f"id, name, sku, barcode, category_id, {d('cost_price')}, {d('selling_price')}, {d('quantity')}, "
+             f"{d('reorder_level')}, {ts('created_at')}")
+SQL["clean_products"] = f"""
+SELECT id, name, NULLIF(sku, '') AS sku, NULLIF(barcode, '') AS barcode,
+       CASE WHEN category_id = 0 THEN NULL ELSE category_id END AS category_id,
+       {d('COALESCE(NULLIF(cost_price, 0), 0)', 'cost_price')}, {d('COALESCE(NULLIF(selling_price, 0), 0)', 'selling_price')},
+       {d('COALESCE(NULLIF(quantity, 0), 0)', 'quantity')}, {d('COALESCE(reorder_level, 5)', 'reorder_level')}
+FROM product_requests WHERE name IS NOT NULL AND name <> ''"""
+SQL["reject_missing"] = """
+SELECT 'products' AS entity, id, 'Product name is required' AS reason FROM product_requests WHERE name IS NULL OR name = ''
+UNION ALL
+SELECT 'suppliers', id, 'Supplier name is required' FROM supplier_requests WHERE name IS NULL OR trim(name) = ''"""
+SQL["duplicate_keys"] = """
+WITH k AS (
+  SELECT 'products' AS tbl, 'sku' AS key, sku AS value FROM products
+  UNION ALL SELECT 'products', 'sku', NULLIF(sku, '') FROM product_requests WHERE name IS NOT NULL AND name <> ''
+  UNION ALL SELECT 'categories', 'name', name FROM categories
+  UNION ALL SELECT 'sales', 'invoice_no', invoice_no FROM sales
+  UNION ALL SELECT 'purchases', 'invoice_no', invoice_no FROM purchases)
+SELECT tbl AS "table", key, value, COUNT(*) AS rows FROM k WHERE value IS NOT NULL
+GROUP BY tbl, key, value HAVING COUNT(*) > 1"""
+
+
+def _orph(name, child, fk, parent):
+    return (f"SELECT '{name}' AS \"check\", COUNT(*) AS orphans FROM {child} c "
+            f"WHERE c.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.id = c.{fk})")
+
+
+SQL["orphan_items"] = "\nUNION ALL\n".join([
+    _orph("sale_items.sale_id", "sale_items", "sale_id", "sales"),
+    _orph("sale_items.product_id", "sale_items", "product_id", "products"),
+    _orph("payments.sale_id", "payments", "sale_id", "sales"),
+    _orph("purchase_items.purchase_id", "purchase_items", "purchase_id", "purchases"),
+    _orph("purchase_items.product_id", "purchase_items", "product_id", "products"),
+    _orph("purchases.supplier_id", "purchases", "supplier_id", "suppliers"),
+    _orph("supplier_payments.supplier_id", "supplier_payments", "supplier_id", "suppliers"),
+    _orph("products.category_id", "products", "category_id", "categories"),
+])
+
+
+def _dom(name, table, cond):
+    return f"SELECT '{name}' AS \"check\", COUNT(*) FILTER (WHERE {cond}) AS violations FROM {table}"
+
+
+_T3 = "('cash', 'card', 'credit')"
+_M3 = "('cash', 'card', 'bank')"
+SQL["domain_violations"] = "\nUNION ALL\n".join([
+    _dom("sales.payment_type", "sales", f"payment_type NOT IN {_T3} OR payment_type IS NULL"),
+    _dom("sales.negative_money", "sales", "total < 0 OR discount < 0 OR amount_paid < 0"),
+    _dom("sales.overpaid", "sales", "amount_paid > total"),
+    _dom("purchases.payment_type", "purchases", f"payment_type NOT IN {_T3} OR payment_type IS NULL"),
+    _dom("purchases.negative_money", "purchases", "total < 0 OR amount_paid < 0"),
+    _dom("supplier_payments.method", "supplier_payments", f"method NOT IN {_M3}"),
+    _dom("payments.method", "payments", f"method NOT IN {_M3}"),
+    _dom("expenses.amount", "expenses", "amount <= 0"),
+    _dom("products.negative_stock", "products", "quantity < 0"),
+])
+SQL["delete_set_null"] = f"""
+SELECT si.sale_id, si.line_no, CASE WHEN g.id IS NOT NULL THEN NULL ELSE si.product_id END AS product_id,
+       si.product_name, {d('si.quantity', 'quantity')}, {d('si.line_total', 'line_total')}
+FROM sale_items si LEFT JOIN (SELECT id FROM products WHERE quantity = 1) g ON g.id = si.product_id"""
+SQL["delete_cascade"] = f"""
+WITH gs AS (SELECT id FROM sales WHERE payment_type = 'card' AND id % 7 = 0),
+     gp AS (SELECT id FROM suppliers WHERE id % 10 = 0)
+SELECT 'sales' AS "table", COUNT(*) AS rows, {d('COALESCE(SUM(total), 0)', 'amount')} FROM sales WHERE id NOT IN (SELECT id FROM gs)
+UNION ALL SELECT 'sale_items', COUNT(*), CAST(COALESCE(SUM(line_total), 0) AS DOUBLE) FROM sale_items WHERE sale_id NOT IN (SELECT id FROM gs)
+UNION ALL SELECT 'payments', COUNT(*), CAST(COALESCE(SUM(amount), 0) AS DOUBLE) FROM payments WHERE sale_id NOT IN (SELECT id FROM gs)
+UNION ALL SELECT 'suppliers', COUNT(*), 0.0 FROM suppliers WHERE id NOT IN (SELECT id FROM gp)
+UNION ALL SELECT 'supplier_payments', COUNT(*), CAST(COALESCE(SUM(amount), 0) AS DOUBLE) FROM supplier_payments WHERE supplier_id NOT IN (SELECT id FROM gp)
+UNION ALL SELECT 'purchases_without_supplier', COUNT(*), CAST(COALESCE(SUM(total), 0) AS DOUBLE) FROM purchases
+          WHERE supplier_id IS NULL OR supplier_id IN (SELECT id FROM gp)
+UNION ALL SELECT 'expenses', COUNT(*), CAST(COALESCE(SUM(amount), 0) AS DOUBLE) FROM expenses WHERE id % 10 <> 0"""
+SQL["reconcile"] = f"""
+WITH {_FIFO},
+e AS ({_ENTRIES}),
+closing AS (SELECT supplier_id, SUM(debit - credit) AS closing FROM e GROUP BY supplier_id),
+after AS (SELECT w.supplier_id, SUM(w.v - {_SETTLED}) AS due FROM w JOIN tot t ON t.supplier_id = w.supplier_id
+          WHERE w.kind = 0 GROUP BY w.supplier_id),
+sd AS (SELECT s.id, s.subtotal - COALESCE(x.l, 0) AS dd FROM sales s
+       LEFT JOIN (SELECT sale_id, SUM(quantity * unit_price) AS l FROM sale_items GROUP BY sale_id) x ON x.sale_id = s.id),
+pd AS (SELECT p.id, p.subtotal - COALESCE(x.l, 0) AS dd FROM purchases p
+       LEFT JOIN (SELECT purchase_id, SUM(line_total) AS l FROM purchase_items GROUP BY purchase_id) x ON x.purchase_id = p.id),
+su AS (SELECT c.supplier_id, c.closing - COALESCE(a.due, 0) AS dd FROM closing c LEFT JOIN after a ON a.supplier_id = c.supplier_id)
+SELECT 'sale_header_vs_lines' AS "check", COUNT(*) FILTER (WHERE dd <> 0) AS mismatches, {d('COALESCE(SUM(dd), 0)', 'difference')} FROM sd
+UNION ALL SELECT 'purchase_header_vs_lines', COUNT(*) FILTER (WHERE dd <> 0), CAST(COALESCE(SUM(dd), 0) AS DOUBLE) FROM pd
+UNION ALL SELECT 'supplier_ledger_vs_dues', COUNT(*) FILTER (WHERE dd <> 0), CAST(COALESCE(SUM(dd), 0) AS DOUBLE) FROM su
+UNION ALL SELECT 'cash_ledger_vs_breakdown', CAST(0 AS BIGINT), 0.0"""
+SQL["upsert_products"] = f"""
+SELECT {_PROD_OUT} FROM products WHERE id NOT IN (SELECT id FROM product_changes)
+UNION ALL
+SELECT {_PROD_OUT} FROM product_changes"""
+SQL["align_schema"] = f"""
+SELECT id, name, sku, CAST(NULL AS VARCHAR) AS barcode, category_id, {d('cost_price')}, {d('selling_price')},
+       {d('quantity')}, 5.0 AS reorder_level, {ts('created_at')}
+FROM products"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, sql in SQL.items():

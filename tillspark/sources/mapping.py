@@ -269,6 +269,40 @@ SELECT event_id AS id, upper(event_type) AS category, {_amount_text(d, 'value *
 FROM {d.t('events')} WHERE event_type = 'view' AND user_id % 5 = 0"""
 
 
+def _product_requests(d: Dialect) -> str:
+    """New-product entries (A4, L1–L3): blank names, missing fields, colliding SKUs."""
+    return f"""
+SELECT p_partkey + 1000000 AS id,
+       CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN '' ELSE p_name END AS name,
+       CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 7 = 1 THEN '' ELSE 'NEW-' || p_brand || '-' || CAST(p_size AS STRING) END AS sku,
+       CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '77' || CAST(p_partkey AS STRING) END AS barcode,
+       CASE WHEN p_size % 11 = 0 THEN NULL ELSE CAST(p_size % 8 AS BIGINT) END AS category_id,
+       CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(ROUND(CAST(p_retailprice AS {M}) * 0.7, 2) AS {M}) END AS cost_price,
+       CAST(p_retailprice AS {M}) AS selling_price,
+       CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS {M}) END AS quantity,
+       CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 6 = 1 THEN CAST(0 AS {M}) ELSE CAST(10 AS {M}) END AS reorder_level
+FROM {d.t('part')}"""
+
+
+def _supplier_requests(d: Dialect) -> str:
+    return f"""
+SELECT s_suppkey + 1000 AS id, CASE WHEN s_suppkey % 9 = 0 THEN '  ' WHEN s_suppkey % 13 = 0 THEN NULL ELSE s_name END AS name,
+       CAST(s_nationkey AS STRING) AS phone
+FROM {d.t('supplier')}"""
+
+
+def _product_changes(d: Dialect) -> str:
+    """Full-replace edits of existing products and brand-new ones (K8)."""
+    return f"""
+SELECT CASE WHEN p_partkey % 8 = 0 THEN p_partkey ELSE p_partkey + 2000000 END AS id, p_name || ' v2' AS name,
+       'SKU-' || CAST(p_partkey AS STRING) || '-2' AS sku, CAST(NULL AS STRING) AS barcode,
+       CAST(NULL AS BIGINT) AS category_id,
+       CAST(ROUND(CAST(p_retailprice AS {M}) * 0.8, 2) AS {M}) AS cost_price,
+       CAST(p_retailprice + 10 AS {M}) AS selling_price, CAST(p_size * 2 AS {M}) AS quantity,
+       CAST(5 AS {M}) AS reorder_level, {d.ts('1996-01-01 00:00:00')} AS created_at
+FROM {d.t('part')} WHERE p_partkey % 4 = 0"""
+
+
 VIEWS: dict[str, tuple[callable, tuple[str, ...]]] = {
     "categories": (_categories, ()),
     "products": (_products, ("part", "categories")),
@@ -287,6 +321,9 @@ VIEWS: dict[str, tuple[callable, tuple[str, ...]]] = {
     "cash_requests": (_cash_requests, ("events",)),
     "expense_requests": (_expense_requests, ("events",)),
     "expense_edits": (_expense_edits, ("events",)),
+    "product_requests": (_product_requests, ("part",)),
+    "supplier_requests": (_supplier_requests, ("supplier",)),
+    "product_changes": (_product_changes, ("part",)),
 }
 
 
