@@ -400,3 +400,75 @@ def _align_schema(r):
     # an older products file without the migrated barcode and with no reorder level column
     old = r["products"].drop("barcode", "reorder_level")
     return integrity.align_schema(old, "products")
+
+
+# ---- documents and dashboard (plans/) ------------------------------------------------------------
+from .functions.money import TOTAL  # noqa: E402
+from .plans import documents, narrative  # noqa: E402
+
+
+@query("sale_documents")
+def _sale_documents(r):
+    return documents.sale_documents(r["sales"], r["sale_items"], r["payments"])
+
+
+@query("sale_document_totals")
+def _sale_document_totals(r):
+    docs = documents.sale_documents(r["sales"], r["sale_items"], r["payments"])
+    return documents.document_totals(docs, "items", "line_total", {
+        "payments_count": F.size("payments").cast("long"),
+        "payments_amount": F.aggregate("payments", F.lit(0).cast(TOTAL), lambda a, x: a + x["amount"]),
+    })
+
+
+@query("purchase_documents")
+def _purchase_documents(r):
+    return documents.purchase_documents(r["purchases"], r["suppliers"], r["purchase_items"])
+
+
+@query("purchase_document_totals")
+def _purchase_document_totals(r):
+    docs = documents.purchase_documents(r["purchases"], r["suppliers"], r["purchase_items"])
+    return documents.document_totals(docs, "items", "line_total", {"supplier_name": F.col("supplier_name")})
+
+
+@query("invoice_lines")
+def _invoice_lines(r):
+    return documents.invoice_lines(r["sales"], r["sale_items"])
+
+
+@query("purchase_invoice_lines")
+def _purchase_invoice_lines(r):
+    return documents.purchase_invoice_lines(r["purchases"], r["suppliers"], r["purchase_items"])
+
+
+def _dashboard(r):
+    return narrative.dashboard(
+        pnl.period_kpis(r["sales"], r["sale_items"], r["expenses"], PERIOD),
+        pnl.period_kpis(r["sales"], r["sale_items"], r["expenses"], (AS_OF, AS_OF)),
+        credit.receivables_total(r["sales"]),
+        purchases.payables_total(r["purchases"]),
+        inventory.inventory_kpis(r["products"]),
+        cash.cash_on_hand(*_cash_tables(r)),
+        sales.top_earner(r["sales"], r["sale_items"], PERIOD),
+        PERIOD,
+    )
+
+
+@query("store_summary")
+def _store_summary(r):
+    return _dashboard(r).select("summary")
+
+
+@query("dashboard_json")
+def _dashboard_json(r):
+    return narrative.dashboard_json(_dashboard(r))
+
+
+@query("chart_feed")
+def _chart_feed(r):
+    return narrative.chart_feed(
+        pnl.period_sales(r["sales"], PERIOD),
+        inventory.inventory_by_category(r["products"], r["categories"]),
+        pnl.expense_breakdown(r["expenses"], PERIOD),
+    )

@@ -624,6 +624,92 @@ SELECT id, name, sku, CAST(NULL AS VARCHAR) AS barcode, category_id, {d('cost_pr
 FROM products"""
 
 
+# ---- documents and dashboard --------------------------------------------------------------------------
+SQL["sale_document_totals"] = f"""
+SELECT s.id, s.invoice_no, COALESCE(i.n, 0) AS items_count, {d('COALESCE(i.t, 0)', 'items_line_total')},
+       COALESCE(p.n, 0) AS payments_count, {d('COALESCE(p.t, 0)', 'payments_amount')}
+FROM sales s
+LEFT JOIN (SELECT sale_id, COUNT(*) AS n, SUM(line_total) AS t FROM sale_items GROUP BY sale_id) i ON i.sale_id = s.id
+LEFT JOIN (SELECT sale_id, COUNT(*) AS n, SUM(amount) AS t FROM payments GROUP BY sale_id) p ON p.sale_id = s.id"""
+SQL["purchase_document_totals"] = f"""
+SELECT p.id, p.invoice_no, COALESCE(i.n, 0) AS items_count, {d('COALESCE(i.t, 0)', 'items_line_total')},
+       s.name AS supplier_name
+FROM purchases p LEFT JOIN suppliers s ON s.id = p.supplier_id
+LEFT JOIN (SELECT purchase_id, COUNT(*) AS n, SUM(line_total) AS t FROM purchase_items GROUP BY purchase_id) i
+  ON i.purchase_id = p.id"""
+SQL["invoice_lines"] = f"""
+WITH it AS (
+  SELECT sale_id, 'item' AS section,
+         ROW_NUMBER() OVER (PARTITION BY sale_id ORDER BY line_no, product_id, quantity, line_total, line_discount) AS seq,
+         product_name AS label, quantity, unit_price, CASE WHEN line_discount <> 0 THEN -line_discount END AS discount,
+         line_total AS amount
+  FROM sale_items
+  UNION ALL SELECT id, 'total', 1, 'Subtotal', NULL, NULL, NULL, subtotal FROM sales
+  UNION ALL SELECT id, 'total', 2, 'Discount', NULL, NULL, NULL, -discount FROM sales
+  UNION ALL SELECT id, 'total', 3, 'Total', NULL, NULL, NULL, total FROM sales
+  UNION ALL SELECT id, 'total', 4, 'Paid', NULL, NULL, NULL, amount_paid FROM sales
+  UNION ALL SELECT id, 'total', 5, 'Balance due', NULL, NULL, NULL, amount_due FROM sales)
+SELECT it.sale_id, it.section, it.seq, it.label, {d('it.quantity', 'quantity')}, {d('it.unit_price', 'unit_price')},
+       {d('it.discount', 'discount')}, {d('it.amount', 'amount')}, s.invoice_no,
+       strftime(s.date, '%Y-%m-%d %H:%M') AS doc_date, COALESCE('Customer: ' || s.customer_name, 'Walk-in customer') AS party
+FROM it JOIN sales s ON s.id = it.sale_id"""
+SQL["purchase_invoice_lines"] = f"""
+WITH it AS (
+  SELECT purchase_id, 'item' AS section,
+         ROW_NUMBER() OVER (PARTITION BY purchase_id ORDER BY line_no, ref, product_id, quantity, unit_cost) AS seq,
+         product_name AS label, quantity, unit_cost AS unit_price, line_total AS amount
+  FROM purchase_items
+  UNION ALL SELECT id, 'total', 1, 'Subtotal', NULL, NULL, subtotal FROM purchases
+  UNION ALL SELECT id, 'total', 2, 'Discount', NULL, NULL, -discount FROM purchases
+  UNION ALL SELECT id, 'total', 3, 'Total', NULL, NULL, total FROM purchases
+  UNION ALL SELECT id, 'total', 4, 'Paid', NULL, NULL, total - amount_due FROM purchases
+  UNION ALL SELECT id, 'total', 5, 'Balance owed', NULL, NULL, amount_due FROM purchases)
+SELECT it.purchase_id, it.section, it.seq, it.label, {d('it.quantity', 'quantity')}, {d('it.unit_price', 'unit_price')},
+       {d('it.amount', 'amount')}, p.invoice_no, strftime(p.date, '%Y-%m-%d %H:%M') AS doc_date,
+       'Supplier: ' || COALESCE(s.name, '—') || CASE WHEN COALESCE(s.phone, '') <> '' THEN ' · ' || s.phone ELSE '' END AS party
+FROM it JOIN purchases p ON p.id = it.purchase_id LEFT JOIN suppliers s ON s.id = p.supplier_id"""
+
+
+def _money_txt(x: str) -> str:
+    return f"('Rs ' || format('{{:,}}', CAST(floor(CAST({x} AS DOUBLE) + 0.5) AS BIGINT)))"
+
+
+def _pl(n: str, one: str, many: str) -> str:
+    return f"CASE WHEN {n} = 1 THEN '{one}' ELSE '{many}' END"
+
+
+SQL["store_summary"] = f"""
+WITH k AS ({SQL['period_kpis']}),
+tp AS ({SQL['top_earner']}),
+ch AS ({SQL['cash_on_hand']}),
+rc AS ({SQL['receivables_total']}),
+py AS ({SQL['payables_total']}),
+iv AS ({SQL['inventory_kpis']})
+SELECT concat_ws(' ',
+  CASE WHEN k.order_count = 0 THEN 'No sales recorded in this period yet. Once you start ringing up sales, your profit, cash, and trends will appear here.'
+       ELSE 'You made ' || CAST(k.order_count AS VARCHAR) || ' sale' || {_pl('k.order_count', '', 's')} || ' totalling '
+            || {_money_txt('k.revenue')} || ', for ' || CASE WHEN k.is_loss THEN 'a loss' ELSE 'a profit' END || ' of '
+            || {_money_txt('abs(k.net_profit)')} || ' after costs and expenses (' || printf('%.0f', k.net_margin_pct)
+            || '% margin).' END,
+  CASE WHEN k.order_count <> 0 AND k.is_loss THEN 'Expenses (' || {_money_txt('k.expenses')}
+       || ') are eating into your gross profit of ' || {_money_txt('k.gross_profit')}
+       || ' — worth reviewing where the money is going.' END,
+  (SELECT 'Your best earner is ' || name || ', bringing in ' || {_money_txt('profit')} || ' profit.' FROM tp),
+  'You have about ' || {_money_txt('ch.cash_on_hand')} || ' cash in hand.',
+  CASE WHEN rc.due > 0 THEN 'Customers owe you ' || {_money_txt('rc.due')} || ' across ' || CAST(rc.count AS VARCHAR)
+       || ' unpaid invoice' || {_pl('rc.count', '', 's')} || '.' END,
+  CASE WHEN py.total_payable > 0 THEN 'You owe suppliers ' || {_money_txt('py.total_payable')} || '.' END,
+  CASE WHEN iv.low_stock_count > 0 THEN CAST(iv.low_stock_count AS VARCHAR) || ' item'
+       || {_pl('iv.low_stock_count', ' is', 's are')} || ' low on stock and may need reordering.' END) AS summary
+FROM k, ch, rc, py, iv"""
+SQL["chart_feed"] = f"""
+SELECT 'sales_split' AS chart, 'Cash' AS label, {d("COALESCE(SUM(CASE WHEN payment_type = 'cash' THEN total END), 0)", 'value')} FROM sales WHERE {per()}
+UNION ALL SELECT 'sales_split', 'Card', CAST(COALESCE(SUM(CASE WHEN payment_type = 'card' THEN total END), 0) AS DOUBLE) FROM sales WHERE {per()}
+UNION ALL SELECT 'sales_split', 'Credit', CAST(COALESCE(SUM(CASE WHEN payment_type = 'credit' THEN total END), 0) AS DOUBLE) FROM sales WHERE {per()}
+UNION ALL SELECT 'inventory_value', category, cost_value FROM ({SQL['inventory_by_category']}) ib
+UNION ALL SELECT 'expenses', category, total FROM ({SQL['expense_breakdown']}) eb"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, sql in SQL.items():
