@@ -50,7 +50,7 @@ def invoice_lines(sales: DataFrame, sale_items: DataFrame) -> DataFrame:
     Item rows (line order, numbered inside each invoice) followed by the
     totals block: Subtotal, Discount (negative), Total, Paid, Balance due.
     """
-    w = Window.partitionBy("sale_id").orderBy("line_no", "product_id", "quantity", "line_total")
+    w = Window.partitionBy("sale_id").orderBy("line_no", "product_id", "quantity", "line_total", "line_discount")
     items = sale_items.select(
         "sale_id", F.lit("item").alias("section"), F.row_number().over(w).cast("long").alias("seq"),
         F.col("product_name").alias("label"), "quantity", "unit_price",
