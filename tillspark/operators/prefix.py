@@ -101,29 +101,31 @@ def running_sum_and_min(
 
 def carry_forward(
     df: DataFrame,
-    value: str,
+    value: str | Sequence[str],
     by: Sequence[str],
     order: Sequence[str | Column],
-    out: str,
+    out: str | Sequence[str],
     block: Column | None = None,
 ) -> DataFrame:
-    """Add ``out`` = last non-null ``value`` at or before each row, per ``by`` (as-of fill)."""
+    """Add ``out`` = last non-null ``value`` at or before each row, per ``by`` (as-of fill).
+
+    Several columns can be filled at once (lists for ``value`` and ``out``);
+    they share the block summaries and one in-block window.
+    """
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
     block = block if block is not None else day_block()
     by = list(by)
-    base = df.withColumn(_BLK, block)
-    # last non-null value of each block, ordered by the full sort key
-    keyed = base.filter(F.col(value).isNotNull()).withColumn("_ord", F.struct(*_cols(order)))
-    lasts = keyed.groupBy(*by, _BLK).agg(F.max_by(value, "_ord").alias("_bl"))
+    base = df.withColumn(_BLK, block).withColumn("_ord", F.struct(*_cols(order)))
+    # last non-null value of each column in each block (rows with a NULL value do not compete)
+    lasts = base.groupBy(*by, _BLK).agg(*[
+        F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col("_ord"))).alias(f"_bl{i}") for i, v in enumerate(values)
+    ])
     w_b = Window.partitionBy(*by).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = lasts.select(*by, _BLK, *[F.last(f"_bl{i}", ignorenulls=True).over(w_b).alias(f"_cin{i}")
+                                      for i in range(len(values))])
     w_in = Window.partitionBy(*by, _BLK).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    # every block of the input must find its carry-in, also blocks holding no value
-    all_blocks = base.select(*by, _BLK).distinct()
-    carry_all = (
-        all_blocks.join(lasts, [*by, _BLK], "left")
-        .withColumn("_cin", F.last("_bl", ignorenulls=True).over(w_b))
-        .select(*by, _BLK, "_cin")
-    )
-    joined = base.join(carry_all, [*by, _BLK], "inner")
-    return joined.withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(w_in), F.col("_cin"))).drop(
-        _BLK, "_cin"
-    )
+    joined = base.join(carry, [*by, _BLK], "inner")
+    for i, (v, o) in enumerate(zip(values, outs)):
+        joined = joined.withColumn(o, F.coalesce(F.last(v, ignorenulls=True).over(w_in), F.col(f"_cin{i}")))
+    return joined.drop(_BLK, "_ord", *[f"_cin{i}" for i in range(len(values))])

@@ -123,23 +123,20 @@ def fifo_links(purchases: DataFrame, supplier_payments: DataFrame, block: float
     that ends there — linear in the number of events, in money-axis blocks.
     """
     ev = fifo_events(purchases, supplier_payments)
-    dues = ev.filter(F.col("kind") == DUE).select(
-        "supplier_id", F.col("D").alias("x"), F.lit(DUE).alias("kind"),
-        F.struct(F.col("id").alias("purchase_id"), (F.col("D") - F.col("v")).alias("lo"), F.col("D").alias("hi")).alias("due"),
-        F.lit(None).cast("struct<payment_id:bigint,lo:decimal(38,2),hi:decimal(38,2)>").alias("pay"),
-    )
     a_end = F.col("D") - F.col("S") - F.col("L")
     applied = -F.col("v") - (F.col("L") - F.col("L_prev"))
-    # a payment that applied nothing spans no money; dropping it keeps payment ends strictly increasing
-    pays = ev.filter((F.col("kind") == PAY) & (applied > 0)).select(
-        "supplier_id", a_end.alias("x"), F.lit(PAY).alias("kind"),
-        F.lit(None).cast("struct<purchase_id:bigint,lo:decimal(38,2),hi:decimal(38,2)>").alias("due"),
-        F.struct(F.col("id").alias("payment_id"), (a_end - applied).alias("lo"), a_end.alias("hi")).alias("pay"),
-    )
-    pts = dues.unionByName(pays).withColumn("nx", -F.col("x")).withColumn("nk", -F.col("kind"))
+    is_due = F.col("kind") == DUE
+    # one pass over the events: a due contributes its span end, a payment its applied span end;
+    # a payment that applied nothing spans no money and is dropped (payment ends stay strictly increasing)
+    pts = ev.filter(is_due | (applied > 0)).select(
+        "supplier_id", "kind", F.when(is_due, F.col("D")).otherwise(a_end).alias("x"),
+        F.when(is_due, F.struct(F.col("id").alias("purchase_id"), (F.col("D") - F.col("v")).alias("lo"),
+                                F.col("D").alias("hi"))).alias("due"),
+        F.when(~is_due, F.struct(F.col("id").alias("payment_id"), (a_end - applied).alias("lo"),
+                                 a_end.alias("hi"))).alias("pay"),
+    ).withColumn("nx", -F.col("x")).withColumn("nk", -F.col("kind"))
     blk = F.floor(F.col("nx") / F.lit(block))
-    pts = carry_forward(pts, "due", ["supplier_id"], ["nx", "nk"], "due_c", block=blk)
-    pts = carry_forward(pts, "pay", ["supplier_id"], ["nx", "nk"], "pay_c", block=blk)
+    pts = carry_forward(pts, ["due", "pay"], ["supplier_id"], ["nx", "nk"], ["due_c", "pay_c"], block=blk)
     pairs = pts.filter(F.col("due_c").isNotNull() & F.col("pay_c").isNotNull()).select(
         "supplier_id", F.col("due_c.purchase_id").alias("purchase_id"), F.col("pay_c.payment_id").alias("payment_id"),
         (F.least("due_c.hi", "pay_c.hi") - F.greatest("due_c.lo", "pay_c.lo")).alias("amt"),
