@@ -12,6 +12,11 @@ lands in one task.  Each scan here runs in two phases instead:
 
 The block expression must be non-decreasing in the row order.  Results are
 identical to the single window, and the largest task holds one key-day.
+
+The input is hash-partitioned once by ``(key, block)``; the block summaries,
+the join of the carry-ins and the in-block window all read that one exchange
+(Spark reuses it), so the upstream plan runs once and the rows are shuffled
+once.  Only the small block-summary table moves again.
 """
 
 from __future__ import annotations
@@ -47,8 +52,8 @@ def running_sum(
     """
     block = block if block is not None else day_block()
     val = F.col(value) if isinstance(value, str) else value
-    base = df.withColumn(_BLK, block).withColumn("_v", val)
     by = list(by)
+    base = df.withColumn(_BLK, block).withColumn("_v", val).repartition(*[F.col(c) for c in by], F.col(_BLK))
     totals = base.groupBy(*by, _BLK).agg(F.sum("_v").alias("_bt"))
     w_blocks = Window.partitionBy(*by).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*by, _BLK, F.coalesce(F.sum("_bt").over(w_blocks), F.lit(0)).alias("_carry"))
@@ -82,6 +87,7 @@ def running_sum_and_min(
     loc = (
         df.withColumn(_BLK, block)
         .withColumn("_v", val)
+        .repartition(*[F.col(c) for c in by], F.col(_BLK))
         .withColumn("_s", F.sum("_v").over(w_in))
         .withColumn("_m", F.min("_s").over(w_in))
         .withColumn("_mx", F.min("_s").over(w_ex))
@@ -116,7 +122,8 @@ def carry_forward(
     outs = [out] if isinstance(out, str) else list(out)
     block = block if block is not None else day_block()
     by = list(by)
-    base = df.withColumn(_BLK, block).withColumn("_ord", F.struct(*_cols(order)))
+    base = df.withColumn(_BLK, block).withColumn("_ord", F.struct(*_cols(order))).repartition(
+        *[F.col(c) for c in by], F.col(_BLK))
     # last non-null value of each column in each block (rows with a NULL value do not compete)
     lasts = base.groupBy(*by, _BLK).agg(*[
         F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col("_ord"))).alias(f"_bl{i}") for i, v in enumerate(values)
