@@ -443,9 +443,11 @@ def _purchase_invoice_lines(r):
 
 
 def _dashboard(r):
+    kpis = pnl.kpis_for_ranges(r.spark, r["sales"], r["sale_items"], r["expenses"],
+                               {"period": PERIOD, "today": (AS_OF, AS_OF)})
     return narrative.dashboard(
-        pnl.period_kpis(r["sales"], r["sale_items"], r["expenses"], PERIOD),
-        pnl.period_kpis(r["sales"], r["sale_items"], r["expenses"], (AS_OF, AS_OF)),
+        pnl.pick_period(kpis, "period"),
+        pnl.pick_period(kpis, "today"),
         credit.receivables_total(r["sales"]),
         purchases.payables_total(r["purchases"]),
         inventory.inventory_kpis(r["products"]),

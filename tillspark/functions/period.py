@@ -56,10 +56,10 @@ def preset_ranges(as_of: str) -> list[tuple[str, str, str]]:
     ]
 
 
-def presets(spark: SparkSession, as_of: str) -> DataFrame:
-    """Five-row frame ``(preset, from_ts, to_ts)`` of half-open NTZ bounds (B2)."""
+def range_table(spark: SparkSession, ranges: list[tuple[str, str, str]]) -> DataFrame:
+    """Small frame ``(preset, from_ts, to_ts)`` of half-open NTZ bounds for named periods."""
     rows = []
-    for name, lo, hi in preset_ranges(as_of):
+    for name, lo, hi in ranges:
         a, b = bounds((lo, hi))
         rows.append((name, _dt.datetime.fromisoformat(a), _dt.datetime.fromisoformat(b)))
     schema = T.StructType([
@@ -70,14 +70,24 @@ def presets(spark: SparkSession, as_of: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def tag_presets(df: DataFrame, spark: SparkSession, as_of: str, col: str = "date") -> DataFrame:
-    """Attach every preset a row falls in: one scan of ``df`` serves all presets.
+def presets(spark: SparkSession, as_of: str) -> DataFrame:
+    """Five-row frame ``(preset, from_ts, to_ts)`` of the page's presets (B2)."""
+    return range_table(spark, preset_ranges(as_of))
+
 
-    The preset frame is a fixed five rows, so broadcasting it is always safe;
-    the fact side is pre-filtered to the widest preset so that the scan prunes.
+def tag_ranges(df: DataFrame, spark: SparkSession, ranges: list[tuple[str, str, str]], col: str = "date") -> DataFrame:
+    """Attach every named period a row falls in: one scan of ``df`` serves all periods.
+
+    The period table is a handful of literal rows, so broadcasting it is
+    always safe; the fact side is pre-filtered to the widest span so the scan prunes.
     """
-    p = presets(spark, as_of)
-    lo = min(bounds((a, b))[0] for _, a, b in preset_ranges(as_of))
-    hi = max(bounds((a, b))[1] for _, a, b in preset_ranges(as_of))
+    p = range_table(spark, ranges)
+    lo = min(bounds((a, b))[0] for _, a, b in ranges)
+    hi = max(bounds((a, b))[1] for _, a, b in ranges)
     facts = df.filter((F.col(col) >= ntz(lo)) & (F.col(col) < ntz(hi)))
     return facts.join(F.broadcast(p), (F.col(col) >= p.from_ts) & (F.col(col) < p.to_ts), "inner")
+
+
+def tag_presets(df: DataFrame, spark: SparkSession, as_of: str, col: str = "date") -> DataFrame:
+    """``tag_ranges`` over the five presets relative to ``as_of`` (B2)."""
+    return tag_ranges(df, spark, preset_ranges(as_of), col)

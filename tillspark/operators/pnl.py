@@ -95,6 +95,30 @@ def kpis_all_presets(
     return _kpi_columns(agg, ["preset"])
 
 
+def kpis_for_ranges(
+    spark: SparkSession, sales: DataFrame, sale_items: DataFrame, expenses: DataFrame, ranges: dict[str, Period]
+) -> DataFrame:
+    """KPI rows for several named periods from one pass over the facts (keyed by ``preset``)."""
+    from ..functions.period import tag_ranges
+
+    facts = period_facts(sales, sale_items, expenses, None)
+    tagged = tag_ranges(facts, spark, [(k, a, b) for k, (a, b) in ranges.items()])
+    return _kpi_columns(tagged.groupBy("preset").agg(*_kpi_aggs()), ["preset"])
+
+
+def pick_period(kpis: DataFrame, name: str) -> DataFrame:
+    """One period's KPI row from ``kpis_for_ranges``; an empty period still yields its zero row."""
+    row = kpis.filter(F.col("preset") == name).drop("preset")
+    zero = kpis.sparkSession.createDataFrame([(name,)], "preset string").select(
+        F.lit(0).cast(TOTAL).alias("revenue"), F.lit(0).cast(TOTAL).alias("cogs"), F.lit(0).cast(TOTAL).alias("expenses"),
+        F.lit(0).cast(TOTAL).alias("credit_sales"), F.lit(0).cast(TOTAL).alias("cash_sales"),
+        F.lit(0).cast(TOTAL).alias("card_sales"), F.lit(0).cast("long").alias("order_count"))
+    # a period with no facts has no group: fall back to the zero row (union + one-row fold, no join)
+    both = row.select(F.lit(0).alias("_p"), *row.columns).unionByName(
+        _kpi_columns(zero, []).select(F.lit(1).alias("_p"), *row.columns))
+    return both.agg(*[F.min_by(c, "_p").alias(c) for c in row.columns])
+
+
 def expense_breakdown(expenses: DataFrame, rng: Period) -> DataFrame:
     """Expenses by category, largest first, with counts."""
     e = in_period(expenses, rng)
