@@ -39,9 +39,17 @@ def period_filter(rng: Period, col: str | Column = "date") -> Column:
     return (c >= ntz(lo)) & (c < ntz(hi))
 
 
-def in_period(df: DataFrame, rng: Period, col: str = "date") -> DataFrame:
-    """Rows of ``df`` whose ``col`` falls in the period (B1)."""
-    return df.filter(period_filter(rng, col))
+def in_period(df: DataFrame, rng: Period, col: str = "date", month_col: str | None = "month") -> DataFrame:
+    """Rows of ``df`` whose ``col`` falls in the period (B1).
+
+    On a table written by ``sinks.append_facts`` (partitioned by ``month``)
+    the matching month range is added too, so whole partitions are pruned.
+    """
+    out = df.filter(period_filter(rng, col))
+    if month_col and month_col in df.columns:
+        lo, hi = str(rng[0])[:7], str(rng[1])[:7]
+        out = out.filter((F.col(month_col) >= lo) & (F.col(month_col) <= hi))
+    return out
 
 
 def preset_ranges(as_of: str) -> list[tuple[str, str, str]]:
