@@ -5,7 +5,7 @@ of a key into one task; with no key at all (the cash drawer) the whole table
 lands in one task.  Each scan here runs in two phases instead:
 
 1. cut every key's sequence into blocks (by default its calendar day) and
-   summarise each ``(key, block)`` with a partial aggregate (map-side combine);
+   summarise each ``(key, block)``;
 2. scan the block summaries per key — one row per key and day, so small — to
    get each block's carry-in;
 3. scan inside each ``(key, block)`` and add the carry-in.
