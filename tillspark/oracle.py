@@ -375,8 +375,7 @@ _TOUT = "cash_purchases_out + supplier_payments_out + cash_expenses_out + cash_r
 SQL["cash_breakdown"] = ("SELECT " + ", ".join(d(k) for k in _CASH) + f", {d(_TIN, 'total_in')}, {d(_TOUT, 'total_out')}, "
                          f"{d(f'({_TIN}) - ({_TOUT})', 'cash_on_hand')} FROM {_CASH_ROW}")
 SQL["cash_on_hand"] = f"SELECT {d(f'({_TIN}) - ({_TOUT})', 'cash_on_hand')} FROM {_CASH_ROW}"
-SQL["cash_ledger"] = f"""
-WITH e AS (
+_CASH_ENTRIES = """
   SELECT date, 0 AS rank, id, trim('Cash sale ' || COALESCE(invoice_no, '')) AS label, amount_paid AS "in",
          CAST(0 AS DECIMAL(18,2)) AS "out"
   FROM sales WHERE payment_type = 'cash' AND amount_paid > 0
@@ -395,7 +394,9 @@ WITH e AS (
   FROM expenses WHERE payment_method = 'cash'
   UNION ALL
   SELECT date, 5, id, COALESCE(NULLIF(reason, ''), 'Cash adjustment'), GREATEST(amount, 0), GREATEST(-amount, 0)
-  FROM cash_adjustments)
+  FROM cash_adjustments"""
+SQL["cash_ledger"] = f"""
+WITH e AS ({_CASH_ENTRIES})
 SELECT {ts('date')}, rank, id, label, {d('"in"', '"in"')}, {d('"out"', '"out"')},
        {d('SUM("in" - "out") OVER (ORDER BY date, rank, id ROWS UNBOUNDED PRECEDING)', 'balance')}
 FROM e"""
@@ -613,7 +614,9 @@ su AS (SELECT c.supplier_id, c.closing - COALESCE(a.due, 0) AS dd FROM closing c
 SELECT 'sale_header_vs_lines' AS "check", COUNT(*) FILTER (WHERE dd <> 0) AS mismatches, {d('COALESCE(SUM(dd), 0)', 'difference')} FROM sd
 UNION ALL SELECT 'purchase_header_vs_lines', COUNT(*) FILTER (WHERE dd <> 0), CAST(COALESCE(SUM(dd), 0) AS DOUBLE) FROM pd
 UNION ALL SELECT 'supplier_ledger_vs_dues', COUNT(*) FILTER (WHERE dd <> 0), CAST(COALESCE(SUM(dd), 0) AS DOUBLE) FROM su
-UNION ALL SELECT 'cash_ledger_vs_breakdown', CAST(0 AS BIGINT), 0.0"""
+UNION ALL
+SELECT 'cash_ledger_vs_breakdown', CAST(CASE WHEN dd <> 0 THEN 1 ELSE 0 END AS BIGINT), CAST(dd AS DOUBLE)
+FROM (SELECT (SELECT SUM("in" - "out") FROM ({_CASH_ENTRIES}) ce) - (SELECT ({_TIN}) - ({_TOUT}) FROM {_CASH_ROW}) AS dd) cd"""
 SQL["upsert_products"] = f"""
 SELECT {_PROD_OUT} FROM products WHERE id NOT IN (SELECT id FROM product_changes)
 UNION ALL
