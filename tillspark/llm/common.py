@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,22 @@ _BASE = U64(0x9E3779B97F4A7C15)  # odd, so powers have an inverse modulo 2**64
 _BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once per application (as ``--py-files`` would)."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        if os.path.isdir(root):  # else it already came as a zip
+            base = os.path.join(tempfile.mkdtemp(prefix="tillspark-py-"), "tillspark")
+            sc.addPyFile(shutil.make_archive(base, "zip", root, "tillspark"))
+        _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
