@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, packing, quality_rules, topk, toxicity, warc_derive
+from . import chat_format, decontaminate, html_extract, jaccard_join, packing, quality_rules, topk, toxicity, warc_derive
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -121,3 +121,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document: five-word n-grams, similarity of 0.8 or more."""
+    return jaccard_join.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
