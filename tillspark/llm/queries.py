@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, packing, quality_rules, topk, toxicity, warc_derive
+from . import chat_format, decontaminate, html_extract, jaccard_join, packing, quality_rules, suffix_dedup, topk, toxicity, warc_derive
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -30,6 +30,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 200 bytes that occur elsewhere."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
