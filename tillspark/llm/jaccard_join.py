@@ -229,7 +229,7 @@ def near_classes(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD
     placed = members.join(sizes.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     placed = placed.select("doc_key", "set_id", "root", "weight", "block", F.when(F.col("blocks") > 1, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(bins))).alias("task"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = placed.select("doc_key", "set_id", "root", "weight", "block", "task", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    met = _texts(docs).select("doc_key", "text").join(tasks, "doc_key")
+    met = _texts(docs).select("doc_key", "text").join(tasks.hint("merge"), "doc_key")  # by shuffle at every size
     found = met.groupBy("task", "i", "j").applyInPandas(lambda key, pdf: verify(pdf, n, threshold).assign(many=bool(key[0] >= 0)), "set_id long, links long, least long, many boolean")
     found = stage(found, "links")
 
