@@ -24,8 +24,7 @@ from tillspark.llm.queries import vocabulary_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality_rules.score(docs.select(F.struct(*docs.columns).alias("__doc"), F.col("text")), model)
-    return scored.where(F.col("score") >= quality_rules.KEEP_AT).select("__doc.*")
+    return quality_rules.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -155,11 +155,14 @@ def without_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, b
     """The rows of ``docs`` whose text holds no item; a filter, without a join."""
     for block in blocks(items, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(sorted(block, key=str))
+        docs = docs.where(~_held(shared, rate)(F.coalesce(F.col("text"), F.lit(""))))
+    return docs
 
-        def held(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            matcher = Matcher(shared.value, rate)
-            for texts in batches:
-                yield texts.map(lambda t: bool(matcher.find(t)), na_action=None).astype(bool)
 
-        docs = docs.where(~F.pandas_udf(held, T.BooleanType())(F.coalesce(F.col("text"), F.lit(""))))
-    return docs
+def _held(shared, rate: float):
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(shared.value, rate)
+        for texts in batches:
+            yield texts.map(lambda t: bool(matcher.find(t)), na_action=None).astype(bool)
+
+    return F.pandas_udf(held, T.BooleanType())

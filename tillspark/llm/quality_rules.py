@@ -157,6 +157,17 @@ def score(docs: DataFrame, model: RuleModel, text: str = "text") -> DataFrame:
     return with_statistics(packed, "_text").select("_row.*", model.score().alias("score"))
 
 
+def accepted(docs: DataFrame, model: RuleModel, keep_at: float = KEEP_AT, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``keep_at``.
+
+    The row is made by a generator over its own score: a plain filter would be pushed below the
+    projections, and every rule would compute its statistics anew.
+    """
+    packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+    scored = with_statistics(packed, "_text").select("_row", model.score().alias("score"))
+    return scored.select("_row", F.explode(F.filter(F.array("score"), lambda s: s >= keep_at))).select("_row.*")
+
+
 def classify(docs: DataFrame, model: RuleModel, mod: int = 4, fold: int = 2, keep_at: float = KEEP_AT) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     from .training import in_fold
