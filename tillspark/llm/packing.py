@@ -175,7 +175,7 @@ def pack(cut: DataFrame, capacity: Capacity = Capacity(), shard_rows: int = SHAR
     shards = max(1, -(-cut.count() // shard_rows))
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         which, offset = best_fit(pdf["length"].to_numpy(np.int64), capacity)
         return pdf.drop(columns="shard").assign(sequence_id=which + int(key[0]) * _SHARD_SPAN, offset=offset)
 

@@ -20,6 +20,9 @@ offset. Runs of windows with one anchor form an occurrence with its context.
    windows are counted one by one, spread by their hashes.
 4. The repeated windows return to their documents, which are cut and hashed.
 
+Joins with texts go by shuffle at every size (both use one exchange of the documents);
+nothing that grows with the data is broadcast.
+
 Strings are judged on the input. Matches never cross documents, and two rows are two places
 even when they are equal.
 
@@ -309,7 +312,7 @@ def removed_spans(docs: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, ho
 
     found = stage(keyed.mapInPandas(emit, "h long, ctx long, doc_key long, loc long"), "occurrences")
     shared = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    met = stage(found.join(shared, "h", "left_semi"), "shared-anchors")
+    met = stage(found.join(shared.hint("merge"), "h", "left_semi"), "shared-anchors")
 
     classes = stage(met.groupBy("h", "ctx").agg(F.count("*").alias("weight"), F.min(F.struct("doc_key", "loc")).alias("rep")), "contexts")
     crowds = classes.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
@@ -326,7 +329,7 @@ def removed_spans(docs: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, ho
                 rows = [(w["h"], w["ctx"], w["weight"], w["contexts"], w["loc"] & 255, b[w["loc"] >> 16 : (w["loc"] >> 16) + (w["loc"] >> 8 & 255) + length - 1]) for b, ws in zip(raw, part["wanted"]) for w in ws]
                 yield pd.DataFrame(rows, columns=["h", "ctx", "weight", "contexts", "lead", "bytes"])
 
-    cuts = keyed.join(wanted, "doc_key").select("text", "wanted").mapInPandas(cut, "h long, ctx long, weight long, contexts long, lead int, bytes binary")
+    cuts = keyed.join(wanted.hint("merge"), "doc_key").select("text", "wanted").mapInPandas(cut, "h long, ctx long, weight long, contexts long, lead int, bytes binary")
     in_shards = cuts.where(F.col("contexts") <= hot).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     judged = in_shards.groupBy("shard").applyInPandas(lambda pdf: judge_shard(pdf, length, gram), f"h long, ctx long, runs {_RUNS}")
     if crowded:
@@ -334,7 +337,7 @@ def removed_spans(docs: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, ho
 
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.shiftright("rep.loc", 8).bitwiseAND(255).cast("int") - 1).alias("b")))
     repeated = classes.where("weight > 1").select("h", "ctx", whole.cast(_RUNS).alias("runs")).unionAll(judged)
-    back = met.join(repeated, ["h", "ctx"]).select("doc_key", F.shiftright("loc", 16).alias("start"), F.explode("runs").alias("run"))
+    back = met.join(repeated.hint("merge"), ["h", "ctx"]).select("doc_key", F.shiftright("loc", 16).alias("start"), F.explode("runs").alias("run"))
     span = F.struct((F.col("start") + F.col("run.a")).alias("a"), (F.col("start") + F.col("run.b") + length).alias("b"))
     return back.groupBy("doc_key").agg(F.collect_set(span).alias("spans"))
 
@@ -392,7 +395,7 @@ def digests(docs: DataFrame, **options) -> DataFrame:
                 rows.append((None if pd.isna(doc_id) else int(doc_id), len(raw), sum(b - a for a, b in gone), len(gone), hashlib.sha256(_kept(raw, gone)).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
 
-    joined = _keyed(docs).join(removed_spans(docs, **options), "doc_key", "left").select("doc_id", "text", "spans")
+    joined = _keyed(docs).join(removed_spans(docs, **options).hint("merge"), "doc_key", "left").select("doc_id", "text", "spans")
     return joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -405,5 +408,5 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     def rest(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_kept(t.encode("utf-8", "surrogatepass"), _merged(s)).decode("utf-8", "ignore") if s is not None else t for t, s in zip(texts, spans)])
 
-    marked = docs.withColumn("__doc_key", doc_key()).join(removed_spans(docs, **options).select(F.col("doc_key").alias("__doc_key"), F.col("spans").alias("__spans")), "__doc_key", "left")
+    marked = docs.withColumn("__doc_key", doc_key()).join(removed_spans(docs, **options).select(F.col("doc_key").alias("__doc_key"), F.col("spans").alias("__spans")).hint("merge"), "__doc_key", "left")
     return marked.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(rest(F.coalesce("text", F.lit("")), "__spans"))).select(*docs.columns)
