@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,7 +42,6 @@ _SHARD_SPAN = 1 << 24
 _SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
 # Fixed value: the word pattern of the vocabulary file, over the safe characters.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-_SPACES = str.maketrans("\n\t\r", "   ")
 
 
 @dataclass(frozen=True)
@@ -65,6 +65,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Words(dict):
+    """Ids by word; a word that is not there yet is encoded."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
+
+
 class WordTokenizer:
     """Token ids (little-endian uint32 bytes) of whole texts through a bounded cache of blank-separated words.
 
@@ -78,39 +93,30 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(vocabulary_json)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {"": b""}
+        self.words = _Words(self._word)
         self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
             spelled = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-            ids = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+            ids = _as_bytes([t.id for t in self.model.tokenize(spelled)])
             self.parts[part] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
         if "<|" in word or not _SAFE.fullmatch(word):  # special tokens and other scripts: by the tokenizer itself
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return _as_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
         low = word.lower()
         return self._part(low) if low.isalpha() else b"".join(map(self._part, _WORD.findall(low)))
 
     def ids(self, text: str) -> bytes:
-        words = text.translate(_SPACES).split(" ")
-        found = list(map(self.words.get, words))
-        if None in found:
-            if len(self.words) > CACHE_WORDS:
-                self.words = {"": b""}
-            if len(self.parts) > CACHE_WORDS:
-                self.parts = {}
-            for i, ids in enumerate(found):
-                if ids is None:
-                    word = words[i]
-                    ids = self.words.get(word)
-                    if ids is None:
-                        ids = self.words[word] = self._word(word)
-                    found[i] = ids
-        return b"".join(found)
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return b"".join(map(self.words.__getitem__, words))
 
 
 _loaded: dict[int, WordTokenizer] = {}
