@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .operators import pnl
 from .registry import AS_OF, PERIOD, query
 
@@ -59,7 +61,7 @@ def _timeseries_month(r):
 
 # ---- sales (sales.py) --------------------------------------------------------------------------
 from .operators import cash, credit, expenses, inventory, purchases, sales, suppliers  # noqa: E402
-from .registry import Q_EXPENSES, Q_PRODUCTS, Q_SALES, Q_SUPPLIERS, TOP_N  # noqa: E402
+from .registry import Q_EXPENSES, Q_PRODUCTS, Q_SALES, Q_SUPPLIERS, RECENT_PURCHASES, RECENT_SALES, TOP_N  # noqa: E402
 
 
 @query("sales_in_period")
@@ -74,8 +76,12 @@ def _sale_list(r):
 
 @query("search_sales")
 def _search_sales(r):
-    # the reference's list: matches newest first, default page of 100 (a top-k feature)
-    return sales.sale_list(r["sales"], r["sale_items"], q=Q_SALES, limit=100)
+    return sales.sale_list(r["sales"], r["sale_items"], q=Q_SALES)
+
+
+@query("recent_sales")
+def _recent_sales(r):
+    return sales.sale_list(r["sales"], r["sale_items"], limit=RECENT_SALES)
 
 
 @query("top_products")
@@ -162,8 +168,17 @@ def _purchase_list(r):
 
 @query("search_purchases")
 def _search_purchases(r):
-    # the reference's list: matches newest first, page of 200 (a top-k feature)
-    return purchases.purchase_list(r["purchases"], r["suppliers"], r["purchase_items"], q=Q_SUPPLIERS, limit=200)
+    return purchases.purchase_list(r["purchases"], r["suppliers"], r["purchase_items"], q=Q_SUPPLIERS)
+
+
+@query("recent_purchases")
+def _recent_purchases(r):
+    return purchases.purchase_list(r["purchases"], r["suppliers"], r["purchase_items"], limit=RECENT_PURCHASES)
+
+
+@query("payables_summary")
+def _payables_summary(r):
+    return purchases.payables_summary(r["suppliers"], r["purchases"])
 
 
 @query("payables_total")
@@ -217,6 +232,13 @@ def _repayments_applied(r):
     return credit.repayments_applied(r["sales"], r["repayment_requests"])
 
 
+@query("repayment_rejects")
+def _repayment_rejects(r):
+    # the feed's requests, and the same ones against half of the sales with every fifth amount turned negative
+    amount = F.when(F.col("id") % 5 == 0, -F.col("amount")).otherwise(F.col("amount"))
+    return credit.repayment_rejects(r["sales"].filter("id % 2 = 0"), r["repayment_requests"].withColumn("amount", amount))
+
+
 @query("receivables_total")
 def _receivables_total(r):
     return credit.receivables_total(r["sales"])
@@ -327,8 +349,6 @@ def _asof_cost(r):
 
 
 # ---- integrity (integrity.py) ---------------------------------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
-
 from .operators import integrity  # noqa: E402
 
 
@@ -387,6 +407,7 @@ def _reconcile(r):
         r, suppliers.supplier_closing(r["purchases"], r["supplier_payments"]),
         suppliers.fifo_allocation(r["purchases"], r["supplier_payments"]), flows,
         cash.cash_on_hand(*_cash_tables(r)),
+        suppliers.fifo_payments(r["purchases"], r["supplier_payments"]),
     )
 
 

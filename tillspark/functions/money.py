@@ -11,6 +11,12 @@ MONEY = T.DecimalType(18, 2)
 TOTAL = T.DecimalType(38, 2)
 
 
+# Quantities keep fractions of a unit (weighed goods).
+QUANTITY = T.DecimalType(18, 6)
+# Fixed value: the decimal forms that ``Number()`` reads.
+DECIMAL_NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -46,9 +52,10 @@ def pct(num: str | Column, den: str | Column) -> Column:
 
 
 def to_number(c: str | Column) -> Column:
-    """JavaScript ``Number(x)`` on text: '' and NULL → 0, junk → NULL."""
+    """JavaScript ``Number(x)`` on text: '' and NULL → 0; junk and what is not finite → NULL."""
     s = F.trim(col(c).cast("string"))
-    return F.when(s.isNull() | (s == ""), F.lit(0.0)).otherwise(s.try_cast("double"))
+    x = F.when(s.rlike(DECIMAL_NUMBER), s.try_cast("double"))
+    return F.when(s.isNull() | (s == ""), F.lit(0.0)).otherwise(F.when(F.abs(x) < F.lit(float("inf")), x))
 
 
 def falsy_default(c: str | Column, default) -> Column:

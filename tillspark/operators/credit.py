@@ -23,9 +23,9 @@ def repayments_applied(sales: DataFrame, requests: DataFrame) -> DataFrame:
     """Clamp each repayment request ``(id, sale_id, seq, date, amount, method)`` to the due (E5).
 
     Requests are applied per sale in ``(date, seq)`` order against the sale's
-    ``amount_due``.  Requests for unknown sales are dropped (the reference answers 404).
+    ``amount_due``.  Only amounts above 0 for known sales are applied; the others are ``repayment_rejects``.
     """
-    req = requests.join(sales.select(F.col("id").alias("sale_id"), F.col("amount_due").alias("due0")), "sale_id")
+    req = requests.filter(F.col("amount") > 0).join(sales.select(F.col("id").alias("sale_id"), F.col("amount_due").alias("due0")), "sale_id")
     req = running_sum(req, "amount", ["sale_id"], ["date", "seq"], "_before", inclusive=False)
     left = F.greatest(F.lit(0).cast(MONEY), F.col("due0") - F.col("_before"))
     return req.select(
@@ -36,6 +36,15 @@ def repayments_applied(sales: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def repayment_rejects(sales: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests that are not applied: an amount that is missing or not above 0, or an unknown sale (E5)."""
+    known = sales.select(F.col("id").alias("sale_id"), F.lit(True).alias("_known"))
+    bad_amount = ~F.coalesce(F.col("amount") > 0, F.lit(False))
+    reason = F.when(bad_amount, F.lit("bad_amount")).when(F.col("_known").isNull(), F.lit("unknown_sale"))
+    return requests.join(known, "sale_id", "left").withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(
+        "id", "sale_id", "seq", "date", "amount", "reason")
+
+
 def payments_from_requests(sales: DataFrame, requests: DataFrame) -> DataFrame:
     """The payments table: first instalments of credit sales ∪ clamped repayments."""
     first = sales.filter((F.col("payment_type") == "credit") & (F.col("amount_paid") > 0)).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import MONEY, falsy_default, to_number
+from ..functions.money import MONEY, to_number
 from ..functions.period import Period, in_period, ntz
 from ..functions.search import like_any
 
@@ -18,7 +18,7 @@ def search_expenses(expenses: DataFrame, rng: Period, q: str | None) -> DataFram
 
 def clean_expenses(requests: DataFrame, as_of: str) -> DataFrame:
     """Expense intake (K11): amount must read as > 0; category defaults to 'General',
-    payment method to 'cash', description '' to NULL, a missing date to ``as_of``.
+    a missing payment method to 'cash' (an empty one stays), description '' to NULL, a missing date to ``as_of``.
 
     A JSON null and an absent field are the same in a DataFrame; both take the default.
     """
@@ -30,7 +30,7 @@ def clean_expenses(requests: DataFrame, as_of: str) -> DataFrame:
         F.coalesce(F.col("category"), F.lit("General")).alias("category"),
         F.col("_a").cast(MONEY).alias("amount"),
         F.nullif(F.col("description"), F.lit("")).alias("description"),
-        falsy_default("payment_method", "cash").alias("payment_method"),
+        F.coalesce(F.col("payment_method"), F.lit("cash")).alias("payment_method"),
     )
 
 

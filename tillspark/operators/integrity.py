@@ -146,11 +146,11 @@ def delete_cascade(t, deleted_sales: DataFrame, deleted_suppliers: DataFrame, de
 
 
 def reconcile(t, supplier_closing: DataFrame, fifo_after: DataFrame, cash_ledger_total: DataFrame,
-              cash_on_hand: DataFrame) -> DataFrame:
+              cash_on_hand: DataFrame, payments_after: DataFrame) -> DataFrame:
     """Invariants as (check, mismatches, difference).
 
     Sale and purchase headers against their lines; each supplier's ledger
-    close against its dues after FIFO (they differ by the excess lost, S10);
+    close against its dues after FIFO less the excess lost (S10; ``payments_after``);
     the cash ledger's closing balance against the breakdown.
     """
     lines = t["sale_items"].groupBy("sale_id").agg(F.sum(F.col("quantity") * F.col("unit_price")).alias("_l"))
@@ -160,8 +160,9 @@ def reconcile(t, supplier_closing: DataFrame, fifo_after: DataFrame, cash_ledger
     p = t["purchases"].join(plines, t["purchases"].id == plines.purchase_id, "left").withColumn(
         "_d", F.col("subtotal") - F.coalesce("_l", F.lit(0)))
     dues = fifo_after.groupBy("supplier_id").agg(F.sum("amount_due").alias("_due"))
-    sup = supplier_closing.join(dues, "supplier_id", "left").withColumn(
-        "_d", F.col("closing") - F.coalesce("_due", F.lit(0)))
+    lost = payments_after.groupBy("supplier_id").agg(F.sum("lost").alias("_lost"))
+    sup = supplier_closing.join(dues, "supplier_id", "left").join(lost, "supplier_id", "left").withColumn(
+        "_d", F.col("closing") - F.coalesce("_due", F.lit(0)) + F.coalesce("_lost", F.lit(0)))
     # two one-row figures compared through a union and one sum (no cross join)
     cash = cash_ledger_total.select(F.col("closing").cast(TOTAL).alias("_x")).unionByName(
         cash_on_hand.select((-F.col("cash_on_hand")).cast(TOTAL).alias("_x"))).agg(F.sum("_x").alias("_d"))
@@ -178,10 +179,14 @@ def reconcile(t, supplier_closing: DataFrame, fifo_after: DataFrame, cash_ledger
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str = "id", seq: str | None = None) -> DataFrame:
-    """Full-replace upsert (K8): the latest change per key replaces the base row; new keys are added."""
-    if seq:
-        latest = changes.groupBy(key).agg(F.max_by(F.struct(*[c for c in changes.columns if c != key]), seq).alias("_c"))
-        changes = latest.select(key, "_c.*").drop(seq)
+    """Full-replace upsert (K8): the latest change per key replaces the base row; new keys are added.
+
+    ``seq`` orders the changes of a key; without it, and among equal ``seq``, the greatest row wins, so
+    that a key never has two rows.
+    """
+    rest = F.struct(*[c for c in changes.columns if c not in (key, seq)])
+    latest = changes.groupBy(key).agg(F.max(F.struct(F.col(seq) if seq else F.lit(0), rest.alias("_c"))).alias("_x"))
+    changes = latest.select(key, "_x._c.*")
     changes = changes.select(*base.columns)
     kept = base.join(changes.select(key), key, "left_anti")
     return kept.unionByName(changes)

@@ -9,10 +9,11 @@ COGS is ``Σ unit_cost × quantity`` over the lines of the period's sales.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import TOTAL, csum, nsum, pct, total
+from .prefix import running_sum
 from ..functions.period import Period, in_period, tag_presets
 
 TENDERS = ("cash", "card", "credit")  # fixed values: payment types of a sale (S18)
@@ -143,12 +144,12 @@ def sales_by_payment(sales: DataFrame, rng: Period) -> DataFrame:
 
 
 def pnl_statement(sales: DataFrame, sale_items: DataFrame, expenses: DataFrame, rng: Period) -> DataFrame:
-    """The P&L as a long statement ``(line_no, section, label, amount)``.
+    """The P&L as a long statement ``(line_no, section, label, amount, is_loss)``.
 
-    Revenue, COGS and gross profit; one line per expense category (largest
-    first); total expenses and net profit; takings per tender.  The expense
-    lines are numbered with a window over the per-category aggregate, which
-    holds one row per category.
+    Lines 1 to 8 are revenue, COGS, gross profit, total expenses, net profit and
+    takings per tender; from 9 on follows one line per expense category, largest
+    first, numbered by a scan in blocks since categories are free text.
+    ``is_loss`` marks a negative net profit.
     """
     kpi = period_kpis(sales, sale_items, expenses, rng)
     head = kpi.select(
@@ -157,24 +158,25 @@ def pnl_statement(sales: DataFrame, sale_items: DataFrame, expenses: DataFrame,
             " 1, 'income', 'Revenue', revenue,"
             " 2, 'income', 'Cost of goods sold', cogs,"
             " 3, 'income', 'Gross profit', gross_profit,"
-            " 900, 'expenses', 'Total expenses', expenses,"
-            " 901, 'result', 'Net profit', net_profit,"
-            " 910, 'payments', 'cash', cash_sales,"
-            " 911, 'payments', 'card', card_sales,"
-            " 912, 'payments', 'credit', credit_sales)"
+            " 4, 'expenses', 'Total expenses', expenses,"
+            " 5, 'result', 'Net profit', net_profit,"
+            " 6, 'payments', 'cash', cash_sales,"
+            " 7, 'payments', 'card', card_sales,"
+            " 8, 'payments', 'credit', credit_sales)"
             " AS (line_no, section, label, amount)"
         )
     )
 
-    cats = expense_breakdown(expenses, rng)
-    w = Window.orderBy(F.desc("total"), "category")  # one row per category: a small, single-task window
-    cat_lines = cats.select(
-        (F.lit(100) + F.row_number().over(w)).alias("line_no"), F.lit("expenses").alias("section"),
+    cats = expense_breakdown(expenses, rng).withColumn("_down", -F.col("total"))
+    ranked = running_sum(cats, F.lit(1), [], ["_down", "category"], "_rank", block=F.floor(F.col("_down") / F.lit(1000)))
+    cat_lines = ranked.select(
+        (F.lit(8) + F.col("_rank")).cast("int").alias("line_no"), F.lit("expenses").alias("section"),
         F.col("category").alias("label"), F.col("total").alias("amount"),
     )
-    return head.select("line_no", "section", "label", F.col("amount").cast(TOTAL).alias("amount")).unionByName(
+    lines = head.select("line_no", "section", "label", F.col("amount").cast(TOTAL).alias("amount")).unionByName(
         cat_lines.select("line_no", "section", "label", F.col("amount").cast(TOTAL).alias("amount"))
     )
+    return lines.withColumn("is_loss", (F.col("section") == "result") & (F.col("amount") < 0))
 
 
 def timeseries(
@@ -184,11 +186,12 @@ def timeseries(
 
     Buckets come from the sales (``fill='sales'``, as the reference: an
     expense-only day is not shown) or from both sides (``fill='all'``).  COGS is
-    pre-aggregated per sale before meeting the sales, once.
+    aggregated per sale of the period; lines of other sales are left out first.
     """
     fmt = "yyyy-MM" if group == "month" else "yyyy-MM-dd"
     s = in_period(sales, rng).select(F.col("id").alias("sale_id"), F.date_format("date", fmt).alias("bucket"), "total")
-    cogs = sale_items.groupBy("sale_id").agg(F.sum(F.col("unit_cost") * F.col("quantity")).alias("cogs"))
+    lines = sale_items.join(s.select("sale_id"), "sale_id", "left_semi")
+    cogs = lines.groupBy("sale_id").agg(F.sum(F.col("unit_cost") * F.col("quantity")).alias("cogs"))
     per_sale = s.join(cogs, "sale_id", "left")
     sb = per_sale.groupBy("bucket").agg(
         total(F.sum("total")).alias("revenue"), total(F.coalesce(F.sum("cogs"), F.lit(0))).alias("cogs")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import MONEY, TOTAL, to_number, total
+from ..functions.money import MONEY, QUANTITY, TOTAL, to_number, total
 from ..sources.intake import PURCHASE_DOC, SALE_DOC, parse_docs, purchase_lines, sale_lines
 from .prefix import running_sum
 
@@ -28,6 +28,10 @@ REJECT_NOT_FOUND = "not_found"
 REJECT_QUANTITY = "bad_quantity"
 REJECT_STOCK = "no_stock"
 REJECT_COST = "bad_cost"
+REJECT_NO_ID = "no_ref"
+REJECT_SAME_ID = "repeated_ref"
+REJECT_DATE = "bad_date"
+REJECT_AMOUNT = "bad_amount"
 
 
 def _money(c):
@@ -39,9 +43,9 @@ def line_pricing(lines: DataFrame, products: DataFrame) -> DataFrame:
     p = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"),
                         F.col("selling_price"), F.col("cost_price"), F.col("quantity").alias("stock"))
     x = lines.join(p, "product_id", "left")
-    price = F.coalesce(F.col("price_in").cast(MONEY), F.col("selling_price"))
-    ld = F.greatest(F.lit(0.0), F.coalesce(F.col("ldisc_in"), F.lit(0.0))).cast(MONEY)
-    gross = _money(F.col("qty").cast(MONEY) * price)
+    price = F.coalesce(F.col("price_in").try_cast(MONEY), F.col("selling_price"))
+    ld = F.greatest(F.lit(0.0), F.coalesce(F.col("ldisc_in"), F.lit(0.0))).try_cast(MONEY)
+    gross = F.round(F.col("qty").try_cast(QUANTITY) * price, 2).try_cast(MONEY)
     return x.select(
         "*",
         price.alias("unit_price"),
@@ -60,39 +64,79 @@ def _first_reason(lines: DataFrame, reason: F.Column, message: F.Column) -> Data
     ).select("ref", F.col("_x._r").alias("reason"), F.col("_x._m").alias("message"))
 
 
+def _doc_rejects(docs: DataFrame) -> DataFrame:
+    """(ref, reason, message) of documents that cannot be posted whatever their lines say.
+
+    A document needs a reference of its own: documents without one, or sharing one, would merge.
+    """
+    paid, disc, day = to_number("amount_paid"), to_number("discount"), F.nullif(F.trim("date"), F.lit(""))
+    bad_date = day.isNotNull() & day.try_cast("timestamp_ntz").isNull()
+    per_ref = docs.groupBy("ref").agg(
+        F.count(F.lit(1)).alias("n"), F.max(bad_date).alias("bad_date"),
+        F.max(paid.try_cast(MONEY).isNull() | disc.try_cast(MONEY).isNull()).alias("bad_amount"))
+    reason = (
+        F.when(F.col("ref").isNull(), F.lit(REJECT_NO_ID)).when(F.col("n") > 1, F.lit(REJECT_SAME_ID))
+        .when(F.col("bad_date"), F.lit(REJECT_DATE)).when(F.col("bad_amount"), F.lit(REJECT_AMOUNT))
+    )
+    message = (
+        F.when(F.col("ref").isNull(), F.lit("A reference is required")).when(F.col("n") > 1, F.lit("The reference is not unique"))
+        .when(F.col("bad_date"), F.lit("Invalid date")).otherwise(F.lit("Invalid amount"))
+    )
+    return per_ref.select("ref", reason.alias("reason"), message.alias("message")).filter(F.col("reason").isNotNull())
+
+
+def _all_rejects(docs: DataFrame, line_rejects: DataFrame) -> DataFrame:
+    """Document rejects, and line rejects of the other documents."""
+    by_doc = _doc_rejects(docs)
+    others = line_rejects.filter(F.col("ref").isNotNull()).join(by_doc.select("ref"), "ref", "left_anti")
+    return by_doc.unionByName(others.select("ref", "reason", "message"))
+
+
+def _accepted(lines: DataFrame, rejects: DataFrame) -> DataFrame:
+    return lines.filter(F.col("ref").isNotNull()).join(rejects.select("ref"), "ref", "left_anti")
+
+
+def _posted_at(as_of: str | None):
+    given = F.nullif(F.trim("date"), F.lit("")).try_cast("timestamp_ntz")
+    return F.coalesce(given, F.lit(as_of).cast("timestamp_ntz")) if as_of else given
+
+
 def _sale_checks(docs_json: DataFrame, products: DataFrame, per_line: bool) -> tuple[DataFrame, DataFrame]:
-    lines = line_pricing(sale_lines(parse_docs(docs_json, SALE_DOC)), products)
-    q = F.col("qty").cast(MONEY)
+    docs = parse_docs(docs_json, SALE_DOC)
+    lines = line_pricing(sale_lines(docs), products)
+    q = F.col("qty").try_cast(QUANTITY)
     demand = q if per_line else F.sum(q).over(Window.partitionBy("ref", "product_id"))
     lines = lines.withColumn("_demand", demand)
     qty_txt = F.regexp_replace(F.col("qty").cast("string"), r"\.0$", "")
     reason = (
         F.when(F.col("no_item"), F.lit(REJECT_EMPTY))
         .when(F.col("product_name").isNull(), F.lit(REJECT_NOT_FOUND))
-        .when(F.col("qty").isNull() | (F.col("qty") <= 0), F.lit(REJECT_QUANTITY))
+        .when(q.isNull() | (q <= 0), F.lit(REJECT_QUANTITY))
         .when(F.col("_demand") > F.col("stock"), F.lit(REJECT_STOCK))
+        .when(F.col("gross").isNull() | F.col("line_discount").isNull() | F.col("price_junk") | F.col("ldisc_in").isNull(), F.lit(REJECT_AMOUNT))
     )
     stock_txt = F.regexp_replace(F.col("stock").cast("double").cast("string"), r"\.0$", "")
     message = (
         F.when(F.col("no_item"), F.lit("At least one item is required"))
         .when(F.col("product_name").isNull(), F.concat(F.lit("Product "), F.col("product_id").cast("string"), F.lit(" not found")))
-        .when(F.col("qty").isNull() | (F.col("qty") <= 0), F.concat(F.lit("Invalid quantity for "), F.col("product_name")))
+        .when(q.isNull() | (q <= 0), F.concat(F.lit("Invalid quantity for "), F.col("product_name")))
+        .when(~(F.col("_demand") > F.col("stock")), F.concat(F.lit("Invalid amount for "), F.col("product_name")))
         .otherwise(F.concat(F.lit("Not enough stock for "), F.col("product_name"), F.lit(" (have "), stock_txt,
                             F.lit(", need "), qty_txt, F.lit(")")))
     )
-    return lines, _first_reason(lines, reason, message)
+    return lines, _all_rejects(docs, _first_reason(lines, reason, message))
 
 
-def intake_sales(docs_json: DataFrame, products: DataFrame, per_line: bool = False) -> DataFrame:
+def intake_sales(docs_json: DataFrame, products: DataFrame, per_line: bool = False, as_of: str | None = None) -> DataFrame:
     """Accepted sale documents with their totals.
 
     ``docs_json`` has one JSON basket per row in column ``doc``.  Totals:
     subtotal = Σ price × qty; discount = Σ line discounts + order discount;
     total = max(0, subtotal − discount); paid = total unless credit (then the
-    given amount); due = max(0, total − paid).
+    given amount); due = max(0, total − paid).  A document without a date is posted at ``as_of``.
     """
     lines, rejects = _sale_checks(docs_json, products, per_line)
-    ok = lines.join(rejects.select("ref"), "ref", "left_anti")
+    ok = _accepted(lines, rejects)
     per_doc = ok.groupBy("ref", "customer_name", "payment_type", "discount", "amount_paid", "date").agg(
         F.sum("gross").alias("subtotal"), F.sum("line_discount").alias("line_disc"), F.count(F.lit(1)).alias("lines"),
     )
@@ -101,7 +145,7 @@ def intake_sales(docs_json: DataFrame, products: DataFrame, per_line: bool = Fal
     paid = F.when(F.col("payment_type") == "credit", F.coalesce(to_number("amount_paid"), F.lit(0.0)).cast(TOTAL)).otherwise(tot)
     return per_doc.select(
         "ref", "customer_name", F.coalesce("payment_type", F.lit("cash")).alias("payment_type"),
-        F.to_timestamp_ntz(F.col("date")).alias("date"), "lines",
+        _posted_at(as_of).alias("date"), "lines",
         total("subtotal").alias("subtotal"), total(disc).alias("discount"), total(tot).alias("total"),
         total(paid).alias("amount_paid"), total(F.greatest(F.lit(0), tot - paid)).alias("amount_due"),
     )
@@ -117,8 +161,8 @@ def basket_merge(docs_json: DataFrame, products: DataFrame) -> DataFrame:
     """Same product twice in a basket → one line, quantities added."""
     lines = line_pricing(sale_lines(parse_docs(docs_json, SALE_DOC)), products).filter(~F.col("no_item"))
     return lines.groupBy("ref", "product_id").agg(
-        F.count(F.lit(1)).alias("line_count"), total(F.sum("qty")).alias("quantity"),
-        total(F.sum(F.col("qty").cast(MONEY)) * F.first("selling_price")).alias("gross"),
+        F.count(F.lit(1)).alias("line_count"), total(F.sum(F.col("qty").try_cast(QUANTITY))).alias("quantity"),
+        total(F.sum(F.col("qty").try_cast(QUANTITY)) * F.first("selling_price")).alias("gross"),
     )
 
 
@@ -128,7 +172,7 @@ def shortage_flags(docs_json: DataFrame, products: DataFrame) -> DataFrame:
     Two-phase running sum by (product, day): a best seller does not become one task.
     """
     lines = sale_lines(parse_docs(docs_json, SALE_DOC)).filter(~F.col("no_item") & F.col("product_id").isNotNull())
-    lines = lines.withColumn("date", F.to_timestamp_ntz("date")).withColumn("qty", F.col("qty").cast(MONEY))
+    lines = lines.withColumn("date", _posted_at(None)).withColumn("qty", F.col("qty").try_cast(QUANTITY))
     run = running_sum(lines, "qty", ["product_id"], ["date", "ref", "pos"], "cum_demand")
     stock = products.select(F.col("id").alias("product_id"), F.col("quantity").alias("stock"))
     j = run.join(stock, "product_id", "left")
@@ -139,29 +183,30 @@ def shortage_flags(docs_json: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def _purchase_checks(docs_json: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
-    lines = purchase_lines(parse_docs(docs_json, PURCHASE_DOC))
+    docs = parse_docs(docs_json, PURCHASE_DOC)
+    lines = purchase_lines(docs)
     p = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
     lines = lines.join(p, "product_id", "left")
     reason = (
         F.when(F.col("no_item"), F.lit(REJECT_EMPTY))
         .when(F.col("product_name").isNull(), F.lit(REJECT_NOT_FOUND))
-        .when(F.col("qty").isNull() | (F.col("qty") <= 0), F.lit(REJECT_QUANTITY))
-        .when(F.col("cost_num").isNull() | (F.col("cost_num") < 0), F.lit(REJECT_COST))
+        .when(F.col("qty").try_cast(QUANTITY).isNull() | (F.col("qty") <= 0), F.lit(REJECT_QUANTITY))
+        .when(F.col("cost_num").try_cast(MONEY).isNull() | (F.col("cost_num") < 0), F.lit(REJECT_COST))
     )
     message = (
         F.when(F.col("no_item"), F.lit("At least one item is required"))
         .when(F.col("product_name").isNull(), F.concat(F.lit("Product "), F.col("product_id").cast("string"), F.lit(" not found")))
-        .when(F.col("qty").isNull() | (F.col("qty") <= 0), F.concat(F.lit("Invalid quantity for "), F.col("product_name")))
+        .when(F.col("qty").try_cast(QUANTITY).isNull() | (F.col("qty") <= 0), F.concat(F.lit("Invalid quantity for "), F.col("product_name")))
         .otherwise(F.concat(F.lit("Invalid cost for "), F.col("product_name")))
     )
-    return lines, _first_reason(lines, reason, message)
+    return lines, _all_rejects(docs, _first_reason(lines, reason, message))
 
 
-def intake_purchases(docs_json: DataFrame, products: DataFrame) -> DataFrame:
+def intake_purchases(docs_json: DataFrame, products: DataFrame, as_of: str | None = None) -> DataFrame:
     """Accepted purchase documents with totals."""
     lines, rejects = _purchase_checks(docs_json, products)
-    ok = lines.join(rejects.select("ref"), "ref", "left_anti").withColumn(
-        "line_total", _money(F.col("qty").cast(MONEY) * F.col("cost_num").cast(MONEY))
+    ok = _accepted(lines, rejects).withColumn(
+        "line_total", _money(F.col("qty").try_cast(QUANTITY) * F.col("cost_num").try_cast(MONEY))
     )
     per_doc = ok.groupBy("ref", "supplier_id", "payment_type", "discount", "amount_paid", "date").agg(
         F.sum("line_total").alias("subtotal"), F.count(F.lit(1)).alias("lines")
@@ -170,7 +215,7 @@ def intake_purchases(docs_json: DataFrame, products: DataFrame) -> DataFrame:
     paid = F.when(F.col("payment_type") == "credit", F.coalesce(to_number("amount_paid"), F.lit(0.0)).cast(TOTAL)).otherwise(tot)
     return per_doc.select(
         "ref", "supplier_id", F.coalesce("payment_type", F.lit("cash")).alias("payment_type"),
-        F.to_timestamp_ntz(F.col("date")).alias("date"), "lines", total("subtotal").alias("subtotal"),
+        _posted_at(as_of).alias("date"), "lines", total("subtotal").alias("subtotal"),
         total(tot).alias("total"), total(paid).alias("amount_paid"),
         total(F.greatest(F.lit(0), tot - paid)).alias("amount_due"),
     )

@@ -2,31 +2,34 @@
 
 A running total over ``Window.partitionBy(key).orderBy(t)`` puts every row
 of a key into one task; with no key at all (the cash drawer) the whole table
-lands in one task.  Each scan here runs in two phases instead:
+lands in one task.  Each scan here runs in phases instead:
 
-1. cut every key's sequence into blocks (by default its calendar day) and
-   summarise each ``(key, block)``;
-2. scan the block summaries per key — one row per key and day, so small — to
-   get each block's carry-in;
-3. scan inside each ``(key, block)`` and add the carry-in.
+1. write the keyed rows once to the shared folder, each with its block: a part
+   of its key's sequence (by default an hour of its day; rows stamped exactly
+   midnight, as date-only records are, split further by the next columns of
+   the order);
+2. summarise each ``(key, block)`` and scan the summaries per key to get each
+   block's carry-in;
+3. put the carry-in in front of its block as a row of its own and scan inside
+   each ``(key, block)``.
 
 The block expression must be non-decreasing in the row order.  Results are
-identical to the single window, and the largest task holds one key-day.
-
-The input is hash-partitioned once by ``(key, block)``; the block summaries,
-the join of the carry-ins and the in-block window all read that one exchange
-(Spark reuses it), so the upstream plan runs once and the rows are shuffled
-once.  Only the small block-summary table moves again.
+identical to the single window.  The rows' source plan runs once; the two
+later phases read the written rows.  Rows with a NULL key or date form keys
+and blocks like any other, so none is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import written
 
-_BLK = "_blk"
+_BLK, _ROW, _ID_RANGE = "_blk", "_row", 1 << 16
 
 
 def _cols(xs) -> list[Column]:
@@ -37,6 +40,37 @@ def day_block(col: str = "date") -> Column:
     return F.to_date(F.col(col))
 
 
+def time_block(df: DataFrame, order: Sequence[str]) -> Column:
+    """Hour of the first order column; midnight rows by the second and a range of ids of the third."""
+    date = F.col(order[0])
+    midnight = F.to_date(date).cast(df.schema[order[0]].dataType) == date
+    parts = [F.to_date(date).alias("day"), F.hour(date).alias("hour"), F.when(midnight, 0).otherwise(1).alias("timed")]
+    if len(order) > 1:
+        parts.append(F.when(midnight, F.col(order[1])).alias("tie"))
+    if len(order) > 2 and isinstance(df.schema[order[2]].dataType, (T.IntegerType, T.LongType)):
+        parts.append(F.when(midnight, F.floor(F.col(order[2]) / F.lit(_ID_RANGE))).alias("ids"))
+    return F.when(date.isNotNull(), F.struct(*parts))
+
+
+def _blocked(df: DataFrame, order: Sequence, block: Column | None, added: Mapping[str, Column]) -> DataFrame:
+    base = df.withColumn(_BLK, block if block is not None else time_block(df, order))
+    return written(base.withColumns(dict(added)), "scan")
+
+
+def _with_carry(base: DataFrame, carry: DataFrame) -> DataFrame:
+    """The rows with each block's carry-in as its first row (``_row`` = 0)."""
+    first = carry.withColumn(_ROW, F.lit(0))
+    return base.withColumn(_ROW, F.lit(1)).unionByName(first, allowMissingColumns=True)
+
+
+def _in_block(by: Sequence[str], order: Sequence, last: int) -> Window:
+    return Window.partitionBy(*by, _BLK).orderBy(_ROW, *_cols(order)).rowsBetween(Window.unboundedPreceding, last)
+
+
+def _blocks_before(by: Sequence[str]) -> Window:
+    return Window.partitionBy(*by).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def running_sum(
     df: DataFrame,
     value: str | Column,
@@ -50,22 +84,17 @@ def running_sum(
 
     ``inclusive=False`` gives the sum of the rows strictly before (0 for the first).
     """
-    block = block if block is not None else day_block()
     val = F.col(value) if isinstance(value, str) else value
     by = list(by)
-    base = df.withColumn(_BLK, block).withColumn("_v", val).repartition(*[F.col(c) for c in by], F.col(_BLK))
+    base = _blocked(df, order, block, {"_v": val})
     totals = base.groupBy(*by, _BLK).agg(F.sum("_v").alias("_bt"))
-    w_blocks = Window.partitionBy(*by).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*by, _BLK, F.coalesce(F.sum("_bt").over(w_blocks), F.lit(0)).alias("_carry"))
-    hi = Window.currentRow if inclusive else -1
-    w_in = Window.partitionBy(*by, _BLK).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, hi)
-    joined = base.join(carry, [*by, _BLK], "inner")
-    return joined.withColumn(out, F.col("_carry") + F.coalesce(F.sum("_v").over(w_in), F.lit(0))).drop(
-        _BLK, "_v", "_carry"
-    )
+    carry = totals.select(*by, _BLK, F.coalesce(F.sum("_bt").over(_blocks_before(by)), F.lit(0)).alias("_v"))
+    scanned = _with_carry(base, carry).withColumn(
+        out, F.coalesce(F.sum("_v").over(_in_block(by, order, 0 if inclusive else -1)), F.lit(0)))
+    return scanned.filter(F.col(_ROW) == 1).drop(_BLK, _ROW, "_v")
 
 
-def running_sum_and_min(
+def sums_and_min(
     df: DataFrame,
     value: str | Column,
     by: Sequence[str],
@@ -74,35 +103,43 @@ def running_sum_and_min(
     min_out: str,
     block: Column | None = None,
     min_before_out: str | None = None,
-) -> DataFrame:
+    sums: Mapping[str, Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Add ``sum_out`` = inclusive running sum S and ``min_out`` = min(S_j, j ≤ current).
 
-    ``min_before_out`` (optional) = min(S_j, j < current), NULL on a key's first row.
+    ``min_before_out`` (optional) = min(S_j, j < current), NULL on a key's first row; ``sums`` are further
+    running sums of the same scan.  Also returns one row per key: ``sum_out``, ``min_out`` and ``sums`` over
+    all its rows, taken from the block summaries.
     """
-    block = block if block is not None else day_block()
     val = F.col(value) if isinstance(value, str) else value
-    by = list(by)
-    w_in = Window.partitionBy(*by, _BLK).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    w_ex = Window.partitionBy(*by, _BLK).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, -1)
-    loc = (
-        df.withColumn(_BLK, block)
-        .withColumn("_v", val)
-        .repartition(*[F.col(c) for c in by], F.col(_BLK))
-        .withColumn("_s", F.sum("_v").over(w_in))
-        .withColumn("_m", F.min("_s").over(w_in))
-        .withColumn("_mx", F.min("_s").over(w_ex))
-    )
-    blocks = loc.groupBy(*by, _BLK).agg(F.sum("_v").alias("_bt"), F.min("_s").alias("_bm"))
-    w_b = Window.partitionBy(*by).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_bt").over(w_b), F.lit(0)))
-    blocks = blocks.withColumn("_pm", F.min(F.col("_off") + F.col("_bm")).over(w_b)).select(*by, _BLK, "_off", "_pm")
-    out = loc.join(blocks, [*by, _BLK], "inner")
-    out = out.withColumn(sum_out, F.col("_off") + F.col("_s")).withColumn(
-        min_out, F.least(F.col("_pm"), F.col("_off") + F.col("_m"))
-    )
+    by, extra = list(by), dict(sums or {})
+    held = {"_v": val, **{f"_x_{k}": c for k, c in extra.items()}}
+    base = _blocked(df, order, block, held)
+    local = base.withColumn("_s", F.sum("_v").over(
+        Window.partitionBy(*by, _BLK).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = local.groupBy(*by, _BLK).agg(F.min("_s").alias("_bm"), *[F.sum(c).alias(c) for c in held])
+    before = _blocks_before(by)
+    offset = F.coalesce(F.sum("_v").over(before), F.lit(0))
+    blocks = written(blocks.withColumn("_low", offset + F.col("_bm")), "blocks")
+    carry = blocks.select(
+        *by, _BLK, F.min("_low").over(before).alias("_pm"),
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in held])
+    rows = _with_carry(base, carry)
+    here, earlier = _in_block(by, order, 0), _in_block(by, order, -1)
+    rows = rows.withColumn(sum_out, F.sum("_v").over(here)).withColumns(
+        {k: F.coalesce(F.sum(f"_x_{k}").over(here), F.lit(0)) for k in extra})
+    rows = rows.withColumn("_m", F.when(F.col(_ROW) == 0, F.col("_pm")).otherwise(F.col(sum_out)))
+    rows = rows.withColumn(min_out, F.min("_m").over(here))
     if min_before_out:
-        out = out.withColumn(min_before_out, F.least(F.col("_pm"), F.col("_off") + F.col("_mx")))
-    return out.drop(_BLK, "_v", "_s", "_m", "_mx", "_off", "_pm")
+        rows = rows.withColumn(min_before_out, F.min("_m").over(earlier))
+    summary = blocks.groupBy(*by).agg(
+        F.sum("_v").alias(sum_out), F.min("_low").alias(min_out), *[F.sum(f"_x_{k}").alias(k) for k in extra])
+    return rows.filter(F.col(_ROW) == 1).drop(_BLK, _ROW, "_m", "_pm", *held), summary
+
+
+def running_sum_and_min(*args, **options) -> DataFrame:
+    """The rows of ``sums_and_min`` alone."""
+    return sums_and_min(*args, **options)[0]
 
 
 def carry_forward(
@@ -120,19 +157,18 @@ def carry_forward(
     """
     values = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
-    block = block if block is not None else day_block()
     by = list(by)
-    base = df.withColumn(_BLK, block).withColumn("_ord", F.struct(*_cols(order))).repartition(
-        *[F.col(c) for c in by], F.col(_BLK))
+    base = _blocked(df, order, block, {"_ord": F.struct(*_cols(order))})
     # last non-null value of each column in each block (rows with a NULL value do not compete)
     lasts = base.groupBy(*by, _BLK).agg(*[
         F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col("_ord"))).alias(f"_bl{i}") for i, v in enumerate(values)
     ])
-    w_b = Window.partitionBy(*by).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = lasts.select(*by, _BLK, *[F.last(f"_bl{i}", ignorenulls=True).over(w_b).alias(f"_cin{i}")
-                                      for i in range(len(values))])
-    w_in = Window.partitionBy(*by, _BLK).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = base.join(carry, [*by, _BLK], "inner")
-    for i, (v, o) in enumerate(zip(values, outs)):
-        joined = joined.withColumn(o, F.coalesce(F.last(v, ignorenulls=True).over(w_in), F.col(f"_cin{i}")))
-    return joined.drop(_BLK, "_ord", *[f"_cin{i}" for i in range(len(values))])
+    before = _blocks_before(by)
+    carry = lasts.select(*by, _BLK, *[
+        F.last(f"_bl{i}", ignorenulls=True).over(before).alias(f"_cin{i}") for i in range(len(values))])
+    rows = _with_carry(base, carry)
+    here = _in_block(by, order, 0)
+    rows = rows.withColumns({
+        o: F.last(F.coalesce(F.col(v), F.col(f"_cin{i}")), ignorenulls=True).over(here)
+        for i, (v, o) in enumerate(zip(values, outs))})
+    return rows.filter(F.col(_ROW) == 1).drop(_BLK, _ROW, "_ord", *[f"_cin{i}" for i in range(len(values))])

@@ -22,11 +22,15 @@ def purchase_list(
     p = purchases.join(s, purchases.supplier_id == s._sid, "left").drop("_sid")
     if q:
         p = p.filter(like_any(["invoice_no", "supplier_name"], q))
+    if limit is not None and limit >= 0:
+        p = p.orderBy(F.desc("date"), F.desc("id")).limit(limit)
+    if q or limit is not None and limit >= 0:  # only the chosen documents' lines are aggregated
+        purchase_items = purchase_items.join(p.select(F.col("id").alias("purchase_id")), "purchase_id", "left_semi")
     items = purchase_items.groupBy("purchase_id").agg(F.sum("quantity").alias("_n"))
     out = p.join(items, p.id == items.purchase_id, "left").select(
         *purchases.columns, "supplier_name", total(F.coalesce("_n", F.lit(0))).alias("item_count")
     ).orderBy(F.desc("date"), F.desc("id"))
-    return out.limit(limit) if limit is not None and limit >= 0 else out
+    return out
 
 
 def payables_total(purchases: DataFrame) -> DataFrame:
@@ -36,6 +40,12 @@ def payables_total(purchases: DataFrame) -> DataFrame:
     )
 
 
+def payables_summary(suppliers: DataFrame, purchases: DataFrame) -> DataFrame:
+    """One row: what is owed to known suppliers in all, and to how many."""
+    owed = payables_by_supplier(suppliers, purchases)
+    return owed.agg(csum("payable").alias("total_payable"), F.count(F.lit(1)).alias("suppliers"))
+
+
 def payables_by_supplier(suppliers: DataFrame, purchases: DataFrame) -> DataFrame:
     """What is owed to each supplier with a balance, largest first."""
     due = purchases.filter(F.col("amount_due") > 0).groupBy("supplier_id").agg(

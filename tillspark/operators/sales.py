@@ -26,17 +26,21 @@ def per_sale_lines(sale_items: DataFrame) -> DataFrame:
 def sale_list(sales: DataFrame, sale_items: DataFrame, q: str | None = None, limit: int | None = None) -> DataFrame:
     """Sales newest first with item_count, cogs and profit (M6, B4); optional search and top-n.
 
-    A negative or missing limit means all rows (SQLite's ``LIMIT -1``).
+    A negative or missing limit means all rows (SQLite's ``LIMIT -1``).  With a search or a limit the
+    documents are chosen first, and only their lines are aggregated.
     """
     s = sales.filter(like_any(["invoice_no", "customer_name"], q)) if q else sales
-    agg = per_sale_lines(sale_items)
+    if limit is not None and limit >= 0:
+        s = s.orderBy(F.desc("date"), F.desc("id")).limit(limit)
+    chosen = q or limit is not None and limit >= 0
+    lines = sale_items.join(s.select(F.col("id").alias("sale_id")), "sale_id", "left_semi") if chosen else sale_items
+    agg = per_sale_lines(lines)
     out = s.join(agg, s.id == agg.sale_id, "left").select(
         *[s[c] for c in sales.columns],
         total(F.coalesce(agg.item_count, F.lit(0))).alias("item_count"),
         total(F.coalesce(agg.cogs, F.lit(0))).alias("cogs"),
     ).withColumn("profit", (F.col("total") - F.col("cogs")).cast(TOTAL))
-    out = out.orderBy(F.desc("date"), F.desc("id"))
-    return out.limit(limit) if limit is not None and limit >= 0 else out
+    return out.orderBy(F.desc("date"), F.desc("id"))
 
 
 def sales_in_period(sales: DataFrame, rng: Period) -> DataFrame:

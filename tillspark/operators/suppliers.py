@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, TOTAL, total
-from .prefix import carry_forward, running_sum, running_sum_and_min
+from .prefix import carry_forward, running_sum, sums_and_min
 
 DUE, PAY = 0, 1
 
@@ -65,34 +65,37 @@ def supplier_closing(purchases: DataFrame, supplier_payments: DataFrame) -> Data
     )
 
 
-def fifo_events(purchases: DataFrame, supplier_payments: DataFrame) -> DataFrame:
-    """Dues and payments of each supplier with S, L before/after, cumulative dues D."""
+def fifo_scan(purchases: DataFrame, supplier_payments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dues and payments with S, L before/after and cumulative dues D, and each supplier's totals.
+
+    One scan gives every running value; the totals come from its block summaries.
+    """
     dues = purchases.filter((F.col("amount_due") > 0) & F.col("supplier_id").isNotNull()).select(
         "supplier_id", "date", F.lit(DUE).alias("kind"), "id", F.col("amount_due").cast(TOTAL).alias("v")
     )
     pays = supplier_payments.select(
         "supplier_id", "date", F.lit(PAY).alias("kind"), "id", (-F.col("amount")).cast(TOTAL).alias("v")
     )
-    ev = dues.unionByName(pays)
-    order = ["date", "kind", "id"]
-    ev = running_sum_and_min(ev, "v", ["supplier_id"], order, "S", "minS", min_before_out="minS_prev")
-    ev = running_sum(ev, F.when(F.col("kind") == DUE, F.col("v")).otherwise(F.lit(0)), ["supplier_id"], order, "D")
+    is_due = F.col("kind") == DUE
+    ev, per_supplier = sums_and_min(
+        dues.unionByName(pays), "v", ["supplier_id"], ["date", "kind", "id"], "S", "minS",
+        min_before_out="minS_prev", sums={"D": F.when(is_due, F.col("v")).otherwise(F.lit(0))})
     lost_after = F.greatest(F.lit(0), -F.least(F.lit(0), F.col("minS")))
     lost_before = F.greatest(F.lit(0), -F.least(F.lit(0), F.coalesce(F.col("minS_prev"), F.lit(0))))
-    return ev.withColumn("L", lost_after).withColumn("L_prev", lost_before)
+    applied = per_supplier.select(
+        "supplier_id",
+        (F.col("D") - F.col("S") - F.greatest(F.lit(0), -F.least(F.lit(0), F.col("minS")))).alias("A_total"))
+    return ev.withColumn("L", lost_after).withColumn("L_prev", lost_before), applied
 
 
-def _applied_total(ev: DataFrame) -> DataFrame:
-    return ev.groupBy("supplier_id").agg(
-        (F.sum(F.when(F.col("kind") == PAY, -F.col("v")).otherwise(F.lit(0)))
-         - F.greatest(F.lit(0), -F.least(F.lit(0), F.min("S")))).alias("A_total"),
-    )
+def fifo_events(purchases: DataFrame, supplier_payments: DataFrame) -> DataFrame:
+    return fifo_scan(purchases, supplier_payments)[0]
 
 
 def fifo_allocation(purchases: DataFrame, supplier_payments: DataFrame) -> DataFrame:
     """Each credit purchase's due before and after all supplier payments, oldest paid first."""
-    ev = fifo_events(purchases, supplier_payments)
-    dues = ev.filter(F.col("kind") == DUE).join(_applied_total(ev), "supplier_id")
+    ev, applied = fifo_scan(purchases, supplier_payments)
+    dues = ev.filter(F.col("kind") == DUE).join(applied, "supplier_id")
     c_start = F.col("D") - F.col("v")
     settled = F.least(F.col("v"), F.greatest(F.lit(0), F.col("A_total") - c_start))
     return dues.select(
@@ -102,6 +105,23 @@ def fifo_allocation(purchases: DataFrame, supplier_payments: DataFrame) -> DataF
     )
 
 
+def fifo_order_violations(purchases: DataFrame, supplier_payments: DataFrame) -> DataFrame:
+    """Credit purchases dated before a payment that was posted earlier (a smaller ``posted`` time).
+
+    For these suppliers date order is not posting order, and the allocation above is not what posting one by
+    one would give.  Compares each purchase's ``created_at`` with the payments posted up to then: per supplier,
+    a running maximum of payment dates over posting times, found with one ordered scan.
+    """
+    seq = purchases.filter((F.col("amount_due") > 0) & F.col("supplier_id").isNotNull()).select(
+        "supplier_id", F.coalesce("created_at", "date").alias("posted"), F.lit(1).alias("kind"), "id", "date",
+        F.lit(None).cast("timestamp_ntz").alias("paid"),
+    ).unionByName(supplier_payments.select(
+        "supplier_id", F.col("date").alias("posted"), F.lit(0).alias("kind"), "id", "date", F.col("date").alias("paid")))
+    seen = carry_forward(seq, "paid", ["supplier_id"], ["posted", "kind", "id"], "last_paid")
+    return seen.filter((F.col("kind") == 1) & (F.col("last_paid") > F.col("date"))).select(
+        "supplier_id", F.col("id").alias("purchase_id"), "date", "posted", "last_paid")
+
+
 def fifo_payments(purchases: DataFrame, supplier_payments: DataFrame) -> DataFrame:
     """Each supplier payment's applied part and the excess lost."""
     ev = fifo_events(purchases, supplier_payments).filter(F.col("kind") == PAY)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 
 from .functions.period import bounds, preset_ranges
-from .registry import AS_OF, PERIOD, Q_EXPENSES, Q_PRODUCTS, Q_SALES, Q_SUPPLIERS, TOP_N
+from .registry import AS_OF, PERIOD, Q_EXPENSES, Q_PRODUCTS, Q_SALES, Q_SUPPLIERS, RECENT_PURCHASES, RECENT_SALES, TOP_N
 from .sources.mapping import VIEWS, with_views
 
 LO, HI = bounds(PERIOD)
@@ -126,15 +126,15 @@ lines AS (
   SELECT 1 AS line_no, 'income' AS section, 'Revenue' AS label, revenue AS amount FROM k
   UNION ALL SELECT 2, 'income', 'Cost of goods sold', cogs FROM k
   UNION ALL SELECT 3, 'income', 'Gross profit', revenue - cogs FROM k
-  UNION ALL SELECT 900, 'expenses', 'Total expenses', expenses FROM k
-  UNION ALL SELECT 901, 'result', 'Net profit', revenue - cogs - expenses FROM k
-  UNION ALL SELECT 910, 'payments', 'cash', cash FROM k
-  UNION ALL SELECT 911, 'payments', 'card', card FROM k
-  UNION ALL SELECT 912, 'payments', 'credit', credit FROM k
+  UNION ALL SELECT 4, 'expenses', 'Total expenses', expenses FROM k
+  UNION ALL SELECT 5, 'result', 'Net profit', revenue - cogs - expenses FROM k
+  UNION ALL SELECT 6, 'payments', 'cash', cash FROM k
+  UNION ALL SELECT 7, 'payments', 'card', card FROM k
+  UNION ALL SELECT 8, 'payments', 'credit', credit FROM k
   UNION ALL
-  SELECT CAST(100 + ROW_NUMBER() OVER (ORDER BY SUM(amount) DESC, category) AS INTEGER), 'expenses', category, SUM(amount)
+  SELECT CAST(8 + ROW_NUMBER() OVER (ORDER BY SUM(amount) DESC, category) AS INTEGER), 'expenses', category, SUM(amount)
   FROM expenses WHERE {per()} GROUP BY category)
-SELECT line_no, section, label, {d('amount')} FROM lines"""
+SELECT line_no, section, label, {d('amount')}, section = 'result' AND amount < 0 AS is_loss FROM lines"""
 
 
 def _timeseries(fmt: str) -> str:
@@ -165,8 +165,8 @@ FROM sales s LEFT JOIN {_SALE_AGG} a ON a.sale_id = s.id"""
 
 SQL["sales_in_period"] = f"SELECT id, invoice_no, {ts('date')}, payment_type, {d('total')} FROM sales WHERE {per()}"
 SQL["sale_list"] = _SALE_LIST
-SQL["search_sales"] = (_SALE_LIST + f"\nWHERE s.invoice_no ILIKE {like(Q_SALES)} OR s.customer_name ILIKE {like(Q_SALES)}"
-                       "\nORDER BY s.date DESC, s.id DESC LIMIT 100")
+SQL["search_sales"] = (_SALE_LIST + f"\nWHERE s.invoice_no ILIKE {like(Q_SALES)} OR s.customer_name ILIKE {like(Q_SALES)}")
+SQL["recent_sales"] = _SALE_LIST + f"\nORDER BY s.date DESC, s.id DESC LIMIT {RECENT_SALES}"
 SQL["top_products"] = f"""
 SELECT si.product_name, {d('ROUND(SUM(si.quantity), 2)', 'units_sold')}, {d('ROUND(SUM(si.line_total), 2)', 'revenue')},
        {d('ROUND(SUM((si.unit_price - si.unit_cost) * si.quantity), 2)', 'profit')}
@@ -269,8 +269,11 @@ SELECT p.id, p.invoice_no, p.supplier_id, {ts('p.date')}, p.payment_type, {d('p.
 FROM purchases p LEFT JOIN suppliers s ON s.id = p.supplier_id
 LEFT JOIN (SELECT purchase_id, SUM(quantity) AS n FROM purchase_items GROUP BY purchase_id) i ON i.purchase_id = p.id"""
 SQL["purchase_list"] = _PUR_LIST
-SQL["search_purchases"] = (_PUR_LIST + f"\nWHERE p.invoice_no ILIKE {like(Q_SUPPLIERS)} OR s.name ILIKE {like(Q_SUPPLIERS)}"
-                           "\nORDER BY p.date DESC, p.id DESC LIMIT 200")
+SQL["search_purchases"] = (_PUR_LIST + f"\nWHERE p.invoice_no ILIKE {like(Q_SUPPLIERS)} OR s.name ILIKE {like(Q_SUPPLIERS)}")
+SQL["recent_purchases"] = _PUR_LIST + f"\nORDER BY p.date DESC, p.id DESC LIMIT {RECENT_PURCHASES}"
+SQL["payables_summary"] = f"""
+SELECT {d('COALESCE(SUM(amount_due), 0)', 'total_payable')}, COUNT(DISTINCT s.id) AS suppliers
+FROM purchases p JOIN suppliers s ON s.id = p.supplier_id WHERE amount_due > 0"""
 SQL["payables_total"] = f"SELECT {d('COALESCE(SUM(amount_due), 0)', 'total_payable')}, COUNT(*) AS count FROM purchases WHERE amount_due > 0"
 SQL["payables_by_supplier"] = f"""
 SELECT s.id, s.name, s.phone, {d('SUM(p.amount_due)', 'payable')}, COUNT(*) AS open_purchases
@@ -344,6 +347,12 @@ SQL["repayments_applied"] = f"""
 SELECT r.id, r.sale_id, r.seq, {ts('r.date')}, r.method, {d('r.amount', 'requested')},
        {d(f'LEAST(r.amount, {_LEFT})', 'applied')}, {d(_LEFT, 'due_before')}
 FROM repayment_requests r JOIN sales s ON s.id = r.sale_id"""
+SQL["repayment_rejects"] = f"""
+SELECT id, sale_id, seq, {ts('date')}, {d('amount')}, reason FROM (
+  SELECT r.id, r.sale_id, r.seq, r.date, CASE WHEN r.id % 5 = 0 THEN -r.amount ELSE r.amount END AS amount,
+         CASE WHEN r.id % 5 = 0 OR r.amount <= 0 THEN 'bad_amount' WHEN s.id IS NULL THEN 'unknown_sale' END AS reason
+  FROM repayment_requests r LEFT JOIN (SELECT id FROM sales WHERE id % 2 = 0) s ON s.id = r.sale_id) x
+WHERE reason IS NOT NULL"""
 SQL["receivables_total"] = f"SELECT {d('COALESCE(SUM(amount_due), 0)', 'due')}, COUNT(*) AS count FROM sales WHERE amount_due > 0"
 SQL["receivables_list"] = f"""
 SELECT id, invoice_no, {ts('date')}, customer_name, {d('total')}, {d('amount_paid')}, {d('amount_due')}
@@ -360,21 +369,27 @@ SELECT s.id, s.invoice_no, s.customer_name, {d('s.total')}, {d('s.amount_paid +
 FROM sales s LEFT JOIN rep ON rep.sale_id = s.id"""
 
 # ---- cash ---------------------------------------------------------------------------------------------
-_CASH = {
-    "cash_sales_in": "SELECT COALESCE(SUM(amount_paid), 0) FROM sales WHERE payment_type = 'cash'",
-    "cash_repayments_in": "SELECT COALESCE(SUM(amount), 0) FROM payments WHERE method = 'cash'",
-    "cash_added_in": "SELECT COALESCE(SUM(amount), 0) FROM cash_adjustments WHERE amount > 0",
-    "cash_purchases_out": "SELECT COALESCE(SUM(amount_paid), 0) FROM purchases WHERE payment_type IN ('cash', 'credit')",
-    "supplier_payments_out": "SELECT COALESCE(SUM(amount), 0) FROM supplier_payments WHERE method = 'cash'",
-    "cash_expenses_out": "SELECT COALESCE(SUM(amount), 0) FROM expenses WHERE payment_method = 'cash'",
-    "cash_removed_out": "SELECT COALESCE(-SUM(amount), 0) FROM cash_adjustments WHERE amount < 0",
-}
-_CASH_ROW = "(SELECT " + ", ".join(f"({q}) AS {k}" for k, q in _CASH.items()) + ") c"
-_TIN = "cash_sales_in + cash_repayments_in + cash_added_in"
-_TOUT = "cash_purchases_out + supplier_payments_out + cash_expenses_out + cash_removed_out"
-SQL["cash_breakdown"] = ("SELECT " + ", ".join(d(k) for k in _CASH) + f", {d(_TIN, 'total_in')}, {d(_TOUT, 'total_out')}, "
+_FLOWS = """
+  SELECT u.part, SUM(u.amount) AS amount FROM (
+    SELECT CASE WHEN amount > 0 THEN 'cash_added_in' ELSE 'cash_removed_out' END AS part, ABS(amount) AS amount FROM cash_adjustments
+    UNION ALL SELECT 'cash_expenses_out', amount FROM expenses WHERE payment_method = 'cash'
+    UNION ALL SELECT CASE tender WHEN 1 THEN 'supplier_payments_out' ELSE 'cash_repayments_in' END, amount
+      FROM (SELECT 1 AS tender, method, amount FROM supplier_payments UNION ALL SELECT 2, method, amount FROM payments) m
+      WHERE m.method = 'cash'
+    UNION ALL SELECT side, amount_paid
+      FROM (SELECT 'cash_sales_in' AS side, payment_type, amount_paid FROM sales WHERE payment_type <> 'credit'
+            UNION ALL SELECT 'cash_purchases_out', CASE payment_type WHEN 'credit' THEN 'cash' ELSE payment_type END, amount_paid FROM purchases) h
+      WHERE h.payment_type = 'cash') u
+  GROUP BY u.part"""
+_PARTS = ("cash_sales_in", "cash_repayments_in", "cash_added_in",
+          "cash_purchases_out", "supplier_payments_out", "cash_expenses_out", "cash_removed_out")
+_CASH_ROW = ("(SELECT " + ", ".join(f"COALESCE(SUM(amount) FILTER (WHERE part = '{k}'), 0) AS {k}" for k in _PARTS)
+             + f" FROM ({_FLOWS}) f) c")
+_TIN, _TOUT = " + ".join(_PARTS[:3]), " + ".join(_PARTS[3:])
+SQL["cash_breakdown"] = ("SELECT " + ", ".join(d(k) for k in _PARTS) + f", {d(_TIN, 'total_in')}, {d(_TOUT, 'total_out')}, "
                          f"{d(f'({_TIN}) - ({_TOUT})', 'cash_on_hand')} FROM {_CASH_ROW}")
-SQL["cash_on_hand"] = f"SELECT {d(f'({_TIN}) - ({_TOUT})', 'cash_on_hand')} FROM {_CASH_ROW}"
+SQL["cash_on_hand"] = f"""
+SELECT {d("COALESCE(SUM(CASE WHEN part LIKE '%_in' THEN amount ELSE -amount END), 0)", 'cash_on_hand')} FROM ({_FLOWS}) f"""
 _CASH_ENTRIES = """
   SELECT date, 0 AS rank, id, trim('Cash sale ' || COALESCE(invoice_no, '')) AS label, amount_paid AS "in",
          CAST(0 AS DECIMAL(18,2)) AS "out"
@@ -413,7 +428,7 @@ FROM expenses WHERE {per()} AND (category ILIKE {like(Q_EXPENSES)} OR descriptio
 SQL["clean_expenses"] = f"""
 SELECT id, {ts(f"COALESCE(date, TIMESTAMP '{AS_OF} 00:00:00')", 'date')}, COALESCE(category, 'General') AS category,
        {d('CAST(a AS DECIMAL(18,2))', 'amount')}, NULLIF(description, '') AS description,
-       COALESCE(NULLIF(payment_method, ''), 'cash') AS payment_method
+       COALESCE(payment_method, 'cash') AS payment_method
 FROM (SELECT *, {_NUM} AS a FROM expense_requests) x WHERE a IS NOT NULL AND a > 0"""
 SQL["merge_expenses"] = f"""
 SELECT e.id, {ts('CASE WHEN x.id IS NOT NULL THEN x.date ELSE e.date END', 'date')},
@@ -610,7 +625,9 @@ sd AS (SELECT s.id, s.subtotal - COALESCE(x.l, 0) AS dd FROM sales s
        LEFT JOIN (SELECT sale_id, SUM(quantity * unit_price) AS l FROM sale_items GROUP BY sale_id) x ON x.sale_id = s.id),
 pd AS (SELECT p.id, p.subtotal - COALESCE(x.l, 0) AS dd FROM purchases p
        LEFT JOIN (SELECT purchase_id, SUM(line_total) AS l FROM purchase_items GROUP BY purchase_id) x ON x.purchase_id = p.id),
-su AS (SELECT c.supplier_id, c.closing - COALESCE(a.due, 0) AS dd FROM closing c LEFT JOIN after a ON a.supplier_id = c.supplier_id)
+lost AS (SELECT supplier_id, SUM(L - L_prev) AS lost FROM wl WHERE kind = 1 GROUP BY supplier_id),
+su AS (SELECT c.supplier_id, c.closing - COALESCE(a.due, 0) + COALESCE(z.lost, 0) AS dd FROM closing c
+       LEFT JOIN after a ON a.supplier_id = c.supplier_id LEFT JOIN lost z ON z.supplier_id = c.supplier_id)
 SELECT 'sale_header_vs_lines' AS "check", COUNT(*) FILTER (WHERE dd <> 0) AS mismatches, {d('COALESCE(SUM(dd), 0)', 'difference')} FROM sd
 UNION ALL SELECT 'purchase_header_vs_lines', COUNT(*) FILTER (WHERE dd <> 0), CAST(COALESCE(SUM(dd), 0) AS DOUBLE) FROM pd
 UNION ALL SELECT 'supplier_ledger_vs_dues', COUNT(*) FILTER (WHERE dd <> 0), CAST(COALESCE(SUM(dd), 0) AS DOUBLE) FROM su

@@ -19,6 +19,8 @@ from .sources.mapping import Retail
 PERIOD = ("1997-01-01", "1997-12-31")
 AS_OF = "1997-12-31"
 TOP_N = 10
+RECENT_SALES = 100
+RECENT_PURCHASES = 200
 Q_PRODUCTS = "ring"
 Q_SALES = "INV-12"
 Q_SUPPLIERS = "Supplier#00000001"

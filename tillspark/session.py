@@ -1,7 +1,7 @@
 """Spark session settings used by tests, the bench and the entry module.
 
 On a cluster the session is created by the platform; ``configure`` only fills
-in what is missing (checkpoint folder, AQE, UTC) and never overrides a value
+in what is missing (AQE, UTC) and never overrides a value
 the cluster already set.
 """
 
@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every query in the library relies on; applied only where unset.
 DEFAULTS = {
@@ -27,24 +28,30 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in DEFAULTS.items():
         if conf.get(key, None) in (None, ""):
             conf.set(key, value)
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+    """The shared folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) a fresh scratch folder is made.
+    A local session without one (tests) gets a scratch folder; a cluster
+    without one is refused, since executors could not see the driver's files.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
-    path = tempfile.mkdtemp(prefix="tillspark-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
+        return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tillspark-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: its plan runs once and survives lost executors."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tillspark") -> SparkSession:

@@ -70,6 +70,7 @@ def sale_lines(docs: DataFrame) -> DataFrame:
         to_number("item.quantity").alias("qty"),
         F.when(F.col("item.unit_price").isNull(), F.lit(None)).otherwise(to_number("item.unit_price")).alias("price_in"),
         to_number("item.line_discount").alias("ldisc_in"),
+        (F.col("item.unit_price").isNotNull() & to_number("item.unit_price").isNull()).alias("price_junk"),
         F.col("item").isNull().alias("no_item"),
     )
 

@@ -36,7 +36,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "sale_items": T.StructType([
         _f("sale_id", L, False), _f("line_no", T.IntegerType()), _f("product_id", L), _f("product_name", S),
         _f("quantity", MONEY), _f("unit_price", MONEY), _f("unit_cost", MONEY), _f("line_total", MONEY),
-        _f("line_discount", MONEY),
+        _f("line_discount", MONEY), _f("date", TS),
     ]),
     "payments": T.StructType([
         _f("id", L, False), _f("sale_id", L, False), _f("date", TS), _f("amount", MONEY), _f("note", S),
@@ -56,7 +56,10 @@ SCHEMAS: dict[str, T.StructType] = {
     ]),
     "purchase_items": T.StructType([
         _f("purchase_id", L, False), _f("line_no", T.IntegerType()), _f("product_id", L), _f("product_name", S),
-        _f("quantity", MONEY), _f("unit_cost", MONEY), _f("line_total", MONEY),
+        _f("quantity", MONEY), _f("unit_cost", MONEY), _f("line_total", MONEY), _f("date", TS), _f("ref", L),
+    ]),
+    "stock_adjustments": T.StructType([
+        _f("product_id", L), _f("date", TS), _f("quantity", MONEY), _f("ref", L),
     ]),
     "supplier_payments": T.StructType([
         _f("id", L, False), _f("supplier_id", L, False), _f("purchase_id", L), _f("date", TS),
@@ -81,21 +84,26 @@ def empty_frame(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[table])
 
 
+# Partition columns of tables written by ``sinks.append_facts``; kept so that period filters prune.
+PARTITIONS = ("month", "batch_id")
+
+
 def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:
-    """Read one table with its declared schema, or an empty frame if the path is missing."""
+    """Read one table with its declared schema and partition columns, or an empty frame if the path is missing."""
     try:
         df = spark.read.parquet(path)
     except Exception as exc:  # path absent → empty table, like CREATE TABLE IF NOT EXISTS
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
             return empty_frame(spark, table)
         raise
-    return align_schema(df, table)
+    return align_schema(df, table, keep=PARTITIONS)
 
 
-def align_schema(df: DataFrame, table: str) -> DataFrame:
+def align_schema(df: DataFrame, table: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Add any missing column with its default and order/cast columns to the table schema.
 
-    A column absent from ``df`` is filled with the migration default (or NULL);
+    A column absent from ``df`` is filled with the migration default (or NULL); ``keep`` names
+    further columns that stay if present;
     a NULL in a defaulted column that exists is left as it is, as in SQLite.
     """
     schema = SCHEMAS[table]
@@ -108,4 +116,4 @@ def align_schema(df: DataFrame, table: str) -> DataFrame:
         else:
             default = defaults.get(field.name)
             cols.append(F.lit(default).cast(field.dataType).alias(field.name))
-    return df.select(*cols)
+    return df.select(*cols, *[c for c in keep if c in present and c not in schema.names])

@@ -1,10 +1,9 @@
 """Sinks: append posted documents, write result documents.
 
-Facts are appended partitioned by the month of their date, so a period query
-prunes whole partitions (``in_period`` also filters ``month`` when asked to).
-A batch's output path is fixed by the caller, so a re-run after a failure
-overwrites the same partition set instead of duplicating it (``overwrite``
-with dynamic partition overwrite).
+Facts are appended partitioned by the month of their date and by the batch that
+brought them, so a period query prunes whole months (``in_period`` also filters
+``month``), batches of one month stand side by side, and a batch that is run
+again after a failure replaces only its own rows.
 """
 
 from __future__ import annotations
@@ -17,19 +16,16 @@ def with_month(df: DataFrame, date_col: str = "date") -> DataFrame:
     return df.withColumn("month", F.date_format(F.col(date_col), "yyyy-MM"))
 
 
-def append_facts(df: DataFrame, path: str, date_col: str = "date", idempotent: bool = True) -> None:
-    """Append rows to a month-partitioned Parquet table (A5).
+def append_facts(df: DataFrame, path: str, batch_id: str, date_col: str = "date") -> None:
+    """Append one batch to a Parquet table partitioned by month and batch (A5).
 
-    ``idempotent=True`` uses dynamic partition overwrite: the months present in
-    ``df`` are replaced as a whole, so re-running a batch does not double it.
+    ``batch_id`` names the batch: writing the same one again replaces what it wrote, other batches stay.
+    Rows without a date go to the partition of unknown months.
     """
-    out = with_month(df, date_col)
-    w = out.write.partitionBy("month")
-    if idempotent:
-        out.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        w.mode("overwrite").parquet(path)
-    else:
-        w.mode("append").parquet(path)
+    if not batch_id:
+        raise ValueError("append_facts needs the batch's id")
+    out = with_month(df, date_col).withColumn("batch_id", F.lit(str(batch_id)))
+    out.write.partitionBy("month", "batch_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

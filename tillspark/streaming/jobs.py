@@ -9,8 +9,8 @@ The reference re-queries everything on each page view; these keep the
 * I2 ``low_stock_alerts`` — ``applyInPandasWithState`` keyed by product: the
   state is the running quantity and whether it is low; a row is emitted only
   when the product crosses its reorder level (either way).
-* I3 ``cash_position`` — update-mode running totals per cash component,
-  delivered through ``foreachBatch`` to an idempotent sink.
+* I3 ``cash_position`` — running totals per cash component in complete mode,
+  delivered through ``foreachBatch``, each epoch whole to its own folder.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -31,11 +31,14 @@ def daily_takings(sales_stream: DataFrame, watermark: str = "2 days") -> DataFra
     ``date`` is cast to ``timestamp`` first: a watermark on ``timestamp_ntz``
     is rejected by Spark.
     """
+    zone = sales_stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"day windows are cut in UTC; the session's time zone is {zone}")
     s = sales_stream.withColumn("ts", F.col("date").cast("timestamp")).withWatermark("ts", watermark)
     s = s.dropDuplicatesWithinWatermark(["invoice_no"])
     return s.groupBy(F.window("ts", "1 day").alias("day"), "payment_type").agg(
         F.sum("total").cast(TOTAL).alias("revenue"), F.count(F.lit(1)).alias("orders")
-    ).select(F.date_format(F.col("day.start"), "yyyy-MM-dd").alias("day"), "payment_type", "revenue", "orders")
+    ).select(F.col("day.start").cast("timestamp_ntz").cast("date").cast("string").alias("day"), "payment_type", "revenue", "orders")
 
 
 ALERT_SCHEMA = "product_id long, date timestamp, quantity double, reorder_level double, low boolean"
@@ -82,27 +85,25 @@ def low_stock_alerts(movements_stream: DataFrame, products: DataFrame) -> DataFr
 
 
 def cash_position(flows_stream: DataFrame) -> DataFrame:
-    """Running total per cash component from a stream of ``(component, amount)`` flows (I3, update mode)."""
+    """Running total per cash component from a stream of ``(component, amount)`` flows (I3, complete mode)."""
     return flows_stream.groupBy("component").agg(F.sum("amount").cast(TOTAL).alias("amount"))
 
 
 def write_position(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer: each batch's updated components replace the previous snapshot.
+    """``foreachBatch`` writer of the complete state: each epoch is written whole to its own folder.
 
-    The snapshot is rewritten whole per epoch (merge of the old snapshot with
-    the batch's updates), so a replayed epoch after a failure writes the same
-    result.  The state is one row per component, so the merge is tiny.
+    Run the query in complete mode.  Nothing is read back or merged, so a failed read cannot lose a
+    component, and an epoch that is replayed writes the same folder again.
     """
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        target = f"{path}/epoch={epoch_id}"
-        try:
-            prev = spark.read.parquet(f"{path}/current")
-            merged = prev.join(batch.select("component"), "component", "left_anti").unionByName(batch)
-        except Exception:  # first epoch: no snapshot yet
-            merged = batch
-        merged.write.mode("overwrite").parquet(target)
-        spark.read.parquet(target).write.mode("overwrite").parquet(f"{path}/current")
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch_id}")
 
     return write
+
+
+def read_position(spark: SparkSession, path: str) -> DataFrame:
+    """The position of the latest epoch whose write was completed."""
+    epochs = spark.read.parquet(path)
+    last = epochs.agg(F.max("epoch").alias("epoch")).first()["epoch"]
+    return epochs.filter(F.col("epoch") == last).drop("epoch")
