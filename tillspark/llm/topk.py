@@ -1,13 +1,13 @@
 """Exact top-k by inner product: an impact-ordered index read score-at-a-time.
 
-Vectors are quantised to integers. In every block of vectors, each dimension is a
-posting list ordered by quantised impact and cut into segments. For a query, the
-segments of all dimensions are processed in descending order of the most they can
-add to a score; ``acc`` gathers what each vector has got above the least it could
-get, and ``rest`` is the most that unread segments can still add. Reading stops
-once few vectors can still reach the k-th best lower bound (a proof that all
-others are out, ties included); those few are rescored exactly. The best k of
-each block meet in one ranking per query.
+Vectors are quantised to integers. A posting is a (vector, dimension) with its impact,
+the magnitude of the component; its quantised impact is the magnitude's bit length. In
+every block of vectors the postings of one quantised impact form a segment. Segments are
+processed in descending quantised impact for a chunk of queries together: ``acc`` gathers
+what the read postings give, and the norm of each vector's unread components, times the
+query's norm, bounds what they can still add or take. A query stops once few vectors can
+still reach its k-th best lower bound (a proof that all others are out, ties included);
+those few are rescored exactly. The best k of each block meet in one ranking per query.
 
 Scale: queries are a stated set; they meet the vectors in blocks of bounded size,
 ``block_rows`` vectors by ``chunk_rows`` queries a task, and each task returns at
@@ -33,59 +33,52 @@ from .common import stage
 K = 5
 SCALE = 256
 BLOCK_ROWS, CHUNK_ROWS = 8_192, 2_048
-SEGMENTS = 8
-FEW = 256
+QUERIES_AT_ONCE = 128
+FEW = 64
 _LAST = (1 << 63) - 1
 FOUND = "qrid long, query_id long, rid long, vec_id long, score long"
 
 
 class ImpactIndex:
-    """Posting segments of one block: per dimension, rows in ascending impact, cut at equal counts."""
+    """Posting segments of one block by quantised impact, highest first, and the norms of what is unread after each."""
 
-    def __init__(self, vectors: np.ndarray, segments: int = SEGMENTS):
+    def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        n, self.dims = vectors.shape
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
-        self.impact = np.take_along_axis(vectors.T, self.order, axis=1)
-        cuts = np.unique(np.linspace(0, n, min(segments, n) + 1).astype(int))
-        self.spans = list(zip(cuts[:-1], cuts[1:]))
-        self.low = self.impact[:, [a for a, _ in self.spans]]
-        self.high = self.impact[:, [b - 1 for _, b in self.spans]]
-
-    def search(self, q: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of every vector that can be among the k best, exactly scored; ``own`` is left out."""
-        n = len(self.vectors)
-        acc = np.zeros(n, dtype=self.vectors.dtype)
-        used = np.flatnonzero(q)
-        weight = q[used]
-        up = weight > 0
-        floor = np.where(up, weight * self.impact[used, 0], weight * self.impact[used, -1])
-        most = np.where(up[:, None], weight[:, None] * self.high[used], weight[:, None] * self.low[used]) - floor[:, None]
-        turn = np.where(up[:, None], np.arange(len(self.spans))[::-1], np.arange(len(self.spans)))  # a dimension's segments, best first
-        most = np.take_along_axis(most, turn, axis=1)
-        plan = np.argsort(-most.ravel(), kind="stable")  # never before a better segment of its dimension: most falls along a row
-        rest = int(most[:, 0].sum()) if len(used) else 0
-        alive, steps = None, max(1, len(plan) // 12)
-        for at, p in enumerate(plan):
-            d, s = divmod(int(p), len(self.spans))
-            a, b = self.spans[turn[d, s]]
-            rows = self.order[used[d], a:b]
-            acc[rows] += weight[d] * self.impact[used[d], a:b] - floor[d]
-            rest -= int(most[d, s]) - (int(most[d, s + 1]) if s + 1 < len(self.spans) else 0)
-            if at % steps == steps - 1 and n > FEW:
-                alive = self._possible(acc, rest, k, own)
-                if len(alive) <= FEW:
-                    break
-        alive = self._possible(acc, rest, k, own) if alive is None or len(alive) > FEW else alive
-        return alive, self.vectors[alive] @ q
-
-    @staticmethod
-    def _possible(acc: np.ndarray, rest: int, k: int, own: int | None) -> np.ndarray:
-        if own is not None:
-            acc[own] = -1  # below every lower bound
-        kth = np.partition(acc, -k)[-k] if len(acc) > k else 0
-        out = np.flatnonzero(acc + rest >= max(kth, 0))
-        return out[out != own] if own is not None else out
+        self.exact = np.float64 if vectors.dtype != object else object  # whole numbers below 2**53 add up exactly
+        size = np.abs(vectors).astype(float)
+        level = np.where(size > 0, np.frexp(size)[1], 0)  # bit length
+        self.segments, self.unread = [], []
+        for impact in range(int(level.max(initial=0)), 0, -1):
+            self.segments.append(np.where(level == impact, vectors, 0).astype(self.exact))
+            self.unread.append(np.sqrt((np.where(level < impact, size, 0.0) ** 2).sum(axis=1)) * (1 + 1e-9))
+
+    def search(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[np.ndarray]:
+        """For each query, the rows that can be among its k best; row ``own[i]`` (-1: none) is left out."""
+        n, out = len(self.vectors), [np.arange(0)] * len(queries)
+        norm = np.sqrt((queries.astype(float) ** 2).sum(axis=1)) * (1 + 1e-9)
+        open_ = np.arange(len(queries))
+        acc = np.zeros((len(queries), n), dtype=self.exact)
+        known = np.flatnonzero(own >= 0)
+        last = len(self.segments) - 1
+        for at in range(-1 if last < 0 else 0, last + 1):
+            if at >= 0:
+                acc += queries[open_].astype(self.exact) @ self.segments[at].T
+            near = acc.astype(float)
+            near[known, own[open_[known]]] = -np.inf
+            slack = norm[open_][:, None] * self.unread[at][None, :] if 0 <= at < last else np.zeros((1, n))
+            if n > k:
+                kth = np.partition(near - slack, n - k, axis=1)[:, n - k]
+            else:
+                kth = np.full(len(open_), -np.inf)
+            may = near + slack >= np.where(np.isfinite(kth), kth - np.abs(kth) * 1e-12, -np.finfo(float).max)[:, None]
+            few = may.sum(axis=1) <= FEW if at < last else np.ones(len(open_), bool)
+            for i in np.flatnonzero(few):
+                out[open_[i]] = np.flatnonzero(may[i])
+            open_, acc = open_[~few], acc[~few]
+            known = np.flatnonzero(own[open_] >= 0)
+            if not len(open_):
+                break
+        return out
 
 
 def quantised(vectors: DataFrame, vector: str = "embedding", vec_id: str = "vec_id", scale: int = SCALE) -> DataFrame:
@@ -110,9 +103,13 @@ def search_block(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Dat
     index = ImpactIndex(x)
     rid, ids = vectors["rid"].to_numpy(), vectors["vec_id"].to_numpy()
     place = {r: i for i, r in enumerate(rid)}
+    own = np.array([place.get(q, -1) for q in queries["rid"]])
+    found = []
+    for at in range(0, len(qs), QUERIES_AT_ONCE):
+        found += index.search(qs[at : at + QUERIES_AT_ONCE], k, own[at : at + QUERIES_AT_ONCE])
     out = []
-    for qrid, query_id, q in zip(queries["rid"], queries["vec_id"], qs):
-        rows, scores = index.search(q, k, place.get(qrid))
+    for qrid, query_id, q, rows in zip(queries["rid"], queries["vec_id"], qs, found):
+        scores = x[rows] @ q
         scores = np.array([max(-_LAST - 1, min(_LAST, int(s))) for s in scores], np.int64) if x.dtype == object else scores.astype(np.int64)
         best = np.lexsort((rid[rows], ids[rows], -scores))[:k]
         out.extend((qrid, query_id, rid[r], ids[r], s) for r, s in zip(rows[best], scores[best]))
