@@ -18,7 +18,7 @@ SAMPLE = ["period_kpis", "pnl_statement", "timeseries_month", "top_products", "c
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
-    assert [f.name for f in df.schema.fields] == ["line_no", "section", "label", "amount"]
+    assert [f.name for f in df.schema.fields] == ["line_no", "section", "label", "amount", "is_loss"]
 
 
 def test_every_oracle_has_a_query():

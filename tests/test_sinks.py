@@ -1,4 +1,4 @@
-"""Append sink partitioned by month; re-running a batch replaces its months instead of doubling them (A5)."""
+"""Append sink partitioned by month and batch: a batch that is run again replaces its own rows, others stay (A5)."""
 
 from __future__ import annotations
 
@@ -6,15 +6,31 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from tillspark.sources.schemas import read_table
 from tillspark.sources.sinks import append_facts
 
 
+def test_batches_of_one_month_stand_side_by_side(frame, spark):
+    path = tempfile.mkdtemp(prefix="tillspark-sink-") + "/sales"
+    append_facts(frame("sales", [{"id": 1, "date": "2024-01-02 10:00:00", "total": 5}]), path, "b1")
+    append_facts(frame("sales", [{"id": 2, "date": "2024-01-20 10:00:00", "total": 7}]), path, "b2")
+    append_facts(frame("sales", [{"id": 3, "total": 1}]), path, "b3")  # undated
+    assert sorted(r.id for r in read_table(spark, "sales", path).collect()) == [1, 2, 3]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
+def test_lines_can_be_appended_and_read(frame, spark):
+    path = tempfile.mkdtemp(prefix="tillspark-sink-") + "/sale_items"
+    append_facts(frame("sale_items", [{"sale_id": 1, "date": "2024-01-02 10:00:00", "quantity": "0.125"}]), path, "b1")
+    assert read_table(spark, "sale_items", path).first()["month"] == "2024-01"
+
+
 def test_append_is_idempotent_per_month(frame, spark):
     s = frame("sales", [{"id": 1, "date": "2024-01-02 10:00:00", "total": 5},
                         {"id": 2, "date": "2024-02-03 10:00:00", "total": 7}])
     path = tempfile.mkdtemp(prefix="tillspark-sink-") + "/sales"
-    append_facts(s, path)
-    append_facts(s, path)  # replayed batch
+    append_facts(s, path, "b1")
+    append_facts(s, path, "b1")  # replayed batch
     back = spark.read.parquet(path)
     assert back.count() == 2
     assert sorted(r.month for r in back.select("month").distinct().collect()) == ["2024-01", "2024-02"]
@@ -28,8 +44,8 @@ def test_in_period_prunes_month_partitions(frame, spark):
     s = frame("sales", [{"id": i, "date": f"2024-0{m}-1{i % 9} 10:00:00", "total": 1} for i, m in
                         [(1, 1), (2, 2), (3, 3), (4, 3)]])
     path = tempfile.mkdtemp(prefix="tillspark-prune-") + "/sales"
-    append_facts(s, path)
-    df = in_period(spark.read.parquet(path), ("2024-03-01", "2024-03-31"))
+    append_facts(s, path, "b1")
+    df = in_period(read_table(spark, "sales", path), ("2024-03-01", "2024-03-31"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
     assert sorted(r.id for r in df.collect()) == [3, 4]

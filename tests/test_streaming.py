@@ -67,11 +67,12 @@ def test_cash_position_final_equals_breakdown(spark):
     d = tempfile.mkdtemp(prefix="tillspark-i3-")
     cash.cash_flows(*tables).repartition(4).write.parquet(f"{d}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{d}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in")
-    q = jobs.cash_position(stream).writeStream.outputMode("update").foreachBatch(jobs.write_position(f"{d}/out")) \
+    q = jobs.cash_position(stream).writeStream.outputMode("complete").foreachBatch(jobs.write_position(f"{d}/out")) \
         .option("checkpointLocation", f"{d}/ckpt").start()
     q.processAllAvailable()
     q.stop()
-    got = {x.component: float(x.amount) for x in spark.read.parquet(f"{d}/out/current").collect()}
+    got = {x.component: float(x.amount) for x in jobs.read_position(spark, f"{d}/out").collect()}
     b = cash.cash_breakdown(*tables).collect()[0].asDict()
+    assert set(got) == {c for c in cash.COMPONENTS if b[c]}
     for comp, amount in got.items():
         assert float(b[comp]) == amount

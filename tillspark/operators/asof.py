@@ -18,7 +18,7 @@ from .prefix import carry_forward
 
 def asof_cost(sale_items: DataFrame, sales: DataFrame, purchase_items: DataFrame) -> DataFrame:
     """Sale lines with ``cost_asof`` (latest purchase cost at or before the sale) and ``line_cost``."""
-    lines = sale_items.join(sales.select(F.col("id").alias("sale_id"), "date"), "sale_id").select(
+    lines = sale_items.drop("date").join(sales.select(F.col("id").alias("sale_id"), "date"), "sale_id").select(
         "product_id", "date", F.lit(1).alias("rank"), F.col("sale_id").alias("k1"), F.col("line_no").cast("long").alias("k2"),
         F.lit(0).cast("long").alias("k3"), F.col("quantity").alias("qc"),
         F.lit(None).cast(MONEY).alias("cost"), "sale_id", "line_no", "quantity",

@@ -141,7 +141,7 @@ def stock_movements(
         "product_id", "date", F.lit(RANK_PURCHASE).alias("rank"), F.col("purchase_id").alias("ref"),
         F.col("line_no").cast("long").alias("line_no"), F.col("quantity").alias("delta"), F.lit("purchase").alias("source"),
     )
-    sold = sale_items.join(sales.select(F.col("id").alias("sale_id"), "date"), "sale_id").select(
+    sold = sale_items.drop("date").join(sales.select(F.col("id").alias("sale_id"), "date"), "sale_id").select(
         "product_id", "date", F.lit(RANK_SALE).alias("rank"), F.col("sale_id").alias("ref"),
         F.col("line_no").cast("long").alias("line_no"), (-F.col("quantity")).cast(MONEY).alias("delta"), F.lit("sale").alias("source"),
     )
