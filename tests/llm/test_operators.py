@@ -348,8 +348,8 @@ def brute_classes(rows, threshold=0.8):
     return [(rows[a][0], least[find(a)][1], links[a]) for a in range(n)]
 
 
-@pytest.mark.parametrize("block", [jaccard_join.BLOCK_GRAMS, 300])
-def test_jaccard_join_equals_brute_force(docs_of, block):
+@pytest.mark.parametrize("options", [{}, {"block_grams": 300}, {"block_sets": 7}])
+def test_jaccard_join_equals_brute_force(docs_of, options):
     rng = random.Random(9)
     base = words(rng, 120).split()
     rows = []
@@ -360,7 +360,7 @@ def test_jaccard_join_equals_brute_force(docs_of, block):
         rows.append((i, " ".join(w)))
     rows += [(100 + i, words(rng, rng.randint(1, 200))) for i in range(20)]
     rows += [(7, rows[7][1]), (201, rows[3][1].upper()), (202, "one two"), (203, "One  two"), (204, None), (205, ""), (206, ""), (None, "a b c d e f g"), (207, " a b c d e f g\n"), (208, words(rng, 9000)), (100, "same id, other text than before")]
-    out = jaccard_join.near_classes(docs_of(rows), block_grams=block).select("doc_id", "class_id", "n_links").collect()
+    out = jaccard_join.near_classes(docs_of(rows), **options).select("doc_id", "class_id", "n_links").collect()
     assert collections.Counter(map(tuple, out)) == collections.Counter(brute_classes(rows))
 
 

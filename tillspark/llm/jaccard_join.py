@@ -39,6 +39,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 ROWS = 6
 BLOCK_GRAMS = 150_000
+BLOCK_SETS = 1_500  # a block's pairs are a matrix of this side, whatever the texts' lengths
 _LAST = (1 << 63) - 1
 
 
@@ -209,7 +210,7 @@ def verify(pdf: pd.DataFrame, n: int, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"set_id": ids, "links": links, "least": least})
 
 
-def near_classes(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def near_classes(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block_grams: int = BLOCK_GRAMS, block_sets: int = BLOCK_SETS) -> DataFrame:
     """doc_key, doc_id, class_id, n_links, keeper: one row per row of ``docs``.
 
     ``class_id`` is the least id of the class, ``keeper`` the doc_key of one row of it that stands for the class.
@@ -223,7 +224,8 @@ def near_classes(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD
     candidates = components(banded.join(buckets, "hash").select(F.col("set_id").alias("a"), F.col("low").alias("b")), "candidates")
 
     members = stage(candidates.join(classes.drop("bands"), F.col("node") == F.col("set_id")).select("set_id", "root", "weight", "n_grams", F.col("rep.doc_key").alias("doc_key")), "members")
-    sizes = members.groupBy("root").agg(F.sum("n_grams").alias("grams")).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("grams") / block_grams)).cast("int"))
+    sizes = members.groupBy("root").agg(F.sum("n_grams").alias("grams"), F.count("*").alias("sets"))
+    sizes = sizes.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("grams") / block_grams), F.ceil(F.col("sets") / block_sets)).cast("int"))
     total = members.agg(F.coalesce(F.sum("n_grams"), F.lit(0)).alias("g")).first()["g"]
     bins = max(1, -(-total // block_grams))  # components of one block share tasks of about one block's size
     placed = members.join(sizes.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
