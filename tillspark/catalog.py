@@ -318,6 +318,26 @@ def _intake_sales(r):
     return posting.intake_sales(r["sale_docs"], r["products"])
 
 
+@query("posted_sale_items")
+def _posted_sale_items(r):
+    return posting.posted_sale_items(r["sale_docs"], r["products"])
+
+
+@query("posted_payments")
+def _posted_payments(r):
+    return posting.posted_payments(r["sale_docs"], r["products"])
+
+
+@query("stock_after_sales")
+def _stock_after_sales(r):
+    return posting.stock_after_sales(r["sale_docs"], r["products"])
+
+
+@query("posted_purchase_items")
+def _posted_purchase_items(r):
+    return posting.posted_purchase_items(r["purchase_docs"], r["products"])
+
+
 @query("intake_rejects")
 def _intake_rejects(r):
     return posting.intake_rejects(r["sale_docs"], r["products"])

@@ -28,6 +28,7 @@ REJECT_NOT_FOUND = "not_found"
 REJECT_QUANTITY = "bad_quantity"
 REJECT_STOCK = "no_stock"
 REJECT_COST = "bad_cost"
+FIRST_PAYMENT_NOTE = "Initial payment at sale"
 REJECT_NO_ID = "no_ref"
 REJECT_SAME_ID = "repeated_ref"
 REJECT_DATE = "bad_date"
@@ -151,6 +152,41 @@ def intake_sales(docs_json: DataFrame, products: DataFrame, per_line: bool = Fal
     )
 
 
+def posted_sale_items(docs_json: DataFrame, products: DataFrame, per_line: bool = False) -> DataFrame:
+    """Line rows of the accepted sale documents, with the product's name and cost at posting (K1)."""
+    lines, rejects = _sale_checks(docs_json, products, per_line)
+    return _accepted(lines, rejects).select(
+        "ref", "pos", "product_id", "product_name", F.col("qty").try_cast(QUANTITY).alias("quantity"), "unit_price",
+        F.col("cost_price").alias("unit_cost"), "line_discount", "line_total",
+    )
+
+
+def posted_payments(docs_json: DataFrame, products: DataFrame, per_line: bool = False, as_of: str | None = None) -> DataFrame:
+    """First instalments of the accepted credit sales that paid something (K1)."""
+    methods = parse_docs(docs_json, SALE_DOC).select("ref", "paid_method")
+    paid = intake_sales(docs_json, products, per_line, as_of).filter((F.col("payment_type") == "credit") & (F.col("amount_paid") > 0))
+    return paid.join(methods, "ref").select(
+        "ref", "date", F.col("amount_paid").alias("amount"), F.lit(FIRST_PAYMENT_NOTE).alias("note"),
+        F.coalesce(F.nullif("paid_method", F.lit("")), F.lit("cash")).alias("method"),
+    )
+
+
+def stock_after_sales(docs_json: DataFrame, products: DataFrame, per_line: bool = False) -> DataFrame:
+    """Each product's stock before and after the accepted sale documents (K1)."""
+    sold = posted_sale_items(docs_json, products, per_line).groupBy("product_id").agg(F.sum("quantity").alias("_sold"))
+    stock = products.select(F.col("id").alias("product_id"), F.col("quantity").alias("before"))
+    left = F.col("before") - F.coalesce("_sold", F.lit(0))
+    return stock.join(sold, "product_id", "left").select("product_id", "before", total(left).alias("after"))
+
+
+def posted_purchase_items(docs_json: DataFrame, products: DataFrame) -> DataFrame:
+    """Line rows of the accepted purchase documents (K2)."""
+    lines, rejects = _purchase_checks(docs_json, products)
+    cost, qty = F.col("cost_num").try_cast(MONEY), F.col("qty").try_cast(QUANTITY)
+    return _accepted(lines, rejects).select(
+        "ref", "pos", "product_id", "product_name", qty.alias("quantity"), cost.alias("unit_cost"), _money(qty * cost).alias("line_total"))
+
+
 def intake_rejects(docs_json: DataFrame, products: DataFrame, per_line: bool = False) -> DataFrame:
     """Rejected sale documents with the reason of their first failing line (K1)."""
     _, rejects = _sale_checks(docs_json, products, per_line)

@@ -497,6 +497,21 @@ tt AS (SELECT *, GREATEST(0, subtotal - disc) AS tot,
 SELECT ref, customer_name, payment_type, {ts('date')}, lines, {d('subtotal')}, {d('disc', 'discount')}, {d('tot', 'total')},
        {d('paid', 'amount_paid')}, {d('GREATEST(0, tot - paid)', 'amount_due')}
 FROM tt"""
+SQL["posted_sale_items"] = f"""
+WITH {_DOC_LINES}
+SELECT lp.ref, lp.pos, lp.product_id, lp.product_name, {d('lp.qty', 'quantity')}, {d('lp.unit_price', 'unit_price')},
+       {d('q.cost_price', 'unit_cost')}, {d('lp.line_discount', 'line_discount')},
+       {d('CAST(GREATEST(0, lp.gross - lp.line_discount) AS DECIMAL(18,2))', 'line_total')}
+FROM lp JOIN products q ON q.id = lp.product_id ANTI JOIN rej ON rej.ref = lp.ref"""
+SQL["posted_payments"] = f"""
+WITH {_DOC_LINES}
+SELECT o.o_orderkey AS ref, {ts('o.o_orderdate', 'date')}, 500.0 AS amount, 'Initial payment at sale' AS note, 'cash' AS method
+FROM orders o ANTI JOIN rej ON rej.ref = o.o_orderkey WHERE {_PT} = 'credit' AND o.o_orderkey % 3 <> 0"""
+SQL["stock_after_sales"] = f"""
+WITH {_DOC_LINES},
+sold AS (SELECT lp.product_id, SUM(lp.qty) AS n FROM lp ANTI JOIN rej ON rej.ref = lp.ref GROUP BY lp.product_id)
+SELECT q.id AS product_id, {d('q.quantity', 'before')}, {d('q.quantity - COALESCE(sold.n, 0)', 'after')}
+FROM products q LEFT JOIN sold ON sold.product_id = q.id"""
 SQL["basket_merge"] = f"""
 WITH {_DOC_LINES}
 SELECT ref, product_id, COUNT(*) AS line_count, {d('ROUND(SUM(qty), 2)', 'quantity')},
@@ -515,6 +530,10 @@ pl AS (
          CASE WHEN line_no = 7 THEN -unit_cost ELSE unit_cost END AS cost,
          ROW_NUMBER() OVER (PARTITION BY purchase_id ORDER BY line_no, ref, product_id, quantity, unit_cost) - 1 AS pos
   FROM purchase_items)"""
+SQL["posted_purchase_items"] = f"""
+WITH {_PDOC}
+SELECT ref, pos, product_id, product_name, {d('quantity')}, {d('cost', 'unit_cost')}, {d('ROUND(quantity * cost, 2)', 'line_total')}
+FROM pl WHERE ref NOT IN (SELECT ref FROM pl WHERE cost < 0)"""
 SQL["intake_purchases"] = f"""
 WITH {_PDOC},
 acc AS (
