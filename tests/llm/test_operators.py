@@ -271,6 +271,21 @@ def test_html_main_text(spark):
     assert [tuple(r) for r in html_extract.main_text(df).orderBy("page_id").collect()] == [(1, "u", "", 0), (2, None, "é😀", 2)]
 
 
+def test_html_attributes_are_read_whole():
+    story = "<p>A paragraph of the story that is long enough to count as its main text, with many words in it.</p>"
+    for attrs in ("style='overflow:hidden'", 'title="Hidden gems"', "data-hidden='false'", "data-id=comments", "data-class='ad'", "title='class=ad'", "data-x=hidden", "id='ad-hoc-networks'", "class='social-history'"):
+        for tag in ("div", "section"):
+            for page in (f"<article><{tag} {attrs}>{story}</{tag}></article>", f"<div class=content><{tag} {attrs}>{story}</{tag}></div>"):
+                assert html_extract.extract(page) == story[3:-4], page
+    for attrs in ("id=search", "id='related'", "id='ad-hoc-networks'"):
+        assert html_extract.extract(f"<article><h2 {attrs}>Head</h2>{story}</article>") == "Head " + story[3:-4]
+    assert html_extract.extract(f"<article><section id=search>{story}</section></article>") == story[3:-4]
+    for attrs in ("hidden", "hidden=''", "title='a' hidden", "class=\"x ad\"", "aria-hidden = 'true'", "role=navigation", "id=comments", "class=ad id=x", "class=\"x\nad\""):
+        assert html_extract.extract(f"<article>{story}<section {attrs}>{story}</section></article>") == story[3:-4], attrs
+    for attrs in ("class=cookie-notice", "id=sidebar_left", "class='ad-slot-3'", "id=comments-list"):
+        assert html_extract.extract(f"<div>{story}</div><div {attrs}>{story}</div>") == story[3:-4], attrs
+
+
 # --- decontamination ----------------------------------------------------------------------------
 
 

@@ -6,7 +6,9 @@ surges above the threshold a run of main text begins, where it falls to zero
 (the dive) the run ends, and the lines between are kept. Lines of containers
 that never hold main text (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) weigh nothing, and so do lines made of
-links only. Where a page marks its article, only the article's lines weigh and
+links only. Attributes are read as whole names with whole values; a container is
+dropped by its class or id where that is a noise word, outside articles also where
+it joins noise and layout words (``cookie-notice``, ``ad-slot``). Where a page marks its article, only the article's lines weigh and
 any of them is a surge; elsewhere the threshold follows the page's own peak.
 
 Edge cases: a null or empty page gives an empty text; broken or unclosed markup
@@ -45,6 +47,12 @@ NOISE_NAMES = frozenset(
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 SPLIT_NAMES = frozenset("ad ads advert sponsor sponsored promo cookie consent comment comments sidebar footer nav navbar menu breadcrumb breadcrumbs social share newsletter disqus".split())
+COMMENT_NAMES = frozenset("comment comments respond replies disqus".split())
+#: Words that say where or how a container stands: a name that begins or ends with one of SPLIT_NAMES and is made of these and noise words only is noise.
+LAYOUT_WORDS = frozenset(
+    "area bar block body bottom box button buttons center col column container content div form group holder icon icons id inner item items left link links "
+    "list main message outer overlay panel placeholder policy primary right row secondary section slot space text thread title top unit wrap wrapper zone".split()
+)
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -54,20 +62,33 @@ _TAG = re.compile(
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute: its whole name, and its value in double, single or no quotes.
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")
+
+
+def _layout_noise(name: str) -> bool:
+    parts = [x for x in name.split("-") if x and not x.isdigit()]
+    return bool(parts) and (parts[0] in SPLIT_NAMES or parts[-1] in SPLIT_NAMES) and all(x in NOISE_NAMES or x in LAYOUT_WORDS for x in parts)
 
 
-def _is_noise(attrs: str) -> bool:
+def _is_noise(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether an element is no main text by its attributes; ``inside`` an article only whole names count."""
+    seen = set()
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
+        if key in seen:  # the first of a name holds
+            continue
+        seen.add(key)
+        if key == "hidden" or key == "aria-hidden" and value.strip() == "true":
             return True
-        if key == "role" and value in NOISE_ROLES:
+        if key == "role" and value.strip() in NOISE_ROLES:
             return True
+        if key == "id" and tag in HEADINGS:  # an anchor made of the heading's words
+            continue
         if key in ("class", "id"):
+            names = COMMENT_NAMES if key == "id" and inside and tag == "section" else NOISE_NAMES
             for name in value.replace("_", "-").split():
-                parts = name.split("-")
-                if name in NOISE_NAMES or parts[0] not in ("has", "with", "no", "without") and (parts[0] in SPLIT_NAMES or parts[-1] in SPLIT_NAMES):
+                if name in names or not inside and _layout_noise(name):
                     return True
     return False
 
@@ -147,10 +168,10 @@ def _lines(page: str) -> tuple[_Lines, bool]:
             articles, has_article = articles + 1, True
         elif name == "body" or name == "html":
             close("head")
-        elif name in DROPPED or name not in ("body", "html") and attrs and _is_noise(attrs):
+        elif name in DROPPED or name not in ("body", "html") and attrs and _is_noise(name, attrs, articles > 0):
             if not dropped:
                 out.end(articles > 0)
-            stack.append((name, "drop" if not (articles and name == "header" and not _is_noise(attrs)) else "heading"))
+            stack.append((name, "drop" if not (articles and name == "header" and not _is_noise(name, attrs, True)) else "heading"))
             dropped += stack[-1][1] == "drop"
         elif name == "a":
             stack.append((name, "link"))
