@@ -286,6 +286,39 @@ def test_html_attributes_are_read_whole():
         assert html_extract.extract(f"<div>{story}</div><div {attrs}>{story}</div>") == story[3:-4], attrs
 
 
+def test_html_sums_decide_with_and_without_articles():
+    def part(name):
+        return " ".join(f"{name}{k} word" for k in range(40))
+
+    def paragraphs(name, n=4):
+        return "".join(f"<p>{part(name + str(k))}</p>" for k in range(n))
+
+    def text(name, n=4):
+        return " ".join(part(name + str(k)) for k in range(n))
+
+    story, want = paragraphs("s"), text("s")
+    teasers = "".join(f"<article><h3><a href=x>Teaser {k}</a></h3><p>Read more of it</p></article>" for k in range(5))
+    cases = {
+        f"<div>{story}</div>{teasers}": want,
+        f"{teasers}<div>{story}</div>": want,
+        f"<div>{story}</div><article class=comment>{paragraphs('c')}</article><article class='comment-body' id='div-comment-1'>{paragraphs('d')}</article>": want,
+        f"<div>{story}</div><aside>{teasers}<article>{paragraphs('t')}</article></aside>": want,
+        f"<div>{story}</div><footer><article>{paragraphs('t')}</article></footer>": want,
+        f"<div>{story}</div><section id=comments><article>{paragraphs('t')}</article></section>": want,
+        f"<article>{story}<aside><article>{paragraphs('t')}</article></aside><p>End.</p></article>": want + " End.",
+        f"<main><nav><a href=x>m</a><article>{story}</article></main>": want,
+        f"<nav><a href=x>m</a><article>{story}</article><nav><a href=x>n</a></nav>": want,
+        f"<article>{story}</article><article>{paragraphs('u')}</article><article><p>A short post.</p></article>": f"{want} {text('u')} A short post.",
+        f"<article>{story}</article><div>{paragraphs('v')}</div>": f"{want} {text('v')}",
+        f"<div>Short note</div><article><h1>H</h1>{story}<p>End.</p></article><div>Share it</div>": f"H {want} End.",
+        f"<article><p>News in brief.</p></article><div>{paragraphs('v')}</div>": f"News in brief. {text('v')}",
+        f"<article></article><div>{story}</div>": want,
+        f"<div>{story}<article>{paragraphs('u')}</div><p>{part('z')}": f"{want} {text('u')} {part('z')}",
+    }
+    for page, text_ in cases.items():
+        assert html_extract.extract(page) == text_, page
+
+
 # --- decontamination ----------------------------------------------------------------------------
 
 

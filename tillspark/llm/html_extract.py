@@ -8,8 +8,14 @@ that never hold main text (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) weigh nothing, and so do lines made of
 links only. Attributes are read as whole names with whole values; a container is
 dropped by its class or id where that is a noise word, outside articles also where
-it joins noise and layout words (``cookie-notice``, ``ad-slot``). Where a page marks its article, only the article's lines weigh and
-any of them is a surge; elsewhere the threshold follows the page's own peak.
+it joins noise and layout words (``cookie-notice``, ``ad-slot``).
+
+The sums decide on every page, with a threshold that follows the page's own peak.
+Lines of an ``<article>`` or ``<main>`` weigh double, and a run does not cross its
+edges. An article is kept whole; where a page has several, those far below the
+lines outside (teaser cards beside a story in ``<div>``s) are left out. An article
+in a container that is dropped, or that is itself marked as a comment or an advert,
+is dropped; a container that is never closed does not swallow an article.
 
 Edge cases: a null or empty page gives an empty text; broken or unclosed markup
 is read to its end; an unknown tag is removed and its text kept; repeated rows
@@ -29,6 +35,7 @@ from pyspark.sql import types as T
 WINDOW = 3
 SURGE_CHARS = 86
 PEAK_SHARE = 0.25
+ARTICLE_WEIGHT = 2
 
 # Elements by their part in a page.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object", "xmp", "noframes", "noembed")
@@ -94,12 +101,12 @@ def _is_noise(tag: str, attrs: str, inside: bool) -> bool:
 
 
 class _Lines:
-    """Lines of a page with their weights. A line in a dropped container keeps its place with no text."""
+    """Lines of a page. A line in a dropped container keeps its place with no text; ``region`` numbers the articles, 0 is outside."""
 
     def __init__(self):
         self.texts: list[str] = []
         self.linked: list[int] = []
-        self.inside: list[bool] = []
+        self.region: list[int] = []
         self.parts: list[str] = []
         self.link_chars = 0
 
@@ -108,25 +115,43 @@ class _Lines:
         if in_link:
             self.link_chars += len(text.strip())
 
-    def end(self, inside: bool) -> None:
+    def end(self, region: int) -> None:
         if self.parts:
             text = " ".join(_html.unescape("".join(self.parts)).split())
             if text:
                 self.texts.append(text)
                 self.linked.append(self.link_chars)
-                self.inside.append(inside)
+                self.region.append(region)
             self.parts, self.link_chars = [], 0
 
-    def gap(self) -> None:
+    def gap(self, region: int) -> None:
         self.texts.append("")
         self.linked.append(0)
-        self.inside.append(False)
+        self.region.append(region)
+
 
+def _closed(tags: list[re.Match]) -> set[int]:
+    """Places of the start tags whose elements an end tag closes."""
+    opened: dict[str, list[int]] = {}
+    closed = set()
+    for i, m in enumerate(tags):
+        name = (m["name"] or m["name2"] or "").lower()
+        if not (m["end"] or m["end2"]):
+            opened.setdefault(name, []).append(i)
+        elif opened.get(name):
+            closed.add(opened[name].pop())
+    return closed
 
-def _lines(page: str) -> tuple[_Lines, bool]:
+
+def _lines(page: str) -> _Lines:
     out, stack, at = _Lines(), [], 0
     articles = dropped = links = 0
-    has_article = False
+    regions = 0
+    tags = list(_TAG.finditer(page))
+    closed = _closed(tags)
+
+    def region() -> int:
+        return regions if articles else 0
 
     def close(name: str) -> None:
         nonlocal articles, dropped, links
@@ -134,12 +159,12 @@ def _lines(page: str) -> tuple[_Lines, bool]:
             if stack[k][0] == name:
                 for x, kind in stack[k:]:
                     articles -= kind == "article"
-                    dropped -= kind == "drop"
+                    dropped -= kind in ("drop", "unclosed")
                     links -= kind == "link"
                 del stack[k:]
                 return
 
-    for m in _TAG.finditer(page):
+    for i, m in enumerate(tags):
         if m.start() > at and not dropped:
             out.add(page[at : m.start()], links > 0)
         at = m.end()
@@ -148,31 +173,31 @@ def _lines(page: str) -> tuple[_Lines, bool]:
             continue
         end, attrs = m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
         if name in BLOCKS and not dropped:
-            out.end(articles > 0)
+            out.end(region())
         if end:
             was = dropped
             if any(x == name for x, _ in stack):
                 close(name)
             if was and not dropped:
-                out.gap()
+                out.gap(region())
             continue
         if name in VOID:
-            if name == "br" and not dropped:
-                out.end(articles > 0)
             continue
-        if name in ("article", "main") and not (dropped and articles):  # an unclosed menu does not swallow the article
-            if dropped:
-                stack[:] = [(x, kind) for x, kind in stack if kind != "drop"]
+        if name in ("article", "main") and not _is_noise(name, attrs, name == "main"):
+            if dropped and not any(kind == "drop" for _, kind in stack):  # an unclosed menu does not swallow the article
+                stack[:] = [(x, kind) for x, kind in stack if kind != "unclosed"]
                 dropped = 0
-            stack.append((name, "article"))
-            articles, has_article = articles + 1, True
+            regions += not (dropped or articles)
+            stack.append((name, "" if dropped else "article"))
+            articles += not dropped
         elif name == "body" or name == "html":
             close("head")
-        elif name in DROPPED or name not in ("body", "html") and attrs and _is_noise(name, attrs, articles > 0):
+        elif name in DROPPED or attrs and _is_noise(name, attrs, articles > 0):
             if not dropped:
-                out.end(articles > 0)
-            stack.append((name, "drop" if not (articles and name == "header" and not _is_noise(name, attrs, True)) else "heading"))
-            dropped += stack[-1][1] == "drop"
+                out.end(region())
+            heading = articles and name == "header" and not _is_noise(name, attrs, True)
+            stack.append((name, "heading" if heading else "drop" if i in closed else "unclosed"))
+            dropped += not heading
         elif name == "a":
             stack.append((name, "link"))
             links += 1
@@ -182,36 +207,41 @@ def _lines(page: str) -> tuple[_Lines, bool]:
             stack.append((name, ""))
     if at < len(page) and not dropped:
         out.add(page[at:], links > 0)
-    out.end(articles > 0)
-    return out, has_article
+    out.end(region())
+    return out
 
 
 def extract(page: str | None) -> str:
     """Main text of one page; blocks are joined by one space."""
     if not page:
         return ""
-    lines, has_article = _lines(page)
-    if has_article and not any(lines.inside):
-        has_article = False
+    lines = _lines(page)
     weight = [
-        len(t) if has_article and inside else 0 if has_article or not t or linked >= 0.8 * len(t) else len(t) - linked
-        for t, linked, inside in zip(lines.texts, lines.linked, lines.inside)
+        ARTICLE_WEIGHT * len(t) if region else len(t) - linked if linked < 0.8 * len(t) else 0
+        for t, linked, region in zip(lines.texts, lines.linked, lines.region)
     ]
     n = len(weight)
-    sums = [sum(weight[i : i + WINDOW]) for i in range(n)]
-    threshold = 0 if has_article else min(SURGE_CHARS, PEAK_SHARE * max(sums, default=0))
+    edges = [i for i in range(n) if not i or lines.region[i] != lines.region[i - 1]]
+    stretches = list(zip(edges, [*edges[1:], n]))
+    sums = [sum(weight[i : min(i + WINDOW, end)]) for start, end in stretches for i in range(start, end)]
+    threshold = min(SURGE_CHARS, PEAK_SHARE * max(sums, default=0))
+    outside = max((x for x, region in zip(sums, lines.region) if not region), default=0)
+    several = sum(lines.region[start] > 0 for start, _ in stretches) > 1
     kept: list[str] = []
-    i = 0
-    while i < n:
-        if not (weight[i] and sums[i] > threshold):  # no surge yet
-            i += 1
+    for i, end in stretches:
+        if lines.region[i]:
+            if not several or max(sums[i:end]) > PEAK_SHARE * outside:
+                kept.extend(t for t in lines.texts[i:end] if t)
             continue
-        dive = i
-        while dive < n and sums[dive] > 0:
-            dive += 1
-        run = [k for k in range(i, dive) if weight[k] or not has_article and lines.texts[k] and lines.linked[k] < 0.8 * len(lines.texts[k])]
-        kept.extend(lines.texts[k] for k in run)
-        i = dive
+        while i < end:
+            if not (weight[i] and sums[i] > threshold):  # no surge yet
+                i += 1
+                continue
+            dive = i
+            while dive < end and sums[dive] > 0:
+                dive += 1
+            kept.extend(lines.texts[k] for k in range(i, dive) if weight[k])
+            i = dive
     return " ".join(kept)
 
 
