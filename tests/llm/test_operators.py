@@ -319,6 +319,36 @@ def test_html_sums_decide_with_and_without_articles():
         assert html_extract.extract(page) == text_, page
 
 
+def test_elements_without_text_end_where_html_ends_them():
+    cases = {
+        "<p>a<svg-icon name='x'></svg-icon> b</p><p>c</p>": "a b c",
+        "<title-bar>t</title-bar><select-menu></select-menu><p>a</p><style-guide>s</style-guide>": "t a s",
+        "<p>a <svg class='i'/> b</p><p>c</p><svg><path d=''/><text>no</text></svg><p>d</p>": "a b c d",
+        "<p>a <math/> b</p><svg viewBox='0 0'></svg><p>c</p>": "a b c",
+        "<p>a</p><svg><path><p>b</p>": "a b",
+        "<p>a</p><select><option>": "a",
+        "<p>a</p><svg><title/><style/><g><svg><text>no</text></svg><text>no</text></g></svg><p>b</p>": "a b",
+        "<p>a</p><svg aria-label='x > y'><text>no</text></svg><p>b</p>": "a b",
+        "<p>a</p><object><object>no</object>no</object><template><p>no</p></template><noscript>no</noscript><p>b</p>": "a b",
+        "<p>a</p><textarea>no <svg> </textarea><p>b</p><script>'<svg>' </scripty> no</script ><p>c</p>": "a b c",
+        "<p>a</p><script>no <p>no</p>": "a",
+        "<p>a</p><TITLE>no</Title><p>b</p><style>no": "a b",
+        "<p>a</p><svg><object></svg><p>b</p></object><p>c</p>": "a b c",
+    }
+    for page, want in cases.items():
+        assert warc_derive.plain_text(page).split() == want.split(), page
+        assert html_extract.extract(page).split() == want.split(), page
+    long = "<p>word</p><svg><select>" * 20_000
+    assert len(warc_derive.plain_text(long).split()) == len(html_extract.extract("<article>" + long).split()) == 20_000
+
+
+def test_warc_titles_and_links_are_those_of_whole_names():
+    base = {"page_id": 1, "record_id": "<urn:uuid:1>", "target_uri": "http://a/", "date": "d", "block_digest": "b", "payload_digest": "p"}
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<title-bar>no</title-bar><title>Yes</title><a-icon href=no></a-icon><a\nhref=yes>x</a><p-card>one</p-card> line"
+    about, text = (r[-1].decode() for r in warc_derive.derivatives(base | {"block": page}))
+    assert '"title": "Yes", "links": [{"element": "a", "url": "http://a/yes"}]' in about and text == "no xone line"
+
+
 # --- decontamination ----------------------------------------------------------------------------
 
 

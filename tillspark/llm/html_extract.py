@@ -38,7 +38,8 @@ PEAK_SHARE = 0.25
 ARTICLE_WEIGHT = 2
 
 # Elements by their part in a page.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object", "xmp", "noframes", "noembed")
+RAW = ("script", "style", "textarea", "title", "iframe", "xmp", "noframes", "noembed")  # read as text to their end tag, or to the end of the page
+UNSEEN = ("noscript", "template", "svg", "math", "select", "object")  # elements whose content is no text of the page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head nav header footer aside form button label dialog menu fieldset audio video canvas".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -61,9 +62,11 @@ LAYOUT_WORDS = frozenset(
     "list main message outer overlay panel placeholder policy primary right row secondary section slot space text thread title top unit wrap wrapper zone".split()
 )
 
+_REST = r"(?:(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*>)"
+_HIDING = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>" + "|".join(RAW + UNSEEN) + r")(?=[\s/>])" + _REST, re.S | re.I)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I) for name in RAW}
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
     r"|<[!?/][^>]*>",
@@ -73,6 +76,46 @@ _TAG = re.compile(
 _ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")
 
 
+def without_unseen(page: str, instead: str) -> str:
+    """The page with ``instead`` for every comment and every element that shows no text.
+
+    Elements end at their own end tag, nested ones of a name included. One without an end tag loses its tag only,
+    except those read as raw text: they run to the end of the page, as in HTML. ``<svg/>`` and ``<math/>`` are empty,
+    and inside these two every element that ends in ``/>``.
+    """
+    spans: list[tuple[int, int]] = []
+    opened: dict[str, list[int]] = {name: [] for name in UNSEEN}
+    at = 0
+    while m := _HIDING.search(page, at):
+        start, at = m.span()
+        name = (m["name"] or "").lower()
+        foreign = bool(opened["svg"] or opened["math"])
+        if not name:
+            spans.append((start, at))
+        elif m["end"]:
+            if opened.get(name):
+                first = opened[name].pop()
+                for others in opened.values():  # what was opened inside and never closed ends here
+                    while others and others[-1] > first:
+                        others.pop()
+                spans.append((first, at))
+        elif page[at - 2] == "/" and (foreign or name in ("svg", "math")):
+            spans.append((start, at))
+        elif name in RAW:
+            at = _RAW_END[name].search(page, at).end()
+            spans.append((start, at))
+        else:
+            opened[name].append(start)
+    spans.sort()
+    out, at = [], 0
+    for start, end in spans:
+        if end <= at:  # inside the one before
+            continue
+        out += (page[at:start], instead)
+        at = end
+    return "".join(out) + page[at:]
+
+
 def _layout_noise(name: str) -> bool:
     parts = [x for x in name.split("-") if x and not x.isdigit()]
     return bool(parts) and (parts[0] in SPLIT_NAMES or parts[-1] in SPLIT_NAMES) and all(x in NOISE_NAMES or x in LAYOUT_WORDS for x in parts)
@@ -215,7 +258,7 @@ def extract(page: str | None) -> str:
     """Main text of one page; blocks are joined by one space."""
     if not page:
         return ""
-    lines = _lines(page)
+    lines = _lines(without_unseen(page, "<!---->"))
     weight = [
         ARTICLE_WEIGHT * len(t) if region else len(t) - linked if linked < 0.8 * len(t) else 0
         for t, linked, region in zip(lines.texts, lines.linked, lines.region)

@@ -32,18 +32,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_extract import BLOCKS, RAW
+from .html_extract import BLOCKS, without_unseen
 
 DATE = "2020-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 
 RECORD_FIELDS = "page_id long, record_type string, record_id string, refers_to string, target_uri string, content_type string, content_length long, block_digest string, payload_digest string, source_block_digest string, source_payload_digest string, headers array<struct<name: string, value: string>>, block binary"
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_BREAK = re.compile(r"</?(?:" + "|".join(sorted(BLOCKS, key=len, reverse=True)) + r")\b[^>]*>", re.I)
+_TITLE = re.compile(r"<title(?=[\s/>])[^>]*>(.*?)</title(?=[\s/>])", re.S | re.I)
+_BREAK = re.compile(r"</?(?:" + "|".join(sorted(BLOCKS, key=len, reverse=True)) + r")(?=[\s/>])[^>]*>", re.I)
 _MARKUP = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_LINK = re.compile(r"<(a|area|link|img|script|iframe|source)\b[^>]*?\s(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
+_LINK = re.compile(r"<(a|area|link|img|script|iframe|source)(?=[\s/])[^>]*?\s(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -121,7 +120,7 @@ def decoded(content_type: str, body: bytes) -> str:
 
 def plain_text(page: str) -> str:
     """All visible text: a line for each block, blanks collapsed."""
-    text = _MARKUP.sub("", _BREAK.sub("\n", _DROP.sub(" ", page)))
+    text = _MARKUP.sub("", _BREAK.sub("\n", without_unseen(page, " ")))
     lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
