@@ -7,7 +7,11 @@ import json
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from tillspark.operators import asof, credit, expenses, integrity, inventory, pnl, posting, prefix, sales
+from tillspark.sources.mapping import Retail
+
+SF = "/root/testdata/sf0.001"
 
 
 def _docs(spark, docs):
@@ -72,6 +76,17 @@ def test_repayments_need_an_amount_and_a_sale(frame, spark):
     assert {r.id: r.reason for r in credit.repayment_rejects(s, req).collect()} == {1: "bad_amount", 3: "unknown_sale", 4: "bad_amount"}
 
 
+def test_repayment_entries_are_judged_against_every_sale(spark):
+    r = Retail(spark, SF)
+    rejects = E.queries()["repayment_entry_rejects"](spark, SF).toPandas()
+    entries = r["repayment_entries"].toPandas()
+    known = {x.id for x in r["sales"].select("id").collect()}
+    want = {e.id: "unknown_sale" if e.amount is not None and e.amount > 0 else "bad_amount"
+            for e in entries.itertuples() if e.amount is None or e.amount <= 0 or e.sale_id not in known}
+    assert len(entries) == r["repayment_requests"].count() > len(want) and set(want.values()) == {"unknown_sale", "bad_amount"}
+    assert dict(zip(rejects.id, rejects.reason)) == want and len(rejects) == len(want)
+
+
 def test_expense_method_default_covers_absence_only(spark):
     req = spark.createDataFrame([(1, "5", ""), (2, "5", None), (3, "NaN", None)], "id long, amount string, payment_method string")
     req = req.withColumns({"date": F.lit(None).cast("timestamp_ntz"), "category": F.lit(None).cast("string"), "description": F.lit("")})

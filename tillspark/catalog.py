@@ -234,11 +234,16 @@ def _repayments_applied(r):
 
 @query("repayment_rejects")
 def _repayment_rejects(r):
-    # the feed's requests, and the same ones against half of the sales with every fifth amount turned negative
+    # a planted case against half of the sales only; over the whole tables it is repayment_entry_rejects
     amount = F.when(F.col("id") % 5 == 0, -F.col("amount")).otherwise(F.col("amount"))
     return credit.repayment_rejects(r["sales"].filter("id % 2 = 0"), r["repayment_requests"].withColumn("amount", amount))
 
 
+@query("repayment_entry_rejects")
+def _repayment_entry_rejects(r):
+    return credit.repayment_rejects(r["sales"], r["repayment_entries"])
+
+
 @query("receivables_total")
 def _receivables_total(r):
     return credit.receivables_total(r["sales"])

@@ -353,6 +353,11 @@ SELECT id, sale_id, seq, {ts('date')}, {d('amount')}, reason FROM (
          CASE WHEN r.id % 5 = 0 OR r.amount <= 0 THEN 'bad_amount' WHEN s.id IS NULL THEN 'unknown_sale' END AS reason
   FROM repayment_requests r LEFT JOIN (SELECT id FROM sales WHERE id % 2 = 0) s ON s.id = r.sale_id) x
 WHERE reason IS NOT NULL"""
+SQL["repayment_entry_rejects"] = f"""
+SELECT e.id, e.sale_id, e.seq, {ts('e.date')}, {d('e.amount')},
+       CASE WHEN e.amount > 0 THEN 'unknown_sale' ELSE 'bad_amount' END AS reason
+FROM repayment_entries e
+WHERE e.amount IS NULL OR e.amount <= 0 OR NOT EXISTS (SELECT 1 FROM sales s WHERE s.id = e.sale_id)"""
 SQL["receivables_total"] = f"SELECT {d('COALESCE(SUM(amount_due), 0)', 'due')}, COUNT(*) AS count FROM sales WHERE amount_due > 0"
 SQL["receivables_list"] = f"""
 SELECT id, invoice_no, {ts('date')}, customer_name, {d('total')}, {d('amount_paid')}, {d('amount_due')}

@@ -303,12 +303,22 @@ SELECT CASE WHEN p_partkey % 8 = 0 THEN p_partkey ELSE p_partkey + 2000000 END A
 FROM {d.t('part')} WHERE p_partkey % 4 = 0"""
 
 
+def _repayment_entries(d: Dialect) -> str:
+    """Raw repayment entries (E5): every request, some typed for sales that do not exist, with no, a zero or a negative amount."""
+    return f"""
+SELECT id, CASE WHEN id % 4 = 3 THEN -sale_id ELSE sale_id END AS sale_id, seq, date,
+       CASE WHEN id % 5 = 0 THEN CAST(-amount AS {M}) WHEN id % 7 = 0 THEN NULL WHEN id % 11 = 0 THEN CAST(0 AS {M}) ELSE amount END AS amount,
+       method
+FROM {d.t('repayment_requests')}"""
+
+
 VIEWS: dict[str, tuple[callable, tuple[str, ...]]] = {
     "categories": (_categories, ()),
     "products": (_products, ("part", "categories")),
     "sale_items": (_sale_items, ("lineitem", "products")),
     "sales": (_sales, ("orders", "customer", "sale_items")),
     "repayment_requests": (_repayment_requests, ("lineitem", "sales")),
+    "repayment_entries": (_repayment_entries, ("repayment_requests",)),
     "payments": (_payments_sql, ("sales", "repayment_requests")),
     "suppliers": (_suppliers, ("supplier",)),
     "purchase_items": (_purchase_items, ("lineitem", "products")),
