@@ -442,6 +442,14 @@ def test_jaccard_join_equals_brute_force(docs_of, options):
     assert collections.Counter(map(tuple, out)) == collections.Counter(brute_classes(rows))
 
 
+def test_long_sets_at_the_very_threshold_are_linked():
+    for common in (8, 24_576, 24_616, 200_016, 2_399_976):
+        own = common // 8
+        one, other = np.arange(common + own), np.concatenate((np.arange(common), np.arange(common + own, common + 2 * own)))
+        near = jaccard_join._linked([one, other, other[1:]], None, 0.8)
+        assert near[0, 1] and not near[0, 2] and near[1, 2]
+
+
 def test_one_of_each_class_stays(docs_of):
     rows = [(1, "a b c d e f"), (2, "A b c d e f"), (3, "x y z"), (3, "x y z"), (4, None), (5, "")]
     docs = docs_of(rows)

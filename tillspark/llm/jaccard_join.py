@@ -167,14 +167,15 @@ def _linked(hashes: list[np.ndarray], cross: int | None, threshold: float) -> np
     column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
     cut = len(hashes) if cross is None else cross
     left, right = (slice(0, len(hashes)),) * 2 if cross is None else (slice(0, cut), slice(cut, len(hashes)))
-    common = np.zeros((len(sizes[left]), len(sizes[right])), dtype=np.float32)
+    common = np.zeros((len(sizes[left]), len(sizes[right])), dtype=np.int32)
     width = 4096
     for c in range(0, int(column.max()) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, (c, c + width))
         dense = np.zeros((len(hashes), width), dtype=np.float32)
         dense[owner[a:b], column[a:b] - c] = 1.0
-        common += dense[left] @ dense[right].T
-    near = common * (1.0 + threshold) >= threshold * (sizes[left][:, None] + sizes[right][None, :]) - 1e-3
+        common += (dense[left] @ dense[right].T).astype(np.int32)
+    both = sizes[left][:, None] + sizes[right][None, :]
+    near = common * (1.0 + threshold) >= (threshold - 1e-9) * both  # in float64: whole counts are far apart next to this slack
     full = np.zeros((len(hashes), len(hashes)), dtype=bool)
     full[left, right] = near
     full |= full.T
