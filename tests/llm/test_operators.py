@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tillspark.llm import (
@@ -228,6 +229,20 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(topk.quantised(wide)).first()["score"] == 2**63 - 1
 
 
+def test_topk_of_huge_components_that_cancel():
+    rng = random.Random(10)
+    a, b = 2**20 + 1, 2**20 - 1
+    rows = []
+    for i in range(400):  # products of about 2**57, scores of 2 * e
+        t, e = rng.randrange(2**17, 2**18), rng.randrange(-40, 40)
+        rows.append((i, i, [b * t + e, -a * t - e]))
+    vectors = pd.DataFrame(rows, columns=["rid", "vec_id", "v"])
+    queries = pd.DataFrame({"rid": [1000], "vec_id": [1000], "v": [[a, b]]})
+    got = topk.search_block(vectors, queries, 5)
+    want = sorted(((-(a * v[0] + b * v[1]), i) for i, _, v in rows))[:5]
+    assert list(zip(-got["score"], got["vec_id"])) == want
+
+
 # --- chat formatting ----------------------------------------------------------------------------
 
 

@@ -42,9 +42,9 @@ FOUND = "qrid long, query_id long, rid long, vec_id long, score long"
 class ImpactIndex:
     """Posting segments of one block by quantised impact, highest first, and the norms of what is unread after each."""
 
-    def __init__(self, vectors: np.ndarray):
+    def __init__(self, vectors: np.ndarray, exact: type):
         self.vectors = vectors
-        self.exact = np.float64 if vectors.dtype != object else object  # whole numbers below 2**53 add up exactly
+        self.exact = exact
         size = np.abs(vectors).astype(float)
         level = np.where(size > 0, np.frexp(size)[1], 0)  # bit length
         self.segments, self.unread = [], []
@@ -98,9 +98,11 @@ def search_block(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Dat
     if not len(vectors) or not len(queries):
         return pd.DataFrame({c.split(" ")[0]: pd.Series(dtype="int64") for c in FOUND.split(", ")})
     x, qs = _matrix(vectors["v"]), _matrix(queries["v"])
-    if x.shape[1] and float(np.abs(x.astype(float)).max()) * float(np.abs(qs.astype(float)).max()) * 4 * x.shape[1] >= 2.0**62:
+    most = float(np.abs(x.astype(float)).max()) * float(np.abs(qs.astype(float)).max()) * 4 * x.shape[1] if x.shape[1] else 0.0
+    exact = np.float64 if most < 2.0**53 else np.int64 if most < 2.0**62 else object  # the kind that adds up exactly, sums in between too
+    if exact is object:
         x, qs = x.astype(object), qs.astype(object)
-    index = ImpactIndex(x)
+    index = ImpactIndex(x, exact)
     rid, ids = vectors["rid"].to_numpy(), vectors["vec_id"].to_numpy()
     place = {r: i for i, r in enumerate(rid)}
     own = np.array([place.get(q, -1) for q in queries["rid"]])
