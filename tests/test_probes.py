@@ -76,6 +76,28 @@ def test_repayments_need_an_amount_and_a_sale(frame, spark):
     assert {r.id: r.reason for r in credit.repayment_rejects(s, req).collect()} == {1: "bad_amount", 3: "unknown_sale", 4: "bad_amount"}
 
 
+def test_statement_lines_are_numbered_in_few_blocks(frame, spark, monkeypatch):
+    blocks = []
+
+    def scan(df, *args, block, **options):
+        blocks.append(df.select(block.alias("b")).distinct().count())
+        return prefix.running_sum(df, *args, block=block, **options)
+
+    monkeypatch.setattr(pnl, "running_sum", scan)
+    spread = [{"id": k, "date": "2024-01-05 10:00:00", "category": f"c{k:03}", "amount": 2000 * (k // 2 + 1)} for k in range(300)]
+    spread.append({"id": 300, "date": "2024-01-05 10:00:00", "amount": 2000})
+    empty = {t: frame(t, [{"id": 1, "date": "2020-01-01 00:00:00"}]) for t in ("sales", "sale_items")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = pnl.pnl_statement(empty["sales"], empty["sale_items"], frame("expenses", spread), ("2024-01-01", "2024-01-31")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = [(r.label, float(r.amount)) for r in sorted(rows, key=lambda r: r.line_no) if r.line_no > 8]
+    assert len({r.line_no for r in rows}) == len(rows) == 309
+    assert got == sorted(got, key=lambda x: (-x[1], x[0] or ""))
+    assert len(blocks) == 1 and 1 < blocks[0] <= 8
+
+
 def test_repayment_entries_are_judged_against_every_sale(spark):
     r = Retail(spark, SF)
     rejects = E.queries()["repayment_entry_rejects"](spark, SF).toPandas()

@@ -148,7 +148,7 @@ def pnl_statement(sales: DataFrame, sale_items: DataFrame, expenses: DataFrame,
 
     Lines 1 to 8 are revenue, COGS, gross profit, total expenses, net profit and
     takings per tender; from 9 on follows one line per expense category, largest
-    first, numbered by a scan in blocks since categories are free text.
+    first, numbered by a scan over range partitions since categories are free text.
     ``is_loss`` marks a negative net profit.
     """
     kpi = period_kpis(sales, sale_items, expenses, rng)
@@ -167,8 +167,8 @@ def pnl_statement(sales: DataFrame, sale_items: DataFrame, expenses: DataFrame,
         )
     )
 
-    cats = expense_breakdown(expenses, rng).withColumn("_down", -F.col("total"))
-    ranked = running_sum(cats, F.lit(1), [], ["_down", "category"], "_rank", block=F.floor(F.col("_down") / F.lit(1000)))
+    cats = expense_breakdown(expenses, rng).withColumn("_down", -F.col("total")).repartitionByRange("_down", "category")
+    ranked = running_sum(cats, F.lit(1), [], ["_down", "category"], "_rank", block=F.spark_partition_id())
     cat_lines = ranked.select(
         (F.lit(8) + F.col("_rank")).cast("int").alias("line_no"), F.lit("expenses").alias("section"),
         F.col("category").alias("label"), F.col("total").alias("amount"),
