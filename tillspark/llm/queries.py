@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, packing, quality_rules, suffix_dedup, topk, toxicity, warc_derive
+from . import (
+    chat_format,
+    decontaminate,
+    fill_middle,
+    filter_audit,
+    html_extract,
+    jaccard_join,
+    packing,
+    quality_rules,
+    suffix_dedup,
+    topk,
+    toxicity,
+    warc_derive,
+)
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -133,3 +146,89 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document: five-word n-grams, similarity of 0.8 or more."""
     return jaccard_join.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into prefix, middle and suffix, and its text rebuilt from the output."""
+    return fill_middle.digests(fill_middle.transformed(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op12_fill_middle"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+         ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM d
+), cut AS (
+  SELECT doc_id, text, n, h4,
+         text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 AS is_plain,
+         array_to_string(units[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS p,
+         array_to_string(units[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m,
+         array_to_string(units[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS s
+  FROM drawn
+), formed AS (
+  SELECT *, CASE WHEN is_plain THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM cut
+)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM formed
+"""
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents: counts per language, order and step."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), fails AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         MAP {'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words),
+              'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+              'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)} AS f
+  FROM d LEFT JOIN l USING (doc_id)
+), cells AS (
+  SELECT part, good, toxic, f['A'] AS a, f['B'] AS b, f['C'] AS c, f['D'] AS d, f['E'] AS e, count(*) AS n FROM fails GROUP BY ALL
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), steps AS (
+  SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders
+), judged AS (
+  SELECT part, filter_order, step, n, good, toxic,
+         (a::INT + b::INT + c::INT + d::INT + e::INT) AS n_fails,
+         CASE filter_order[step] WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS failed,
+         (a AND contains(filter_order[1:step - 1], 'A')) OR (b AND contains(filter_order[1:step - 1], 'B'))
+           OR (c AND contains(filter_order[1:step - 1], 'C')) OR (d AND contains(filter_order[1:step - 1], 'D'))
+           OR (e AND contains(filter_order[1:step - 1], 'E')) AS gone
+  FROM cells, steps
+), counted AS (
+  SELECT part, filter_order, step,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND NOT failed), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND failed), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE gone AND failed), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE failed AND n_fails = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND failed AND good), 0)::BIGINT AS good_lost,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND failed AND toxic), 0)::BIGINT AS toxic_lost
+  FROM judged GROUP BY ALL
+)
+SELECT *, sum(removed) OVER (PARTITION BY part, filter_order[step])::BIGINT AS shapley FROM counted
+"""
