@@ -16,6 +16,7 @@ from . import (
     jaccard_join,
     packing,
     quality_rules,
+    secret_crf,
     suffix_dedup,
     topk,
     toxicity,
@@ -148,6 +149,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+@query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of secrets in every document, and the spans that the field adds."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_crf.digests(secret_crf.scan(docs, secret_crf.fit(docs)))
+
+
 @query
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into prefix, middle and suffix, and its text rebuilt from the output."""
