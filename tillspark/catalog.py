@@ -232,13 +232,6 @@ def _repayments_applied(r):
     return credit.repayments_applied(r["sales"], r["repayment_requests"])
 
 
-@query("repayment_rejects")
-def _repayment_rejects(r):
-    # a planted case against half of the sales only; over the whole tables it is repayment_entry_rejects
-    amount = F.when(F.col("id") % 5 == 0, -F.col("amount")).otherwise(F.col("amount"))
-    return credit.repayment_rejects(r["sales"].filter("id % 2 = 0"), r["repayment_requests"].withColumn("amount", amount))
-
-
 @query("repayment_entry_rejects")
 def _repayment_entry_rejects(r):
     return credit.repayment_rejects(r["sales"], r["repayment_entries"])
@@ -306,7 +299,7 @@ def _merge_expenses(r):
 
 
 # ---- posting and as-of (posting.py, asof.py) ------------------------------------------------------
-from .operators import asof, posting  # noqa: E402
+from .operators import asof, posting, sequential  # noqa: E402
 from .sources.intake import SALE_DOC, parse_docs, sale_lines  # noqa: E402
 
 
@@ -323,6 +316,21 @@ def _intake_sales(r):
     return posting.intake_sales(r["sale_docs"], r["products"])
 
 
+@query("intake_sales_sequential")
+def _intake_sales_sequential(r):
+    return sequential.intake_sales_sequential(r["sale_docs"], r["products"])
+
+
+@query("intake_rejects_sequential")
+def _intake_rejects_sequential(r):
+    return sequential.intake_rejects_sequential(r["sale_docs"], r["products"])
+
+
+@query("stock_after_sequential")
+def _stock_after_sequential(r):
+    return sequential.stock_after_sequential(r["sale_docs"], r["products"])
+
+
 @query("posted_sale_items")
 def _posted_sale_items(r):
     return posting.posted_sale_items(r["sale_docs"], r["products"])
@@ -363,6 +371,11 @@ def _intake_purchases(r):
     return posting.intake_purchases(r["purchase_docs"], r["products"])
 
 
+@query("products_after_purchases")
+def _products_after_purchases(r):
+    return posting.products_after_purchases(r["purchase_docs"], r["products"])
+
+
 @query("purchase_rejects")
 def _purchase_rejects(r):
     return posting.purchase_rejects(r["purchase_docs"], r["products"])

@@ -3,8 +3,8 @@
 Public PySpark has no as-of join.  Sale lines and purchase lines of a product
 are unioned into one sequence ordered by (date, purchases first, posting
 order), and the last purchase cost is carried forward onto every sale line.
-The carry runs in two phases by (product, day) — a best-selling product's
-history is spread over its days instead of one long window.
+The carry runs in ranges of rows — a best-selling product's history is spread
+over many tasks instead of one long window.
 """
 
 from __future__ import annotations

@@ -104,9 +104,8 @@ def cash_entries(
 def cash_ledger(*tables: DataFrame) -> DataFrame:
     """Every cash movement with the running drawer balance, newest first.
 
-    The balance is a running sum with no partition key; it is computed per day
-    (day totals → a prefix over days → in-day window plus carry-in), never in
-    a single task.
+    The balance is a running sum with no partition key; it is scanned in ranges
+    of the ledger's order, never in a single task.
     """
     e = cash_entries(*tables)
     run = running_sum(e, F.col("in") - F.col("out"), [], ["date", "rank", "id"], "balance")

@@ -158,8 +158,8 @@ def stock_ledger(
 ) -> DataFrame:
     """Stock position after every movement, from the opening quantity.
 
-    Running sum per product in (date, rank, ref, line, delta) order, done in
-    two phases by (product, day) so a best-selling product is not one task.
+    Running sum per product in (date, rank, ref, line, delta) order, scanned in
+    ranges of rows so a best-selling product is not one task.
     """
     mv = stock_movements(purchase_items, sale_items, sales, stock_adjustments)
     run = running_sum(mv, "delta", ["product_id"], ["date", "rank", "ref", "line_no", "delta"], "moved")

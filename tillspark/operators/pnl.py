@@ -167,8 +167,8 @@ def pnl_statement(sales: DataFrame, sale_items: DataFrame, expenses: DataFrame,
         )
     )
 
-    cats = expense_breakdown(expenses, rng).withColumn("_down", -F.col("total")).repartitionByRange("_down", "category")
-    ranked = running_sum(cats, F.lit(1), [], ["_down", "category"], "_rank", block=F.spark_partition_id())
+    cats = expense_breakdown(expenses, rng).withColumn("_down", -F.col("total"))
+    ranked = running_sum(cats, F.lit(1), [], ["_down", "category"], "_rank")
     cat_lines = ranked.select(
         (F.lit(8) + F.col("_rank")).cast("int").alias("line_no"), F.lit("expenses").alias("section"),
         F.col("category").alias("label"), F.col("total").alias("amount"),

@@ -2,24 +2,25 @@
 
 The reference posts one basket per HTTP request inside a transaction; any
 failing line rolls back the whole basket.  Here a batch of baskets is posted
-at once: explode → price → validate → one reason per document (the first
-failing line, by position) → totals of the accepted documents.  Nothing is
-collected; each basket is bounded, and all work is joins and aggregates.
+at once: parse once → explode → price → fold per document and product → fold
+per document, which gives its totals and its reason (the first failing line, by
+position) together.  Nothing is collected; both folds are partial aggregates.
 
 Stock rule (S15): by default a line fails when the basket's total for that
 product exceeds the opening stock; ``per_line=True`` compares each line alone,
-as the reference does.  Baskets are checked against opening stock, not
+as the reference does.  Here baskets are checked against opening stock, not
 against each other — ``shortage_flags`` marks where cumulative demand across
-baskets would run out.
+baskets would run out, and ``sequential`` posts them one after the other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, QUANTITY, TOTAL, to_number, total
 from ..sources.intake import PURCHASE_DOC, SALE_DOC, parse_docs, purchase_lines, sale_lines
+from ..session import written
 from .prefix import running_sum
 
 # Reject codes in check order, and the reference's messages.
@@ -33,6 +34,10 @@ REJECT_NO_ID = "no_ref"
 REJECT_SAME_ID = "repeated_ref"
 REJECT_DATE = "bad_date"
 REJECT_AMOUNT = "bad_amount"
+MSG_NO_ID = "A reference is required"
+MSG_SAME_ID = "The reference is not unique"
+MSG_DATE = "Invalid date"
+MSG_AMOUNT = "Invalid amount"
 
 
 def _money(c):
@@ -57,44 +62,35 @@ def line_pricing(lines: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def _first_reason(lines: DataFrame, reason: F.Column, message: F.Column) -> DataFrame:
-    """One reject per document: the failing line with the lowest position (min_by)."""
-    bad = lines.withColumn("_r", reason).withColumn("_m", message).filter(F.col("_r").isNotNull())
-    return bad.groupBy("ref").agg(
-        F.min_by(F.struct("_r", "_m"), F.coalesce("pos", F.lit(-1))).alias("_x")
-    ).select("ref", F.col("_x._r").alias("reason"), F.col("_x._m").alias("message"))
-
-
-def _doc_rejects(docs: DataFrame) -> DataFrame:
-    """(ref, reason, message) of documents that cannot be posted whatever their lines say.
+def _doc_reason(n_docs, bad_date, bad_amount):
+    """Reason of a document that cannot be posted whatever its lines say.
 
     A document needs a reference of its own: documents without one, or sharing one, would merge.
     """
-    paid, disc, day = to_number("amount_paid"), to_number("discount"), F.nullif(F.trim("date"), F.lit(""))
-    bad_date = day.isNotNull() & day.try_cast("timestamp_ntz").isNull()
-    per_ref = docs.groupBy("ref").agg(
-        F.count(F.lit(1)).alias("n"), F.max(bad_date).alias("bad_date"),
-        F.max(paid.try_cast(MONEY).isNull() | disc.try_cast(MONEY).isNull()).alias("bad_amount"))
-    reason = (
-        F.when(F.col("ref").isNull(), F.lit(REJECT_NO_ID)).when(F.col("n") > 1, F.lit(REJECT_SAME_ID))
-        .when(F.col("bad_date"), F.lit(REJECT_DATE)).when(F.col("bad_amount"), F.lit(REJECT_AMOUNT))
+    return (
+        F.when(F.col("ref").isNull(), F.lit(REJECT_NO_ID)).when(n_docs > 1, F.lit(REJECT_SAME_ID))
+        .when(bad_date, F.lit(REJECT_DATE)).when(bad_amount, F.lit(REJECT_AMOUNT))
     )
-    message = (
-        F.when(F.col("ref").isNull(), F.lit("A reference is required")).when(F.col("n") > 1, F.lit("The reference is not unique"))
-        .when(F.col("bad_date"), F.lit("Invalid date")).otherwise(F.lit("Invalid amount"))
+
+
+def _doc_message(reason):
+    return (
+        F.when(reason == REJECT_NO_ID, F.lit(MSG_NO_ID)).when(reason == REJECT_SAME_ID, F.lit(MSG_SAME_ID))
+        .when(reason == REJECT_DATE, F.lit(MSG_DATE)).when(reason == REJECT_AMOUNT, F.lit(MSG_AMOUNT))
     )
-    return per_ref.select("ref", reason.alias("reason"), message.alias("message")).filter(F.col("reason").isNotNull())
 
 
-def _all_rejects(docs: DataFrame, line_rejects: DataFrame) -> DataFrame:
-    """Document rejects, and line rejects of the other documents."""
-    by_doc = _doc_rejects(docs)
-    others = line_rejects.filter(F.col("ref").isNotNull()).join(by_doc.select("ref"), "ref", "left_anti")
-    return by_doc.unionByName(others.select("ref", "reason", "message"))
+def _bad_date():
+    day = F.nullif(F.trim("date"), F.lit(""))
+    return day.isNotNull() & day.try_cast("timestamp_ntz").isNull()
+
 
+def _bad_amount():
+    return to_number("amount_paid").try_cast(MONEY).isNull() | to_number("discount").try_cast(MONEY).isNull()
 
-def _accepted(lines: DataFrame, rejects: DataFrame) -> DataFrame:
-    return lines.filter(F.col("ref").isNotNull()).join(rejects.select("ref"), "ref", "left_anti")
+
+def _plain(c):
+    return F.regexp_replace(c.cast("double").cast("string"), r"\.0$", "")
 
 
 def _posted_at(as_of: str | None):
@@ -102,95 +98,162 @@ def _posted_at(as_of: str | None):
     return F.coalesce(given, F.lit(as_of).cast("timestamp_ntz")) if as_of else given
 
 
-def _sale_checks(docs_json: DataFrame, products: DataFrame, per_line: bool) -> tuple[DataFrame, DataFrame]:
-    docs = parse_docs(docs_json, SALE_DOC)
-    lines = line_pricing(sale_lines(docs), products)
+_SALE_HEAD = ("customer_name", "payment_type", "discount", "amount_paid", "paid_method", "date")
+
+
+def sale_line_rows(docs_json: DataFrame, products: DataFrame) -> DataFrame:
+    """Every line of the documents, priced, with the fault it has whatever the stock (one row for an empty basket).
+
+    The documents are parsed here once; everything that K1 returns is made of these rows.
+    """
+    lines = line_pricing(sale_lines(parse_docs(docs_json, SALE_DOC)), products)
     q = F.col("qty").try_cast(QUANTITY)
-    demand = q if per_line else F.sum(q).over(Window.partitionBy("ref", "product_id"))
-    lines = lines.withColumn("_demand", demand)
-    qty_txt = F.regexp_replace(F.col("qty").cast("string"), r"\.0$", "")
-    reason = (
+    bad_amount = F.col("gross").isNull() | F.col("line_discount").isNull() | F.col("price_junk") | F.col("ldisc_in").isNull()
+    fault = (
         F.when(F.col("no_item"), F.lit(REJECT_EMPTY))
         .when(F.col("product_name").isNull(), F.lit(REJECT_NOT_FOUND))
         .when(q.isNull() | (q <= 0), F.lit(REJECT_QUANTITY))
-        .when(F.col("_demand") > F.col("stock"), F.lit(REJECT_STOCK))
-        .when(F.col("gross").isNull() | F.col("line_discount").isNull() | F.col("price_junk") | F.col("ldisc_in").isNull(), F.lit(REJECT_AMOUNT))
     )
-    stock_txt = F.regexp_replace(F.col("stock").cast("double").cast("string"), r"\.0$", "")
-    message = (
-        F.when(F.col("no_item"), F.lit("At least one item is required"))
-        .when(F.col("product_name").isNull(), F.concat(F.lit("Product "), F.col("product_id").cast("string"), F.lit(" not found")))
-        .when(q.isNull() | (q <= 0), F.concat(F.lit("Invalid quantity for "), F.col("product_name")))
-        .when(~(F.col("_demand") > F.col("stock")), F.concat(F.lit("Invalid amount for "), F.col("product_name")))
-        .otherwise(F.concat(F.lit("Not enough stock for "), F.col("product_name"), F.lit(" (have "), stock_txt,
-                            F.lit(", need "), qty_txt, F.lit(")")))
+    return lines.select(
+        "ref", *_SALE_HEAD, F.coalesce("pos", F.lit(-1)).alias("pos"), "product_id", "product_name", "stock", "cost_price",
+        q.alias("quantity"), "qty", "unit_price", "line_discount", "gross", "line_total", "no_item",
+        fault.alias("fault"), bad_amount.alias("bad_line"), _bad_date().alias("bad_date"), _bad_amount().alias("bad_amount"),
     )
-    return lines, _all_rejects(docs, _first_reason(lines, reason, message))
 
 
-def intake_sales(docs_json: DataFrame, products: DataFrame, per_line: bool = False, as_of: str | None = None) -> DataFrame:
-    """Accepted sale documents with their totals.
+def sale_baskets(lines: DataFrame, per_line: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document and product: what it takes and needs of the stock, its sums and its first lines.
 
-    ``docs_json`` has one JSON basket per row in column ``doc``.  Totals:
-    subtotal = Σ price × qty; discount = Σ line discounts + order discount;
-    total = max(0, subtotal − discount); paid = total unless credit (then the
-    given amount); due = max(0, total − paid).  A document without a date is posted at ``as_of``.
+    Everything is a partial aggregate, so a reference that very many documents share is folded before it is
+    shuffled.  ``need`` is what is compared with the stock: the basket's sum, or with ``per_line`` its largest line.
+    A line short of stock is the basket's first line, or with ``per_line`` the first whose own quantity exceeds it,
+    which is kept for each quantity by ``asked`` (bounded by the basket).
+    """
+    q = F.col("quantity")
+    line = F.struct("pos", "fault", "product_id", "product_name", "qty")
+    amount = F.struct("pos", "product_name")
+    return lines.groupBy("ref", "product_id").agg(
+        F.sum(F.when(F.col("pos") <= 0, 1).otherwise(0)).alias("docs"),
+        F.first(F.struct(*_SALE_HEAD)).alias("head"),
+        F.max("bad_date").alias("bad_date"), F.max("bad_amount").alias("bad_amount"),
+        F.count(F.lit(1)).alias("lines"), F.sum("gross").alias("gross"), F.sum("line_discount").alias("line_discount"),
+        F.sum(q).alias("take"), (F.max(q) if per_line else F.sum(q)).alias("need"), F.first("stock").alias("stock"),
+        F.min(F.when(F.col("fault").isNotNull(), line)).alias("first_fault"),
+        F.min(F.when(F.col("bad_line"), amount)).alias("first_amount"),
+        F.array_sort(F.collect_set(F.struct("pos", "quantity", "qty", "product_name"))).alias("asked")
+        if per_line else F.array(F.min(F.struct("pos", "quantity", "qty", "product_name"))).alias("asked"),
+        *[F.first(c).alias(c) for c in keep],
+    )
+
+
+def judged_sales(baskets: DataFrame, per_line: bool = False, stock: str | None = "stock") -> DataFrame:
+    """One row per reference: its header and sums, and the reason and message of the first line that fails.
+
+    ``stock`` names the column with the stock that a basket meets; None leaves the stock unchecked.
     """
-    lines, rejects = _sale_checks(docs_json, products, per_line)
-    ok = _accepted(lines, rejects)
-    per_doc = ok.groupBy("ref", "customer_name", "payment_type", "discount", "amount_paid", "date").agg(
-        F.sum("gross").alias("subtotal"), F.sum("line_discount").alias("line_disc"), F.count(F.lit(1)).alias("lines"),
+    have = F.col(stock) if stock else F.lit(None).cast(QUANTITY)
+    short = F.get(F.filter("asked", lambda a: (a["quantity"] if per_line else F.col("need")) > have), F.lit(0))
+    short_text = F.concat(F.lit("Not enough stock for "), short["product_name"], F.lit(" (have "), _plain(have), F.lit(", need "), _plain(short["qty"]), F.lit(")"))
+
+    def failing(pos, code, reason, message):
+        return F.when(pos.isNotNull(), F.struct(pos.alias("pos"), code.alias("code"), reason.alias("reason"), message.alias("message")))
+
+    fault, amount = F.col("first_fault"), F.col("first_amount")
+    fault_text = (
+        F.when(fault["fault"] == REJECT_EMPTY, F.lit("At least one item is required"))
+        .when(fault["fault"] == REJECT_NOT_FOUND, F.concat(F.lit("Product "), F.coalesce(fault["product_id"].cast("string"), F.lit("null")), F.lit(" not found")))
+        .otherwise(F.concat(F.lit("Invalid quantity for "), fault["product_name"]))
+    )
+    firsts = [
+        failing(fault["pos"], F.lit(0), fault["fault"], fault_text),
+        failing(short["pos"], F.lit(1), F.lit(REJECT_STOCK), short_text),
+        failing(amount["pos"], F.lit(2), F.lit(REJECT_AMOUNT), F.concat(F.lit("Invalid amount for "), amount["product_name"])),
+    ]
+    # the first failing line by position; of one line's faults the first checked
+    per_ref = baskets.withColumn("_bad", F.least(*firsts)).groupBy("ref").agg(
+        F.sum("docs").alias("docs"), F.first("head").alias("head"),
+        F.max("bad_date").alias("bad_date"), F.max("bad_amount").alias("bad_amount"),
+        F.sum("lines").alias("lines"), F.sum("gross").alias("subtotal"), F.sum("line_discount").alias("line_discount"),
+        F.min("_bad").alias("_bad"),
     )
-    disc = F.col("line_disc") + F.coalesce(to_number("discount"), F.lit(0.0)).cast(TOTAL)
+    doc = _doc_reason(F.col("docs"), F.col("bad_date"), F.col("bad_amount"))
+    return per_ref.select(
+        "ref", "head.*", "lines", "subtotal", "line_discount",
+        F.coalesce(doc, F.col("_bad.reason")).alias("reason"),
+        F.coalesce(_doc_message(doc), F.col("_bad.message")).alias("message"),
+    )
+
+
+def _sale_totals(judged: DataFrame, as_of: str | None) -> DataFrame:
+    """Headers of the accepted documents: discount = line discounts + order discount, total at least 0, paid and due by tender."""
+    disc = F.col("line_discount") + F.coalesce(to_number("discount"), F.lit(0.0)).cast(TOTAL)
     tot = F.greatest(F.lit(0).cast(TOTAL), F.col("subtotal") - disc)
     paid = F.when(F.col("payment_type") == "credit", F.coalesce(to_number("amount_paid"), F.lit(0.0)).cast(TOTAL)).otherwise(tot)
-    return per_doc.select(
+    return judged.filter(F.col("reason").isNull()).select(
         "ref", "customer_name", F.coalesce("payment_type", F.lit("cash")).alias("payment_type"),
         _posted_at(as_of).alias("date"), "lines",
         total("subtotal").alias("subtotal"), total(disc).alias("discount"), total(tot).alias("total"),
-        total(paid).alias("amount_paid"), total(F.greatest(F.lit(0), tot - paid)).alias("amount_due"),
+        total(paid).alias("amount_paid"), total(F.greatest(F.lit(0), tot - paid)).alias("amount_due"), "paid_method",
     )
 
 
-def posted_sale_items(docs_json: DataFrame, products: DataFrame, per_line: bool = False) -> DataFrame:
-    """Line rows of the accepted sale documents, with the product's name and cost at posting (K1)."""
-    lines, rejects = _sale_checks(docs_json, products, per_line)
-    return _accepted(lines, rejects).select(
-        "ref", "pos", "product_id", "product_name", F.col("qty").try_cast(QUANTITY).alias("quantity"), "unit_price",
+def _judged(docs_json: DataFrame, products: DataFrame, per_line: bool) -> DataFrame:
+    return judged_sales(sale_baskets(sale_line_rows(docs_json, products), per_line), per_line)
+
+
+def intake_sales(docs_json: DataFrame, products: DataFrame, per_line: bool = False, as_of: str | None = None) -> DataFrame:
+    """Accepted sale documents with their totals.
+
+    ``docs_json`` has one JSON basket per row in column ``doc``.  Totals:
+    subtotal = Σ price × qty; discount = Σ line discounts + order discount;
+    total = max(0, subtotal − discount); paid = total unless credit (then the
+    given amount); due = max(0, total − paid).  A document without a date is posted at ``as_of``.
+    """
+    return _sale_totals(_judged(docs_json, products, per_line), as_of).drop("paid_method")
+
+
+def _posted_lines(lines: DataFrame, accepted: DataFrame) -> DataFrame:
+    return lines.filter(F.col("ref").isNotNull()).join(accepted.select("ref"), "ref", "left_semi").select(
+        "ref", "pos", "product_id", "product_name", "quantity", "unit_price",
         F.col("cost_price").alias("unit_cost"), "line_discount", "line_total",
     )
 
 
-def posted_payments(docs_json: DataFrame, products: DataFrame, per_line: bool = False, as_of: str | None = None) -> DataFrame:
-    """First instalments of the accepted credit sales that paid something (K1)."""
-    methods = parse_docs(docs_json, SALE_DOC).select("ref", "paid_method")
-    paid = intake_sales(docs_json, products, per_line, as_of).filter((F.col("payment_type") == "credit") & (F.col("amount_paid") > 0))
-    return paid.join(methods, "ref").select(
+def posted_sale_items(docs_json: DataFrame, products: DataFrame, per_line: bool = False) -> DataFrame:
+    """Line rows of the accepted sale documents, with the product's name and cost at posting (K1)."""
+    lines = written(sale_line_rows(docs_json, products), "sale-lines")
+    return _posted_lines(lines, judged_sales(sale_baskets(lines, per_line), per_line).filter(F.col("reason").isNull()))
+
+
+def _first_payments(headers: DataFrame) -> DataFrame:
+    return headers.filter((F.col("payment_type") == "credit") & (F.col("amount_paid") > 0)).select(
         "ref", "date", F.col("amount_paid").alias("amount"), F.lit(FIRST_PAYMENT_NOTE).alias("note"),
         F.coalesce(F.nullif("paid_method", F.lit("")), F.lit("cash")).alias("method"),
     )
 
 
-def stock_after_sales(docs_json: DataFrame, products: DataFrame, per_line: bool = False) -> DataFrame:
-    """Each product's stock before and after the accepted sale documents (K1)."""
-    sold = posted_sale_items(docs_json, products, per_line).groupBy("product_id").agg(F.sum("quantity").alias("_sold"))
+def posted_payments(docs_json: DataFrame, products: DataFrame, per_line: bool = False, as_of: str | None = None) -> DataFrame:
+    """First instalments of the accepted credit sales that paid something (K1)."""
+    return _first_payments(_sale_totals(_judged(docs_json, products, per_line), as_of))
+
+
+def _stock_after(products: DataFrame, sold: DataFrame) -> DataFrame:
+    """Each product's stock before and after what was ``taken`` of it."""
     stock = products.select(F.col("id").alias("product_id"), F.col("quantity").alias("before"))
+    per_product = sold.groupBy("product_id").agg(F.sum("taken").alias("_sold"))
     left = F.col("before") - F.coalesce("_sold", F.lit(0))
-    return stock.join(sold, "product_id", "left").select("product_id", "before", total(left).alias("after"))
+    return stock.join(per_product, "product_id", "left").select("product_id", "before", total(left).alias("after"))
 
 
-def posted_purchase_items(docs_json: DataFrame, products: DataFrame) -> DataFrame:
-    """Line rows of the accepted purchase documents (K2)."""
-    lines, rejects = _purchase_checks(docs_json, products)
-    cost, qty = F.col("cost_num").try_cast(MONEY), F.col("qty").try_cast(QUANTITY)
-    return _accepted(lines, rejects).select(
-        "ref", "pos", "product_id", "product_name", qty.alias("quantity"), cost.alias("unit_cost"), _money(qty * cost).alias("line_total"))
+def stock_after_sales(docs_json: DataFrame, products: DataFrame, per_line: bool = False) -> DataFrame:
+    """Each product's stock before and after the accepted sale documents (K1)."""
+    items = posted_sale_items(docs_json, products, per_line)
+    return _stock_after(products, items.select("product_id", F.col("quantity").alias("taken")))
 
 
 def intake_rejects(docs_json: DataFrame, products: DataFrame, per_line: bool = False) -> DataFrame:
     """Rejected sale documents with the reason of their first failing line (K1)."""
-    _, rejects = _sale_checks(docs_json, products, per_line)
-    return rejects
+    return _judged(docs_json, products, per_line).filter(F.col("reason").isNotNull()).select("ref", "reason", "message")
 
 
 def basket_merge(docs_json: DataFrame, products: DataFrame) -> DataFrame:
@@ -205,7 +268,7 @@ def basket_merge(docs_json: DataFrame, products: DataFrame) -> DataFrame:
 def shortage_flags(docs_json: DataFrame, products: DataFrame) -> DataFrame:
     """Cumulative demand per product over baskets in (date, ref, pos) order vs opening stock.
 
-    Two-phase running sum by (product, day): a best seller does not become one task.
+    A running sum in ranges of rows: a best seller does not become one task.
     """
     lines = sale_lines(parse_docs(docs_json, SALE_DOC)).filter(~F.col("no_item") & F.col("product_id").isNotNull())
     lines = lines.withColumn("date", _posted_at(None)).withColumn("qty", F.col("qty").try_cast(QUANTITY))
@@ -218,45 +281,90 @@ def shortage_flags(docs_json: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def _purchase_checks(docs_json: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
-    docs = parse_docs(docs_json, PURCHASE_DOC)
-    lines = purchase_lines(docs)
+_PURCHASE_HEAD = ("supplier_id", "payment_type", "discount", "amount_paid", "note", "date")
+
+
+def purchase_line_rows(docs_json: DataFrame, products: DataFrame) -> DataFrame:
+    """Every line of the documents with its product and its fault (one row for an empty basket); parsed once."""
     p = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
-    lines = lines.join(p, "product_id", "left")
-    reason = (
+    lines = purchase_lines(parse_docs(docs_json, PURCHASE_DOC)).join(p, "product_id", "left")
+    q, cost = F.col("qty").try_cast(QUANTITY), F.col("cost_num").try_cast(MONEY)
+    fault = (
         F.when(F.col("no_item"), F.lit(REJECT_EMPTY))
         .when(F.col("product_name").isNull(), F.lit(REJECT_NOT_FOUND))
-        .when(F.col("qty").try_cast(QUANTITY).isNull() | (F.col("qty") <= 0), F.lit(REJECT_QUANTITY))
-        .when(F.col("cost_num").try_cast(MONEY).isNull() | (F.col("cost_num") < 0), F.lit(REJECT_COST))
+        .when(q.isNull() | (q <= 0), F.lit(REJECT_QUANTITY))
+        .when(cost.isNull() | (cost < 0), F.lit(REJECT_COST))
     )
-    message = (
-        F.when(F.col("no_item"), F.lit("At least one item is required"))
-        .when(F.col("product_name").isNull(), F.concat(F.lit("Product "), F.col("product_id").cast("string"), F.lit(" not found")))
-        .when(F.col("qty").try_cast(QUANTITY).isNull() | (F.col("qty") <= 0), F.concat(F.lit("Invalid quantity for "), F.col("product_name")))
-        .otherwise(F.concat(F.lit("Invalid cost for "), F.col("product_name")))
+    return lines.select(
+        "ref", *_PURCHASE_HEAD, F.coalesce("pos", F.lit(-1)).alias("pos"), "product_id", "product_name",
+        q.alias("quantity"), cost.alias("unit_cost"), _money(q * cost).alias("line_total"), fault.alias("fault"),
+        _bad_date().alias("bad_date"), _bad_amount().alias("bad_amount"),
     )
-    return lines, _all_rejects(docs, _first_reason(lines, reason, message))
 
 
-def intake_purchases(docs_json: DataFrame, products: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Accepted purchase documents with totals."""
-    lines, rejects = _purchase_checks(docs_json, products)
-    ok = _accepted(lines, rejects).withColumn(
-        "line_total", _money(F.col("qty").try_cast(QUANTITY) * F.col("cost_num").try_cast(MONEY))
+def judged_purchases(lines: DataFrame) -> DataFrame:
+    """One row per reference: its header and sums, and the reason and message of the first line that fails."""
+    line = F.struct("pos", "fault", "product_id", "product_name")
+    per_ref = lines.groupBy("ref").agg(
+        F.sum(F.when(F.col("pos") <= 0, 1).otherwise(0)).alias("docs"), F.first(F.struct(*_PURCHASE_HEAD)).alias("head"),
+        F.max("bad_date").alias("bad_date"), F.max("bad_amount").alias("bad_amount"),
+        F.count(F.lit(1)).alias("lines"), F.sum("line_total").alias("subtotal"),
+        F.min(F.when(F.col("fault").isNotNull(), line)).alias("_bad"),
     )
-    per_doc = ok.groupBy("ref", "supplier_id", "payment_type", "discount", "amount_paid", "date").agg(
-        F.sum("line_total").alias("subtotal"), F.count(F.lit(1)).alias("lines")
+    doc, bad = _doc_reason(F.col("docs"), F.col("bad_date"), F.col("bad_amount")), F.col("_bad")
+    text = (
+        F.when(bad["fault"] == REJECT_EMPTY, F.lit("At least one item is required"))
+        .when(bad["fault"] == REJECT_NOT_FOUND, F.concat(F.lit("Product "), F.coalesce(bad["product_id"].cast("string"), F.lit("null")), F.lit(" not found")))
+        .when(bad["fault"] == REJECT_QUANTITY, F.concat(F.lit("Invalid quantity for "), bad["product_name"]))
+        .when(bad["fault"] == REJECT_COST, F.concat(F.lit("Invalid cost for "), bad["product_name"]))
     )
-    tot = F.greatest(F.lit(0).cast(TOTAL), F.col("subtotal") - F.coalesce(to_number("discount"), F.lit(0.0)).cast(TOTAL))
+    return per_ref.select(
+        "ref", "head.*", "lines", "subtotal",
+        F.coalesce(doc, bad["fault"]).alias("reason"), F.coalesce(_doc_message(doc), text).alias("message"),
+    )
+
+
+def intake_purchases(docs_json: DataFrame, products: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Accepted purchase documents with totals, discount and note."""
+    judged = judged_purchases(purchase_line_rows(docs_json, products)).filter(F.col("reason").isNull())
+    disc = F.coalesce(to_number("discount"), F.lit(0.0)).cast(TOTAL)
+    tot = F.greatest(F.lit(0).cast(TOTAL), F.col("subtotal") - disc)
     paid = F.when(F.col("payment_type") == "credit", F.coalesce(to_number("amount_paid"), F.lit(0.0)).cast(TOTAL)).otherwise(tot)
-    return per_doc.select(
+    return judged.select(
         "ref", "supplier_id", F.coalesce("payment_type", F.lit("cash")).alias("payment_type"),
-        _posted_at(as_of).alias("date"), "lines", total("subtotal").alias("subtotal"),
+        _posted_at(as_of).alias("date"), "lines", total("subtotal").alias("subtotal"), total(disc).alias("discount"),
         total(tot).alias("total"), total(paid).alias("amount_paid"),
-        total(F.greatest(F.lit(0), tot - paid)).alias("amount_due"),
+        total(F.greatest(F.lit(0), tot - paid)).alias("amount_due"), F.nullif("note", F.lit("")).alias("note"),
     )
 
 
 def purchase_rejects(docs_json: DataFrame, products: DataFrame) -> DataFrame:
-    _, rejects = _purchase_checks(docs_json, products)
-    return rejects
+    """Rejected purchase documents with the reason of their first failing line (K2)."""
+    judged = judged_purchases(purchase_line_rows(docs_json, products))
+    return judged.filter(F.col("reason").isNotNull()).select("ref", "reason", "message")
+
+
+def posted_purchase_items(docs_json: DataFrame, products: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Line rows of the accepted purchase documents (K2)."""
+    lines = written(purchase_line_rows(docs_json, products).withColumn("date", _posted_at(as_of)), "purchase-lines")
+    accepted = judged_purchases(lines.withColumn("date", F.col("date").cast("string"))).filter(F.col("reason").isNull())
+    return lines.filter(F.col("ref").isNotNull()).join(accepted.select("ref"), "ref", "left_semi").select(
+        "ref", "date", "pos", "product_id", "product_name", "quantity", "unit_cost", "line_total")
+
+
+def products_after_purchases(docs_json: DataFrame, products: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Each product's stock and cost before and after the accepted purchase documents (K2, K5).
+
+    Every line adds its quantity; the cost is that of the last line posted, in (date, ref, line) order (S16).
+    One map-side-combined aggregate per product: a product bought by a third of all lines is folded before the shuffle.
+    """
+    items = posted_purchase_items(docs_json, products, as_of)
+    effects = items.groupBy("product_id").agg(
+        F.sum("quantity").alias("bought"), F.max_by("unit_cost", F.struct("date", "ref", "pos")).alias("last_cost"),
+        F.count(F.lit(1)).alias("lines"))
+    base = products.select(F.col("id").alias("product_id"), F.col("quantity").alias("before"), F.col("cost_price").alias("cost_before"))
+    return base.join(effects, "product_id", "left").select(
+        "product_id", "before", total(F.col("before") + F.coalesce("bought", F.lit(0))).alias("after"),
+        "cost_before", F.coalesce("last_cost", "cost_before").alias("cost_after"),
+        F.coalesce("lines", F.lit(0)).alias("lines"),
+    )

@@ -1,22 +1,24 @@
-"""Ordered scans that stay parallel when one key is hot.
+"""Ordered scans that stay parallel when one key is hot.
 
 A running total over ``Window.partitionBy(key).orderBy(t)`` puts every row
 of a key into one task; with no key at all (the cash drawer) the whole table
 lands in one task.  Each scan here runs in phases instead:
 
-1. write the keyed rows once to the shared folder, each with its block: a part
-   of its key's sequence (by default an hour of its day; rows stamped exactly
-   midnight, as date-only records are, split further by the next columns of
-   the order);
-2. summarise each ``(key, block)`` and scan the summaries per key to get each
-   block's carry-in;
-3. put the carry-in in front of its block as a row of its own and scan inside
-   each ``(key, block)``.
-
-The block expression must be non-decreasing in the row order.  Results are
-identical to the single window.  The rows' source plan runs once; the two
-later phases read the written rows.  Rows with a NULL key or date form keys
-and blocks like any other, so none is lost.
+1. the keyed rows are written to the shared folder, range-partitioned by their
+   full order (key, then row order) and written again, each with the number of
+   its range as its block; the first copy is deleted.  The splitters come from Spark's sample of the rows, so
+   a block holds about as many rows as any other, whatever the dates, ids or
+   amounts look like, and a key takes as many blocks as its rows need;
+2. each ``(key, block)`` is summarised, and the summaries of a key, one a
+   block, are scanned to get each block's carry-in;
+3. the carry-in goes in front of its block as a row of its own, and each
+   ``(key, block)`` is scanned.
+
+Results are identical to the single window.  Rows that are equal in the whole
+order share a block.  Rows with a NULL key or date form keys like any other, so
+none is lost.  Blocks are as many as shuffle partitions, less what adaptive
+execution merges of small ones; ``blocks`` fixes their number.  The rows' source
+plan runs once: the sample and the later phases read the written rows.
 """
 
 from __future__ import annotations
@@ -25,36 +27,23 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import written
+from ..session import dropped, written
 
-_BLK, _ROW, _ID_RANGE = "_blk", "_row", 1 << 16
+_BLK, _ROW = "_blk", "_row"
 
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def day_block(col: str = "date") -> Column:
-    return F.to_date(F.col(col))
-
-
-def time_block(df: DataFrame, order: Sequence[str]) -> Column:
-    """Hour of the first order column; midnight rows by the second and a range of ids of the third."""
-    date = F.col(order[0])
-    midnight = F.to_date(date).cast(df.schema[order[0]].dataType) == date
-    parts = [F.to_date(date).alias("day"), F.hour(date).alias("hour"), F.when(midnight, 0).otherwise(1).alias("timed")]
-    if len(order) > 1:
-        parts.append(F.when(midnight, F.col(order[1])).alias("tie"))
-    if len(order) > 2 and isinstance(df.schema[order[2]].dataType, (T.IntegerType, T.LongType)):
-        parts.append(F.when(midnight, F.floor(F.col(order[2]) / F.lit(_ID_RANGE))).alias("ids"))
-    return F.when(date.isNotNull(), F.struct(*parts))
-
-
-def _blocked(df: DataFrame, order: Sequence, block: Column | None, added: Mapping[str, Column]) -> DataFrame:
-    base = df.withColumn(_BLK, block if block is not None else time_block(df, order))
-    return written(base.withColumns(dict(added)), "scan")
+def in_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], blocks: int | None = None) -> DataFrame:
+    """The rows in ranges of the full order, written, with the number of their range in ``_blk``."""
+    keys, source = _cols([*by, *order]), written(df, "source")
+    ranged = source.repartitionByRange(blocks, *keys) if blocks else source.repartitionByRange(*keys)
+    out = written(ranged.withColumn(_BLK, F.spark_partition_id()), "scan")
+    dropped(source)
+    return out
 
 
 def _with_carry(base: DataFrame, carry: DataFrame) -> DataFrame:
@@ -71,27 +60,40 @@ def _blocks_before(by: Sequence[str]) -> Window:
     return Window.partitionBy(*by).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def running_sum(
+def running_sums(
     df: DataFrame,
-    value: str | Column,
+    values: Mapping[str, Column],
     by: Sequence[str],
     order: Sequence[str | Column],
-    out: str,
-    block: Column | None = None,
     inclusive: bool = True,
+    blocks: int | None = None,
 ) -> DataFrame:
-    """Add ``out`` = running sum of ``value`` per ``by`` in ``order``.
+    """Add one running sum per ``by`` in ``order`` for each of ``values`` (name of the sum: what is summed).
 
     ``inclusive=False`` gives the sum of the rows strictly before (0 for the first).
     """
-    val = F.col(value) if isinstance(value, str) else value
-    by = list(by)
-    base = _blocked(df, order, block, {"_v": val})
-    totals = base.groupBy(*by, _BLK).agg(F.sum("_v").alias("_bt"))
-    carry = totals.select(*by, _BLK, F.coalesce(F.sum("_bt").over(_blocks_before(by)), F.lit(0)).alias("_v"))
-    scanned = _with_carry(base, carry).withColumn(
-        out, F.coalesce(F.sum("_v").over(_in_block(by, order, 0 if inclusive else -1)), F.lit(0)))
-    return scanned.filter(F.col(_ROW) == 1).drop(_BLK, _ROW, "_v")
+    by, held = list(by), {f"_v_{k}": c for k, c in values.items()}
+    base = in_blocks(df.withColumns(held), by, order, blocks)
+    totals = base.groupBy(*by, _BLK).agg(*[F.sum(h).alias(h) for h in held])
+    before = _blocks_before(by)
+    carry = totals.select(*by, _BLK, *[F.coalesce(F.sum(h).over(before), F.lit(0)).alias(h) for h in held])
+    here = _in_block(by, order, 0 if inclusive else -1)
+    scanned = _with_carry(base, carry).withColumns(
+        {k: F.coalesce(F.sum(f"_v_{k}").over(here), F.lit(0)) for k in values})
+    return scanned.filter(F.col(_ROW) == 1).drop(_BLK, _ROW, *held)
+
+
+def running_sum(
+    df: DataFrame,
+    value: str | Column,
+    by: Sequence[str],
+    order: Sequence[str | Column],
+    out: str,
+    inclusive: bool = True,
+    blocks: int | None = None,
+) -> DataFrame:
+    """``running_sums`` of one value."""
+    return running_sums(df, {out: F.col(value) if isinstance(value, str) else value}, by, order, inclusive, blocks)
 
 
 def sums_and_min(
@@ -101,9 +103,9 @@ def sums_and_min(
     order: Sequence[str | Column],
     sum_out: str,
     min_out: str,
-    block: Column | None = None,
     min_before_out: str | None = None,
     sums: Mapping[str, Column] | None = None,
+    blocks: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Add ``sum_out`` = inclusive running sum S and ``min_out`` = min(S_j, j ≤ current).
 
@@ -114,14 +116,14 @@ def sums_and_min(
     val = F.col(value) if isinstance(value, str) else value
     by, extra = list(by), dict(sums or {})
     held = {"_v": val, **{f"_x_{k}": c for k, c in extra.items()}}
-    base = _blocked(df, order, block, held)
+    base = in_blocks(df.withColumns(held), by, order, blocks)
     local = base.withColumn("_s", F.sum("_v").over(
         Window.partitionBy(*by, _BLK).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = local.groupBy(*by, _BLK).agg(F.min("_s").alias("_bm"), *[F.sum(c).alias(c) for c in held])
+    per_block = local.groupBy(*by, _BLK).agg(F.min("_s").alias("_bm"), *[F.sum(c).alias(c) for c in held])
     before = _blocks_before(by)
     offset = F.coalesce(F.sum("_v").over(before), F.lit(0))
-    blocks = written(blocks.withColumn("_low", offset + F.col("_bm")), "blocks")
-    carry = blocks.select(
+    per_block = written(per_block.withColumn("_low", offset + F.col("_bm")), "blocks")
+    carry = per_block.select(
         *by, _BLK, F.min("_low").over(before).alias("_pm"),
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in held])
     rows = _with_carry(base, carry)
@@ -132,7 +134,7 @@ def sums_and_min(
     rows = rows.withColumn(min_out, F.min("_m").over(here))
     if min_before_out:
         rows = rows.withColumn(min_before_out, F.min("_m").over(earlier))
-    summary = blocks.groupBy(*by).agg(
+    summary = per_block.groupBy(*by).agg(
         F.sum("_v").alias(sum_out), F.min("_low").alias(min_out), *[F.sum(f"_x_{k}").alias(k) for k in extra])
     return rows.filter(F.col(_ROW) == 1).drop(_BLK, _ROW, "_m", "_pm", *held), summary
 
@@ -148,7 +150,7 @@ def carry_forward(
     by: Sequence[str],
     order: Sequence[str | Column],
     out: str | Sequence[str],
-    block: Column | None = None,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = last non-null ``value`` at or before each row, per ``by`` (as-of fill).
 
@@ -158,7 +160,7 @@ def carry_forward(
     values = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
     by = list(by)
-    base = _blocked(df, order, block, {"_ord": F.struct(*_cols(order))})
+    base = in_blocks(df.withColumn("_ord", F.struct(*_cols(order))), by, order, blocks)
     # last non-null value of each column in each block (rows with a NULL value do not compete)
     lasts = base.groupBy(*by, _BLK).agg(*[
         F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col("_ord"))).alias(f"_bl{i}") for i, v in enumerate(values)

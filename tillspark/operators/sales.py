@@ -74,20 +74,16 @@ def top_earner(sales: DataFrame, sale_items: DataFrame, rng: Period) -> DataFram
     return agg.orderBy(F.desc("profit"), "name").limit(1)
 
 
-def invoice_numbers(sales: DataFrame, purchases: DataFrame, block_size: int = 1 << 16) -> DataFrame:
+def invoice_numbers(sales: DataFrame, purchases: DataFrame) -> DataFrame:
     """Deterministic document numbers ``INV-yyyyMMdd-nnnn`` / ``PUR-…``.
 
     Numbered within each day by id.  The count runs through the two-phase
-    scan with id blocks, so a day holding a large share of documents is still
-    numbered by many tasks.
+    scan, so a day holding a large share of documents is still numbered by many tasks.
     """
     docs = sales.select(F.lit("INV").alias("prefix"), "id", "date").unionByName(
         purchases.select(F.lit("PUR").alias("prefix"), "id", "date")
     ).withColumn("day", F.to_date("date"))
-    numbered = running_sum(
-        docs, F.lit(1).cast("long"), ["prefix", "day"], ["id"], "seq",
-        block=F.floor(F.col("id") / F.lit(block_size)),
-    )
+    numbered = running_sum(docs, F.lit(1).cast("long"), ["prefix", "day"], ["id"], "seq")
     return numbered.select(
         "prefix", "id", "date",
         F.concat_ws("-", "prefix", F.date_format("date", "yyyyMMdd"), F.format_string("%04d", F.col("seq")))

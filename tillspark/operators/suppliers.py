@@ -11,7 +11,7 @@ cumulative span ``[C_{i-1}, C_i)`` keeps ``due_i - clamp(A - C_{i-1}, 0, due_i)`
 Exact when the date order is the posting order (the reference sorts dues by date).
 
 Running sums and minima go through the two-phase scans of ``prefix``, so one
-supplier with a third of all purchases is still spread over its days.
+supplier with a third of all purchases is still spread over many tasks.
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ def fifo_payments(purchases: DataFrame, supplier_payments: DataFrame) -> DataFra
     )
 
 
-def fifo_links(purchases: DataFrame, supplier_payments: DataFrame, block: float = 1e7) -> DataFrame:
+def fifo_links(purchases: DataFrame, supplier_payments: DataFrame) -> DataFrame:
     """Which payment settled how much of which purchase (C14).
 
     On the cumulative-money axis each due covers ``[C_{i-1}, C_i)`` and each
@@ -140,7 +140,7 @@ def fifo_links(purchases: DataFrame, supplier_payments: DataFrame, block: float
     overlap.  Instead of joining all dues with all payments of a supplier,
     the interval ends are merged into one sorted sequence and each end looks
     ahead (a backward fill) for the due and the payment covering the segment
-    that ends there — linear in the number of events, in money-axis blocks.
+    that ends there — linear in the number of events.
     """
     ev = fifo_events(purchases, supplier_payments)
     a_end = F.col("D") - F.col("S") - F.col("L")
@@ -155,8 +155,7 @@ def fifo_links(purchases: DataFrame, supplier_payments: DataFrame, block: float
         F.when(~is_due, F.struct(F.col("id").alias("payment_id"), (a_end - applied).alias("lo"),
                                  a_end.alias("hi"))).alias("pay"),
     ).withColumn("nx", -F.col("x")).withColumn("nk", -F.col("kind"))
-    blk = F.floor(F.col("nx") / F.lit(block))
-    pts = carry_forward(pts, ["due", "pay"], ["supplier_id"], ["nx", "nk"], ["due_c", "pay_c"], block=blk)
+    pts = carry_forward(pts, ["due", "pay"], ["supplier_id"], ["nx", "nk"], ["due_c", "pay_c"])
     pairs = pts.filter(F.col("due_c").isNotNull() & F.col("pay_c").isNotNull()).select(
         "supplier_id", F.col("due_c.purchase_id").alias("purchase_id"), F.col("pay_c.payment_id").alias("payment_id"),
         (F.least("due_c.hi", "pay_c.hi") - F.greatest("due_c.lo", "pay_c.lo")).alias("amt"),

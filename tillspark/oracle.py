@@ -347,12 +347,6 @@ SQL["repayments_applied"] = f"""
 SELECT r.id, r.sale_id, r.seq, {ts('r.date')}, r.method, {d('r.amount', 'requested')},
        {d(f'LEAST(r.amount, {_LEFT})', 'applied')}, {d(_LEFT, 'due_before')}
 FROM repayment_requests r JOIN sales s ON s.id = r.sale_id"""
-SQL["repayment_rejects"] = f"""
-SELECT id, sale_id, seq, {ts('date')}, {d('amount')}, reason FROM (
-  SELECT r.id, r.sale_id, r.seq, r.date, CASE WHEN r.id % 5 = 0 THEN -r.amount ELSE r.amount END AS amount,
-         CASE WHEN r.id % 5 = 0 OR r.amount <= 0 THEN 'bad_amount' WHEN s.id IS NULL THEN 'unknown_sale' END AS reason
-  FROM repayment_requests r LEFT JOIN (SELECT id FROM sales WHERE id % 2 = 0) s ON s.id = r.sale_id) x
-WHERE reason IS NOT NULL"""
 SQL["repayment_entry_rejects"] = f"""
 SELECT e.id, e.sale_id, e.seq, {ts('e.date')}, {d('e.amount')},
        CASE WHEN e.amount > 0 THEN 'unknown_sale' ELSE 'bad_amount' END AS reason
@@ -447,7 +441,7 @@ FROM expenses e LEFT JOIN (SELECT *, {_NUM} AS a FROM expense_edits) x ON x.id =
 
 
 # ---- posting (documents rebuilt from lineitem, not parsed) ------------------------------------------
-_DOC_LINES = r"""
+_PRICED = r"""
 ln AS (
   SELECT l.l_orderkey AS ref,
          CAST(ROW_NUMBER() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity,
@@ -462,7 +456,8 @@ lp AS (
          CAST(GREATEST(0.0, COALESCE(ldisc_in, 0.0)) AS DECIMAL(18,2)) AS line_discount,
          CAST(ROUND(CAST(qty AS DECIMAL(18,2)) * COALESCE(CAST(price_in AS DECIMAL(18,2)), p.selling_price), 2) AS DECIMAL(18,2)) AS gross,
          SUM(CAST(qty AS DECIMAL(18,2))) OVER (PARTITION BY ln.ref, ln.product_id) AS demand
-  FROM ln LEFT JOIN products p ON p.id = ln.product_id),
+  FROM ln LEFT JOIN products p ON p.id = ln.product_id)"""
+_DOC_LINES = _PRICED + r""",
 rej AS (
   SELECT o.o_orderkey AS ref, 'empty' AS reason, 'At least one item is required' AS message
   FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)
@@ -486,15 +481,17 @@ SELECT ref, pos, product_id, {d('unit_price')}, {d('line_discount')}, {d('gross'
        {d('LEAST(line_discount, GREATEST(gross, 0))', 'page_discount')}
 FROM lp"""
 SQL["intake_rejects"] = f"WITH {_DOC_LINES}\nSELECT ref, reason, message FROM rej"
-SQL["intake_sales"] = f"""
-WITH {_DOC_LINES},
+
+
+def _posted_headers(refused: str) -> str:
+    return f"""
 acc AS (
   SELECT o.o_orderkey AS ref, c.c_name AS customer_name, {_PT} AS payment_type, o.o_orderdate AS date, COUNT(*) AS lines,
          SUM(lp.gross) AS subtotal,
          SUM(lp.line_discount) + CASE WHEN o.o_orderkey % 20 = 0 THEN 50 ELSE 0 END AS disc,
          o.o_orderkey % 3 AS m3
   FROM orders o JOIN lp ON lp.ref = o.o_orderkey LEFT JOIN customer c ON c.c_custkey = o.o_custkey
-  WHERE o.o_orderkey NOT IN (SELECT ref FROM rej)
+  WHERE o.o_orderkey NOT IN (SELECT ref FROM {refused})
   GROUP BY o.o_orderkey, c.c_name, o.o_orderpriority, o.o_orderdate),
 tt AS (SELECT *, GREATEST(0, subtotal - disc) AS tot,
               CASE WHEN payment_type = 'credit' THEN (CASE WHEN m3 = 0 THEN 0 ELSE 500 END)
@@ -502,6 +499,44 @@ tt AS (SELECT *, GREATEST(0, subtotal - disc) AS tot,
 SELECT ref, customer_name, payment_type, {ts('date')}, lines, {d('subtotal')}, {d('disc', 'discount')}, {d('tot', 'total')},
        {d('paid', 'amount_paid')}, {d('GREATEST(0, tot - paid)', 'amount_due')}
 FROM tt"""
+
+
+SQL["intake_sales"] = f"WITH {_DOC_LINES}, {_posted_headers('rej')}"
+# Posting in turn as a fixed point: a basket passes if it fits what the baskets that pass before it leave. Only one
+# assignment satisfies this (by induction over the order); it is reached by judging all baskets anew until none changes.
+_IN_TURN = _PRICED + """,
+turns AS (
+  SELECT lp.ref, o.o_orderdate AS date, lp.product_id, MAX(lp.stock) AS stock, SUM(CAST(lp.qty AS DECIMAL(18,2))) AS need
+  FROM lp JOIN orders o ON o.o_orderkey = lp.ref GROUP BY lp.ref, o.o_orderdate, lp.product_id),
+posted AS (
+  SELECT 0 AS round, ref, date, product_id, stock, need, false AS ok, true AS moving FROM turns
+  UNION ALL
+  SELECT round + 1, ref, date, product_id, stock, need, now, bool_or(now <> ok) OVER () FROM (
+    SELECT *, bool_and(need <= stock - earlier) OVER (PARTITION BY ref) AS now FROM (
+      SELECT *, COALESCE(SUM(CASE WHEN ok THEN need ELSE 0 END) OVER (PARTITION BY product_id ORDER BY date, ref
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+      FROM posted WHERE moving) x) y),
+passed AS (SELECT DISTINCT ref FROM posted WHERE ok AND round = (SELECT MAX(round) FROM posted)),
+refused AS (SELECT ref FROM turns EXCEPT SELECT ref FROM passed)"""
+SQL["intake_sales_sequential"] = f"WITH RECURSIVE {_IN_TURN}, {_posted_headers('refused')}"
+SQL["intake_rejects_sequential"] = rf"""
+WITH RECURSIVE {_IN_TURN},
+met AS (
+  SELECT t.ref, t.product_id, t.need, t.stock - COALESCE(SUM(CASE WHEN p.ref IS NOT NULL THEN t.need ELSE 0 END) OVER (
+           PARTITION BY t.product_id ORDER BY t.date, t.ref ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS has
+  FROM turns t LEFT JOIN passed p ON p.ref = t.ref)
+SELECT o.o_orderkey AS ref, 'empty' AS reason, 'At least one item is required' AS message
+FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)
+UNION ALL
+SELECT lp.ref, 'no_stock', arg_min('Not enough stock for ' || lp.product_name || ' (have '
+       || regexp_replace(CAST(CAST(met.has AS DOUBLE) AS VARCHAR), '\.0$', '') || ', need '
+       || regexp_replace(CAST(lp.qty AS VARCHAR), '\.0$', '') || ')', lp.pos)
+FROM lp JOIN met ON met.ref = lp.ref AND met.product_id = lp.product_id WHERE met.need > met.has GROUP BY lp.ref"""
+SQL["stock_after_sequential"] = f"""
+WITH RECURSIVE {_IN_TURN},
+sold AS (SELECT product_id, SUM(need) AS n FROM turns JOIN passed USING (ref) GROUP BY product_id)
+SELECT q.id AS product_id, {d('q.quantity', 'before')}, {d('q.quantity - COALESCE(sold.n, 0)', 'after')}
+FROM products q LEFT JOIN sold ON sold.product_id = q.id"""
 SQL["posted_sale_items"] = f"""
 WITH {_DOC_LINES}
 SELECT lp.ref, lp.pos, lp.product_id, lp.product_name, {d('lp.qty', 'quantity')}, {d('lp.unit_price', 'unit_price')},
@@ -537,19 +572,28 @@ pl AS (
   FROM purchase_items)"""
 SQL["posted_purchase_items"] = f"""
 WITH {_PDOC}
-SELECT ref, pos, product_id, product_name, {d('quantity')}, {d('cost', 'unit_cost')}, {d('ROUND(quantity * cost, 2)', 'line_total')}
+SELECT ref, {ts('date')}, pos, product_id, product_name, {d('quantity')}, {d('cost', 'unit_cost')}, {d('ROUND(quantity * cost, 2)', 'line_total')}
 FROM pl WHERE ref NOT IN (SELECT ref FROM pl WHERE cost < 0)"""
 SQL["intake_purchases"] = f"""
 WITH {_PDOC},
 acc AS (
   SELECT ref, supplier_id, date, COUNT(*) AS lines, SUM(ROUND(quantity * cost, 2)) AS subtotal,
+         CASE WHEN ref % 4 = 0 THEN 25.5 ELSE 0 END AS discount,
          CASE ref % 3 WHEN 0 THEN 'cash' WHEN 1 THEN 'card' ELSE 'credit' END AS payment_type
   FROM pl WHERE ref NOT IN (SELECT ref FROM pl WHERE cost < 0) GROUP BY ref, supplier_id, date),
-tt AS (SELECT *, GREATEST(0, subtotal) AS tot,
-              CASE WHEN payment_type = 'credit' THEN 100 ELSE GREATEST(0, subtotal) END AS paid FROM acc)
-SELECT ref, supplier_id, payment_type, {ts('date')}, lines, {d('subtotal')}, {d('tot', 'total')}, {d('paid', 'amount_paid')},
-       {d('GREATEST(0, tot - paid)', 'amount_due')}
+tt AS (SELECT *, GREATEST(0, subtotal - discount) AS tot,
+              CASE WHEN payment_type = 'credit' THEN 100 ELSE GREATEST(0, subtotal - discount) END AS paid FROM acc)
+SELECT ref, supplier_id, payment_type, {ts('date')}, lines, {d('subtotal')}, {d('discount')}, {d('tot', 'total')}, {d('paid', 'amount_paid')},
+       {d('GREATEST(0, tot - paid)', 'amount_due')}, CASE ref % 5 WHEN 0 THEN 'Order ' || CAST(ref AS VARCHAR) END AS note
 FROM tt"""
+SQL["products_after_purchases"] = f"""
+WITH {_PDOC},
+bought AS (SELECT * FROM pl ANTI JOIN (SELECT ref FROM pl WHERE cost < 0) x ON x.ref = pl.ref),
+last AS (SELECT DISTINCT ON (product_id) product_id, cost FROM bought ORDER BY product_id, date DESC, ref DESC, pos DESC)
+SELECT q.id AS product_id, {d('q.quantity', 'before')}, {d('q.quantity + COALESCE(b.n, 0)', 'after')},
+       {d('q.cost_price', 'cost_before')}, {d('COALESCE(last.cost, q.cost_price)', 'cost_after')}, COALESCE(b.lines, 0) AS lines
+FROM products q LEFT JOIN (SELECT product_id, SUM(quantity) AS n, COUNT(*) AS lines FROM bought GROUP BY product_id) b ON b.product_id = q.id
+LEFT JOIN last ON last.product_id = q.id"""
 SQL["purchase_rejects"] = f"""
 WITH {_PDOC}
 SELECT ref, 'bad_cost' AS reason, 'Invalid cost for ' || product_name AS message

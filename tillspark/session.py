@@ -51,7 +51,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: its plan runs once and survives lost executors."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stage_path = path
+    return back
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete a table that ``written`` returned, once what was made of it has been written itself."""
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table._stage_path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tillspark") -> SparkSession:

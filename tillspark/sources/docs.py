@@ -55,7 +55,10 @@ def purchase_docs(r) -> DataFrame:
     pt = F.when(F.col("purchase_id") % 3 == 0, "cash").when(F.col("purchase_id") % 3 == 1, "card").otherwise("credit")
     doc = F.struct(
         F.col("purchase_id").alias("ref"), "supplier_id", pt.alias("payment_type"),
+        F.when(F.col("purchase_id") % 4 == 0, F.lit(25.5)).alias("discount"),
         F.when(pt == "credit", F.lit(100.0)).alias("amount_paid"),
+        F.when(F.col("purchase_id") % 5 == 0, F.concat(F.lit("Order "), F.col("purchase_id").cast("string")))
+        .when(F.col("purchase_id") % 5 == 1, F.lit("")).alias("note"),
         F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"),
         F.transform("xs", lambda x: x["i"]).alias("items"),
     )
