@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tillspark.operators import prefix, suppliers
+from tillspark.operators import backdated, prefix, suppliers
 
 
 def _events(rng: random.Random, n: int, keys: int):
@@ -99,3 +99,53 @@ def test_fifo_matches_loop(spark, frame):
         for d, k, i, a in events:
             if k == 0:
                 assert settled.get(i, 0.0) == a - dues[i]
+
+
+def _posted_loop(dues, pays):
+    """The reference's loop in posting order: a payment goes to the oldest dated dues entered so far."""
+    left = {}
+    for _, kind, i in sorted([(d[1], 0, i) for i, d in dues.items()] + [(p[0], 1, i) for i, p in pays.items()]):
+        if kind == 0:
+            left[i] = dues[i][2]
+            continue
+        money = pays[i][1]
+        for k in sorted(left, key=lambda k: (dues[k][0], k)):
+            pay = min(money, left[k])
+            left[k] -= pay
+            money -= pay
+    return left
+
+
+def test_backdated_dues_match_the_posting_loop(spark, frame):
+    rng = random.Random(5)
+    base = dt.datetime(2024, 1, 1)
+    purchases, payments, want = [], [], {}
+    for supplier, late in ((1, 0.5), (2, 0.1), (3, 0.0), (4, 1.0)):
+        dues, pays = {}, {}
+        for i in range(28):
+            day = base + dt.timedelta(days=rng.randrange(30))
+            dues[100 * supplier + i] = (day, day + dt.timedelta(days=rng.randrange(20) if rng.random() < late else 0), rng.randint(1, 200))
+        for i in range(24):
+            pays[100 * supplier + i] = (base + dt.timedelta(days=rng.randrange(45)), rng.randint(1, 250))
+        purchases += [{"id": i, "supplier_id": supplier, "date": d, "created_at": p, "amount_due": v} for i, (d, p, v) in dues.items()]
+        payments += [{"id": i, "supplier_id": supplier, "date": d, "amount": a} for i, (d, a) in pays.items()]
+        want.update(_posted_loop(dues, pays))
+    p, sp = frame("purchases", purchases), frame("supplier_payments", payments)
+    whole = {r.purchase_id: float(r.amount_due) for r in suppliers.fifo_allocation(p, sp).collect()}
+    assert whole == want and len({v for v in want.values()}) > 5
+    halved = {r.purchase_id: float(r.amount_due) for r in backdated.allocation(p, sp, leaf_rows=12, blocks=3).collect()}
+    assert halved == want
+    hit = {r.purchase_id for r in backdated.fifo_order_violations(p).collect()}
+    rows = {r["id"]: r for r in purchases}
+    assert hit == {i for i, r in rows.items() if any(
+        o["supplier_id"] == r["supplier_id"] and (o["created_at"], o["id"]) < (r["created_at"], i) and (o["date"], o["id"]) > (r["date"], i)
+        for o in purchases)}
+    assert {i // 100 for i in hit} == {1, 2, 4}
+
+
+def test_a_single_due_with_many_payments_is_summed(frame):
+    p = frame("purchases", [{"id": 1, "supplier_id": 1, "date": "2024-01-09 00:00:00", "created_at": "2024-01-09 00:00:00", "amount_due": 500},
+                            {"id": 2, "supplier_id": 1, "date": "2024-01-01 00:00:00", "created_at": "2024-01-20 00:00:00", "amount_due": 70}])
+    sp = frame("supplier_payments", [{"id": i, "supplier_id": 1, "date": f"2024-01-{d:02} 12:00:00", "amount": 20} for i, d in enumerate(range(5, 29))])
+    got = {r.purchase_id: float(r.amount_due) for r in backdated.allocation(p, sp, leaf_rows=2).collect()}
+    assert got == {2: 0.0, 1: 500.0 - 220.0 - (180.0 - 70.0)}

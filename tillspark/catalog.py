@@ -60,7 +60,7 @@ def _timeseries_month(r):
 
 
 # ---- sales (sales.py) --------------------------------------------------------------------------
-from .operators import cash, credit, expenses, inventory, purchases, sales, suppliers  # noqa: E402
+from .operators import backdated, cash, credit, expenses, inventory, purchases, sales, suppliers  # noqa: E402
 from .registry import Q_EXPENSES, Q_PRODUCTS, Q_SALES, Q_SUPPLIERS, RECENT_PURCHASES, RECENT_SALES, TOP_N  # noqa: E402
 
 
@@ -216,6 +216,16 @@ def _fifo_allocation(r):
     return suppliers.fifo_allocation(r["purchases"], r["supplier_payments"])
 
 
+@query("fifo_order_violations")
+def _fifo_order_violations(r):
+    return backdated.fifo_order_violations(r["entered_purchases"])
+
+
+@query("fifo_allocation_backdated")
+def _fifo_allocation_backdated(r):
+    return suppliers.fifo_allocation(r["entered_purchases"], r["supplier_payments"])
+
+
 @query("fifo_payments")
 def _fifo_payments(r):
     return suppliers.fifo_payments(r["purchases"], r["supplier_payments"])
@@ -387,7 +397,7 @@ def _asof_cost(r):
 
 
 # ---- integrity (integrity.py) ---------------------------------------------------------------------
-from .operators import integrity  # noqa: E402
+from .operators import edits, integrity  # noqa: E402
 
 
 @query("clean_products")
@@ -454,6 +464,36 @@ def _upsert_products(r):
     return integrity.upsert(r["products"], r["product_changes"])
 
 
+@query("products_after_edits")
+def _products_after_edits(r):
+    return edits.apply_edits(r["products"], r["product_edits"], "products")
+
+
+@query("product_edit_rejects")
+def _product_edit_rejects(r):
+    return edits.edit_rejects(r["products"], r["product_edits"], "products")
+
+
+@query("categories_after_edits")
+def _categories_after_edits(r):
+    return edits.apply_edits(r["categories"], r["category_edits"], "categories")
+
+
+@query("category_edit_rejects")
+def _category_edit_rejects(r):
+    return edits.edit_rejects(r["categories"], r["category_edits"], "categories")
+
+
+@query("suppliers_after_edits")
+def _suppliers_after_edits(r):
+    return edits.apply_edits(r["suppliers"], r["supplier_edits"], "suppliers")
+
+
+@query("supplier_edit_rejects")
+def _supplier_edit_rejects(r):
+    return edits.edit_rejects(r["suppliers"], r["supplier_edits"], "suppliers")
+
+
 @query("align_schema")
 def _align_schema(r):
     # an older products file without the migrated barcode and with no reorder level column

@@ -96,6 +96,24 @@ def running_sum(
     return running_sums(df, {out: F.col(value) if isinstance(value, str) else value}, by, order, inclusive, blocks)
 
 
+def running_max(
+    df: DataFrame,
+    value: str | Column,
+    by: Sequence[str],
+    order: Sequence[str | Column],
+    out: str,
+    inclusive: bool = True,
+    blocks: int | None = None,
+) -> DataFrame:
+    """Add ``out`` = greatest ``value`` at or before each row, per ``by``; ``inclusive=False``: strictly before (NULL for the first)."""
+    by = list(by)
+    base = in_blocks(df.withColumn("_v", F.col(value) if isinstance(value, str) else value), by, order, blocks)
+    carry = base.groupBy(*by, _BLK).agg(F.max("_v").alias("_bm"))
+    carry = carry.select(*by, _BLK, F.max("_bm").over(_blocks_before(by)).alias("_v"))
+    scanned = _with_carry(base, carry).withColumn(out, F.max("_v").over(_in_block(by, order, 0 if inclusive else -1)))
+    return scanned.filter(F.col(_ROW) == 1).drop(_BLK, _ROW, "_v")
+
+
 def sums_and_min(
     df: DataFrame,
     value: str | Column,
@@ -150,9 +168,10 @@ def carry_forward(
     by: Sequence[str],
     order: Sequence[str | Column],
     out: str | Sequence[str],
+    inclusive: bool = True,
     blocks: int | None = None,
 ) -> DataFrame:
-    """Add ``out`` = last non-null ``value`` at or before each row, per ``by`` (as-of fill).
+    """Add ``out`` = last non-null ``value`` at or before each row, per ``by`` (as-of fill); ``inclusive=False``: strictly before.
 
     Several columns can be filled at once (lists for ``value`` and ``out``);
     they share the block summaries and one in-block window.
@@ -169,7 +188,7 @@ def carry_forward(
     carry = lasts.select(*by, _BLK, *[
         F.last(f"_bl{i}", ignorenulls=True).over(before).alias(f"_cin{i}") for i in range(len(values))])
     rows = _with_carry(base, carry)
-    here = _in_block(by, order, 0)
+    here = _in_block(by, order, 0 if inclusive else -1)
     rows = rows.withColumns({
         o: F.last(F.coalesce(F.col(v), F.col(f"_cin{i}")), ignorenulls=True).over(here)
         for i, (v, o) in enumerate(zip(values, outs))})

@@ -1,14 +1,15 @@
 """Supplier ledger and first-in-first-out payment allocation.
 
 FIFO without a loop.  Per supplier, take the events in posting order
-``(date, dues before payments, id)`` with value ``+due`` for a credit purchase
+``(posting time, dues before payments, id)`` with value ``+due`` for a credit purchase
 and ``-amount`` for a payment, and let ``S`` be their running sum.  Paying
 more than is owed loses the excess (S10), so what is outstanding is the
 walk ``S`` reflected at zero: ``O = S + L`` with ``L = max(0, -min S)`` the
 excess lost so far.  Hence each payment applies ``amount - ΔL``; the total
 applied ``A = Σ amounts - L_final`` fills the dues in order, and due *i* with
 cumulative span ``[C_{i-1}, C_i)`` keeps ``due_i - clamp(A - C_{i-1}, 0, due_i)``.
-Exact when the date order is the posting order (the reference sorts dues by date).
+Exact while dues are posted in date order (the reference sorts dues by date);
+``backdated`` settles the others.
 
 Running sums and minima go through the two-phase scans of ``prefix``, so one
 supplier with a third of all purchases is still spread over many tasks.
@@ -19,12 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import MONEY, TOTAL, total
+from ..functions.money import MONEY, total
+from .backdated import DUE, PAY, POSTED, allocation, is_backdated, posted_events
 from .prefix import carry_forward, running_sum, sums_and_min
 
-DUE, PAY = 0, 1
-
-
 def ledger_entries(purchases: DataFrame, supplier_payments: DataFrame) -> DataFrame:
     """Purchases as debit (plus the paid-at-purchase credit when > 0) ∪ supplier payments."""
     entry = "struct({sub} AS sub, '{typ}' AS type, {deb} AS debit, {cred} AS credit, {note} AS note)"
@@ -70,15 +69,9 @@ def fifo_scan(purchases: DataFrame, supplier_payments: DataFrame) -> tuple[DataF
 
     One scan gives every running value; the totals come from its block summaries.
     """
-    dues = purchases.filter((F.col("amount_due") > 0) & F.col("supplier_id").isNotNull()).select(
-        "supplier_id", "date", F.lit(DUE).alias("kind"), "id", F.col("amount_due").cast(TOTAL).alias("v")
-    )
-    pays = supplier_payments.select(
-        "supplier_id", "date", F.lit(PAY).alias("kind"), "id", (-F.col("amount")).cast(TOTAL).alias("v")
-    )
     is_due = F.col("kind") == DUE
     ev, per_supplier = sums_and_min(
-        dues.unionByName(pays), "v", ["supplier_id"], ["date", "kind", "id"], "S", "minS",
+        posted_events(purchases, supplier_payments), "v", ["supplier_id"], POSTED, "S", "minS",
         min_before_out="minS_prev", sums={"D": F.when(is_due, F.col("v")).otherwise(F.lit(0))})
     lost_after = F.greatest(F.lit(0), -F.least(F.lit(0), F.col("minS")))
     lost_before = F.greatest(F.lit(0), -F.least(F.lit(0), F.coalesce(F.col("minS_prev"), F.lit(0))))
@@ -93,7 +86,12 @@ def fifo_events(purchases: DataFrame, supplier_payments: DataFrame) -> DataFrame
 
 
 def fifo_allocation(purchases: DataFrame, supplier_payments: DataFrame) -> DataFrame:
-    """Each credit purchase's due before and after all supplier payments, oldest paid first."""
+    """Each credit purchase's due before and after all supplier payments, oldest paid first.
+
+    Feeds with dues posted at another time than their date take the exact way of ``backdated``.
+    """
+    if not is_backdated(purchases).isEmpty():
+        return allocation(purchases, supplier_payments)
     ev, applied = fifo_scan(purchases, supplier_payments)
     dues = ev.filter(F.col("kind") == DUE).join(applied, "supplier_id")
     c_start = F.col("D") - F.col("v")
@@ -105,23 +103,6 @@ def fifo_allocation(purchases: DataFrame, supplier_payments: DataFrame) -> DataF
     )
 
 
-def fifo_order_violations(purchases: DataFrame, supplier_payments: DataFrame) -> DataFrame:
-    """Credit purchases dated before a payment that was posted earlier (a smaller ``posted`` time).
-
-    For these suppliers date order is not posting order, and the allocation above is not what posting one by
-    one would give.  Compares each purchase's ``created_at`` with the payments posted up to then: per supplier,
-    a running maximum of payment dates over posting times, found with one ordered scan.
-    """
-    seq = purchases.filter((F.col("amount_due") > 0) & F.col("supplier_id").isNotNull()).select(
-        "supplier_id", F.coalesce("created_at", "date").alias("posted"), F.lit(1).alias("kind"), "id", "date",
-        F.lit(None).cast("timestamp_ntz").alias("paid"),
-    ).unionByName(supplier_payments.select(
-        "supplier_id", F.col("date").alias("posted"), F.lit(0).alias("kind"), "id", "date", F.col("date").alias("paid")))
-    seen = carry_forward(seq, "paid", ["supplier_id"], ["posted", "kind", "id"], "last_paid")
-    return seen.filter((F.col("kind") == 1) & (F.col("last_paid") > F.col("date"))).select(
-        "supplier_id", F.col("id").alias("purchase_id"), "date", "posted", "last_paid")
-
-
 def fifo_payments(purchases: DataFrame, supplier_payments: DataFrame) -> DataFrame:
     """Each supplier payment's applied part and the excess lost."""
     ev = fifo_events(purchases, supplier_payments).filter(F.col("kind") == PAY)

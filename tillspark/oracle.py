@@ -327,6 +327,29 @@ WITH {_FIFO}
 SELECT w.supplier_id, w.id AS purchase_id, {ts('w.date')}, {d('w.v', 'due_before')}, {d(_SETTLED, 'settled')},
        {d('w.v - ' + _SETTLED, 'amount_due')}, w.v - {_SETTLED} = 0 AS settled_in_full
 FROM w JOIN tot t ON t.supplier_id = w.supplier_id WHERE w.kind = 0"""
+SQL["fifo_order_violations"] = f"""
+SELECT supplier_id, id AS purchase_id, {ts('date')}, {ts('created_at', 'posted')}, {ts('top.date', 'queued_date')}, top.id AS queued_id
+FROM (SELECT *, MAX({{'date': date, 'id': id}}) OVER (PARTITION BY supplier_id ORDER BY created_at, id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
+      FROM entered_purchases WHERE amount_due > 0 AND supplier_id IS NOT NULL) x
+WHERE {{'date': date, 'id': id}} < top"""
+# Each due's queue position on its own: what it and all older dues still owe, less what the older ones owe. A payment
+# serves the older dues as if the others did not exist, so both are walks reflected at zero.
+SQL["fifo_allocation_backdated"] = f"""
+WITH due AS (SELECT supplier_id, id, date, created_at AS posted, CAST(amount_due AS DECIMAL(38,2)) AS v
+             FROM entered_purchases WHERE amount_due > 0 AND supplier_id IS NOT NULL),
+walk AS (
+  SELECT i.supplier_id, i.id, e.v, SUM(e.v) OVER (PARTITION BY i.supplier_id, i.id ORDER BY e.posted, e.kind, e.eid ROWS UNBOUNDED PRECEDING) AS s
+  FROM due i JOIN (
+    SELECT supplier_id, posted, 0 AS kind, id AS eid, date, v FROM due
+    UNION ALL SELECT supplier_id, date, 1, id, NULL, -CAST(amount AS DECIMAL(38,2)) FROM supplier_payments) e
+  ON e.supplier_id = i.supplier_id AND (e.kind = 1 OR e.date < i.date OR (e.date = i.date AND e.eid <= i.id))),
+owed AS (SELECT supplier_id, id, SUM(v) - LEAST(0, MIN(s)) AS o FROM walk GROUP BY supplier_id, id),
+rest AS (SELECT d.*, o.o - COALESCE(LAG(o.o) OVER (PARTITION BY d.supplier_id ORDER BY d.date, d.id), 0) AS left_
+         FROM due d JOIN owed o ON o.supplier_id = d.supplier_id AND o.id = d.id)
+SELECT supplier_id, id AS purchase_id, {ts('date')}, {d('v', 'due_before')}, {d('v - left_', 'settled')}, {d('left_', 'amount_due')},
+       left_ = 0 AS settled_in_full
+FROM rest"""
 SQL["fifo_payments"] = f"""
 WITH {_FIFO}
 SELECT supplier_id, id AS payment_id, {ts('date')}, {d('-v', 'amount')}, {d('-v - (L - L_prev)', 'applied')},
@@ -706,6 +729,57 @@ SQL["upsert_products"] = f"""
 SELECT {_PROD_OUT} FROM products WHERE id NOT IN (SELECT id FROM product_changes)
 UNION ALL
 SELECT {_PROD_OUT} FROM product_changes"""
+
+
+def _in_turn(table: str, feed: str, key: str, name: str) -> str:
+    """The edits one by one: ``held`` lists the rows that exist and their keys, as the edits so far left them."""
+    return f"""
+e0 AS (SELECT *, {name} AS nm, {key} AS k FROM {feed}),
+bad AS (SELECT seq, op, id, 'missing_name' AS reason FROM e0 WHERE op <> 'delete' AND COALESCE(nm, '') = ''),
+e AS (SELECT *, ROW_NUMBER() OVER (ORDER BY seq, id, op) AS n FROM e0 WHERE op = 'delete' OR COALESCE(nm, '') <> ''),
+st AS (
+  SELECT CAST(0 AS BIGINT) AS n, (SELECT list({{'id': id, 'k': k}}) FROM (SELECT id, {key} AS k FROM (SELECT *, {name} AS nm FROM {table}) t) b
+                  WHERE id IN (SELECT id FROM e) OR k IN (SELECT k FROM e)) AS held, '' AS why
+  UNION ALL
+  SELECT n, CASE WHEN why <> '' THEN held
+                 WHEN op = 'delete' THEN list_filter(held, lambda x: x.id <> id)
+                 ELSE list_append(list_filter(held, lambda x: x.id <> id), {{'id': id, 'k': k}}) END, why
+  FROM (SELECT e.n, e.id, e.op, e.k, held,
+          CASE WHEN e.op = 'insert' AND len(list_filter(held, lambda x: x.id = e.id)) > 0 THEN 'repeated_id'
+               WHEN e.op <> 'insert' AND len(list_filter(held, lambda x: x.id = e.id)) = 0 THEN 'unknown_id'
+               WHEN e.op <> 'delete' AND e.k IS NOT NULL AND len(list_filter(held, lambda x: x.k = e.k AND x.id <> e.id)) > 0 THEN 'duplicate_key'
+               ELSE '' END AS why
+        FROM st JOIN e ON e.n = st.n + 1) s),
+judged AS (SELECT e.*, st.why FROM e JOIN st ON st.n = e.n),
+final AS (SELECT DISTINCT ON (id) * FROM judged WHERE why = '' ORDER BY id, n DESC)"""
+
+
+def _edit_rejects(table: str, feed: str, key: str, name: str, missing: str, duplicate: str) -> str:
+    return f"""
+WITH RECURSIVE {_in_turn(table, feed, key, name)}
+SELECT seq, op, id, reason, '{missing}' AS message FROM bad
+UNION ALL
+SELECT seq, op, id, why, CASE why WHEN 'duplicate_key' THEN '{duplicate}' WHEN 'unknown_id' THEN 'Not found' ELSE 'The id exists' END
+FROM judged WHERE why <> ''"""
+
+
+_SKU, _NO_KEY = "NULLIF(sku, '')", "CAST(NULL AS VARCHAR)"
+SQL["product_edit_rejects"] = _edit_rejects("products", "product_edits", _SKU, "name", "Product name is required", "SKU must be unique")
+SQL["category_edit_rejects"] = _edit_rejects("categories", "category_edits", "nm", "trim(name)", "Name is required", "Category already exists")
+SQL["supplier_edit_rejects"] = _edit_rejects("suppliers", "supplier_edits", _NO_KEY, "trim(name)", "Supplier name is required", "")
+SQL["products_after_edits"] = f"""
+WITH RECURSIVE {_in_turn("products", "product_edits", _SKU, "name")}
+SELECT {_PROD_OUT} FROM products WHERE id NOT IN (SELECT id FROM final)
+UNION ALL
+SELECT {_PROD_OUT.replace(" sku,", " k AS sku,")} FROM final WHERE op <> 'delete'"""
+SQL["categories_after_edits"] = f"""
+WITH RECURSIVE {_in_turn("categories", "category_edits", "nm", "trim(name)")}
+SELECT id, name, {ts('created_at')} FROM categories WHERE id NOT IN (SELECT id FROM final)
+UNION ALL SELECT id, nm, {ts('created_at')} FROM final WHERE op <> 'delete'"""
+SQL["suppliers_after_edits"] = f"""
+WITH RECURSIVE {_in_turn("suppliers", "supplier_edits", _NO_KEY, "trim(name)")}
+SELECT id, name, phone, notes, {ts('created_at')} FROM suppliers WHERE id NOT IN (SELECT id FROM final)
+UNION ALL SELECT id, nm, phone, notes, {ts('created_at')} FROM final WHERE op <> 'delete'"""
 SQL["align_schema"] = f"""
 SELECT id, name, sku, CAST(NULL AS VARCHAR) AS barcode, category_id, {d('cost_price')}, {d('selling_price')},
        {d('quantity')}, 5.0 AS reorder_level, {ts('created_at')}

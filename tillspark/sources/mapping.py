@@ -312,6 +312,52 @@ SELECT id, CASE WHEN id % 4 = 3 THEN -sale_id ELSE sale_id END AS sale_id, seq,
 FROM {d.t('repayment_requests')}"""
 
 
+def _entered_purchases(d: Dialect) -> str:
+    """Purchases as they were entered (E4): some days or weeks after the date on the paper."""
+    return f"""
+SELECT id, invoice_no, supplier_id, date, payment_type, subtotal, discount, total, amount_paid, amount_due, note,
+       date + {d.days('CASE WHEN id % 7 = 0 THEN 40 WHEN id % 11 = 0 THEN 3 ELSE 0 END')} AS created_at
+FROM {d.t('purchases')}"""
+
+
+def _product_edits(d: Dialect) -> str:
+    """Product edits in posting order (K8): SKUs that clash, are freed and taken again, missing names, unknown ids."""
+    return f"""
+SELECT CAST(p_partkey AS BIGINT) AS seq,
+       CASE p_partkey % 5 WHEN 0 THEN 'insert' WHEN 4 THEN 'delete' ELSE 'update' END AS op,
+       CASE WHEN p_partkey % 5 = 0 OR (p_partkey % 5 = 1 AND p_partkey % 3 = 0) THEN 5000000 + p_partkey % 40
+            WHEN p_partkey % 5 = 4 THEN p_partkey % 230 + 1 ELSE p_partkey % 61 + 1 END AS id,
+       CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN '' ELSE p_name || ' e' END AS name,
+       CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 14 = 0 THEN '' ELSE 'SKU-' || CAST((p_partkey * 7) % 90 + 1 AS STRING) END AS sku,
+       '90' || CAST(p_partkey AS STRING) AS barcode, CAST(p_size % 7 + 1 AS BIGINT) AS category_id,
+       CAST(ROUND(CAST(p_retailprice AS {M}) * 0.8, 2) AS {M}) AS cost_price, CAST(p_retailprice AS {M}) AS selling_price,
+       CAST(p_size AS {M}) AS quantity, CAST(5 AS {M}) AS reorder_level, {d.ts('1997-01-01 00:00:00')} AS created_at
+FROM {d.t('part')}"""
+
+
+def _category_edits(d: Dialect) -> str:
+    """Category edits in posting order (K8): names with blanks around them, taken ones, missing ones."""
+    return f"""
+SELECT CAST(s_suppkey AS BIGINT) AS seq,
+       CASE s_suppkey % 4 WHEN 0 THEN 'insert' WHEN 3 THEN CASE WHEN s_suppkey % 3 = 0 THEN 'delete' ELSE 'update' END ELSE 'update' END AS op,
+       CASE WHEN s_suppkey % 4 = 0 THEN 100 + s_suppkey % 9 ELSE s_suppkey % 8 + 1 END AS id,
+       CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 13 = 0 THEN '  ' WHEN s_suppkey % 5 = 0 THEN ' ECONOMY'
+            ELSE '  GROUP ' || CAST(s_suppkey % 7 AS STRING) || ' ' END AS name,
+       {d.ts('1997-01-01 00:00:00')} AS created_at
+FROM {d.t('supplier')}"""
+
+
+def _supplier_edits(d: Dialect) -> str:
+    """Supplier edits in posting order (K8): new ones, changes, deletes, unknown ids, blank names."""
+    return f"""
+SELECT CAST(s_suppkey AS BIGINT) AS seq,
+       CASE s_suppkey % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'delete' ELSE 'update' END AS op,
+       CASE WHEN s_suppkey % 4 = 0 THEN 7000 + s_suppkey % 6 WHEN s_suppkey % 4 = 2 THEN 7000 + s_suppkey % 6 ELSE s_suppkey % 30 + 1 END AS id,
+       CASE WHEN s_suppkey % 9 = 0 THEN ' ' ELSE ' ' || s_name || ' & Co ' END AS name,
+       CAST(s_nationkey AS STRING) AS phone, 'edited' AS notes, {d.ts('1997-01-01 00:00:00')} AS created_at
+FROM {d.t('supplier')}"""
+
+
 VIEWS: dict[str, tuple[callable, tuple[str, ...]]] = {
     "categories": (_categories, ()),
     "products": (_products, ("part", "categories")),
@@ -324,6 +370,7 @@ VIEWS: dict[str, tuple[callable, tuple[str, ...]]] = {
     "purchase_items": (_purchase_items, ("lineitem", "products")),
     "purchases": (_purchases, ("purchase_items",)),
     "supplier_payments": (_supplier_payments, ("lineitem",)),
+    "entered_purchases": (_entered_purchases, ("purchases",)),
     "expenses": (_expenses, ("events",)),
     "cash_adjustments": (_cash_adjustments, ("events",)),
     "stock_adjustments": (_stock_adjustments, ("lineitem",)),
@@ -334,6 +381,9 @@ VIEWS: dict[str, tuple[callable, tuple[str, ...]]] = {
     "product_requests": (_product_requests, ("part",)),
     "supplier_requests": (_supplier_requests, ("supplier",)),
     "product_changes": (_product_changes, ("part",)),
+    "product_edits": (_product_edits, ("part",)),
+    "category_edits": (_category_edits, ("supplier",)),
+    "supplier_edits": (_supplier_edits, ("supplier",)),
 }
 
 
