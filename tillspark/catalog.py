@@ -216,6 +216,16 @@ def _fifo_allocation(r):
     return suppliers.fifo_allocation(r["purchases"], r["supplier_payments"])
 
 
+@query("clean_supplier_payments")
+def _clean_supplier_payments(r):
+    return suppliers.clean_supplier_payments(r["supplier_payment_entries"], r["suppliers"], AS_OF)
+
+
+@query("supplier_payment_rejects")
+def _supplier_payment_rejects(r):
+    return suppliers.supplier_payment_rejects(r["supplier_payment_entries"], r["suppliers"])
+
+
 @query("fifo_order_violations")
 def _fifo_order_violations(r):
     return backdated.fifo_order_violations(r["entered_purchases"])
@@ -247,6 +257,11 @@ def _repayment_entry_rejects(r):
     return credit.repayment_rejects(r["sales"], r["repayment_entries"])
 
 
+@query("repayment_entries_applied")
+def _repayment_entries_applied(r):
+    return credit.repayments_applied(r["sales"], r["repayment_entries"], AS_OF)
+
+
 @query("receivables_total")
 def _receivables_total(r):
     return credit.receivables_total(r["sales"])
@@ -289,7 +304,7 @@ def _cash_ledger(r):
 
 @query("clean_adjustments")
 def _clean_adjustments(r):
-    return cash.clean_adjustments(r["cash_requests"])
+    return cash.clean_adjustments(r["cash_requests"], AS_OF)
 
 
 # ---- expenses (expenses.py) ---------------------------------------------------------------------
@@ -398,6 +413,8 @@ def _asof_cost(r):
 
 # ---- integrity (integrity.py) ---------------------------------------------------------------------
 from .operators import edits, integrity  # noqa: E402
+from .sources import flat  # noqa: E402
+from .sources.mapping import RAW  # noqa: E402
 
 
 @query("clean_products")
@@ -431,6 +448,60 @@ def _domain_violations(r):
     return integrity.domain_violations(r)
 
 
+def _raw_tables(r):
+    """The tables with the faults of a careless entry; parents without faults stand for themselves."""
+    return {t: r[f"raw_{t}"] if t in RAW else r[t] for t in integrity.TABLES}
+
+
+@query("raw_orphan_items")
+def _raw_orphan_items(r):
+    return integrity.orphan_items(_raw_tables(r))
+
+
+@query("raw_domain_violations")
+def _raw_domain_violations(r):
+    return integrity.domain_violations(_raw_tables(r))
+
+
+@query("raw_sale_breaks")
+def _raw_sale_breaks(r):
+    return integrity.rule_breaks(_raw_tables(r), "sales").select("id", F.array_join("broken", ",").alias("broken"))
+
+
+@query("delete_state")
+def _delete_state(r):
+    """What is left of every table once a category, some products, sales, suppliers, purchases and two kinds of rows are deleted."""
+    return integrity.delete_state({t: r[t] for t in integrity.TABLES}, {
+        "categories": r["categories"].filter("id = 3"),
+        "products": r["products"].filter("quantity = 1"),
+        "sales": r["sales"].filter("payment_type = 'card' AND id % 7 = 0"),
+        "suppliers": r["suppliers"].filter("id % 10 = 0"),
+        "purchases": r["purchases"].filter("payment_type = 'cash' AND id % 9 = 0"),
+        "expenses": r["expenses"].filter("id % 10 = 0"),
+        "cash_adjustments": r["cash_adjustments"].filter("amount < 0"),
+    })
+
+
+@query("supplier_intake")
+def _supplier_intake(r):
+    return flat.supplier_intake(r["supplier_lines"])
+
+
+@query("supplier_intake_rejects")
+def _supplier_intake_rejects(r):
+    return flat.supplier_intake_rejects(r["supplier_lines"])
+
+
+@query("category_intake")
+def _category_intake(r):
+    return flat.category_intake(r["category_lines"], r["categories"])
+
+
+@query("category_intake_rejects")
+def _category_intake_rejects(r):
+    return flat.category_intake_rejects(r["category_lines"], r["categories"])
+
+
 @query("delete_set_null")
 def _delete_set_null(r):
     # deleting every product with a single unit in stock keeps their sold lines, product_id set to NULL

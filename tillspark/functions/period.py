@@ -99,3 +99,8 @@ def tag_ranges(df: DataFrame, spark: SparkSession, ranges: list[tuple[str, str,
 def tag_presets(df: DataFrame, spark: SparkSession, as_of: str, col: str = "date") -> DataFrame:
     """``tag_ranges`` over the five presets relative to ``as_of`` (B2)."""
     return tag_ranges(df, spark, preset_ranges(as_of), col)
+
+
+def posted_at(date: str, as_of: str | None) -> Column:
+    """A record's date, or where it has none the time of posting ``as_of`` (H5); without ``as_of`` it stays undated."""
+    return F.coalesce(F.col(date), ntz(as_of if len(as_of) > 10 else f"{as_of} 00:00:00")) if as_of else F.col(date)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, TOTAL, csum, to_number, total
+from ..functions.period import posted_at
 from .prefix import running_sum
 
 # The breakdown's components, inflows first, in the reference's order.
@@ -114,16 +115,16 @@ def cash_ledger(*tables: DataFrame) -> DataFrame:
     )
 
 
-def clean_adjustments(requests: DataFrame) -> DataFrame:
-    """Manual cash movements from raw requests ``(id, date, amount, reason)``.
+def clean_adjustments(requests: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Manual cash movements from raw requests ``(id, date, amount, reason)``.
 
     The amount is read like ``Number()``; zero or unreadable amounts are
-    rejected; a missing reason defaults by sign.
+    rejected; a missing reason defaults by sign, a missing date to ``as_of``.
     """
     amt = to_number("amount")
     ok = requests.withColumn("_a", amt).filter(F.col("_a").isNotNull() & (F.col("_a") != 0))
     return ok.select(
-        "id", "date", F.col("_a").cast(MONEY).alias("amount"),
+        "id", posted_at("date", as_of).alias("date"), F.col("_a").cast(MONEY).alias("amount"),
         F.coalesce(F.nullif(F.col("reason"), F.lit("")),
                    F.when(F.col("_a") > 0, F.lit("Cash added")).otherwise(F.lit("Cash removed"))).alias("reason"),
     )

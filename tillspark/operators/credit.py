@@ -16,15 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, csum
+from ..functions.period import posted_at
 from .prefix import running_sum
 
 
-def repayments_applied(sales: DataFrame, requests: DataFrame) -> DataFrame:
+def repayments_applied(sales: DataFrame, requests: DataFrame, as_of: str | None = None) -> DataFrame:
     """Clamp each repayment request ``(id, sale_id, seq, date, amount, method)`` to the due (E5).
 
     Requests are applied per sale in ``(date, seq)`` order against the sale's
     ``amount_due``.  Only amounts above 0 for known sales are applied; the others are ``repayment_rejects``.
+    A request without a date is posted at ``as_of`` (H5).
     """
+    requests = requests.withColumn("date", posted_at("date", as_of))
     req = requests.filter(F.col("amount") > 0).join(sales.select(F.col("id").alias("sale_id"), F.col("amount_due").alias("due0")), "sale_id")
     req = running_sum(req, "amount", ["sale_id"], ["date", "seq"], "_before", inclusive=False)
     left = F.greatest(F.lit(0).cast(MONEY), F.col("due0") - F.col("_before"))

@@ -1,16 +1,16 @@
 """Integrity and cleaning jobs.
 
 SQLite enforced NOT NULL, UNIQUE, foreign keys and cascades row by row.  On
-Parquet these become batch checks: anti-joins for foreign keys, grouped
-counts for uniqueness, conditional counts for domains, and anti-join chains
-for deletes.  Each check reports counts, not rows pulled to the driver.
+Parquet these become batch checks: a catalogue of relations for foreign keys and
+deletes, grouped counts for uniqueness, and rules compiled into one aggregate a table.  Each check reports counts, not rows pulled to the driver.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, TOTAL, falsy_default, total
@@ -68,45 +68,147 @@ def duplicate_keys(keyed: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return _union(parts)
 
 
-def _orphans(name: str, child: DataFrame, fk: str, parent: DataFrame, pk: str = "id") -> DataFrame:
-    c = child.filter(F.col(fk).isNotNull()).select(F.col(fk).alias("_k"))
-    p = parent.select(F.col(pk).alias("_k"))
-    return c.join(p, "_k", "left_anti").agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(name).alias("check"), "orphans")
+@dataclass(frozen=True)
+class Relation:
+    """A foreign key: ``child.fk`` names a row of ``parent``; ``action`` is what its deletion does to the child."""
+
+    child: str
+    fk: str
+    parent: str
+    action: str
+
+
+# The relations of the retail tables and their delete actions, parents before children.
+RELATIONS = (
+    Relation("products", "category_id", "categories", "set null"),
+    Relation("sale_items", "sale_id", "sales", "cascade"),
+    Relation("sale_items", "product_id", "products", "set null"),
+    Relation("payments", "sale_id", "sales", "cascade"),
+    Relation("purchases", "supplier_id", "suppliers", "set null"),
+    Relation("purchase_items", "purchase_id", "purchases", "cascade"),
+    Relation("purchase_items", "product_id", "products", "set null"),
+    Relation("supplier_payments", "supplier_id", "suppliers", "cascade"),
+    Relation("supplier_payments", "purchase_id", "purchases", "set null"),
+)
+# The tables, parents before children, and the amount that is summed of each.
+TABLES = {
+    "categories": None, "products": "quantity", "sales": "total", "sale_items": "line_total", "payments": "amount", "suppliers": None,
+    "purchases": "total", "purchase_items": "line_total", "supplier_payments": "amount", "expenses": "amount", "cash_adjustments": "amount",
+}
+
+_TENDERS, _METHODS = "('cash', 'card', 'credit')", "('cash', 'card', 'bank')"
+# A rule's name, its table and what breaks it (S17); money may not be negative, tenders are closed lists.
+RULES = (
+    ("sales.payment_type", "sales", f"payment_type IS NULL OR payment_type NOT IN {_TENDERS}"),
+    ("sales.negative_money", "sales", "total < 0 OR discount < 0 OR amount_paid < 0"),
+    ("sales.overpaid", "sales", "amount_paid > total"),
+    ("purchases.payment_type", "purchases", f"payment_type IS NULL OR payment_type NOT IN {_TENDERS}"),
+    ("purchases.negative_money", "purchases", "total < 0 OR amount_paid < 0"),
+    ("supplier_payments.method", "supplier_payments", f"method NOT IN {_METHODS}"),
+    ("payments.method", "payments", f"method NOT IN {_METHODS}"),
+    ("expenses.amount", "expenses", "amount <= 0"),
+    ("products.negative_stock", "products", "quantity < 0"),
+)
+
+
+def broken_rules(df: DataFrame, table: str, rules=RULES) -> Column:
+    """array<string>: the names of the rules that a row of ``table`` breaks, in the order of the rules."""
+    own = [F.when(F.coalesce(F.expr(cond), F.lit(False)), F.lit(name)) for name, t, cond in rules if t == table]
+    return F.array_compact(F.array(*own)) if own else F.array().cast("array<string>")
+
+
+def rule_breaks(t, table: str, rules=RULES) -> DataFrame:
+    """Rows of a table that break a rule, with the rules they break."""
+    found = t[table].withColumn("broken", broken_rules(t[table], table, rules))
+    return found.filter(F.size("broken") > 0)
+
+
+def domain_violations(t, rules=RULES) -> DataFrame:
+    """Rows outside the allowed values or signs (L5, S17): one row per rule with its count.
+
+    The rules of a table are compiled into one aggregate, so each table is read once.
+    """
+    parts = []
+    for table in dict.fromkeys(r[1] for r in rules):
+        own = [(name, cond) for name, of, cond in rules if of == table]
+        counted = t[table].agg(*[F.count_if(F.expr(cond)).alias(f"r{i}") for i, (_, cond) in enumerate(own)])
+        rows = F.array(*[F.struct(F.lit(name).alias("check"), F.col(f"r{i}").alias("violations")) for i, (name, _) in enumerate(own)])
+        parts.append(counted.select(F.inline(rows)))
+    return _union(parts)
 
 
-def orphan_items(t) -> DataFrame:
-    """Foreign keys that point nowhere (L4, C13): one row per relation with the orphan count."""
-    return _union([
-        _orphans("sale_items.sale_id", t["sale_items"], "sale_id", t["sales"]),
-        _orphans("sale_items.product_id", t["sale_items"], "product_id", t["products"]),
-        _orphans("payments.sale_id", t["payments"], "sale_id", t["sales"]),
-        _orphans("purchase_items.purchase_id", t["purchase_items"], "purchase_id", t["purchases"]),
-        _orphans("purchase_items.product_id", t["purchase_items"], "product_id", t["products"]),
-        _orphans("purchases.supplier_id", t["purchases"], "supplier_id", t["suppliers"]),
-        _orphans("supplier_payments.supplier_id", t["supplier_payments"], "supplier_id", t["suppliers"]),
-        _orphans("products.category_id", t["products"], "category_id", t["categories"]),
-    ])
+def _flagged(child: DataFrame, relations: list[Relation], keys: dict[str, DataFrame], mark: str) -> DataFrame:
+    """The child with a boolean per relation, ``mark`` + its key: whether its parent's key is in ``keys``."""
+    for r in relations:
+        ids = keys[r.parent].select(F.col("id").alias(r.fk)).distinct().withColumn(f"{mark}{r.fk}", F.lit(True))
+        child = child.join(ids, r.fk, "left").withColumn(f"{mark}{r.fk}", F.coalesce(f"{mark}{r.fk}", F.lit(False)))
+    return child
 
 
-def domain_violations(t) -> DataFrame:
-    """Rows outside the allowed values or signs (L5, S17): one row per rule with its count."""
-    def count(name, df, cond):
-        return df.agg(F.count(F.when(cond, F.lit(1))).alias("violations")).select(F.lit(name).alias("check"), "violations")
+def orphan_items(t, relations=RELATIONS[:-1]) -> DataFrame:
+    """Foreign keys that point nowhere (L4, C13): one row per relation with the orphan count; a child is read once."""
+    parts = []
+    for table in dict.fromkeys(r.child for r in relations):
+        own = [r for r in relations if r.child == table]
+        child = _flagged(t[table].select(*dict.fromkeys(r.fk for r in own)), own, {r.parent: t[r.parent] for r in own}, "_has_")
+        counted = child.agg(*[F.count_if(F.col(r.fk).isNotNull() & ~F.col(f"_has_{r.fk}")).alias(f"r{i}") for i, r in enumerate(own)])
+        rows = F.array(*[F.struct(F.lit(f"{r.child}.{r.fk}").alias("check"), F.col(f"r{i}").alias("orphans")) for i, r in enumerate(own)])
+        parts.append(counted.select(F.inline(rows)))
+    return _union(parts)
 
-    tenders = ("cash", "card", "credit")
-    methods = ("cash", "card", "bank")
-    s, p = t["sales"], t["purchases"]
-    return _union([
-        count("sales.payment_type", s, ~F.col("payment_type").isin(*tenders) | F.col("payment_type").isNull()),
-        count("sales.negative_money", s, (F.col("total") < 0) | (F.col("discount") < 0) | (F.col("amount_paid") < 0)),
-        count("sales.overpaid", s, F.col("amount_paid") > F.col("total")),
-        count("purchases.payment_type", p, ~F.col("payment_type").isin(*tenders) | F.col("payment_type").isNull()),
-        count("purchases.negative_money", p, (F.col("total") < 0) | (F.col("amount_paid") < 0)),
-        count("supplier_payments.method", t["supplier_payments"], ~F.col("method").isin(*methods)),
-        count("payments.method", t["payments"], ~F.col("method").isin(*methods)),
-        count("expenses.amount", t["expenses"], F.col("amount") <= 0),
-        count("products.negative_stock", t["products"], F.col("quantity") < 0),
-    ])
+
+def _after_deletes(t, deleted: dict[str, DataFrame], relations=RELATIONS) -> dict[str, DataFrame]:
+    """Every table with ``_removed`` and, per set-null relation, ``_nulled_<fk>``.
+
+    Tables come parents first.  A table's deleted keys are those named in ``deleted`` and those that a cascade
+    reaches; they stay a table of keys and meet each child in one left join a relation.
+    """
+    gone: dict[str, DataFrame] = {}
+    out = {}
+    for table in TABLES:
+        own = [r for r in relations if r.child == table and r.parent in gone]
+        rows = _flagged(t[table], own, gone, "_gone_")
+        removed = F.lit(False)
+        if table in deleted:
+            ids = deleted[table].select("id").distinct().withColumn("_named", F.lit(True))
+            rows = rows.join(ids, "id", "left")
+            removed = F.coalesce("_named", F.lit(False))
+        for r in own:
+            if r.action == "cascade":
+                removed = removed | F.col(f"_gone_{r.fk}")
+        rows = rows.withColumn("_removed", removed)
+        for r in own:
+            if r.action == "set null":
+                hit = F.col(f"_gone_{r.fk}") & ~F.col("_removed")
+                rows = rows.withColumn(f"_nulled_{r.fk}", hit).withColumn(r.fk, F.when(~hit, F.col(r.fk)))
+        if table in deleted or any(r.action == "cascade" for r in own):
+            if any(r.parent == table for r in relations):
+                gone[table] = rows.filter("_removed").select("id")
+        out[table] = rows.drop("_named", *[f"_gone_{r.fk}" for r in own])
+    return out
+
+
+def delete_rows(t, deleted: dict[str, DataFrame], relations=RELATIONS) -> dict[str, DataFrame]:
+    """All tables after deleting the rows named by ``deleted`` (table: frame with ``id``) through the relations."""
+    return {
+        name: rows.filter("NOT _removed").select(*t[name].columns)
+        for name, rows in _after_deletes(t, deleted, relations).items()
+    }
+
+
+def delete_state(t, deleted: dict[str, DataFrame], relations=RELATIONS) -> DataFrame:
+    """What a delete leaves (L6–L8): per table the rows kept and removed, the keys set to NULL and the amount kept; a table is read once."""
+    parts = []
+    for name, rows in _after_deletes(t, deleted, relations).items():
+        nulled = [F.col(c).cast("int") for c in rows.columns if c.startswith("_nulled_")]
+        kept = ~F.col("_removed")
+        amount = F.when(kept, F.col(TABLES[name])) if TABLES[name] else F.lit(0)
+        parts.append(rows.agg(
+            F.count_if(kept).alias("rows"), F.count_if(F.col("_removed")).alias("removed"),
+            F.coalesce(F.sum(sum(nulled, F.lit(0))), F.lit(0)).cast("long").alias("keys_set_null"),
+            total(F.coalesce(F.sum(amount), F.lit(0))).alias("amount"),
+        ).select(F.lit(name).alias("table"), "rows", "removed", "keys_set_null", "amount"))
+    return _union(parts)
 
 
 def set_null(child: DataFrame, fk: str, deleted: DataFrame, pk: str = "id") -> DataFrame:
@@ -197,11 +299,7 @@ def align_schema(df: DataFrame, table: str) -> DataFrame:
     return _align(df, table)
 
 
-def money_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if f.dataType in (MONEY, TOTAL)]
-
-
 __all__ = [
-    "align_schema", "cascade", "clean_products", "delete_cascade", "domain_violations", "duplicate_keys",
-    "falsy_default", "orphan_items", "reconcile", "reject_missing", "set_null", "upsert",
+    "RELATIONS", "RULES", "align_schema", "broken_rules", "cascade", "clean_products", "delete_cascade", "delete_rows", "delete_state",
+    "domain_violations", "duplicate_keys", "falsy_default", "orphan_items", "reconcile", "reject_missing", "rule_breaks", "set_null", "upsert",
 ]

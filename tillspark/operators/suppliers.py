@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import MONEY, total
+from ..functions.money import MONEY, to_number, total
+from ..functions.period import posted_at
 from .backdated import DUE, PAY, POSTED, allocation, is_backdated, posted_events
 from .prefix import carry_forward, running_sum, sums_and_min
 
@@ -142,3 +143,35 @@ def fifo_links(purchases: DataFrame, supplier_payments: DataFrame) -> DataFrame:
         (F.least("due_c.hi", "pay_c.hi") - F.greatest("due_c.lo", "pay_c.lo")).alias("amt"),
     ).filter(F.col("amt") > 0)
     return pairs.groupBy("supplier_id", "purchase_id", "payment_id").agg(total(F.max("amt")).alias("amount"))
+
+
+# Reject codes of supplier payments, the reference's messages and its default note.
+BAD_AMOUNT, UNKNOWN_SUPPLIER = "bad_amount", "unknown_supplier"
+MSG_AMOUNT, MSG_SUPPLIER, PAYMENT_NOTE = "Valid amount required", "Supplier not found", "Payment to supplier"
+
+
+def _judged_payments(entries: DataFrame, suppliers: DataFrame) -> DataFrame:
+    amount = to_number("amount").try_cast(MONEY)
+    known = suppliers.select(F.col("id").alias("supplier_id"), F.lit(True).alias("_known"))
+    reason = F.when(amount.isNull() | (amount <= 0), F.lit(BAD_AMOUNT)).when(F.col("_known").isNull(), F.lit(UNKNOWN_SUPPLIER))
+    return entries.join(known, "supplier_id", "left").withColumn("reason", reason).withColumn("_a", amount)
+
+
+def clean_supplier_payments(entries: DataFrame, suppliers: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Supplier payments from raw entries ``(id, supplier_id, date, amount, method, note)`` (K7, H5).
+
+    The amount is read like ``Number()`` and must be above 0, the supplier must exist; a missing date is ``as_of``,
+    an empty method cash, an empty note the usual one.
+    """
+    return _judged_payments(entries, suppliers).filter(F.col("reason").isNull()).select(
+        "id", "supplier_id", posted_at("date", as_of).alias("date"), F.col("_a").alias("amount"),
+        F.coalesce(F.nullif("method", F.lit("")), F.lit("cash")).alias("method"),
+        F.coalesce(F.nullif("note", F.lit("")), F.lit(PAYMENT_NOTE)).alias("note"),
+    )
+
+
+def supplier_payment_rejects(entries: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """Entries that are no payments: an amount that is missing, unreadable or not above 0, or an unknown supplier (K7)."""
+    message = F.when(F.col("reason") == BAD_AMOUNT, F.lit(MSG_AMOUNT)).otherwise(F.lit(MSG_SUPPLIER))
+    return _judged_payments(entries, suppliers).filter(F.col("reason").isNotNull()).select(
+        "id", "supplier_id", "amount", "reason", message.alias("message"))

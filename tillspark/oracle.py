@@ -327,6 +327,16 @@ WITH {_FIFO}
 SELECT w.supplier_id, w.id AS purchase_id, {ts('w.date')}, {d('w.v', 'due_before')}, {d(_SETTLED, 'settled')},
        {d('w.v - ' + _SETTLED, 'amount_due')}, w.v - {_SETTLED} = 0 AS settled_in_full
 FROM w JOIN tot t ON t.supplier_id = w.supplier_id WHERE w.kind = 0"""
+_PAID = "CASE WHEN trim(amount) = '' THEN 0.0 ELSE TRY_CAST(trim(amount) AS DOUBLE) END"
+SQL["clean_supplier_payments"] = f"""
+SELECT id, supplier_id, {ts(f"COALESCE(date, TIMESTAMP '{AS_OF} 00:00:00')", 'date')}, {d('CAST(a AS DECIMAL(18,2))', 'amount')},
+       COALESCE(NULLIF(method, ''), 'cash') AS method, COALESCE(NULLIF(note, ''), 'Payment to supplier') AS note
+FROM (SELECT *, {_PAID} AS a FROM supplier_payment_entries) x WHERE a > 0 AND supplier_id IN (SELECT id FROM suppliers)"""
+SQL["supplier_payment_rejects"] = f"""
+SELECT id, supplier_id, amount, CASE WHEN a > 0 THEN 'unknown_supplier' ELSE 'bad_amount' END AS reason,
+       CASE WHEN a > 0 THEN 'Supplier not found' ELSE 'Valid amount required' END AS message
+FROM (SELECT *, {_PAID} AS a FROM supplier_payment_entries) x
+WHERE a IS NULL OR a <= 0 OR supplier_id NOT IN (SELECT id FROM suppliers)"""
 SQL["fifo_order_violations"] = f"""
 SELECT supplier_id, id AS purchase_id, {ts('date')}, {ts('created_at', 'posted')}, {ts('top.date', 'queued_date')}, top.id AS queued_id
 FROM (SELECT *, MAX({{'date': date, 'id': id}}) OVER (PARTITION BY supplier_id ORDER BY created_at, id
@@ -375,6 +385,11 @@ SELECT e.id, e.sale_id, e.seq, {ts('e.date')}, {d('e.amount')},
        CASE WHEN e.amount > 0 THEN 'unknown_sale' ELSE 'bad_amount' END AS reason
 FROM repayment_entries e
 WHERE e.amount IS NULL OR e.amount <= 0 OR NOT EXISTS (SELECT 1 FROM sales s WHERE s.id = e.sale_id)"""
+SQL["repayment_entries_applied"] = f"""
+WITH r AS (SELECT id, sale_id, seq, COALESCE(date, TIMESTAMP '{AS_OF} 00:00:00') AS date, amount, method FROM repayment_entries WHERE amount > 0)
+SELECT r.id, r.sale_id, r.seq, {ts('r.date')}, r.method, {d('r.amount', 'requested')},
+       {d(f'LEAST(r.amount, {_LEFT})', 'applied')}, {d(_LEFT, 'due_before')}
+FROM r JOIN sales s ON s.id = r.sale_id"""
 SQL["receivables_total"] = f"SELECT {d('COALESCE(SUM(amount_due), 0)', 'due')}, COUNT(*) AS count FROM sales WHERE amount_due > 0"
 SQL["receivables_list"] = f"""
 SELECT id, invoice_no, {ts('date')}, customer_name, {d('total')}, {d('amount_paid')}, {d('amount_due')}
@@ -391,55 +406,51 @@ SELECT s.id, s.invoice_no, s.customer_name, {d('s.total')}, {d('s.amount_paid +
 FROM sales s LEFT JOIN rep ON rep.sale_id = s.id"""
 
 # ---- cash ---------------------------------------------------------------------------------------------
-_FLOWS = """
-  SELECT u.part, SUM(u.amount) AS amount FROM (
-    SELECT CASE WHEN amount > 0 THEN 'cash_added_in' ELSE 'cash_removed_out' END AS part, ABS(amount) AS amount FROM cash_adjustments
-    UNION ALL SELECT 'cash_expenses_out', amount FROM expenses WHERE payment_method = 'cash'
-    UNION ALL SELECT CASE tender WHEN 1 THEN 'supplier_payments_out' ELSE 'cash_repayments_in' END, amount
-      FROM (SELECT 1 AS tender, method, amount FROM supplier_payments UNION ALL SELECT 2, method, amount FROM payments) m
-      WHERE m.method = 'cash'
-    UNION ALL SELECT side, amount_paid
-      FROM (SELECT 'cash_sales_in' AS side, payment_type, amount_paid FROM sales WHERE payment_type <> 'credit'
-            UNION ALL SELECT 'cash_purchases_out', CASE payment_type WHEN 'credit' THEN 'cash' ELSE payment_type END, amount_paid FROM purchases) h
-      WHERE h.payment_type = 'cash') u
-  GROUP BY u.part"""
-_PARTS = ("cash_sales_in", "cash_repayments_in", "cash_added_in",
-          "cash_purchases_out", "supplier_payments_out", "cash_expenses_out", "cash_removed_out")
-_CASH_ROW = ("(SELECT " + ", ".join(f"COALESCE(SUM(amount) FILTER (WHERE part = '{k}'), 0) AS {k}" for k in _PARTS)
-             + f" FROM ({_FLOWS}) f) c")
-_TIN, _TOUT = " + ".join(_PARTS[:3]), " + ".join(_PARTS[3:])
-SQL["cash_breakdown"] = ("SELECT " + ", ".join(d(k) for k in _PARTS) + f", {d(_TIN, 'total_in')}, {d(_TOUT, 'total_out')}, "
-                         f"{d(f'({_TIN}) - ({_TOUT})', 'cash_on_hand')} FROM {_CASH_ROW}")
-SQL["cash_on_hand"] = f"""
-SELECT {d("COALESCE(SUM(CASE WHEN part LIKE '%_in' THEN amount ELSE -amount END), 0)", 'cash_on_hand')} FROM ({_FLOWS}) f"""
-_CASH_ENTRIES = """
-  SELECT date, 0 AS rank, id, trim('Cash sale ' || COALESCE(invoice_no, '')) AS label, amount_paid AS "in",
-         CAST(0 AS DECIMAL(18,2)) AS "out"
-  FROM sales WHERE payment_type = 'cash' AND amount_paid > 0
+# Every movement of the drawer once: what it is, when, and its amount with its sign. Breakdown, balance and ledger read it.
+# The kinds of movement, whether they belong to the drawer, and the ledger's labels.
+_DRAWER = """
+drawer AS (
+  SELECT 'cash_sales' AS kind, 0 AS rank, id, date, amount_paid AS signed, 'Cash sale ' || COALESCE(invoice_no, '') AS label,
+         payment_type = 'cash' AS ours, amount_paid > 0 AS shown FROM sales
   UNION ALL
-  SELECT p.date, 1, p.id, trim('Cash received ' || COALESCE(s.invoice_no, '')), p.amount, 0
-  FROM payments p JOIN sales s ON s.id = p.sale_id WHERE p.method = 'cash'
+  SELECT 'cash_repayments', 1, y.id, y.date, y.amount, 'Cash received ' || COALESCE(s.invoice_no, ''), y.method = 'cash', s.id IS NOT NULL
+  FROM payments y LEFT JOIN sales s ON s.id = y.sale_id
   UNION ALL
-  SELECT date, 2, id, trim('Cash paid on purchase ' || COALESCE(invoice_no, '')), 0, amount_paid
-  FROM purchases WHERE payment_type IN ('cash', 'credit') AND amount_paid > 0
+  SELECT 'cash_purchases', 2, id, date, -amount_paid, 'Cash paid on purchase ' || COALESCE(invoice_no, ''), payment_type <> 'card', amount_paid > 0
+  FROM purchases
   UNION ALL
-  SELECT sp.date, 3, sp.id, trim('Paid supplier ' || COALESCE(s.name, '')), 0, sp.amount
-  FROM supplier_payments sp LEFT JOIN suppliers s ON s.id = sp.supplier_id WHERE sp.method = 'cash'
+  SELECT 'supplier_payments', 3, y.id, y.date, -y.amount, 'Paid supplier ' || COALESCE(s.name, ''), y.method = 'cash', true
+  FROM supplier_payments y LEFT JOIN suppliers s ON s.id = y.supplier_id
   UNION ALL
-  SELECT date, 4, id, 'Expense: ' || COALESCE(category, 'null')
-         || CASE WHEN COALESCE(description, '') <> '' THEN ' — ' || description ELSE '' END, 0, amount
-  FROM expenses WHERE payment_method = 'cash'
+  SELECT 'cash_expenses', 4, id, date, -amount,
+         'Expense: ' || COALESCE(category, 'null') || COALESCE(' — ' || NULLIF(description, ''), ''), payment_method = 'cash', true
+  FROM expenses
   UNION ALL
-  SELECT date, 5, id, COALESCE(NULLIF(reason, ''), 'Cash adjustment'), GREATEST(amount, 0), GREATEST(-amount, 0)
-  FROM cash_adjustments"""
+  SELECT CASE WHEN amount > 0 THEN 'cash_added' ELSE 'cash_removed' END, 5, id, date, amount,
+         COALESCE(NULLIF(reason, ''), 'Cash adjustment'), true, true
+  FROM cash_adjustments)"""
+_KINDS = {"cash_sales": 1, "cash_repayments": 1, "cash_added": 1,
+          "cash_purchases": -1, "supplier_payments": -1, "cash_expenses": -1, "cash_removed": -1}
+
+
+def _moved(kinds, sign: int, name: str) -> str:
+    names = ", ".join(f"'{k}'" for k in kinds)
+    return d(f"COALESCE(SUM({'' if sign > 0 else '-'}signed) FILTER (WHERE kind IN ({names})), 0)", name)
+
+
+_IN, _OUT = [k for k, s in _KINDS.items() if s > 0], [k for k, s in _KINDS.items() if s < 0]
+SQL["cash_breakdown"] = f"WITH {_DRAWER}\nSELECT " + ", ".join(
+    [_moved([k], s, f"{k}_{'in' if s > 0 else 'out'}") for k, s in _KINDS.items()]
+    + [_moved(_IN, 1, "total_in"), _moved(_OUT, -1, "total_out"), _moved(_KINDS, 1, "cash_on_hand")]) + "\nFROM drawer WHERE ours"
+SQL["cash_on_hand"] = f"WITH {_DRAWER}\nSELECT {_moved(_KINDS, 1, 'cash_on_hand')} FROM drawer WHERE ours"
 SQL["cash_ledger"] = f"""
-WITH e AS ({_CASH_ENTRIES})
-SELECT {ts('date')}, rank, id, label, {d('"in"', '"in"')}, {d('"out"', '"out"')},
-       {d('SUM("in" - "out") OVER (ORDER BY date, rank, id ROWS UNBOUNDED PRECEDING)', 'balance')}
-FROM e"""
+WITH {_DRAWER}
+SELECT {ts('date')}, rank, id, trim(label) AS label, {d('GREATEST(signed, 0)', '"in"')}, {d('GREATEST(-signed, 0)', '"out"')},
+       {d('SUM(signed) OVER (ORDER BY date, rank, id ROWS UNBOUNDED PRECEDING)', 'balance')}
+FROM drawer WHERE ours AND shown"""
 _NUM = "CASE WHEN amount IS NULL OR trim(amount) = '' THEN 0.0 ELSE TRY_CAST(trim(amount) AS DOUBLE) END"
 SQL["clean_adjustments"] = f"""
-SELECT id, {ts('date')}, {d('CAST(a AS DECIMAL(18,2))', 'amount')},
+SELECT id, {ts(f"COALESCE(date, TIMESTAMP '{AS_OF} 00:00:00')", 'date')}, {d('CAST(a AS DECIMAL(18,2))', 'amount')},
        COALESCE(NULLIF(reason, ''), CASE WHEN a > 0 THEN 'Cash added' ELSE 'Cash removed' END) AS reason
 FROM (SELECT *, {_NUM} AS a FROM cash_requests) x WHERE a IS NOT NULL AND a <> 0"""
 
@@ -657,40 +668,88 @@ SELECT tbl AS "table", key, value, COUNT(*) AS rows FROM k WHERE value IS NOT NU
 GROUP BY tbl, key, value HAVING COUNT(*) > 1"""
 
 
-def _orph(name, child, fk, parent):
-    return (f"SELECT '{name}' AS \"check\", COUNT(*) AS orphans FROM {child} c "
-            f"WHERE c.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.id = c.{fk})")
-
-
-SQL["orphan_items"] = "\nUNION ALL\n".join([
-    _orph("sale_items.sale_id", "sale_items", "sale_id", "sales"),
-    _orph("sale_items.product_id", "sale_items", "product_id", "products"),
-    _orph("payments.sale_id", "payments", "sale_id", "sales"),
-    _orph("purchase_items.purchase_id", "purchase_items", "purchase_id", "purchases"),
-    _orph("purchase_items.product_id", "purchase_items", "product_id", "products"),
-    _orph("purchases.supplier_id", "purchases", "supplier_id", "suppliers"),
-    _orph("supplier_payments.supplier_id", "supplier_payments", "supplier_id", "suppliers"),
-    _orph("products.category_id", "products", "category_id", "categories"),
-])
+_KEYS = (("sale_items", "sale_id", "sales"), ("sale_items", "product_id", "products"), ("payments", "sale_id", "sales"),
+         ("purchase_items", "purchase_id", "purchases"), ("purchase_items", "product_id", "products"),
+         ("purchases", "supplier_id", "suppliers"), ("supplier_payments", "supplier_id", "suppliers"), ("products", "category_id", "categories"))
 
 
-def _dom(name, table, cond):
-    return f"SELECT '{name}' AS \"check\", COUNT(*) FILTER (WHERE {cond}) AS violations FROM {table}"
+def _orphans(raw: str = "") -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{child}.{fk}' AS \"check\", COUNT(*) AS orphans FROM {raw}{child} c "
+        f"WHERE c.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.id = c.{fk})" for child, fk, parent in _KEYS)
 
 
 _T3 = "('cash', 'card', 'credit')"
 _M3 = "('cash', 'card', 'bank')"
-SQL["domain_violations"] = "\nUNION ALL\n".join([
-    _dom("sales.payment_type", "sales", f"payment_type NOT IN {_T3} OR payment_type IS NULL"),
-    _dom("sales.negative_money", "sales", "total < 0 OR discount < 0 OR amount_paid < 0"),
-    _dom("sales.overpaid", "sales", "amount_paid > total"),
-    _dom("purchases.payment_type", "purchases", f"payment_type NOT IN {_T3} OR payment_type IS NULL"),
-    _dom("purchases.negative_money", "purchases", "total < 0 OR amount_paid < 0"),
-    _dom("supplier_payments.method", "supplier_payments", f"method NOT IN {_M3}"),
-    _dom("payments.method", "payments", f"method NOT IN {_M3}"),
-    _dom("expenses.amount", "expenses", "amount <= 0"),
-    _dom("products.negative_stock", "products", "quantity < 0"),
+_DOMAINS = (
+    ("sales.payment_type", "sales", f"payment_type NOT IN {_T3} OR payment_type IS NULL"),
+    ("sales.negative_money", "sales", "total < 0 OR discount < 0 OR amount_paid < 0"),
+    ("sales.overpaid", "sales", "amount_paid > total"),
+    ("purchases.payment_type", "purchases", f"payment_type NOT IN {_T3} OR payment_type IS NULL"),
+    ("purchases.negative_money", "purchases", "total < 0 OR amount_paid < 0"),
+    ("supplier_payments.method", "supplier_payments", f"method NOT IN {_M3}"),
+    ("payments.method", "payments", f"method NOT IN {_M3}"),
+    ("expenses.amount", "expenses", "amount <= 0"),
+    ("products.negative_stock", "products", "quantity < 0"),
+)
+
+
+def _domains(raw: str = "") -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS \"check\", COUNT(*) FILTER (WHERE {cond}) AS violations FROM {raw}{table}" for name, table, cond in _DOMAINS)
+
+
+SQL["orphan_items"], SQL["raw_orphan_items"] = _orphans(), _orphans("raw_")
+SQL["domain_violations"], SQL["raw_domain_violations"] = _domains(), _domains("raw_")
+SQL["raw_sale_breaks"] = """
+SELECT id, concat_ws(',', """ + ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, t, cond in _DOMAINS if t == "sales") + """) AS broken
+FROM raw_sales WHERE """ + " OR ".join(f"({cond})" for _, t, cond in _DOMAINS if t == "sales")
+
+
+def _left(table: str, gone: str, nulled: str, amount: str) -> str:
+    return f"""
+SELECT '{table}' AS "table", COUNT(*) FILTER (WHERE NOT gone) AS rows, COUNT(*) FILTER (WHERE gone) AS removed,
+       COUNT(*) FILTER (WHERE NOT gone AND nulled) AS keys_set_null, CAST(COALESCE(SUM(CASE WHEN NOT gone THEN amount END), 0) AS DOUBLE) AS amount
+FROM (SELECT COALESCE({gone}, false) AS gone, COALESCE({nulled}, false) AS nulled, {amount} AS amount FROM {table}) x"""
+
+
+SQL["delete_state"] = """
+WITH gp AS (SELECT id FROM products WHERE quantity = 1),
+gs AS (SELECT id FROM sales WHERE payment_type = 'card' AND id % 7 = 0),
+gr AS (SELECT id FROM purchases WHERE payment_type = 'cash' AND id % 9 = 0)
+""" + "\nUNION ALL".join([
+    _left("categories", "id = 3", "false", "0"),
+    _left("products", "quantity = 1", "category_id = 3", "quantity"),
+    _left("sales", "payment_type = 'card' AND id % 7 = 0", "false", "total"),
+    _left("sale_items", "sale_id IN (SELECT id FROM gs)", "product_id IN (SELECT id FROM gp)", "line_total"),
+    _left("payments", "sale_id IN (SELECT id FROM gs)", "false", "amount"),
+    _left("suppliers", "id % 10 = 0", "false", "0"),
+    _left("purchases", "payment_type = 'cash' AND id % 9 = 0", "supplier_id % 10 = 0", "total"),
+    _left("purchase_items", "purchase_id IN (SELECT id FROM gr)", "product_id IN (SELECT id FROM gp)", "line_total"),
+    _left("supplier_payments", "supplier_id % 10 = 0", "purchase_id IN (SELECT id FROM gr)", "amount"),
+    _left("expenses", "id % 10 = 0", "false", "amount"),
+    _left("cash_adjustments", "amount < 0", "false", "amount"),
 ])
+SQL["supplier_intake"] = """
+SELECT CAST(c_custkey AS BIGINT) AS seq, c_name || ', Ltd' AS name, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS phone,
+       CASE WHEN c_custkey % 2 <> 0 THEN 'net 30' END AS notes
+FROM customer WHERE c_custkey % 12 NOT IN (3, 5, 7)"""
+SQL["supplier_intake_rejects"] = """
+SELECT seq, raw, CASE WHEN seq % 12 = 7 THEN 'missing_name' ELSE 'malformed' END AS reason,
+       CASE WHEN seq % 12 = 7 THEN 'Supplier name is required' ELSE 'Unreadable record' END AS message
+FROM supplier_lines WHERE seq % 12 IN (3, 5, 7)"""
+_NAMED = """
+named AS (SELECT seq, raw, CASE WHEN seq % 11 = 8 THEN 'ECONOMY' WHEN seq % 11 <> 4 THEN 'KIND ' || CAST(seq % 40 AS VARCHAR) END AS name
+          FROM category_lines WHERE seq % 11 NOT IN (2, 6)),
+judged AS (SELECT *, name IN (SELECT name FROM categories) OR ROW_NUMBER() OVER (PARTITION BY name ORDER BY seq) > 1 AS held FROM named)"""
+SQL["category_intake"] = f"WITH {_NAMED}\nSELECT seq, seq + 1000 AS id, name FROM judged WHERE name IS NOT NULL AND NOT held"
+SQL["category_intake_rejects"] = f"""
+WITH {_NAMED}
+SELECT seq, raw, 'malformed' AS reason, 'Unreadable record' AS message FROM category_lines WHERE seq % 11 IN (2, 6)
+UNION ALL
+SELECT seq, raw, CASE WHEN name IS NULL THEN 'missing_name' ELSE 'duplicate_key' END,
+       CASE WHEN name IS NULL THEN 'Name is required' ELSE 'Category already exists' END
+FROM judged WHERE name IS NULL OR held"""
 SQL["delete_set_null"] = f"""
 SELECT si.sale_id, si.line_no, CASE WHEN g.id IS NOT NULL THEN NULL ELSE si.product_id END AS product_id,
        si.product_name, {d('si.quantity', 'quantity')}, {d('si.line_total', 'line_total')}
@@ -707,7 +766,7 @@ UNION ALL SELECT 'purchases_without_supplier', COUNT(*), CAST(COALESCE(SUM(total
           WHERE supplier_id IS NULL OR supplier_id IN (SELECT id FROM gp)
 UNION ALL SELECT 'expenses', COUNT(*), CAST(COALESCE(SUM(amount), 0) AS DOUBLE) FROM expenses WHERE id % 10 <> 0"""
 SQL["reconcile"] = f"""
-WITH {_FIFO},
+WITH {_FIFO}, {_DRAWER},
 e AS ({_ENTRIES}),
 closing AS (SELECT supplier_id, SUM(debit - credit) AS closing FROM e GROUP BY supplier_id),
 after AS (SELECT w.supplier_id, SUM(w.v - {_SETTLED}) AS due FROM w JOIN tot t ON t.supplier_id = w.supplier_id
@@ -724,7 +783,7 @@ UNION ALL SELECT 'purchase_header_vs_lines', COUNT(*) FILTER (WHERE dd <> 0), CA
 UNION ALL SELECT 'supplier_ledger_vs_dues', COUNT(*) FILTER (WHERE dd <> 0), CAST(COALESCE(SUM(dd), 0) AS DOUBLE) FROM su
 UNION ALL
 SELECT 'cash_ledger_vs_breakdown', CAST(CASE WHEN dd <> 0 THEN 1 ELSE 0 END AS BIGINT), CAST(dd AS DOUBLE)
-FROM (SELECT (SELECT SUM("in" - "out") FROM ({_CASH_ENTRIES}) ce) - (SELECT ({_TIN}) - ({_TOUT}) FROM {_CASH_ROW}) AS dd) cd"""
+FROM (SELECT SUM(CASE WHEN shown THEN signed ELSE 0 END) - SUM(signed) AS dd FROM drawer WHERE ours) cd"""
 SQL["upsert_products"] = f"""
 SELECT {_PROD_OUT} FROM products WHERE id NOT IN (SELECT id FROM product_changes)
 UNION ALL
@@ -787,6 +846,47 @@ FROM products"""
 
 
 # ---- documents and dashboard --------------------------------------------------------------------------
+def _json(fields: str, table: str = "") -> str:
+    """Canonical text of a row: 'name' is a number or boolean, 'name$' a text, 'name@' a datetime."""
+    parts = []
+    for f in fields.split():
+        name, col = f.rstrip("$@"), f"{table}{f.rstrip('$@')}"
+        if f[-1] == "$":
+            value = rf"""'"' || replace(replace({col}, '\', '\\'), '"', '\"') || '"'"""
+        elif f[-1] == "@":
+            value = f"""'"' || strftime({col}, '%Y-%m-%d %H:%M:%S') || '"'"""
+        else:
+            value = f"CAST({col} AS VARCHAR)"
+        parts.append(f"""'"{name}":' || COALESCE({value}, 'null')""")
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+def _list(fields: str, order: str) -> str:
+    return f"'[' || string_agg({_json(fields)}, ',' ORDER BY {order}) || ']'"
+
+
+_SALE_LINE = "line_no product_id product_name$ quantity unit_price unit_cost line_discount line_total"
+_PURCHASE_LINE = "line_no ref product_id product_name$ quantity unit_cost line_total"
+
+
+def _by(fields: str) -> str:
+    return fields.replace("$", "").replace("@", "").replace(" ", ", ")
+
+
+SQL["sale_documents"] = f"""
+SELECT s.id, s.invoice_no, {ts('s.date')}, s.payment_type, s.customer_name, {d('s.subtotal')}, {d('s.discount')}, {d('s.total')},
+       {d('s.amount_paid')}, {d('s.amount_due')}, {ts('s.created_at')}, COALESCE(i.items, '[]') AS items, COALESCE(p.payments, '[]') AS payments
+FROM sales s
+LEFT JOIN (SELECT sale_id, {_list(_SALE_LINE, _by(_SALE_LINE))} AS items FROM sale_items GROUP BY sale_id) i ON i.sale_id = s.id
+LEFT JOIN (SELECT sale_id, {_list("date@ id amount method$ note$", "date, id, amount, method, note")} AS payments
+           FROM payments GROUP BY sale_id) p ON p.sale_id = s.id"""
+SQL["purchase_documents"] = f"""
+SELECT p.id, p.invoice_no, p.supplier_id, {ts('p.date')}, p.payment_type, {d('p.subtotal')}, {d('p.discount')}, {d('p.total')},
+       {d('p.amount_paid')}, {d('p.amount_due')}, p.note, {ts('p.created_at')}, s.name AS supplier_name, s.phone AS supplier_phone,
+       COALESCE(i.items, '[]') AS items
+FROM purchases p LEFT JOIN suppliers s ON s.id = p.supplier_id
+LEFT JOIN (SELECT purchase_id, {_list(_PURCHASE_LINE, _by(_PURCHASE_LINE))} AS items FROM purchase_items GROUP BY purchase_id) i
+  ON i.purchase_id = p.id"""
 SQL["sale_document_totals"] = f"""
 SELECT s.id, s.invoice_no, COALESCE(i.n, 0) AS items_count, {d('COALESCE(i.t, 0)', 'items_line_total')},
        COALESCE(p.n, 0) AS payments_count, {d('COALESCE(p.t, 0)', 'payments_amount')}
@@ -864,6 +964,30 @@ SELECT concat_ws(' ',
   CASE WHEN iv.low_stock_count > 0 THEN CAST(iv.low_stock_count AS VARCHAR) || ' item'
        || {_pl('iv.low_stock_count', ' is', 's are')} || ' low on stock and may need reordering.' END) AS summary
 FROM k, ch, rc, py, iv"""
+_KPI = ("revenue cogs gross_profit expenses net_profit is_loss credit_sales cash_sales card_sales order_count "
+        "gross_margin_pct net_margin_pct")
+
+
+def _money(fields: str) -> str:
+    return ", ".join(f"CAST({f} AS DECIMAL(38,2)) AS {f}" for f in fields.split())
+
+
+def _kpi_json(sql: str) -> str:
+    money = "revenue cogs gross_profit expenses net_profit credit_sales cash_sales card_sales"
+    rest = "is_loss order_count gross_margin_pct net_margin_pct"
+    return f"(SELECT {_json(_KPI)} FROM (SELECT {_money(money)}, {rest.replace(' ', ', ')} FROM ({sql}) a) b)"
+
+
+_TODAY = SQL["period_kpis"].replace(LO, f"{AS_OF} 00:00:00")
+SQL["dashboard_json"] = f"""
+SELECT '{{"range":{{"from":"{PERIOD[0]} 00:00:00","to":"{PERIOD[1]} 23:59:59"}},"period":' || {_kpi_json(SQL['period_kpis'])}
+       || ',"today":' || {_kpi_json(_TODAY)}
+       || ',"receivables":' || (SELECT {_json("due count")} FROM (SELECT {_money("due")}, count FROM ({SQL['receivables_total']}) a) b)
+       || ',"payables":' || (SELECT {_json("total_payable count")} FROM (SELECT {_money("total_payable")}, count FROM ({SQL['payables_total']}) a) b)
+       || ',"inventory":' || (SELECT {_json("cost_value retail_value products low_stock_count")}
+                              FROM (SELECT {_money("cost_value retail_value")}, products, low_stock_count FROM ({SQL['inventory_kpis']}) a) b)
+       || ',"cash_on_hand":' || (SELECT CAST(CAST(cash_on_hand AS DECIMAL(38,2)) AS VARCHAR) FROM ({SQL['cash_on_hand']}) a)
+       || ',"summary":"' || (SELECT replace(replace(summary, '\', '\\'), '"', '\"') FROM ({SQL['store_summary']}) a) || '"}}' AS json"""
 SQL["chart_feed"] = f"""
 SELECT 'sales_split' AS chart, 'Cash' AS label, {d("COALESCE(SUM(CASE WHEN payment_type = 'cash' THEN total END), 0)", 'value')} FROM sales WHERE {per()}
 UNION ALL SELECT 'sales_split', 'Card', CAST(COALESCE(SUM(CASE WHEN payment_type = 'card' THEN total END), 0) AS DOUBLE) FROM sales WHERE {per()}

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +37,25 @@ def query(name: str):
     return deco
 
 
+def canonical(c: Column, t: T.DataType) -> Column:
+    """One text of a nested value, written alike by both engines: JSON with every field, decimals at their scale."""
+    if isinstance(t, T.StructType):
+        fields = [F.concat(F.lit(f'"{f.name}":'), canonical(c[f.name], f.dataType)) for f in t.fields]
+        text = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+        return F.coalesce(F.when(c.isNotNull(), text), F.lit("null"))
+    if isinstance(t, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: canonical(x, t.elementType)), ","), F.lit("]"))
+    elif isinstance(t, (T.TimestampNTZType, T.TimestampType)):
+        text = F.concat(F.lit('"'), F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit('"'))
+    elif isinstance(t, T.StringType):
+        text = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    else:
+        text = c.cast("string")
+    return F.coalesce(text, F.lit("null"))
+
+
 def present(df: DataFrame) -> DataFrame:
-    """Decimals → double, datetimes → ``yyyy-MM-dd HH:mm:ss`` text, dates → ISO text."""
+    """Decimals → double, datetimes → ``yyyy-MM-dd HH:mm:ss`` text, dates → ISO text, nested values → ``canonical`` text."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -46,6 +63,8 @@ def present(df: DataFrame) -> DataFrame:
             c = c.cast("double")
         elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        elif isinstance(f.dataType, (T.StructType, T.ArrayType)):
+            c = canonical(c, f.dataType)
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         cols.append(c.alias(f.name))

@@ -239,7 +239,7 @@ FROM {d.t('lineitem')}"""
 def _cash_requests(d: Dialect) -> str:
     """Raw manual cash movements (K10): amounts as typed text, some blank, junk or zero."""
     return f"""
-SELECT event_id AS id, {_shifted(d)} AS date,
+SELECT event_id AS id, CASE WHEN user_id % 9 = 0 THEN NULL ELSE {_shifted(d)} END AS date,
        CASE event_type WHEN 'signup' THEN {_amount_text(d, 'value')}
                        WHEN 'purchase' THEN '-' || {_amount_text(d, 'value')}
                        WHEN 'error' THEN '' WHEN 'click' THEN 'abc' ELSE '0' END AS amount,
@@ -306,7 +306,7 @@ FROM {d.t('part')} WHERE p_partkey % 4 = 0"""
 def _repayment_entries(d: Dialect) -> str:
     """Raw repayment entries (E5): every request, some typed for sales that do not exist, with no, a zero or a negative amount."""
     return f"""
-SELECT id, CASE WHEN id % 4 = 3 THEN -sale_id ELSE sale_id END AS sale_id, seq, date,
+SELECT id, CASE WHEN id % 4 = 3 THEN -sale_id ELSE sale_id END AS sale_id, seq, CASE WHEN id % 9 = 0 THEN NULL ELSE date END AS date,
        CASE WHEN id % 5 = 0 THEN CAST(-amount AS {M}) WHEN id % 7 = 0 THEN NULL WHEN id % 11 = 0 THEN CAST(0 AS {M}) ELSE amount END AS amount,
        method
 FROM {d.t('repayment_requests')}"""
@@ -358,6 +358,72 @@ SELECT CAST(s_suppkey AS BIGINT) AS seq,
 FROM {d.t('supplier')}"""
 
 
+def _raw(table: str, columns: str, **faults: str):
+    """A copy of ``table`` as a careless hand would have entered it: some columns of some rows are wrong."""
+
+    def view(d: Dialect) -> str:
+        cols = ", ".join(f"{faults[c]} AS {c}" if c in faults else c for c in columns.split())
+        return f"\nSELECT {cols} FROM {d.t(table)}"
+
+    return view
+
+
+RAW = {
+    "sales": _raw("sales", "id payment_type total discount amount_paid",
+                  payment_type="CASE WHEN id % 97 = 0 THEN 'cheque' WHEN id % 101 = 0 THEN NULL ELSE payment_type END",
+                  discount=f"CASE WHEN id % 89 = 0 THEN CAST(-5 AS {M}) ELSE discount END",
+                  amount_paid=f"CAST(CASE WHEN id % 83 = 0 THEN total + 1 ELSE amount_paid END AS {M})"),
+    "purchases": _raw("purchases", "id supplier_id payment_type total amount_paid",
+                      supplier_id="CASE WHEN id % 103 = 0 THEN -supplier_id ELSE supplier_id END",
+                      payment_type="CASE WHEN id % 97 = 0 THEN 'barter' ELSE payment_type END",
+                      amount_paid=f"CASE WHEN id % 89 = 0 THEN CAST(-1 AS {M}) ELSE amount_paid END"),
+    "payments": _raw("payments", "id sale_id amount method", sale_id="CASE WHEN id % 101 = 0 THEN -sale_id ELSE sale_id END",
+                     method="CASE WHEN id % 97 = 0 THEN 'shells' ELSE method END"),
+    "supplier_payments": _raw("supplier_payments", "id supplier_id amount method",
+                              supplier_id="CASE WHEN id % 101 = 0 THEN -supplier_id ELSE supplier_id END",
+                              method="CASE WHEN id % 97 = 0 THEN 'iou' ELSE method END"),
+    "expenses": _raw("expenses", "id amount", amount=f"CASE WHEN id % 97 = 0 THEN CAST(-amount AS {M}) ELSE amount END"),
+    "products": _raw("products", "id category_id quantity", category_id="CASE WHEN id % 53 = 0 THEN 99 ELSE category_id END",
+                     quantity=f"CASE WHEN id % 97 = 0 THEN CAST(-quantity AS {M}) ELSE quantity END"),
+    "sale_items": _raw("sale_items", "sale_id product_id line_total", sale_id="CASE WHEN sale_id % 101 = 0 THEN -sale_id ELSE sale_id END",
+                       product_id="CASE WHEN product_id % 103 = 0 THEN -product_id ELSE product_id END"),
+    "purchase_items": _raw("purchase_items", "purchase_id product_id line_total",
+                           purchase_id="CASE WHEN purchase_id % 101 = 0 THEN -purchase_id ELSE purchase_id END",
+                           product_id="CASE WHEN product_id % 103 = 0 THEN -product_id ELSE product_id END"),
+}
+
+
+def _supplier_lines(d: Dialect) -> str:
+    """Supplier records as CSV lines (A4): some with too few or too many fields, some without a name."""
+    return f"""
+SELECT CAST(c_custkey AS BIGINT) AS seq,
+       CASE c_custkey % 12 WHEN 3 THEN c_name WHEN 5 THEN c_name || ',1,2,3' WHEN 7 THEN '  ,' || CAST(c_nationkey AS STRING) || ','
+            ELSE '"  ' || c_name || ', Ltd ",' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE CAST(c_nationkey AS STRING) END || ','
+                 || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'net 30' END END AS raw
+FROM {d.t('customer')}"""
+
+
+def _category_lines(d: Dialect) -> str:
+    """Category records as JSON lines (A4): cut off, no object, without a name, known and repeated names."""
+    o, c = ("{{", "}}") if d.spark else ("{", "}")  # spark.sql reads single braces as names of frames
+    return f"""
+SELECT CAST(p_partkey AS BIGINT) AS seq,
+       CASE p_partkey % 11 WHEN 2 THEN '{o}"name": "' || p_brand WHEN 4 THEN '{o}"name": null{c}' WHEN 6 THEN '[1, 2'
+            WHEN 8 THEN '{o}"name": " ECONOMY"{c}' ELSE '{o}"name": " KIND ' || CAST(p_partkey % 40 AS STRING) || ' "{c}' END AS raw
+FROM {d.t('part')}"""
+
+
+def _supplier_payment_entries(d: Dialect) -> str:
+    """Raw supplier payments (K7): unknown suppliers, unreadable amounts, no date, no method."""
+    return f"""
+SELECT id, CASE WHEN id % 13 = 0 THEN -supplier_id ELSE supplier_id END AS supplier_id,
+       CASE WHEN id % 6 = 0 THEN NULL ELSE date END AS date,
+       CASE WHEN id % 17 = 0 THEN '' WHEN id % 19 = 0 THEN '-5' WHEN id % 23 = 0 THEN 'abc' ELSE CAST(amount AS STRING) END AS amount,
+       CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE method END AS method,
+       CASE WHEN id % 3 = 0 THEN 'by bank' WHEN id % 3 = 1 THEN '' END AS note
+FROM {d.t('supplier_payments')}"""
+
+
 VIEWS: dict[str, tuple[callable, tuple[str, ...]]] = {
     "categories": (_categories, ()),
     "products": (_products, ("part", "categories")),
@@ -384,6 +450,10 @@ VIEWS: dict[str, tuple[callable, tuple[str, ...]]] = {
     "product_edits": (_product_edits, ("part",)),
     "category_edits": (_category_edits, ("supplier",)),
     "supplier_edits": (_supplier_edits, ("supplier",)),
+    "supplier_lines": (_supplier_lines, ("customer",)),
+    "category_lines": (_category_lines, ("part",)),
+    "supplier_payment_entries": (_supplier_payment_entries, ("supplier_payments",)),
+    **{f"raw_{t}": (view, (t,)) for t, view in RAW.items()},
 }
 
 

@@ -93,9 +93,13 @@ def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:
     try:
         df = spark.read.parquet(path)
     except Exception as exc:  # path absent → empty table, like CREATE TABLE IF NOT EXISTS
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+        if any(sign in str(exc) for sign in ("PATH_NOT_FOUND", "does not exist", "UNABLE_TO_INFER_SCHEMA")):
             return empty_frame(spark, table)
         raise
+    if {"batch_id", "attempt"} <= set(df.columns):
+        from .sinks import committed
+
+        df = committed(df, path)
     return align_schema(df, table, keep=PARTITIONS)
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.money import TOTAL
+from ..sources import sinks
 
 
 def daily_takings(sales_stream: DataFrame, watermark: str = "2 days") -> DataFrame:
@@ -90,20 +91,25 @@ def cash_position(flows_stream: DataFrame) -> DataFrame:
 
 
 def write_position(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer of the complete state: each epoch is written whole to its own folder.
+    """``foreachBatch`` writer of the complete state: each epoch is written whole to its own folder, then committed.
 
     Run the query in complete mode.  Nothing is read back or merged, so a failed read cannot lose a
-    component, and an epoch that is replayed writes the same folder again.
+    component, and an epoch that is replayed writes the same folder again.  The folder of the epoch before the
+    last committed one is removed.
     """
 
     def write(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch_id}")
+        sinks.commit(spark, path, "position", str(epoch_id))
+        sinks.remove(spark, f"{path}/epoch={epoch_id - 2}")
 
     return write
 
 
 def read_position(spark: SparkSession, path: str) -> DataFrame:
     """The position of the latest epoch whose write was completed."""
-    epochs = spark.read.parquet(path)
-    last = epochs.agg(F.max("epoch").alias("epoch")).first()["epoch"]
-    return epochs.filter(F.col("epoch") == last).drop("epoch")
+    last = sinks.commits(spark, path).first()  # one row
+    if last is None:
+        return spark.createDataFrame([], "component string, amount decimal(38,2)")
+    return spark.read.parquet(f"{path}/epoch={last.attempt}")
