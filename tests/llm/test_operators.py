@@ -477,3 +477,52 @@ def test_banding_reaches_its_recall():
     for threshold, recall, rows in ((0.8, 0.9995, 6), (0.9, 0.99, 10)):
         bands, r = jaccard_join.banding(threshold, recall, rows)
         assert 1 - (1 - threshold**r) ** bands >= recall > 1 - (1 - threshold**r) ** (bands - 1)
+
+
+# --- malformed pages, periodic texts, many shields --------------------------------------------------
+
+
+def test_malformed_http_does_not_stop_a_page():
+    def parts(body, kind="text/html"):
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\nTransfer-Encoding: chunked\r\n\r\n".encode()
+        _, headers, raw = warc_derive.parse_http(head + body)
+        return warc_derive.payload(headers, raw)
+
+    assert parts(b"5\r\nhello\r\n0\r\n\r\n") == (b"hello", None)
+    for bad in (b"-6\r\nhello\r\n0\r\n", b"+5\r\nhello\r\n0\r\n", b"0x5\r\nhello\r\n0\r\n", b"zz\r\n", b"", b"\r\n\r\n", b"5_0\r\n"):
+        body, wrong = parts(bad)
+        assert body == bad and wrong.startswith("ValueError")
+    for name in ("undefined", "idna", "base64", "rot13", "no-such-charset", "utf-8"):
+        assert warc_derive.decoded(f"text/html; charset={name}", "añb".encode()) in ("añb", "añb".encode().decode("utf-8", "replace"))
+    assert warc_derive.plain_text('<p>a <img alt="x > y"> b</p>') == "a b"
+    assert warc_derive.plain_text("<div title='1 > 0'>a</div><p data-x=\"</p>\">b</p>") == "a\nb"
+
+
+def test_periodic_text_is_verified_once_a_window():
+    import time
+
+    item = "la" * 3000
+    matcher = decontaminate.Matcher([(1, item), (2, "cat"), (3, "a cat")], 0.05)
+    start = time.perf_counter()
+    assert [h[:2] for h in matcher.find("la" * 2900)] == [(1, 200)]
+    assert matcher.find("la" * 2250) == []
+    assert time.perf_counter() - start < 10
+    assert matcher.find("concatenate") == [] and matcher.find("a concat") == []
+    assert [h[0] for h in matcher.find("that is a cat.")] == [2, 3]
+    assert list(decontaminate._windows([0, 4, 90, 300], 50, 5, 320)) == [(0, 59), (85, 145), (295, 320)]
+
+
+def test_shields_are_swept():
+    rng = random.Random(9)
+    lexicon = toxicity.Lexicon(((" ab ", 1.0), (" ab", 0.5), (" c ", 2.0)), (" x ab ", " ab c ", " c c "))
+    machine = toxicity.automaton(lexicon)
+    for _ in range(400):
+        folded = " " + " ".join(rng.choice(["ab", "abb", "c", "x"]) for _ in range(rng.randrange(1, 9))) + " "
+        spots = {}
+        for term, w in lexicon.terms:
+            for i in range(len(folded)):
+                if folded.startswith(term, i) and w > spots.get(i, (0, 0))[1]:
+                    spots[i] = (i + len(term), w)
+        held = [(i, i + len(p)) for p in lexicon.exceptions for i in range(len(folded)) if folded.startswith(p, i)]
+        want = [(s, e, w) for s, (e, w) in sorted(spots.items()) if not any(a <= s and e <= b for a, b in held)]
+        assert toxicity.hits(machine, folded) == want

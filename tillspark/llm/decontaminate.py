@@ -3,7 +3,8 @@
 An occurrence of a test item with at most e edits, cut into e + 1 pieces, holds at
 least one piece unchanged. So each item is split into e + 1 pieces (e is a share of
 its length), one Aho-Corasick automaton finds exact piece hits in a document, and
-each hit's neighbourhood is verified with Myers' bit-parallel edit distance.
+the hits' neighbourhoods, joined where they meet, are verified with Myers'
+bit-parallel edit distance, each once.
 
 Texts are compared in lower case with every white-space character as a blank;
 spans are code-point offsets into the document's own text.
@@ -12,7 +13,8 @@ Scale: documents are read once per block of items and never shuffled. Items are
 broadcast in blocks of at most ``block_chars`` characters; one block is the rule.
 
 Edge cases: a null text or item is empty; an empty item matches nothing; an item
-shorter than 1 / rate characters has no error budget; equal items and repeated
+shorter than 1 / rate characters has no error budget and must not start or end
+inside a word; equal items and repeated
 rows are reported each; empty tables give empty results; extra columns are kept
 by ``without_items`` and ignored by ``matches``.
 """
@@ -104,20 +106,25 @@ class Matcher:
             return []
         low = normal(text)
         found: dict[int, tuple[int, int, int]] = {}
-        seen: set[tuple[int, int]] = set()
+        begins: dict[int, set[int]] = {}  # where each item may start if no edit lies before the piece hit
         for last, (size, places) in self.machine.iter(low):
             for k, at in places:
-                _, item, errors = self.items[k]
-                begin = last + 1 - size - at  # where the item starts if no edit lies before the piece
-                if found.get(k, (1,))[0] == 0 or (k, begin) in seen:
-                    continue
-                seen.add((k, begin))
-                if begin >= 0 and low.startswith(item, begin):
-                    found[k] = (0, begin, begin + len(item))
+                if k in found:
                     continue
-                if not errors:
+                begin = last + 1 - size - at
+                seen = begins.setdefault(k, set())
+                if begin in seen:
                     continue
-                lo, hi = max(0, begin - errors), min(len(low), begin + len(item) + errors)
+                _, item, errors = self.items[k]
+                if begin >= 0 and low.startswith(item, begin) and (errors or _on_edges(low, begin, begin + len(item))):
+                    found[k] = (0, begin, begin + len(item))
+                elif errors:
+                    seen.add(begin)
+        for k, places in begins.items():
+            _, item, errors = self.items[k]
+            if k in found or not errors:
+                continue
+            for lo, hi in _windows(sorted(places), len(item), errors, len(low)):
                 distance, end = myers(item, low[lo:hi], errors)
                 if distance <= errors and distance < found.get(k, (errors + 1,))[0]:
                     back, length = myers(item[::-1], low[lo : lo + end][::-1], errors)
@@ -125,6 +132,26 @@ class Matcher:
         return [(self.items[k][0], *found[k]) for k in sorted(found)]
 
 
+def _on_edges(text: str, start: int, end: int) -> bool:
+    """Whether a span neither starts nor ends inside a word."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum() or text[end : end + 1].isalnum() and text[end - 1].isalnum())
+
+
+def _windows(begins: list[int], size: int, errors: int, length: int) -> Iterator[tuple[int, int]]:
+    """[lo, hi) around the possible starts of one item; windows that meet are one, so that each place is read once."""
+    lo = hi = None
+    for begin in begins:
+        a, b = max(0, begin - errors), min(length, begin + size + errors)
+        if hi is not None and a <= hi:
+            hi = max(hi, b)
+            continue
+        if hi is not None:
+            yield lo, hi
+        lo, hi = a, b
+    if hi is not None:
+        yield lo, hi
+
+
 def blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
     """The items in driver-sized blocks; the size is checked first."""
     rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))

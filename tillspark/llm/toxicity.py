@@ -116,7 +116,15 @@ def hits(machine, folded: str) -> list[tuple[int, int, float]]:
             shields.append((start, last + 1))
         if weight and weight > found.get(start, (0, 0.0))[1]:
             found[start] = (last + 1, weight)
-    return [(s, e, w) for s, (e, w) in sorted(found.items()) if not any(a <= s and e <= b for a, b in shields)]
+    shields.sort()
+    out, reach, k = [], -1, 0
+    for s, (e, w) in sorted(found.items()):  # one sweep over both: how far the shields reach that start at or before a hit
+        while k < len(shields) and shields[k][0] <= s:
+            reach = max(reach, shields[k][1])
+            k += 1
+        if e > reach:
+            out.append((s, e, w))
+    return out
 
 
 def density(machine, text: str | None) -> tuple[float, float]:

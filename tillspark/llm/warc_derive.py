@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .html_extract import _REST as REST
 from .html_extract import BLOCKS, without_unseen
 
 DATE = "2020-01-01T00:00:00Z"
@@ -40,8 +41,8 @@ _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namesp
 RECORD_FIELDS = "page_id long, record_type string, record_id string, refers_to string, target_uri string, content_type string, content_length long, block_digest string, payload_digest string, source_block_digest string, source_payload_digest string, headers array<struct<name: string, value: string>>, block binary"
 
 _TITLE = re.compile(r"<title(?=[\s/>])[^>]*>(.*?)</title(?=[\s/>])", re.S | re.I)
-_BREAK = re.compile(r"</?(?:" + "|".join(sorted(BLOCKS, key=len, reverse=True)) + r")(?=[\s/>])[^>]*>", re.I)
-_MARKUP = re.compile(r"<[a-zA-Z/!?][^>]*>")
+_BREAK = re.compile(r"</?(?:" + "|".join(sorted(BLOCKS, key=len, reverse=True)) + r")(?=[\s/>])" + REST, re.S | re.I)
+_MARKUP = re.compile(r"<[a-zA-Z/!?]" + REST, re.S)
 _LINK = re.compile(r"<(a|area|link|img|script|iframe|source)(?=[\s/])[^>]*?\s(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
@@ -81,11 +82,17 @@ def parse_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes] | None:
     return lines[0], headers, body
 
 
+_CHUNK_SIZE = re.compile(rb"[0-9A-Fa-f]{1,16}")
+
+
 def _unchunked(body: bytes) -> bytes:
     out, at = [], 0
     while True:
         eol = body.index(b"\r\n", at)
-        size = int(body[at:eol].split(b";")[0], 16)
+        digits = body[at:eol].split(b";")[0].strip()
+        if not _CHUNK_SIZE.fullmatch(digits):
+            raise ValueError("a chunk has no size")
+        size = int(digits, 16)
         if not size:
             return b"".join(out)
         if eol + 2 + size > len(body):
@@ -114,7 +121,7 @@ def decoded(content_type: str, body: bytes) -> str:
     m = _CHARSET.search(content_type) or _CHARSET.search(body[:2048].decode("latin-1"))
     try:
         return body.decode(m[1] if m else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, ValueError):  # an unknown name, or a codec that is no charset of texts
         return body.decode("utf-8", "replace")
 
 
