@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 
 from pyspark.sql import functions as F
@@ -29,36 +30,35 @@ def test_daily_takings_closed_days_match_batch(spark):
     batch = s.groupBy(F.date_format("date", "yyyy-MM-dd").alias("day"), "payment_type").agg(
         F.sum("total").alias("rev"), F.count(F.lit(1)).alias("n")).collect()
     exp = {(x.day, x.payment_type): (float(x.rev), x.n) for x in batch}
-    assert got, "no closed day emitted"
-    for k, v in got.items():
-        assert exp[k] == v
+    last = max(x.day for x in batch)
+    closed = {k for k in exp if dt.date.fromisoformat(k[0]) + dt.timedelta(days=3) <= dt.date.fromisoformat(last)}
+    assert got == {k: exp[k] for k in closed} and len(closed) > 25  # every closed day, and only those
 
 
-def test_low_stock_alerts_match_batch_crossings(spark):
+def test_low_stock_alerts_are_the_ledger_s_crossings(spark):
     r = Retail(spark, SF)
-    mv = inventory.stock_movements(r["purchase_items"], r["sale_items"], r["sales"], r["stock_adjustments"])
+    mv = inventory.stock_movements(r["purchase_items"], r["sale_items"], r["sales"], r["stock_adjustments"]).cache()
     d = tempfile.mkdtemp(prefix="tillspark-i2-")
-    mv.write.parquet(f"{d}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{d}/in").schema).parquet(f"{d}/in")
-    q = jobs.low_stock_alerts(stream, r["products"]).writeStream.outputMode("append").format("memory") \
-        .queryName("i2_out").option("checkpointLocation", f"{d}/ckpt").start()
-    q.processAllAvailable()
-    q.stop()
-    alerts = spark.sql("SELECT * FROM i2_out")
-    last = alerts.groupBy("product_id").agg(F.max_by("low", "date").alias("low")).collect()
-    led = inventory.stock_ledger(r["products"], r["purchase_items"], r["sale_items"], r["sales"], r["stock_adjustments"])
-    final = led.groupBy("product_id").agg(F.max_by("position", F.struct("date", "source", "ref", "line_no", "delta")).alias("pos"))
-    lv = {x.id: float(x.reorder_level) for x in r["products"].collect()}
-    opening = {x.id: float(x.quantity) for x in r["products"].collect()}
-    fin = {x.product_id: float(x.pos) for x in final.collect()}
-    assert last
-    for x in last:
-        assert x.low == (fin[x.product_id] <= lv[x.product_id])
-    # products never alerted did not change side
-    alerted = {x.product_id for x in last}
-    for pid, pos in fin.items():
-        if pid not in alerted:
-            assert (pos <= lv[pid]) == (opening[pid] <= lv[pid])
+    cuts = [None, dt.datetime(1996, 6, 1), dt.datetime(1998, 1, 1), None]
+    spark.createDataFrame([], mv.schema).write.parquet(f"{d}/in")
+    stream = spark.readStream.schema(mv.schema).parquet(f"{d}/in")
+    for lo, hi in zip(cuts, cuts[1:]):  # the movements arrive in three lots
+        part = mv.filter((F.lit(lo is None) | (F.col("date") >= F.lit(lo))) & (F.lit(hi is None) | (F.col("date") < F.lit(hi))))
+        part.write.mode("append").parquet(f"{d}/in")
+        job = stream.writeStream.foreachBatch(jobs.write_alerts(f"{d}/out", r["products"])).option("checkpointLocation", f"{d}/ckpt")
+        job.trigger(availableNow=True).start().awaitTermination()
+    got = jobs.read_alerts(spark, f"{d}/out")
+    level = r["products"].select(F.col("id").alias("product_id"), "reorder_level")
+    ledger = inventory.stock_ledger(r["products"], r["purchase_items"], r["sale_items"], r["sales"], r["stock_adjustments"]).join(level, "product_id")
+    low, was = F.col("position") <= F.col("reorder_level"), F.col("position") - F.col("delta") <= F.col("reorder_level")
+    want = ledger.filter(low != was).select("product_id", "date", "ref", "line_no", "delta", "position", low.alias("low"))
+
+    def rows(df, last):
+        return sorted((x.product_id, x.date, x.ref, x.line_no, x.delta, x[last], x.low) for x in df.collect())
+
+    found = rows(got, "quantity")
+    assert found == rows(want, "position") and len(found) > 100
+    assert jobs.read_alerts(spark, f"{d}/out").select("product_id").distinct().count() > 50
 
 
 def test_cash_position_final_equals_breakdown(spark):

@@ -520,11 +520,10 @@ def _delete_cascade(r):
 
 @query("reconcile")
 def _reconcile(r):
-    flows = cash.cash_entries(*_cash_tables(r), r["suppliers"]).agg(
-        F.sum(F.col("in") - F.col("out")).alias("closing"))
     return integrity.reconcile(
         r, suppliers.supplier_closing(r["purchases"], r["supplier_payments"]),
-        suppliers.fifo_allocation(r["purchases"], r["supplier_payments"]), flows,
+        suppliers.fifo_allocation(r["purchases"], r["supplier_payments"]),
+        cash.cash_closing(*_cash_tables(r), r["suppliers"]),
         cash.cash_on_hand(*_cash_tables(r)),
         suppliers.fifo_payments(r["purchases"], r["supplier_payments"]),
     )

@@ -108,11 +108,19 @@ def cash_ledger(*tables: DataFrame) -> DataFrame:
     The balance is a running sum with no partition key; it is scanned in ranges
     of the ledger's order, never in a single task.
     """
-    e = cash_entries(*tables)
-    run = running_sum(e, F.col("in") - F.col("out"), [], ["date", "rank", "id"], "balance")
-    return run.select("date", "rank", "id", "label", "in", "out", total("balance").alias("balance")).orderBy(
-        F.desc("date"), F.desc("rank"), F.desc("id")
-    )
+    return cash_balances(*tables).orderBy(F.desc("date"), F.desc("rank"), F.desc("id"))
+
+
+def cash_balances(*tables: DataFrame) -> DataFrame:
+    """The ledger's rows in no order."""
+    run = running_sum(cash_entries(*tables), F.col("in") - F.col("out"), [], ["date", "rank", "id"], "balance")
+    return run.select("date", "rank", "id", "label", "in", "out", total("balance").alias("balance"))
+
+
+def cash_closing(*tables: DataFrame) -> DataFrame:
+    """The balance of the ledger's last row; 0 without rows."""
+    last = F.max_by("balance", F.struct("date", "rank", "id"))
+    return cash_balances(*tables).agg(F.coalesce(last, F.lit(0)).alias("closing"))
 
 
 def clean_adjustments(requests: DataFrame, as_of: str | None = None) -> DataFrame:

@@ -6,23 +6,22 @@ The reference re-queries everything on each page view; these keep the
 * I1 ``daily_takings`` — event-time tumbling day windows per tender, with a
   watermark (late rows beyond it are dropped) and de-duplication of resent
   invoices within the watermark; append mode emits a day once it is closed.
-* I2 ``low_stock_alerts`` — ``applyInPandasWithState`` keyed by product: the
-  state is the running quantity and whether it is low; a row is emitted only
-  when the product crosses its reorder level (either way).
+* I2 ``write_alerts`` — each micro-batch of stock movements is scanned from the
+  stock that the epoch before left; a row is written only where a product
+  crosses its reorder level (either way).
 * I3 ``cash_position`` — running totals per cash component in complete mode,
   delivered through ``foreachBatch``, each epoch whole to its own folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.money import TOTAL
+from ..operators.prefix import running_sum
 from ..sources import sinks
 
 
@@ -42,47 +41,45 @@ def daily_takings(sales_stream: DataFrame, watermark: str = "2 days") -> DataFra
     ).select(F.col("day.start").cast("timestamp_ntz").cast("date").cast("string").alias("day"), "payment_type", "revenue", "orders")
 
 
-ALERT_SCHEMA = "product_id long, date timestamp, quantity double, reorder_level double, low boolean"
-STATE_SCHEMA = "quantity double, reorder_level double, low boolean"
-
-
-def _alert_fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Advance one product's stock through its movements in order; emit on a crossing."""
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["date", "rank", "ref", "line_no", "delta"])
-    if state.exists:
-        qty, level, low = state.get
-    else:
-        qty = float(pdf["opening"].iloc[0])
-        level = float(pdf["reorder_level"].iloc[0])
-        low = bool(qty <= level)
-    out = []
-    for date, delta in zip(pdf["date"], pdf["delta"]):
-        qty += float(delta)
-        now_low = qty <= level
-        if now_low != low:
-            out.append((key[0], date, qty, level, now_low))
-            low = now_low
-    state.update((qty, level, low))
-    if out:
-        yield pd.DataFrame(out, columns=["product_id", "date", "quantity", "reorder_level", "low"])
-
-
-def low_stock_alerts(movements_stream: DataFrame, products: DataFrame) -> DataFrame:
-    """Low-stock crossings from a stream of stock movements.
-
-    ``movements_stream`` has the shape of ``inventory.stock_movements``; the
-    opening quantity and reorder level come from a stream-static join with
-    the product table.
+_MOVE_ORDER = ["date", "rank", "ref", "line_no", "delta"]
+
+
+def write_alerts(path: str, products: DataFrame) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer of low-stock crossings from a stream of ``inventory.stock_movements`` rows.
+
+    Each micro-batch is one ordered scan in blocks of rows, so a product with a third of the movements is no task of
+    its own, and stock stays decimal.  A movement is an alert if it takes its product across the reorder level, either
+    way.  The stock after each epoch is written whole beside the alerts and committed with them; a replayed epoch
+    starts from the stock of the epoch before and writes the same folders again.
     """
-    p = products.select(F.col("id").alias("product_id"), F.col("quantity").cast("double").alias("opening"),
-                        F.col("reorder_level").cast("double").alias("reorder_level"))
-    m = movements_stream.join(p, "product_id", "inner").select(
-        "product_id", F.col("date").cast("timestamp").alias("date"), "rank", "ref", "line_no",
-        F.col("delta").cast("double").alias("delta"), "opening", "reorder_level",
-    )
-    return m.groupBy("product_id").applyInPandasWithState(
-        _alert_fn, ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+    levels = products.select(F.col("id").alias("product_id"), F.col("quantity").cast(TOTAL).alias("opening"), "reorder_level")
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        before = sinks.commits(spark, path).filter(F.col("attempt").cast("long") < epoch_id).agg(F.max(F.col("attempt").cast("long")).alias("e")).first()["e"]
+        stock = levels
+        if before is not None:
+            held = spark.read.parquet(f"{path}/stock/epoch={before}")
+            stock = levels.join(held, "product_id", "left").withColumn("opening", F.coalesce("quantity", "opening")).drop("quantity")
+        moves = running_sum(batch.select("product_id", *_MOVE_ORDER), F.col("delta"), ["product_id"], _MOVE_ORDER, "moved")
+        moves = moves.join(stock, "product_id").withColumn("quantity", (F.col("opening") + F.col("moved")).cast(TOTAL))
+        low, was = F.col("quantity") <= F.col("reorder_level"), F.col("quantity") - F.col("delta") <= F.col("reorder_level")
+        moves.filter(low != was).select("product_id", *_MOVE_ORDER, "quantity", "reorder_level", low.alias("low")).write.mode(
+            "overwrite").parquet(f"{path}/alerts/epoch={epoch_id}")
+        taken = batch.groupBy("product_id").agg(F.sum("delta").alias("d"))
+        stock.join(taken, "product_id", "left").select(
+            "product_id", (F.col("opening") + F.coalesce("d", F.lit(0))).cast(TOTAL).alias("quantity")).write.mode(
+            "overwrite").parquet(f"{path}/stock/epoch={epoch_id}")
+        sinks.commit(spark, path, f"epoch-{epoch_id}", str(epoch_id))
+        sinks.remove(spark, f"{path}/stock/epoch={epoch_id - 2}")
+
+    return write
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The alerts of all committed epochs."""
+    done = sinks.commits(spark, path).select(F.col("attempt").cast("int").alias("epoch"))
+    return spark.read.parquet(f"{path}/alerts").join(done, "epoch", "left_semi").drop("epoch")
 
 
 def cash_position(flows_stream: DataFrame) -> DataFrame:
