@@ -52,7 +52,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stage_path = path
+    return back
+
+
+def unstage(table: DataFrame) -> None:
+    """Delete the files of a stage table; what was made of it must have been written."""
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table._stage_path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def doc_key(id_col: str = "doc_id", text_col: str = "text") -> Column:

@@ -20,8 +20,9 @@ offset. Runs of windows with one anchor form an occurrence with its context.
    windows are counted one by one, spread by their hashes.
 4. The repeated windows return to their documents, which are cut and hashed.
 
-Joins with texts go by shuffle at every size (both use one exchange of the documents);
-nothing that grows with the data is broadcast.
+Joins with texts go by shuffle at every size: one to cut the contested contexts, which are
+written, and one for the result; nothing that grows with the data is broadcast. Stage tables
+are deleted once what was made of them is written.
 
 Strings are judged on the input. Matches never cross documents, and two rows are two places
 even when they are equal.
@@ -41,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, doc_key, mix64, prefix_hash, span_hash, stage
+from .common import U64, doc_key, mix64, prefix_hash, span_hash, stage, unstage
 
 MIN_BYTES = 200
 GRAM = 32
@@ -311,8 +312,11 @@ def removed_spans(docs: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, ho
                 yield pd.DataFrame({"h": anchor.view(np.int64), "ctx": context.view(np.int64), "doc_key": part["doc_key"].to_numpy()[text], "loc": _pack(start, windows, lead)})
 
     found = stage(keyed.mapInPandas(emit, "h long, ctx long, doc_key long, loc long"), "occurrences")
-    shared = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that both sides of the join are plain exchanges and adaptive execution can split a hot anchor
+    shared = stage(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-anchors")
     met = stage(found.join(shared.hint("merge"), "h", "left_semi"), "shared-anchors")
+    unstage(found)
+    unstage(shared)
 
     classes = stage(met.groupBy("h", "ctx").agg(F.count("*").alias("weight"), F.min(F.struct("doc_key", "loc")).alias("rep")), "contexts")
     crowds = classes.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
@@ -330,6 +334,8 @@ def removed_spans(docs: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, ho
                 yield pd.DataFrame(rows, columns=["h", "ctx", "weight", "contexts", "lead", "bytes"])
 
     cuts = keyed.join(wanted.hint("merge"), "doc_key").select("text", "wanted").mapInPandas(cut, "h long, ctx long, weight long, contexts long, lead int, bytes binary")
+    cuts = stage(cuts, "cuts")  # texts are moved once for this and once for the result, whether an anchor is crowded or not
+    unstage(contested)
     in_shards = cuts.where(F.col("contexts") <= hot).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     judged = in_shards.groupBy("shard").applyInPandas(lambda pdf: judge_shard(pdf, length, gram), f"h long, ctx long, runs {_RUNS}")
     if crowded:
