@@ -12,7 +12,9 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["period_kpis", "pnl_statement", "timeseries_month", "top_products", "cash_breakdown", "cash_ledger",
           "supplier_ledger", "fifo_allocation", "repayments_applied", "asof_cost", "intake_sales", "store_summary",
-          "inventory_by_category", "invoice_lines", "reconcile"]
+          "inventory_by_category", "invoice_lines", "reconcile", "intake_sales_sequential", "intake_rejects_sequential",
+          "products_after_edits", "product_edit_rejects", "fifo_allocation_backdated", "delete_state", "category_intake",
+          "sale_documents", "dashboard_json", "raw_domain_violations"]
 
 
 def test_entry_smoke(spark):

@@ -56,15 +56,16 @@ def lookup_codes(scans: DataFrame, products: DataFrame, categories: DataFrame) -
     """Resolve scanned codes ``(scan_id, code)`` to products by exact barcode or SKU.
 
     The index holds one row per distinct code (an aggregate over products),
-    so a hot code costs one join row; AQE splits a skewed scan side.
-    Unknown codes come back with a NULL product.
+    so a hot code costs one join row; AQE splits a skewed scan side.  It is joined
+    with the products first, so the scans are joined once and unknown codes, which
+    come back with a NULL product, stay spread by their text.
     """
     idx = code_index(products)
     p = with_category(products, categories).select(
         F.col("id").alias("product_id"), F.col("name"), "category_name", "selling_price", "quantity"
     )
     s = scans.withColumn("code", F.trim("code"))
-    return s.join(idx, "code", "left").join(p, "product_id", "left").select(
+    return s.join(idx.join(p, "product_id"), "code", "left").select(
         "scan_id", "code", "product_id", "name", "category_name", "selling_price", "quantity"
     )
 
