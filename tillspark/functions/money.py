@@ -21,15 +21,6 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money(c: str | Column) -> Column:
-    """Round half-up to cents and keep as ``decimal(18,2)``."""
-    return F.round(col(c), 2).cast(MONEY)
-
-
-def zero() -> Column:
-    return F.lit(0).cast(MONEY)
-
-
 def total(c: str | Column) -> Column:
     """Round half-up to cents as ``decimal(38,2)`` (for aggregates)."""
     return F.round(col(c), 2).cast(TOTAL)

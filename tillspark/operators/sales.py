@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import TOTAL, csum, nsum, total
+from ..functions.money import TOTAL, nsum, total
 from ..functions.period import Period, in_period
 from ..functions.search import like_any
 from .prefix import running_sum
