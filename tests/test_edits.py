@@ -68,3 +68,19 @@ def test_a_freed_key_can_be_taken(spark, frame):
         assert [(r.seq, r.message) for r in edits.edit_rejects(held, df, "products", replay_rows=replay_rows).collect()] == [(1, "SKU must be unique")]
         assert sorted((r.id, r.sku) for r in edits.apply_edits(held, df, "products", replay_rows=replay_rows).collect()) == [(1, "B"), (2, "A")]
     assert edits.apply_edits(held, df.limit(0), "products").count() == 1
+
+
+def test_a_long_chain_of_edits_takes_no_round_each(spark, frame, monkeypatch):
+    """Each edit takes the key that the one before it did not free: a refusal runs through all of them."""
+    n, tables = 40, []
+    held = frame("products", [{"id": i, "name": f"n{i}", "sku": f"s{i}"} for i in range(1, n + 2)])
+    feed = spark.createDataFrame([(n - i, "update", i, "x", f"s{i + 1}", None) for i in range(1, n + 1)], COLS)
+
+    def counted(df, name, written=edits.written):
+        tables.append(name)
+        assert len(tables) <= 20, "tables of one judgement"
+        return written(df, name)
+
+    monkeypatch.setattr(edits, "written", counted)
+    found = edits.edit_rejects(held, feed, "products", replay_rows=0, blocks=4).collect()
+    assert sorted((r.id, r.reason) for r in found) == [(i, "duplicate_key") for i in range(1, n + 1)]
