@@ -149,3 +149,39 @@ def test_a_single_due_with_many_payments_is_summed(frame):
     sp = frame("supplier_payments", [{"id": i, "supplier_id": 1, "date": f"2024-01-{d:02} 12:00:00", "amount": 20} for i, d in enumerate(range(5, 29))])
     got = {r.purchase_id: float(r.amount_due) for r in backdated.allocation(p, sp, leaf_rows=2).collect()}
     assert got == {2: 0.0, 1: 500.0 - 220.0 - (180.0 - 70.0)}
+
+
+def test_scans_move_no_copy_of_what_they_sum_or_order_by(spark, monkeypatch):
+    from tillspark.operators import prefix
+
+    moved, in_blocks = [], prefix.in_blocks
+
+    def seen(df, *args):
+        moved.append(df.columns)
+        return in_blocks(df, *args)
+
+    monkeypatch.setattr(prefix, "in_blocks", seen)
+    df = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (2, 1, None)], "k int, t int, v int")
+    sums = prefix.running_sum(df, "v", ["k"], ["t"], "s", blocks=2)
+    last = prefix.carry_forward(df, "v", ["k"], ["t"], "w", blocks=2)
+    assert sorted(tuple(r) for r in sums.select("k", "t", "s").collect()) == [(1, 1, 2), (1, 2, 5), (2, 1, 0)]
+    assert sorted(tuple(r) for r in last.filter("k = 1").select("t", "w").collect()) == [(1, 2), (2, 3)]
+    assert moved == [["k", "t", "v"]] * 2
+
+
+def test_a_view_read_several_times_is_built_once(spark, monkeypatch):
+    from tillspark.registry import QUERIES
+    from tillspark.sources import mapping
+
+    built, own = [], mapping.written
+
+    def kept(df, name):
+        built.append(name)
+        return own(df, name)
+
+    monkeypatch.setattr(mapping, "written", kept)
+    r = mapping.Retail(spark, "/root/testdata/sf0.001")
+    plain = mapping.Retail(spark, "/root/testdata/sf0.001")["sales"]
+    assert QUERIES["orphan_items"](r).count() == 8
+    assert built == ["view-sales", "view-purchases"] and r["sales"].dtypes == plain.dtypes
+    assert r["sales"].exceptAll(plain).isEmpty() and plain.exceptAll(r["sales"]).isEmpty()
