@@ -101,12 +101,33 @@ def _posted_at(as_of: str | None):
 _SALE_HEAD = ("customer_name", "payment_type", "discount", "amount_paid", "paid_method", "date")
 
 
+# The faults of a line, in the order in which one line's are checked.
+_FAULTS = (REJECT_QUANTITY, REJECT_EMPTY, REJECT_NOT_FOUND, REJECT_STOCK, REJECT_AMOUNT)
+
+
+def _place(pos, fault):
+    """A line's position and fault as one number: the least of a document is its first failing line."""
+    code = F.lit(len(_FAULTS))
+    for i, name in enumerate(_FAULTS):
+        code = F.when(fault == name, F.lit(i)).otherwise(code)
+    return F.when(fault.isNotNull(), pos.cast("long") * 8 + code)
+
+
 def sale_line_rows(docs_json: DataFrame, products: DataFrame) -> DataFrame:
     """Every line of the documents, priced, with the fault it has whatever the stock (one row for an empty basket).
 
-    The documents are parsed here once; everything that K1 returns is made of these rows.
+    The documents are parsed here once; everything that K1 returns is made of these rows.  The header and its
+    faults stand on a document's first line only, so that they are moved once a document.
     """
-    lines = line_pricing(sale_lines(parse_docs(docs_json, SALE_DOC)), products)
+    pos = F.coalesce("pos", F.lit(-1))
+
+    def on_first(c):
+        return F.when(pos <= 0, c)
+
+    lines = sale_lines(parse_docs(docs_json, SALE_DOC)).select(
+        "ref", pos.alias("pos"), "product_id", "qty", "price_in", "ldisc_in", "price_junk", "no_item", _posted_at(None).alias("at"),
+        on_first(F.struct(*_SALE_HEAD)).alias("head"), on_first(_bad_date()).alias("bad_date"), on_first(_bad_amount()).alias("bad_amount"),
+    )
     q = F.col("qty").try_cast(QUANTITY)
     bad_amount = F.col("gross").isNull() | F.col("line_discount").isNull() | F.col("price_junk") | F.col("ldisc_in").isNull()
     fault = (
@@ -114,74 +135,87 @@ def sale_line_rows(docs_json: DataFrame, products: DataFrame) -> DataFrame:
         .when(F.col("product_name").isNull(), F.lit(REJECT_NOT_FOUND))
         .when(q.isNull() | (q <= 0), F.lit(REJECT_QUANTITY))
     )
-    return lines.select(
-        "ref", *_SALE_HEAD, F.coalesce("pos", F.lit(-1)).alias("pos"), "product_id", "product_name", "stock", "cost_price",
-        q.alias("quantity"), "qty", "unit_price", "line_discount", "gross", "line_total", "no_item",
-        fault.alias("fault"), bad_amount.alias("bad_line"), _bad_date().alias("bad_date"), _bad_amount().alias("bad_amount"),
+    return line_pricing(lines, products).select(
+        "ref", "at", "head", "pos", "product_id", "product_name", "stock", "cost_price",
+        q.alias("quantity"), "qty", "unit_price", "line_discount", "gross", "line_total",
+        _place(F.col("pos"), fault).alias("fault"), bad_amount.alias("bad_line"), "bad_date", "bad_amount",
     )
 
 
+def sale_heads(lines: DataFrame) -> DataFrame:
+    """One row per reference: its documents, its header and what is wrong with it."""
+    return lines.filter(F.col("pos") <= 0).groupBy("ref").agg(
+        F.count(F.lit(1)).alias("docs"), F.first("head").alias("head"),
+        F.max("bad_date").alias("bad_date"), F.max("bad_amount").alias("bad_amount"))
+
+
 def sale_baskets(lines: DataFrame, per_line: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document and product: what it takes and needs of the stock, its sums and its first lines.
 
     Everything is a partial aggregate, so a reference that very many documents share is folded before it is
-    shuffled.  ``need`` is what is compared with the stock: the basket's sum, or with ``per_line`` its largest line.
-    A line short of stock is the basket's first line, or with ``per_line`` the first whose own quantity exceeds it,
-    which is kept for each quantity by ``asked`` (bounded by the basket).
+    shuffled; but for ``per_line`` all values have a fixed width, so that rows are hashed, not sorted.  ``need`` is
+    what is compared with the stock: the basket's sum, or with ``per_line`` its largest line.  A line short of stock
+    is the basket's first line, or with ``per_line`` the first whose own quantity exceeds it, which is kept for each
+    quantity by ``asked`` (bounded by the basket).
     """
     q = F.col("quantity")
-    line = F.struct("pos", "fault", "product_id", "product_name", "qty")
-    amount = F.struct("pos", "product_name")
+    asked = {"asked": F.array_sort(F.collect_set(F.struct("pos", "quantity", "qty")))} if per_line else {
+        "ask_pos": F.min("pos"), "ask_qty": F.min_by("qty", "pos")}
     return lines.groupBy("ref", "product_id").agg(
-        F.sum(F.when(F.col("pos") <= 0, 1).otherwise(0)).alias("docs"),
-        F.first(F.struct(*_SALE_HEAD)).alias("head"),
-        F.max("bad_date").alias("bad_date"), F.max("bad_amount").alias("bad_amount"),
         F.count(F.lit(1)).alias("lines"), F.sum("gross").alias("gross"), F.sum("line_discount").alias("line_discount"),
         F.sum(q).alias("take"), (F.max(q) if per_line else F.sum(q)).alias("need"), F.first("stock").alias("stock"),
-        F.min(F.when(F.col("fault").isNotNull(), line)).alias("first_fault"),
-        F.min(F.when(F.col("bad_line"), amount)).alias("first_amount"),
-        F.array_sort(F.collect_set(F.struct("pos", "quantity", "qty", "product_name"))).alias("asked")
-        if per_line else F.array(F.min(F.struct("pos", "quantity", "qty", "product_name"))).alias("asked"),
-        *[F.first(c).alias(c) for c in keep],
+        F.min("fault").alias("fault"), F.min(F.when(F.col("bad_line"), _place(F.col("pos"), F.lit(REJECT_AMOUNT)))).alias("bad_line"),
+        *[c.alias(name) for name, c in asked.items()], *[F.first(c).alias(c) for c in keep],
     )
 
 
-def judged_sales(baskets: DataFrame, per_line: bool = False, stock: str | None = "stock") -> DataFrame:
-    """One row per reference: its header and sums, and the reason and message of the first line that fails.
+def judged_sales(baskets: DataFrame, heads: DataFrame, per_line: bool = False, stock: str | None = "stock") -> DataFrame:
+    """One row per reference: its header and sums, and the reason of the first line that fails, with that line's product,
+    quantity and stock.
 
     ``stock`` names the column with the stock that a basket meets; None leaves the stock unchecked.
     """
     have = F.col(stock) if stock else F.lit(None).cast(QUANTITY)
-    short = F.get(F.filter("asked", lambda a: (a["quantity"] if per_line else F.col("need")) > have), F.lit(0))
-    short_text = F.concat(F.lit("Not enough stock for "), short["product_name"], F.lit(" (have "), _plain(have), F.lit(", need "), _plain(short["qty"]), F.lit(")"))
-
-    def failing(pos, code, reason, message):
-        return F.when(pos.isNotNull(), F.struct(pos.alias("pos"), code.alias("code"), reason.alias("reason"), message.alias("message")))
-
-    fault, amount = F.col("first_fault"), F.col("first_amount")
-    fault_text = (
-        F.when(fault["fault"] == REJECT_EMPTY, F.lit("At least one item is required"))
-        .when(fault["fault"] == REJECT_NOT_FOUND, F.concat(F.lit("Product "), F.coalesce(fault["product_id"].cast("string"), F.lit("null")), F.lit(" not found")))
-        .otherwise(F.concat(F.lit("Invalid quantity for "), fault["product_name"]))
-    )
-    firsts = [
-        failing(fault["pos"], F.lit(0), fault["fault"], fault_text),
-        failing(short["pos"], F.lit(1), F.lit(REJECT_STOCK), short_text),
-        failing(amount["pos"], F.lit(2), F.lit(REJECT_AMOUNT), F.concat(F.lit("Invalid amount for "), amount["product_name"])),
-    ]
+    if per_line:
+        first = F.get(F.filter("asked", lambda a: a["quantity"] > have), F.lit(0))
+        ask_pos, ask_qty = first["pos"], first["qty"]
+    else:
+        ask_pos, ask_qty = F.when(F.col("need") > have, F.col("ask_pos")), F.col("ask_qty")
+    short = F.when(ask_pos.isNotNull(), _place(ask_pos, F.lit(REJECT_STOCK)))
     # the first failing line by position; of one line's faults the first checked
-    per_ref = baskets.withColumn("_bad", F.least(*firsts)).groupBy("ref").agg(
-        F.sum("docs").alias("docs"), F.first("head").alias("head"),
-        F.max("bad_date").alias("bad_date"), F.max("bad_amount").alias("bad_amount"),
+    found = baskets.withColumns({"_bad": F.least("fault", short, "bad_line"), "_qty": ask_qty, "_have": have})
+    per_ref = found.groupBy("ref").agg(
         F.sum("lines").alias("lines"), F.sum("gross").alias("subtotal"), F.sum("line_discount").alias("line_discount"),
-        F.min("_bad").alias("_bad"),
+        F.min("_bad").alias("_bad"), *[F.min_by(c, "_bad").alias(to) for c, to in
+                                       (("product_id", "_product"), ("_qty", "_qty"), ("_have", "_have"))],
     )
+    fault = F.when(F.col("_bad").isNotNull(), F.element_at(F.array(*map(F.lit, _FAULTS)), (F.pmod("_bad", F.lit(8)) + 1).cast("int")))
+    # documents without a reference are one row, whatever their lines say
+    judged = per_ref.join(heads, "ref").unionByName(heads.filter(F.col("ref").isNull()), allowMissingColumns=True)
     doc = _doc_reason(F.col("docs"), F.col("bad_date"), F.col("bad_amount"))
-    return per_ref.select(
-        "ref", "head.*", "lines", "subtotal", "line_discount",
-        F.coalesce(doc, F.col("_bad.reason")).alias("reason"),
-        F.coalesce(_doc_message(doc), F.col("_bad.message")).alias("message"),
+    return judged.select(
+        "ref", "head.*", "lines", "subtotal", "line_discount", F.coalesce(doc, fault).alias("reason"),
+        doc.isNull().alias("_by_line"), "_product", "_qty", "_have",
+    )
+
+
+def sale_rejects(judged: DataFrame, products: DataFrame) -> DataFrame:
+    """The references that fail, with reason and message; the products' names are looked up for these alone."""
+    names = products.groupBy(F.col("id").alias("_product")).agg(F.min("name").alias("_name"))
+    refused = judged.filter(F.col("reason").isNotNull()).select("ref", "reason", "_by_line", "_product", "_qty", "_have")
+    reason, name = F.col("reason"), F.col("_name")
+    # refusals whose message names no product are not moved to the products
+    named = F.col("_by_line") & reason.isin(REJECT_QUANTITY, REJECT_STOCK, REJECT_AMOUNT)
+    by_line = (
+        F.when(reason == REJECT_EMPTY, F.lit("At least one item is required"))
+        .when(reason == REJECT_NOT_FOUND, F.concat(F.lit("Product "), F.coalesce(F.col("_product").cast("string"), F.lit("null")), F.lit(" not found")))
+        .when(reason == REJECT_QUANTITY, F.concat(F.lit("Invalid quantity for "), name))
+        .when(reason == REJECT_STOCK, F.concat(F.lit("Not enough stock for "), name, F.lit(" (have "), _plain(F.col("_have")), F.lit(", need "), _plain(F.col("_qty")), F.lit(")")))
+        .otherwise(F.concat(F.lit("Invalid amount for "), name))
     )
+    unnamed = refused.filter(~named).withColumn("_name", F.lit(None).cast("string"))
+    return unnamed.unionByName(refused.filter(named).join(names, "_product", "left")).select(
+        "ref", "reason", F.when(F.col("_by_line"), by_line).otherwise(_doc_message(reason)).alias("message"))
 
 
 def _sale_totals(judged: DataFrame, as_of: str | None) -> DataFrame:
@@ -198,7 +232,8 @@ def _sale_totals(judged: DataFrame, as_of: str | None) -> DataFrame:
 
 
 def _judged(docs_json: DataFrame, products: DataFrame, per_line: bool) -> DataFrame:
-    return judged_sales(sale_baskets(sale_line_rows(docs_json, products), per_line), per_line)
+    lines = written(sale_line_rows(docs_json, products).drop("at", "product_name", "cost_price", "unit_price", "line_total"), "sale-lines")
+    return judged_sales(sale_baskets(lines, per_line), sale_heads(lines), per_line)
 
 
 def intake_sales(docs_json: DataFrame, products: DataFrame, per_line: bool = False, as_of: str | None = None) -> DataFrame:
@@ -221,8 +256,9 @@ def _posted_lines(lines: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def posted_sale_items(docs_json: DataFrame, products: DataFrame, per_line: bool = False) -> DataFrame:
     """Line rows of the accepted sale documents, with the product's name and cost at posting (K1)."""
-    lines = written(sale_line_rows(docs_json, products), "sale-lines")
-    return _posted_lines(lines, judged_sales(sale_baskets(lines, per_line), per_line).filter(F.col("reason").isNull()))
+    lines = written(sale_line_rows(docs_json, products).drop("at", "head"), "sale-lines")
+    heads = sale_heads(lines.withColumn("head", F.struct(F.lit(None).alias("none"))))
+    return _posted_lines(lines, judged_sales(sale_baskets(lines, per_line), heads, per_line).filter(F.col("reason").isNull()))
 
 
 def _first_payments(headers: DataFrame) -> DataFrame:
@@ -253,7 +289,7 @@ def stock_after_sales(docs_json: DataFrame, products: DataFrame, per_line: bool
 
 def intake_rejects(docs_json: DataFrame, products: DataFrame, per_line: bool = False) -> DataFrame:
     """Rejected sale documents with the reason of their first failing line (K1)."""
-    return _judged(docs_json, products, per_line).filter(F.col("reason").isNotNull()).select("ref", "reason", "message")
+    return sale_rejects(_judged(docs_json, products, per_line), products)
 
 
 def basket_merge(docs_json: DataFrame, products: DataFrame) -> DataFrame:

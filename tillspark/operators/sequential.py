@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from ..functions.money import QUANTITY
+from ..functions.money import QUANTITY, TOTAL
 from ..session import dropped, written
 from . import posting
 from .prefix import running_sums
@@ -104,31 +104,35 @@ class SequentialPosting:
                  replay_rows: int = REPLAY_ROWS, blocks: int | None = None):
         self.products, self.per_line, self.as_of = products, per_line, as_of
         self.lines = written(posting.sale_line_rows(docs_json, products), "sale-lines")
-        baskets = posting.sale_baskets(self.lines, per_line).withColumn("date", F.col("head.date"))
-        zero = F.lit(0)
-        self.baskets = written(baskets.withColumn("at", posting._posted_at(as_of)).drop("date").withColumns({
-            "take": F.coalesce("take", zero).cast(WIDE), "need": F.coalesce("need", zero).cast(WIDE)}), "baskets")
-        sound = posting.judged_sales(self.baskets, per_line, stock=None).filter(F.col("reason").isNull()).select("ref")
+        baskets = posting.sale_baskets(self.lines, per_line, keep=("at",))
+        zero, at = F.lit(0), F.coalesce("at", F.lit(as_of).cast("timestamp_ntz")) if as_of else F.col("at")
+        self.baskets = written(baskets.withColumns({
+            "at": at, "take": F.coalesce("take", zero).cast(WIDE), "need": F.coalesce("need", zero).cast(WIDE)}), "baskets")
+        self.heads = posting.sale_heads(self.lines)
+        sound = posting.judged_sales(self.baskets, self.heads, per_line, stock=None).filter(F.col("reason").isNull()).select("ref")
+        sound = written(sound, "sound")  # read by the needs and by what is accepted
         needs = self.baskets.join(sound, "ref", "left_semi").select("ref", "at", "product_id", "take", "need", "stock")
         refused = refused_baskets(needs, replay_rows, blocks).select("ref").distinct()
         self.accepted = written(sound.join(refused, "ref", "left_anti"), "accepted")
+        dropped(sound)
         self.blocks = blocks
 
     def judged(self) -> DataFrame:
-        """Every document with the stock that its lines met at its turn."""
-        took = self.baskets.join(self.accepted.withColumn("_in", F.lit(True)), "ref", "left")
+        """Every refused document with the stock that its lines met at its turn."""
+        took = self.baskets.join(self.accepted.withColumn("_in", F.lit(True)), "ref", "left").drop("gross", "line_discount")
         at_turn = running_sums(
             took, {"gone": F.when(F.col("_in"), F.col("take")).otherwise(0)}, ["product_id"], ORDER, inclusive=False, blocks=self.blocks)
-        met = at_turn.withColumn("stock", F.col("stock") - F.col("gone"))
-        return posting.judged_sales(met, self.per_line)
+        met = at_turn.filter(F.col("_in").isNull()).withColumn("stock", F.col("stock") - F.col("gone"))
+        met = met.withColumns({c: F.lit(0).cast(TOTAL) for c in ("gross", "line_discount")})
+        return posting.judged_sales(met, self.heads, self.per_line)
 
     def sales(self) -> DataFrame:
         """Headers of the accepted documents; their rows need no second look at the stock."""
         own = self.baskets.join(self.accepted, "ref", "left_semi")
-        return posting._sale_totals(posting.judged_sales(own, self.per_line, stock=None), self.as_of)
+        return posting._sale_totals(posting.judged_sales(own, self.heads, self.per_line, stock=None), self.as_of)
 
     def rejects(self) -> DataFrame:
-        return self.judged().filter(F.col("reason").isNotNull()).select("ref", "reason", "message")
+        return posting.sale_rejects(self.judged(), self.products)
 
     def items(self) -> DataFrame:
         return posting._posted_lines(self.lines, self.accepted)
