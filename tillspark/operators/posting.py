@@ -191,7 +191,7 @@ def judged_sales(baskets: DataFrame, heads: DataFrame, per_line: bool = False, s
     )
     fault = F.when(F.col("_bad").isNotNull(), F.element_at(F.array(*map(F.lit, _FAULTS)), (F.pmod("_bad", F.lit(8)) + 1).cast("int")))
     # documents without a reference are one row, whatever their lines say
-    judged = per_ref.join(heads, "ref").unionByName(heads.filter(F.col("ref").isNull()), allowMissingColumns=True)
+    judged = per_ref.join(heads.hint("merge"), "ref").unionByName(heads.filter(F.col("ref").isNull()), allowMissingColumns=True)
     doc = _doc_reason(F.col("docs"), F.col("bad_date"), F.col("bad_amount"))
     return judged.select(
         "ref", "head.*", "lines", "subtotal", "line_discount", F.coalesce(doc, fault).alias("reason"),
@@ -200,8 +200,12 @@ def judged_sales(baskets: DataFrame, heads: DataFrame, per_line: bool = False, s
 
 
 def sale_rejects(judged: DataFrame, products: DataFrame) -> DataFrame:
-    """The references that fail, with reason and message; the products' names are looked up for these alone."""
-    names = products.groupBy(F.col("id").alias("_product")).agg(F.min("name").alias("_name"))
+    """The references that fail, with reason and message; the products' names are looked up for these alone.
+
+    The names are written and joined by sort and merge: a catalogue is no broadcast, whatever its files' size, and the
+    refusals of a best seller are split among tasks, as both sides of the join are plain shuffles.
+    """
+    names = written(products.groupBy(F.col("id").alias("_product")).agg(F.min("name").alias("_name")), "names")
     refused = judged.filter(F.col("reason").isNotNull()).select("ref", "reason", "_by_line", "_product", "_qty", "_have")
     reason, name = F.col("reason"), F.col("_name")
     # refusals whose message names no product are not moved to the products
@@ -214,7 +218,7 @@ def sale_rejects(judged: DataFrame, products: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("Invalid amount for "), name))
     )
     unnamed = refused.filter(~named).withColumn("_name", F.lit(None).cast("string"))
-    return unnamed.unionByName(refused.filter(named).join(names, "_product", "left")).select(
+    return unnamed.unionByName(refused.filter(named).join(names.hint("merge"), "_product", "left")).select(
         "ref", "reason", F.when(F.col("_by_line"), by_line).otherwise(_doc_message(reason)).alias("message"))
 
 
